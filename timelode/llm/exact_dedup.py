@@ -31,8 +31,11 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else each store reserves megabytes of disk for a log of a few bytes
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 FILES_PER_BATCH = 2000
+SALTS = 16
 
 
 @contextlib.contextmanager
@@ -97,16 +100,19 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_pe
     state = stored(stream_state(spark, source, records.schema, files_per_batch), "dedup-keys")
     hits = state.where("n > 1")
 
-    # full bytes on hits: rows of digests seen more than once meet the kept text
+    # Full bytes on hits: of each digest seen more than once, the least and the
+    # greatest text must agree. A digest is dealt to SALTS parts, so that a hot one
+    # is compared in many tasks; each part then passes on one text.
     texts = docs.select("doc_id", digest(clean).alias("digest"), clean.alias("clean"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
-    met = texts.join(hits.select("digest", "best"), "digest")
-    is_best = _order(F.col("chars"), F.col("doc_id")).eqNullSafe(F.col("best"))
-    kept_text = met.where(is_best).groupBy("digest").agg(F.min("clean").alias("kept_text"))
-    odd = met.join(kept_text, "digest").where("clean <> kept_text").select("doc_id", "digest", "chars", "clean")
-    odd = stored(odd, "dedup-odd")
-    if odd.isEmpty():
+    parts = state.where("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = texts.select("digest", "clean", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    ends = dealt.join(parts, ["digest", "salt"]).groupBy("digest", "salt").agg(F.min("clean").alias("low"), F.max("clean").alias("high"))
+    ends = ends.withColumn("high", F.when(F.col("low") != F.col("high"), F.col("high")))
+    ends = ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("low").alias("top"), F.count("high").alias("split"))
+    mixed = stored(ends.where("low <> top or split > 0").select("digest"), "dedup-mixed")
+    if mixed.isEmpty():
         return _members(records, state)
-    return _split(texts, state, odd)
+    return _split(texts, state, mixed)
 
 
 def _members(records: DataFrame, state: DataFrame) -> DataFrame:
@@ -116,9 +122,8 @@ def _members(records: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def _split(texts: DataFrame, state: DataFrame, odd: DataFrame) -> DataFrame:
+def _split(texts: DataFrame, state: DataFrame, mixed: DataFrame) -> DataFrame:
     """Digests that stand for several texts: their groups go by the full text."""
-    mixed = odd.select("digest").distinct()
     best = _order(F.col("chars"), F.col("doc_id"))
     plain = texts.join(mixed, "digest", "left_anti").select("doc_id", "digest", best.alias("best"))
     own = texts.join(mixed, "digest").select("doc_id", "digest", "clean", best.alias("best"))
