@@ -1,15 +1,299 @@
-"""Every timeline query by name, with its oracle SQL where SQL can say it."""
+"""Every timeline query by name. Its SQL twin is in ``oracle``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from timelode.functions import text as X
+from timelode.functions import vectors as V
+from timelode.operators import evaluate, expand, index, ingest, moments, retrieval, scoring, signal
+from timelode.plans import oracle, search
+from timelode.sources import tables as T
+
+KEYWORDS = ("the", "of", "and", "in")
+QUESTION = "What is the thing and that"
+DIM = 64
+PHRASES = (*X.STORED_REFUSALS, "idiot", "worthless")
+FILES = ("a.mp4", "B.MKV", "c.mov", "d.webm", "e.avi", "f.txt", "g.mp4.exe", "noending", ".mp4", "dir.mp4/plain", "h.Mp4")
+QUERIES = ("คนใส่เสื้อสีเขียว", "a man in a red shirt", "รถยนต์ turning", "  spaced  words ", "")
+TAU = 0.14
+CLIPS = tuple((v, c, 4.0 + 7 * c + v / 10, 9.3 + 9 * c) for v in range(10) for c in range(3))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> list[scoring.Request]:
+    """The request's vector is the first stored one: no encoder runs here."""
+    first = T.read(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    return [scoring.Request(0, first["embedding"], KEYWORDS, KEYWORDS)]
+
+
+def _request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.requests(spark, _asked(spark, sf_dir))
+
+
+def scan_videos(spark, sf_dir):
+    return T.videos(spark, sf_dir)
+
+
+def list_videos(spark, sf_dir):
+    v = F.col("video_id").cast("string")
+    return T.videos(spark, sf_dir).select(v.alias("id"), F.concat(F.lit("video_"), v, F.lit(".mp4")).alias("filename"), F.col("duration_sec").cast("double").alias("duration_sec"))
+
+
+def filter_frames_limit(spark, sf_dir):
+    return T.frames(spark, sf_dir).where(F.col("video_id") == F.lit(3)).select("video_id", "id", "ts").orderBy("ts", "id").limit(10)
+
+
+def valid_vectors(spark, sf_dir):
+    good = V.valid(F.col("embedding"), DIM)
+    return T.read(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("video_id")).agg(F.count_if(good).alias("n_valid"), F.count(F.lit(1)).alias("n_total"))
+
+
+def table_counts(spark, sf_dir):
+    return ingest.counts({n: T.read(spark, sf_dir, n) for n in ("embeddings", "conversations", "events", "documents")})
+
+
+def upsert_captions(spark, sf_dir):
+    frames = T.frames(spark, sf_dir).select("video_id", "id", "caption")
+    changes = T.read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.concat(F.lit("caption of "), F.col("doc_id").cast("string")).alias("caption"))
+    done = ingest.upsert(frames, changes, "id", ["caption"])
+    return done.select("video_id", "id", F.length("caption").cast("long").alias("n_chars"), F.md5("caption").alias("caption_md5"))
+
+
+def cascade_delete(spark, sf_dir):
+    gone = T.videos(spark, sf_dir).where("video_id % 3 = 0").select("video_id")
+    left = ingest.delete_cascade({"frames": T.frames(spark, sf_dir).select("video_id", "id"), "transcripts": T.transcripts(spark, sf_dir).select("video_id", "id")}, gone)
+    frames, said = (left[n].select(F.lit(n).alias("table"), "video_id", "id") for n in ("frames", "transcripts"))
+    return frames.unionByName(said)
+
+
+def filter_allowed_ext(spark, sf_dir):
+    rows = spark.createDataFrame([(f,) for f in FILES], "filename string")
+    return rows.select("filename", X.allowed_file(F.col("filename")).alias("allowed"))
+
+
+def video_frames_join(spark, sf_dir):
+    n = T.frames(spark, sf_dir).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_frames"))
+    return T.videos(spark, sf_dir).join(n, "video_id").select("video_id", "n_frames", "duration_sec")
+
+
+def cosine_scores(spark, sf_dir):
+    return scoring.cosines(T.frames(spark, sf_dir), _request(spark, sf_dir), DIM).select("video_id", "id", F.round("score", 4).alias("score"))
+
+
+def topk_frames(spark, sf_dir):
+    best = scoring.top_frames(scoring.cosines(T.frames(spark, sf_dir), _request(spark, sf_dir), DIM))
+    return best.select("video_id", "id", "rank", F.round("score", 4).alias("score"))
+
+
+def keyword_match_count(spark, sf_dir):
+    docs = T.frames(spark, sf_dir).select("id", X.keyword_matches(X.plain(F.col("caption")), X.literals(KEYWORDS)).alias("matches"))
+    said = T.transcripts(spark, sf_dir).select("id", X.keyword_matches(X.plain(F.col("spoken")), X.literals(KEYWORDS)).alias("matches"))
+    return docs.withColumn("kind", F.lit("frame")).unionByName(said.withColumn("kind", F.lit("transcript")))
+
+
+def _part(rows: DataFrame) -> DataFrame:
+    return rows.select("video_id", F.round("ts", 3).alias("ts"), F.round("part", 6).alias("boost"))
+
+
+def caption_boost(spark, sf_dir):
+    return _part(scoring.caption_part(T.frames(spark, sf_dir), _request(spark, sf_dir)))
+
+
+def audio_boost(spark, sf_dir):
+    return _part(scoring.audio_part(T.transcripts(spark, sf_dir), _request(spark, sf_dir)))
+
+
+def fused_scores(spark, sf_dir):
+    done = scoring.fused(T.frames(spark, sf_dir), T.transcripts(spark, sf_dir), T.videos(spark, sf_dir), _request(spark, sf_dir), DIM)
+    return done.select("video_id", F.round("ts", 3).alias("ts"), F.round("score", 6).alias("score"))
+
+
+def _typed(spark) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(QUERIES)), "request_id long, query string")
+
+
+def expand_concepts(spark, sf_dir):
+    return expand.matched(_typed(spark), expand.concepts(spark)).select("request_id", "key", F.get("visual", F.lit(0)).alias("translation"))
+
+
+def expand_query(spark, sf_dir):
+    done = expand.expand(expand.accepted(_typed(spark)), expand.concepts(spark))
+    return done.select("request_id", F.array_join("visual", "|").alias("visual"), F.array_join("audio", "|").alias("audio"), "expanded")
+
+
+def rrf_fuse(spark, sf_dir):
+    """Three lists of frames: by similarity, by keywords, by time."""
+    scored = scoring.cosines(T.frames(spark, sf_dir), _request(spark, sf_dir), DIM).select(F.col("id").alias("item"), F.round("score", 6).alias("s"))
+    hits = T.frames(spark, sf_dir).select(F.col("id").alias("item"), X.keyword_matches(X.plain(F.col("caption")), X.literals(KEYWORDS)).cast("double").alias("s")).where("s > 0")
+    late = T.frames(spark, sf_dir).where("video_id = 1").select(F.col("id").alias("item"), F.col("ts").alias("s"))
+    lists = [d.select(F.lit(m).alias("modality"), "item", "s") for m, d in (("visual", scored), ("caption", hits), ("audio", late))]
+    rows = lists[0].unionByName(lists[1]).unionByName(lists[2])
+    order = Window.partitionBy("modality").orderBy(F.col("s").desc(), "item")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where("rank <= 100")
+    done = scoring.reciprocal_ranks(ranked, {"visual": 0.5, "caption": 0.3})
+    return done.select(F.col("item").alias("id"), F.round("fused_score", 8).alias("fused_score"), F.round(F.coalesce(F.element_at("modality_scores", F.lit("audio")), F.lit(0.0)), 8).alias("audio_part"))
+
+
+KEYS = ["video_id"]
+
+
+def signal_bins(spark, sf_dir):
+    return signal.bins(T.timeline(spark, sf_dir), KEYS).select("video_id", "idx", F.round("score", 6).alias("score"))
+
+
+def _smooth(spark, sf_dir, kernel):
+    return signal.smooth(signal.bins(T.timeline(spark, sf_dir), KEYS), KEYS, kernel)
+
+
+def gaussian_multiscale(spark, sf_dir):
+    return _smooth(spark, sf_dir, signal.multiscale()).select("video_id", "idx", F.round("smoothed", 6).alias("smoothed"))
+
+
+def gaussian_single(spark, sf_dir):
+    return _smooth(spark, sf_dir, signal.gaussian(signal.DEFAULT_SIGMA)).select("video_id", "idx", F.round("smoothed", 6).alias("smoothed"))
+
+
+def _signal(spark, sf_dir):
+    return search.signal(T.timeline(spark, sf_dir), KEYS)
+
+
+def dynamic_threshold(spark, sf_dir):
+    return moments.thresholds(_signal(spark, sf_dir), KEYS).select("video_id", *[F.round(c, 6).alias(c) for c in ("mu", "sigma", "theta")])
+
+
+def _peaks(spark, sf_dir):
+    return moments.peaks(moments.clusters(moments.with_threshold(_signal(spark, sf_dir), KEYS), KEYS), KEYS)
+
+
+def moment_clusters(spark, sf_dir):
+    return _peaks(spark, sf_dir).select("video_id", "cluster", "first", "last")
+
+
+def moment_peaks(spark, sf_dir):
+    return _peaks(spark, sf_dir).select("video_id", "cluster", "peak", F.round("score", 6).alias("score"))
+
+
+def valley_bounds(spark, sf_dir):
+    found = moments.valleys(moments.with_threshold(_signal(spark, sf_dir), KEYS), KEYS)
+    return moments.bounded(found.withColumn("duration_sec", F.lit(T.TIMELINE_SECONDS)), KEYS)
+
+
+def greedy_nms(spark, sf_dir):
+    return moments.suppress(valley_bounds(spark, sf_dir), KEYS).select("video_id", "rank", "t_start", "t_end", "score")
+
+
+def heatmap_1hz(spark, sf_dir):
+    return signal.heatmap(_signal(spark, sf_dir).withColumn("duration_sec", F.lit(T.TIMELINE_SECONDS)), KEYS)
+
+
+def heatmap_bands(spark, sf_dir):
+    return heatmap_1hz(spark, sf_dir).groupBy("video_id", X.heat_band(F.col("value")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"))
+
+
+def search_moments(spark, sf_dir):
+    done = search.search(T.frames(spark, sf_dir), T.transcripts(spark, sf_dir), T.videos(spark, sf_dir), _asked(spark, sf_dir), DIM)
+    return done.select("video_id", "rank", "t_start", "t_end", "score")
+
+
+def nearest_frame(spark, sf_dir):
+    points = T.transcripts(spark, sf_dir).select("video_id", "id", ((F.col("t_start") + F.col("t_end")) / 2).alias("t"))
+    return retrieval.nearest(points, T.frames(spark, sf_dir)).select("id", "frame_id", F.round("distance", 3).alias("distance"))
+
+
+def sanitize_captions(spark, sf_dir):
+    done = retrieval.sanitised(T.frames(spark, sf_dir), PHRASES)
+    return done.select("id", F.md5("caption").alias("caption_md5"), "refused")
+
+
+def rag_transcripts(spark, sf_dir):
+    return retrieval.said(T.transcripts(spark, sf_dir), QUESTION).select("video_id", "id", "matched", "rank")
+
+
+def rag_answer(spark, sf_dir):
+    frames = T.frames(spark, sf_dir)
+    best = scoring.top_frames(scoring.cosines(frames, _request(spark, sf_dir), DIM), 1).select("video_id", "id", "rank", "ts")
+    best = best.join(frames.select("id", "caption"), "id")
+    return retrieval.answers(T.transcripts(spark, sf_dir), best, QUESTION).withColumn("context", F.md5("context"))
+
+
+def _clips(spark) -> DataFrame:
+    return spark.createDataFrame(CLIPS, "video_id long, clip_id long, c_start double, c_end double")
+
+
+def subtitle_overlap(spark, sf_dir):
+    met = retrieval.subtitles(_clips(spark), T.transcripts(spark, sf_dir))
+    return met.select("video_id", "clip_id", "number", F.round("rel_start", 3).alias("rel_start"), F.round("rel_end", 3).alias("rel_end"), F.md5("text").alias("text_md5"))
+
+
+def srt_format(spark, sf_dir):
+    rows = T.transcripts(spark, sf_dir).withColumn("s", F.col("t_start") * 61.25)
+    return rows.select("id", X.srt_time(F.col("s")).alias("srt"), X.clip_name(F.col("video_id"), F.col("t_start"), F.col("t_start") + 2).alias("clip"))
+
+
+def temporal_iou(spark, sf_dir):
+    return evaluate.overlaps(T.predictions(spark, sf_dir).where("rank = 1"), T.ground_truth(spark, sf_dir)).select("query_id", F.round("iou", 6).alias("iou"), F.round("delta", 6).alias("delta"))
+
+
+def eval_recall(spark, sf_dir):
+    return evaluate.recall(T.predictions(spark, sf_dir), T.ground_truth(spark, sf_dir))
+
+
+def eval_miou(spark, sf_dir):
+    return evaluate.mean_overlap(T.predictions(spark, sf_dir), T.ground_truth(spark, sf_dir))
+
+
+def sample_timestamps(spark, sf_dir):
+    done = ingest.sample_times(T.scenes(spark, sf_dir), 29.97)
+    return done.select("video_id", "scene_index", "i", F.round("ts", 6).alias("ts"), "frame_idx")
+
+
+def scene_groups(spark, sf_dir):
+    rows = T.scenes(spark, sf_dir)
+    return rows.select("video_id", "scene_index", "t_start", "t_end", "keyframe_count", F.array_join(F.transform("frame_ids", lambda x: x.cast("string")), ",").alias("frame_ids"))
+
+
+def scene_fallback(spark, sf_dir):
+    v = T.videos(spark, sf_dir)
+    return ingest.fallback_scenes(v).withColumn("failed", F.lit(False)).unionByName(ingest.fallback_scenes(v, True).withColumn("failed", F.lit(True)))
+
+
+def subsample_frames(spark, sf_dir):
+    rows = T.scenes(spark, sf_dir).withColumn("picked", ingest.subsample(F.col("frame_ids")))
+    return rows.select("video_id", "scene_index", F.array_join(F.transform("picked", lambda x: x.cast("string")), ",").alias("picked"))
+
+
+def keyframe_filter(spark, sf_dir):
+    frames = T.frames(spark, sf_dir).withColumn("scene_index", F.floor(F.col("ts") / 10).cast("long"))
+    return ingest.keyframes(frames, TAU).select("video_id", "id")
+
+
+def progress_latest(spark, sf_dir):
+    return ingest.latest(T.progress(spark, sf_dir))
+
+
+def progress_monotone(spark, sf_dir):
+    return ingest.progress_monotone(T.progress(spark, sf_dir)).select("video_id", "event_id", "best")
+
+
+def bm25_topk(spark, sf_dir):
+    return index.bm25(T.read(spark, sf_dir, "documents"), KEYWORDS, 20)
+
+
+NAMES = """scan_videos list_videos filter_frames_limit valid_vectors table_counts upsert_captions cascade_delete
+filter_allowed_ext video_frames_join cosine_scores topk_frames keyword_match_count caption_boost audio_boost
+fused_scores expand_concepts expand_query rrf_fuse signal_bins gaussian_multiscale gaussian_single
+dynamic_threshold moment_clusters moment_peaks valley_bounds greedy_nms heatmap_1hz heatmap_bands
+search_moments nearest_frame sanitize_captions rag_transcripts rag_answer subtitle_overlap srt_format
+temporal_iou eval_recall eval_miou sample_timestamps scene_groups scene_fallback subsample_frames
+keyframe_filter progress_latest progress_monotone bm25_topk""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {n: globals()[n] for n in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
