@@ -1,0 +1,387 @@
+"""Each operator against a brute-force version on rows that hold every odd case."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from timelode.llm import exact_dedup, license_scan, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, sharding
+from timelode.llm.graph import components
+
+SPACE = " \t\n\x0b\x0c\r"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+pairs = lambda df, *c: Counter(tuple(r) for r in df.select(*c).collect())
+texts = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+
+
+def same_rows(found, odd):
+    assert pairs(found, "doc_id") == pairs(odd, "doc_id")
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (5, 4), (7, 7), (9, 8), (8, 10), (10, 11), (11, 12), (12, 13), (100, 13)] + [(50, i) for i in range(51, 90)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, **{i: 8 for i in (8, 9, 10, 11, 12, 13, 100)}, **{i: 50 for i in range(50, 90)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1
+def test_mixing(odd, none):
+    found = mixing.mix(odd, block=8)
+    same_rows(found, odd)
+    assert pairs(found, "doc_id", "size") == Counter((i, len(WORDS.findall(t or ""))) for i, t in texts(odd))
+    rows = found.collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    total = sum(r.size for r in rows)
+    sizes = {s: sum(r.size for r in own) for s, own in by.items()}
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(by, key=lambda s: (s is None, s)))}
+    left, caps, goal = total, set(), {}
+    while True:  # reshare the excess until no source is above its cap
+        share = sum(w for s, w in weights.items() if s not in caps)
+        goal = {s: 3 * sizes[s] if s in caps else left * weights[s] / share for s in weights}
+        over = {s for s in goal if s not in caps and goal[s] > 3 * sizes[s]}
+        if not over:
+            break
+        caps |= over
+        left = total - sum(3 * sizes[s] for s in caps)
+    for s, own in by.items():
+        assert own[0].target == pytest.approx(goal[s]) and own[0].source_size == sizes[s]
+        assert all(r.taken <= 3 * r.size and r.taken == r.size * r.repeats for r in own)
+        assert abs(sum(r.taken for r in own) - goal[s]) <= max(r.size for r in own) / 2 + 1
+    again = mixing.mix(odd, block=8)
+    assert pairs(found, "doc_id", "taken") == pairs(again, "doc_id", "taken")
+    assert mixing.mix(none).count() == 0
+
+
+def test_cube_keeps_totals():
+    rng = np.random.default_rng(3)
+    chance, size = rng.uniform(0, 1, 4000), np.sort(rng.lognormal(5, 1, 4000).round())[::-1]
+    out = mixing.fly(chance, size, rng.uniform(0, 1, 4000))
+    assert ((out > 0) & (out < 1)).sum() <= 2
+    assert abs(out.sum() - chance.sum()) < 1e-6 and abs((out * size).sum() - (chance * size).sum()) < 1e-3
+    done = mixing.land(chance, size, rng.uniform(0, 1, 4000))
+    assert set(np.unique(done)) <= {0.0, 1.0}
+    assert abs((done * size).sum() - (chance * size).sum()) < 50 and abs(done.sum() - chance.sum()) < 8
+    # the flight keeps probabilities on average
+    few, draws = np.array([0.2, 0.5, 0.7, 0.35]), np.random.default_rng(0)
+    mean = np.mean([mixing.fly(few, np.array([4.0, 3.0, 2.0, 1.0]), draws.uniform(0, 1, 4)) for _ in range(4000)], axis=0)
+    assert np.abs(mean - few).max() < 0.04
+
+
+# 2
+def shingles(text):
+    w = WORDS.findall(text or "")
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
+
+
+@pytest.mark.parametrize("block", [2, 384])
+def test_ngram_join(odd, none, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join.families, "__defaults__", (block,))
+    monkeypatch.setattr(ngram_join.verify, "__defaults__", (0.8, block))
+    found = ngram_join.join(odd)
+    same_rows(found, odd)
+    rows = texts(odd)
+    sets = [shingles(t) for _, t in rows]
+    near = lambda a, b: bool(a) and bool(b) and len(a & b) >= 0.8 * len(a | b)
+    links = [sum(near(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    assert pairs(found, "doc_id", "n_links") == Counter((i, n) for (i, _), n in zip(rows, links, strict=True))
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if near(a, sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in group}
+    assert pairs(found, "doc_id", "class_id") == Counter((i, least[g]) for (i, _), g in zip(rows, group, strict=True))
+    assert ngram_join.join(none).count() == 0
+    kept = ngram_join.kept_rows(odd)
+    assert kept.columns == odd.columns
+
+
+def test_pruning_loses_no_pair():
+    rng = np.random.default_rng(5)
+    needs = ngram_join.least_matches()
+    for similarity in (0.8, 0.9):
+        hit = rng.uniform(size=(20_000, ngram_join.HASHES)) < similarity
+        sig = np.concatenate([np.zeros((1, ngram_join.HASHES), np.uint8), (~hit).astype(np.uint8)])
+        left, right = np.zeros(20_000, int), np.arange(1, 20_001)
+        assert len(ngram_join.prune(sig, left, right, needs)) >= 19_980
+    hit = rng.uniform(size=(2000, ngram_join.HASHES)) < 0.4
+    sig = np.concatenate([np.zeros((1, ngram_join.HASHES), np.uint8), (~hit).astype(np.uint8)])
+    assert len(ngram_join.prune(sig, np.zeros(2000, int), np.arange(1, 2001), needs)) < 10
+
+
+# 3
+def base_figures(text):
+    text = text or ""
+    w = WORDS.findall(text)
+    wins = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    cover = {j for i in range(len(w) - 4) if wins[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if line.strip(SPACE):
+            dup += line in seen
+            seen.add(line)
+    failed = len(w) < 10 or 100 * len(cover) > 20 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(cover), failed
+
+
+def test_quality_rules(odd, none, labels):
+    field = quality_rules.fit(odd, labels)
+    found = quality_rules.annotate(odd, field)
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert pairs(found, "doc_id", *cols) == Counter((i, *base_figures(t)) for i, t in texts(odd))
+    assert not found.where("base_failed and kept").count()
+    assert set(odd.columns) <= set(found.columns) and found.where("kept is null").count() == 0
+    assert quality_rules.annotate(none, field).count() == 0
+    assert quality_rules.fit(odd, labels.limit(0)) == quality_rules.DEFAULT == quality_rules.fit(none, labels)
+
+
+def test_viterbi_is_best():
+    rng = np.random.default_rng(1)
+    from itertools import product
+
+    for _ in range(50):
+        gain, step = rng.normal(size=6), rng.normal(size=(2, 2))
+        worth = lambda p: sum(g * s for g, s in zip(gain, p, strict=True)) + sum(step[a, b] for a, b in zip(p, p[1:], strict=False))
+        best = max(product((0, 1), repeat=6), key=worth)
+        assert worth(tuple(quality_rules.viterbi(gain.tolist(), step.tolist()))) == pytest.approx(worth(best))
+
+
+def test_quality_held_out(spark):
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    train, test = known.where("doc_id % 2 = 0"), known.where("doc_id % 2 = 1")
+    found = quality_rules.annotate(docs, quality_rules.fit(docs, train), keep=["doc_id"]).join(test, "doc_id").where("not base_failed")
+    good = found.where("quality = 1")
+    assert good.where("kept").count() >= 0.98 * good.count()
+    bad = found.where("quality = 0")
+    assert bad.where("not kept").count() >= 0.8 * bad.count()
+
+
+# 4
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_license_scan(odd, none):
+    found = license_scan.scan(odd)
+    same_rows(found, odd)
+    pattern, expected = re.compile(license_scan.WORD), []
+    sets = [(label, set(pattern.findall(t.lower()))) for label, t in license_scan.TEMPLATES]
+    for i, text in texts(odd):
+        w = pattern.findall((text or "").translate(LOWER))
+        places, base = [], set()
+        for phrase, label in license_scan.PHRASES:
+            p = phrase.split()
+            for k in range(len(w) - len(p) + 1):
+                if w[k : k + len(p)] == p:
+                    places.append(k)
+                    base.add(label)
+        best, more = 0.0, set()
+        for start in range(0, max(1, len(w) - license_scan.BLOCK + license_scan.STRIDE), license_scan.STRIDE):
+            block = set(w[start : start + license_scan.BLOCK])
+            for label, words in sets:
+                share = len(block & words) / len(words)
+                if share >= 0.8:
+                    best = max(best, share)
+                    more.add(label)
+        expected.append((i, len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if places else round(best, 9)))
+    got = found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 9))
+    assert Counter(map(tuple, got.collect())) == Counter(expected)
+    assert any(e[6] and not e[5] for e in expected)
+    assert license_scan.scan(none).count() == 0
+
+
+# 5
+def test_packing(odd, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True
+    found = packing.pack(packing.pieces(odd), group=20)
+    expected = Counter()
+    for i, text in texts(odd):
+        ids = [*reference.encode(text or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        edges = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            expected[(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += 1
+    assert pairs(found, "doc_id", "piece", "start", "length", "ids_crc32") == expected
+    bins = defaultdict(list)
+    for r in found.collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert packing.pack(packing.pieces(none)).count() == 0
+
+
+def test_packer_is_best_fit_and_closes_the_fullest():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 100, 3000).tolist()
+    packer, open_, made = packing.Packer(100, 8), {}, 0
+    for size in sizes:
+        bin_, place = packer.add(size)
+        fits = [f for f in open_.values() if f >= size]
+        if fits:
+            assert open_[bin_] == min(fits) and place == 100 - open_[bin_]
+            free = open_.pop(bin_)
+        else:
+            assert bin_ == made and place == 0
+            made, free = made + 1, 100
+        if free - size:
+            if len(open_) == 8:
+                least = min(open_.values())
+                stack = [b for b, f in open_.items() if f == least]
+                del open_[stack[-1]]
+            open_[bin_] = free - size
+        # dict order is the order in the stacks: what came last is taken first
+        assert sorted(open_.values()) == sorted(f for f in range(101) for _ in packer.stacks[f])
+        open_ = {b: f for f in range(101) for b in packer.stacks[f]}
+
+
+# 6
+def test_quality_classifier(odd, none, labels):
+    model = quality_classifier.fit(odd, labels)
+    found = quality_classifier.classify(odd, model, F.col("source"), F.col("lang"))
+    same_rows(found, odd)
+    assert not found.where("quality is null or quality < 0 or quality > 1 or kept is null").count()
+    groups = defaultdict(list)
+    for r in found.collect():
+        groups[(r.host, r.path)].append(r)
+    overall = sum(r.evidence for own in groups.values() for r in own) / sum(map(len, groups.values()))
+    for own in groups.values():
+        assert len({round(r.path_posterior, 9) for r in own}) == 1
+        low, high = sorted((own[0].host_posterior, sum(r.evidence for r in own) / len(own)))
+        assert low - 1e-6 <= own[0].path_posterior <= high + 1e-6  # a path lies between its own mean and its host
+    assert 0 < overall < 1
+    assert quality_classifier.classify(none, model, F.col("source"), F.col("lang")).count() == 0
+
+
+def test_quality_classifier_held_out(spark):
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = quality_classifier.fit(docs, known.where("doc_id % 2 = 0"))
+    found = quality_classifier.classify(docs, model, F.col("source"), F.col("lang")).drop("quality").join(known.where("doc_id % 2 = 1"), "doc_id")
+    right = found.where("kept = (quality = 1)").count()
+    assert right >= 0.93 * found.count()
+
+
+# 7
+def test_sharding(odd, none):
+    weights = [1.0] * 40
+    found = sharding.shard(odd, weights)
+    expected = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts(odd))
+    assert pairs(found, "doc_id", "size", "text_crc32") == expected
+    slots = defaultdict(list)
+    for r in found.collect():
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 40)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in found.where("doc_id = 5").collect()}) == 1
+    grown = sharding.shard(odd, [1.0] * 41)
+    assert {(r.doc_id, r.grown_shard) for r in found.collect()} == {(r.doc_id, r.shard) for r in grown.collect()}
+    assert sharding.shard(none, weights).count() == 0
+
+
+def test_sharding_follows_weights(spark):
+    found = sharding.shard(spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")), [1.0, 2.0, 0.0, 5.0])
+    n = {r.shard: r["count"] for r in found.groupBy("shard").count().collect()}
+    assert set(n) == {0, 1, 3} and abs(n[0] - 5000) < 300 and abs(n[1] - 10_000) < 400
+
+
+# 8
+def test_pii(odd, none):
+    found = pii.scan(odd)
+    same_rows(found, odd)
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    expected = Counter()
+    for i, text in texts(odd):
+        t = text or ""
+        s = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        s += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        s += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+        s += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15]
+        n = Counter(k for _, k, _ in s)
+        expected[(i, n[0], n[1], n[2], n[3], hashlib.sha256(pii.listed(s).encode()).hexdigest())] += 1
+    assert pairs(found, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == expected
+    assert found.where("n_added > 0").count() >= 1
+    assert pii.scan(none).count() == 0
+
+
+def test_em_finds_the_bad_labeler():
+    rng = np.random.default_rng(4)
+    truth = rng.uniform(size=20_000) < 0.6
+    votes = np.stack([np.where(rng.uniform(size=20_000) < q, truth, ~truth) * 2 - 1 for q in (0.95, 0.85, 0.55)], 1)
+    patterns, place, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    found, soft = pii.reliabilities(patterns, counts.astype(float), 200)
+    assert found.prior == pytest.approx(0.6, abs=0.08)
+    assert found.rates[0, 1, 2] > found.rates[1, 1, 2] > found.rates[2, 1, 2]
+    assert ((soft[place.ravel()] > 0.5) == truth).mean() > 0.93
+
+
+# 9
+def test_exact_dedup(odd, none):
+    weak = lambda text: F.unhex(F.substring(F.sha2(text, 256), 1, 1))
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups = defaultdict(list)
+    for i, t in texts(odd):
+        groups[norm(t)].append((-len(t or ""), i is None, i))
+    expected = Counter()
+    for t, own in groups.items():
+        best = min(own, key=lambda x: (x[0], x[1], x[2] or 0))
+        for x in own:
+            expected[(x[2], best[2], len(own), x == best)] += 1
+    for digest in (exact_dedup.sha256, weak):  # the weak one makes different texts collide
+        assert pairs(exact_dedup.dedup(odd, digest), "doc_id", "keep_id", "group_size", "kept") == expected
+    assert exact_dedup.dedup(none).count() == 0
+    kept = exact_dedup.kept_rows(odd)
+    assert kept.columns == odd.columns and {norm(r.text) for r in kept.collect()} == set(groups)
+
+
+def test_stream_state_goes_on(spark, tmp_path):
+    """A later run adds to the state on disk and hears of old digests again."""
+    source, checkpoint = f"file://{tmp_path}/in", f"file://{tmp_path}/state"
+    frame = lambda ids: spark.createDataFrame([(i, bytes([i % 3])) for i in ids], "doc_id long, digest binary").select("doc_id", "digest", exact_dedup._order(F.lit(1).cast("long"), F.col("doc_id")).alias("best"))
+    frame(range(10)).write.mode("append").parquet(source)
+    first = exact_dedup.stream_state(spark, source, frame([]).schema, 1, checkpoint)
+    assert sum(r.n for r in first.collect()) == 10
+    frame(range(10, 20)).write.mode("append").parquet(source)
+    second = exact_dedup.stream_state(spark, source, frame([]).schema, 1, checkpoint)
+    assert sum(r.n for r in second.collect()) == 20 and {r.best.doc_id for r in second.collect()} == {0, 1, 2}
+
+
+# 10
+def test_secret_scan(odd, none, spark):
+    found = secret_scan.scan(odd, F.col("source"), F.struct("source", "lang"))
+    same_rows(found, odd)
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    expected = Counter()
+    for i, text in texts(odd):
+        t = text or ""
+        s = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]
+        s += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        s += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        n = Counter(x[3] for x in s)
+        expected[(i, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(s)).encode()).hexdigest())] += 1
+    assert pairs(found, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == expected
+    assert found.where("spans like '%forge:%'").count() == 1
+    assert secret_scan.scan(none, F.col("source"), F.struct("source", "lang")).count() == 0
+
+
+def test_secret_ownership(spark):
+    mine, example = "ghp_" + "aB3dE6" * 6, "ghp_" + "Zz9Yy8" * 6
+    rows = [(i, f"é key {example} end", f"s{i % 5}", "en") for i in range(40)] + [(100 + i, f"key {mine}", "s1", "en") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in secret_scan.scan(docs, F.col("source"), F.struct("source", "lang")).collect()}
+    assert all(not got[i].spans and got[i].n_copied == 1 for i in range(40))
+    assert all(got[100 + i].spans == f"forge:4:{4 + len(mine)}" for i in range(9))

@@ -8,7 +8,7 @@ A value that at least ``WIDE_OWNERS`` owners hold is a copied example; any other
 is a live-looking credential of its owners.
 
 Base kinds (assign, access, hex) always stay. Further kinds are spans of their
-own only while live-looking and outside every base span.
+own only while live-looking and outside every base span and kind before.
 
 Only DataFrame operations. Places come from the pieces that a text falls into
 when it is split at the matches: a match starts where the pieces and matches
@@ -102,11 +102,13 @@ def candidates(docs: DataFrame, owner: Column, repository: Column, base=BASE, mo
     def named(i: int, kind: Kind) -> Column:
         return F.transform(f"s{i}", lambda x: F.struct(F.lit(i).alias("order"), F.lit(kind.name).alias("kind"), F.lit(i < len(base)).alias("base"), x["start"].alias("start"), x["end"].alias("end"), F.unhex(F.sha2(x["value"], 256)).alias("hash")))
 
-    sets = [named(i, k) for i, k in enumerate((*base, *more))]
-    inside = F.concat(*sets[: len(base)])
-    outside = F.filter(F.concat(*sets[len(base) :]), lambda x: ~F.exists(inside, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    kinds = (*base, *more)
+    rows = rows.withColumn("found", F.concat(*[named(i, k) for i, k in enumerate(kinds[: len(base)])]))
+    for i, k in enumerate(kinds[len(base) :], len(base)):
+        free = F.filter(named(i, k), lambda x: ~F.exists("found", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        rows = rows.withColumn("found", F.concat("found", free))
     # an id for each row, so that rows with one doc_id stay apart; written, so that it stays the same
-    return rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "owner", "repository", F.concat(inside, outside).alias("spans"))
+    return rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "owner", "repository", F.col("found").alias("spans"))
 
 
 def ownership(spans_: DataFrame) -> DataFrame:
