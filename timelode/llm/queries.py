@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
+OP2 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+near AS (
+  SELECT a, b, c = x.n AND c = y.n AS equal FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE c >= CAST(0.8 AS DOUBLE) * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, e.b FROM reach r JOIN near e ON e.a = r.b)
+SELECT d.doc_id,
+       least(d.doc_id, (SELECT min(b) FROM reach WHERE a = d.doc_id)) AS class_id,
+       least(d.doc_id, (SELECT min(b) FROM near WHERE a = d.doc_id AND equal)) AS copy_id,
+       1 + (SELECT count(*) FROM near WHERE a = d.doc_id AND equal) AS n_copies,
+       (SELECT count(*) FROM near WHERE a = d.doc_id) AS n_links
+FROM d
+"""
+
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -77,5 +98,68 @@ FROM d
 """
 
 
+def _op4() -> str:
+    """Every block against every template, and every place against every phrase."""
+    word = license_scan.WORD
+    quoted = lambda x: "'" + x + "'"
+    templates = ", ".join(f"({t}, {quoted(label)}, list_distinct(regexp_extract_all(lower({quoted(text)}), {quoted(word)})))" for t, (label, text) in enumerate(license_scan.TEMPLATES))
+    phrases = ", ".join(f"({quoted(label)}, {phrase.split()})" for phrase, label in license_scan.PHRASES)
+    block, stride, share = license_scan.BLOCK, license_scan.STRIDE, license_scan.THRESHOLD
+    return f"""
+WITH templates(t, label, words) AS (VALUES {templates}), phrases(label, words) AS (VALUES {phrases}),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
+blocks AS (
+  SELECT doc_id, w[b:b + {block - 1}] AS own
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {block - stride} + 1), {stride})) AS b FROM d)),
+met AS (SELECT doc_id, label, len(list_intersect(words, own)) / CAST(len(words) AS DOUBLE) AS share FROM blocks, templates),
+best AS (SELECT doc_id, label, max(share) AS share FROM met WHERE share >= CAST({share} AS DOUBLE) - 1e-9 GROUP BY ALL),
+places AS (
+  SELECT doc_id, label, i - 1 AS place
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), phrases WHERE w[i:i + len(words) - 1] = words),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+every AS (SELECT doc_id, label, share FROM best UNION ALL SELECT doc_id, label, CAST(1 AS DOUBLE) FROM places),
+found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM every GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(found.labels, '') AS labels, coalesce(score, CAST(0 AS DOUBLE)) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+def _op10() -> str:
+    """Places from the pieces and matches before; kinds one after the other."""
+    kinds = [*secret_scan.BASE, *secret_scan.MORE]
+    n_base = len(secret_scan.BASE)
+    raw, steps, free = [], [], []
+    for i, k in enumerate(kinds):
+        # a lookbehind only says that a match starts where its run does, as the leftmost one does anyway
+        pattern = re.sub(r"\(\?<![^)]*\)", "", k.pattern).replace("'", "''")
+        good = " AND ".join([f"length(v) >= {k.least}", *(f"regexp_matches(v, '{p}')" for p in k.need)])
+        raw.append(f"""SELECT rid, {i} AS ord, '{k.name}' AS kind, p0 AS start, p0 + length(m) AS stop, v FROM (
+  SELECT rid, ms[i] AS m, vs[i] AS v, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS p0
+  FROM (SELECT rid, ms, vs, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {k.group}) AS vs, string_split_regex(t, '{pattern}') AS ps FROM d WHERE regexp_matches(t, '{pattern}')))) WHERE {good}""")
+        if i < n_base:
+            continue
+        before = "base" if i == n_base else f"upto{i - 1}"
+        steps.append(f"""upto{i} AS (SELECT * FROM {before} UNION ALL SELECT * FROM raw r WHERE ord = {i} AND NOT EXISTS (SELECT 1 FROM {before} b WHERE b.rid = r.rid AND b.start < r.stop AND r.start < b.stop))""")
+        free.append(i)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in secret_scan.BASE)
+    listed = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord)"
+    names = ", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secret_scan.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+raw AS ({" UNION ALL ".join(raw)}),
+base AS (SELECT * FROM raw WHERE ord < {n_base}),
+{", ".join(steps)},
+owned AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners FROM upto{free[-1]} JOIN d USING (rid) GROUP BY v),
+judged AS (SELECT u.*, owners >= {secret_scan.WIDE_OWNERS} AS copied FROM upto{free[-1]} u JOIN owned USING (v)),
+per AS (
+  SELECT rid, {counts}, {listed} FILTER (WHERE ord < {n_base}) AS base, {listed} FILTER (WHERE ord < {n_base} OR NOT copied) AS spans,
+         count(*) FILTER (WHERE NOT copied) AS n_live, count(*) FILTER (WHERE copied) AS n_copied FROM judged GROUP BY rid)
+SELECT doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN per USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9}
+    return {"op2_ngram_join": OP2, "op4_license_scan": _op4(), "op9_exact_dedup": OP9, "op10_secret_scan": _op10()}
