@@ -298,3 +298,29 @@ def test_late_captions(spark, tmp_path):
     new.write.parquet(captions)
     progress.enrich(spark.readStream.schema(new.schema).parquet(captions), frames, f"file://{tmp_path}/c").awaitTermination()
     assert {r.id: r.caption for r in spark.read.parquet(frames).collect()} == {1: "a cat", 2: "", 3: ""}
+
+
+def test_coarse_index_recall(spark):
+    rng = random.Random(2)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
+    rows = [(i, vectors.unit([c + rng.gauss(0, 0.35) for c in rng.choice(centres)])) for i in range(1500)]
+    frames = spark.createDataFrame(rows, "id long, vector array<double>").cache()
+    cells = index.fit_cells(frames, 16)
+    asked = scoring.requests(spark, [scoring.Request(i, rows[i][1]) for i in range(0, 1500, 100)])
+    got = index.probe(index.assign(frames, cells, 16), asked, cells, 16, 10).select("request_id", "id")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    best = {(i, j) for i in range(0, 1500, 100) for j, _ in sorted(rows, key=lambda r: (-dot(r[1], rows[i][1]), r[0]))[:10]}
+    assert len(best & {tuple(r) for r in got.collect()}) >= 0.9 * len(best)
+    assert index.assign(frames, cells, 16).count() == 1500
+    assert index.fit_cells(frames.limit(100), 16) is None
+
+
+def test_search_log_and_tail(spark, tmp_path):
+    found = spark.createDataFrame([(0, 5), (0, 6)], "request_id long, video_id long")
+    asked = spark.createDataFrame([(0, "red car", 5), (1, "none", None)], "request_id long, query string, video_id long")
+    rows = search.log_entries(found, asked, 12.5)
+    assert rows.schema.simpleString().replace("struct<", "").rstrip(">").replace(":", " ").replace(",", ", ") == tables.SCHEMAS["search_logs"]
+    assert {r.query_text: r.retrieved_moments_count for r in rows.collect()} == {"red car": 2, "none": 0}
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(["A error", "", "  ", "fine", "ERROR b", "c"])], "at long, value string")
+    assert [r.value for r in ingest.log_tail(lines, 2).collect()] == ["c", "ERROR b"]
+    assert [r.value for r in ingest.log_tail(lines, 5, "error").collect()] == ["ERROR b", "A error"]

@@ -119,3 +119,9 @@ def apply_model(rows: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd
             yield infer(batch)
 
     return rows.mapInPandas(run, schema)
+
+
+def log_tail(lines: DataFrame, most: int = 40, like: str = "") -> DataFrame:
+    """lines (at, value): the last ``most`` that aren't blank and hold ``like``, in any case."""
+    wanted = lines.where((F.trim("value") != "") & F.contains(F.lower("value"), F.lower(F.lit(like))))
+    return wanted.orderBy(F.desc("at")).limit(most)

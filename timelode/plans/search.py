@@ -55,3 +55,15 @@ def hydrate(found: DataFrame, frames: DataFrame) -> DataFrame:
     return numbered.join(near, "id", "left").join(named, "frame_id", "left").select(
         "request_id", "video_id", "rank", "t_start", "t_end", "score", "frame_id", clean_caption(F.col("caption")).alias("preview")
     )
+
+
+def log_entries(found: DataFrame, asked: DataFrame, latency_ms: float) -> DataFrame:
+    """asked (request_id, query, video_id) -> a row of search_logs for each request,
+    those without moments too. The id follows from the request, not from chance."""
+    n = found.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = asked.join(n, "request_id", "left")
+    return rows.select(
+        F.sha2(F.concat_ws("|", F.col("request_id").cast("string"), "query", F.current_timestamp().cast("string")), 256).alias("id"),
+        F.col("query").alias("query_text"), F.col("video_id").cast("string").alias("video_id"), F.lit(float(latency_ms)).cast("float").alias("latency_ms"),
+        F.coalesce("n", F.lit(0)).alias("retrieved_moments_count"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"),
+    )
