@@ -1,7 +1,7 @@
 """Exact deduplication as a stateful stream.
 
-Records (digest, stable id, length, locator) flow through a streaming
-aggregation keyed by digest. Its state lives on disk (RocksDB, checkpointed to
+Records (digest, stable id, length, the file that holds the content) flow through
+a streaming aggregation keyed by digest. Its state lives on disk (RocksDB, checkpointed to
 the shared folder), never expires, and holds per digest the best record so far
 and a count. Each micro-batch appends what changed; the newest entry of a digest
 is its state. On a hit (a digest with more than one record) the whole
@@ -12,9 +12,9 @@ Only DataFrame operations; the driver's Python merely starts the stream.
 
 Defined results: a null text counts as empty, so all null, empty and
 white-space texts are one group; rows with a null id take part and sort after
-other ids of the same length; repeated rows are members like any other (the
-kept flag then marks one id, so every copy of that very row has it); an empty
-table gives an empty result; other columns never matter.
+other ids of the same length; of repeated rows one is kept, the others are
+members like any other; an empty table gives an empty result; other columns
+never matter.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, shared_path, stored
@@ -93,7 +93,9 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_pe
     spark = docs.sparkSession
     clean = normalised(F.col("text"))
     records = docs.select("doc_id", digest(clean).alias("digest"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
-    records = records.select("doc_id", "digest", _order(F.col("chars"), F.col("doc_id")).alias("best"))
+    # the row number sets repeated rows apart; it is written, so it stays the same
+    best = F.struct("order", F.monotonically_increasing_id().alias("row"), F.input_file_name().alias("locator"))
+    records = records.withColumn("order", _order(F.col("chars"), F.col("doc_id"))).select("doc_id", "digest", best.alias("best"))
     source = shared_path(spark, "dedup-records")
     records.write.parquet(source)
     records = spark.read.schema(records.schema).parquet(source)
@@ -112,31 +114,38 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_pe
     mixed = stored(ends.where("low <> top or split > 0").select("digest"), "dedup-mixed")
     if mixed.isEmpty():
         return _members(records, state)
-    return _split(texts, state, mixed)
+    return _split(records, texts, state, mixed)
 
 
 def _members(records: DataFrame, state: DataFrame) -> DataFrame:
     state = state.select("digest", F.col("best").alias("top"), "n")
     return records.join(state, "digest").select(
-        "doc_id", F.col("top.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("best").eqNullSafe(F.col("top")).alias("kept"), "digest"
+        "doc_id", F.col("top.order.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("best").eqNullSafe(F.col("top")).alias("kept"), "digest"
     )
 
 
-def _split(texts: DataFrame, state: DataFrame, mixed: DataFrame) -> DataFrame:
+def _split(records: DataFrame, texts: DataFrame, state: DataFrame, mixed: DataFrame) -> DataFrame:
     """Digests that stand for several texts: their groups go by the full text."""
-    best = _order(F.col("chars"), F.col("doc_id"))
-    plain = texts.join(mixed, "digest", "left_anti").select("doc_id", "digest", best.alias("best"))
-    own = texts.join(mixed, "digest").select("doc_id", "digest", "clean", best.alias("best"))
-    groups = own.groupBy("digest", "clean").agg(F.min("best").alias("top"), F.count(F.lit(1)).alias("n"))
-    split = own.join(groups, ["digest", "clean"]).select(
-        "doc_id", F.col("top.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("best").eqNullSafe(F.col("top")).alias("kept"), "digest"
+    plain = records.join(mixed, "digest", "left_anti")
+    own = texts.join(mixed, "digest").select("doc_id", "digest", "clean", _order(F.col("chars"), F.col("doc_id")).alias("best"))
+    group = Window.partitionBy("digest", "clean")
+    split = own.select(
+        "doc_id",
+        F.min("best").over(group)["doc_id"].alias("keep_id"),
+        F.count(F.lit(1)).over(group).alias("group_size"),
+        (F.row_number().over(group.orderBy("best")) == 1).alias("kept"),
+        "digest",
     )
     return _members(plain, state).unionByName(split)
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one for each group of equal texts, all columns as they are."""
-    best = dedup(docs).where("kept").select(F.col("doc_id").alias("keep_"), F.col("digest").alias("digest_")).distinct()
-    rows = docs.withColumn("digest_", sha256(normalised(F.col("text"))))
-    found = rows.join(best, rows["digest_"].eqNullSafe(best["digest_"]) & rows["doc_id"].eqNullSafe(best["keep_"]), "left_semi")
-    return found.drop("digest_")
+
+    def key(digest: Column, doc_id: Column) -> Column:
+        return F.sha2(F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("none")).cast("binary")), 256)
+
+    best = dedup(docs).where("kept").select(key(F.col("digest"), F.col("doc_id")).alias("key_"))
+    rows = docs.withColumn("key_", key(sha256(normalised(F.col("text"))), F.col("doc_id")))
+    # repeated rows share a key; they lie together after the join, so this moves nothing again
+    return rows.join(best, "key_", "left_semi").dropDuplicates(["key_"]).select(*docs.columns)
