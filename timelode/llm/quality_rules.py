@@ -156,18 +156,23 @@ def viterbi(gain: list[float], step) -> list[int]:
     return path[::-1]
 
 
-def train(texts: list[str], good: list[int], rounds: int = 60, rate: float = 1.0, shrink: float = 0.02) -> Field:
-    """Maximum a posteriori weights under a Gaussian prior about ``DEFAULT``, by
-    full-batch ascent with momentum."""
+def first_lines(texts: list[str], most: int = TRAIN_LINES) -> list[np.ndarray]:
+    """Features of at most the first ``most`` lines of each text, for training."""
     features, _, first, _, _ = line_features(texts)
-    spans = [(a, min(b, a + TRAIN_LINES), y) for a, b, y in zip(first[:-1], first[1:], good, strict=True) if b > a]
-    if len({y for _, _, y in spans}) < 2:
+    return [features[a : min(b, a + most)] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def train(samples: list[np.ndarray], good: list[int], rounds: int = 60, rate: float = 1.0, shrink: float = 0.02) -> Field:
+    """samples: line features of each text. Maximum a posteriori weights under a
+    Gaussian prior about ``DEFAULT``, by full-batch ascent with momentum."""
+    known = [(s, y) for s, y in zip(samples, good, strict=True) if len(s)]
+    if len({y for _, y in known}) < 2:
         return DEFAULT
-    n, most = len(spans), max(b - a for a, b, _ in spans)
+    n, most = len(known), max(len(s) for s, _ in known)
     x, on = np.zeros((n, most, len(FEATURES))), np.zeros((n, most), bool)
-    y = np.array([s[2] for s in spans])
-    for i, (a, b, _) in enumerate(spans):
-        x[i, : b - a], on[i, : b - a] = features[a:b], True
+    y = np.array([y for _, y in known])
+    for i, (s, _) in enumerate(known):
+        x[i, : len(s)], on[i, : len(s)] = s, True
     heavy = 1 / n / on.sum(1)
     prior_emit, prior_step = np.array(DEFAULT.emit), np.array(DEFAULT.step)
     emit, step = prior_emit.copy(), prior_step.copy()
@@ -198,14 +203,19 @@ def train(texts: list[str], good: list[int], rounds: int = 60, rate: float = 1.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
-    """Trains on at most ``sample_rows`` labelled documents, drawn by a hash of their id."""
+    """Trains on at most ``sample_rows`` labelled documents, drawn by a hash of their
+    id. The driver gets the features of at most TRAIN_LINES lines of each, no text."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").limit(2 * sample_rows)
-    rows = rows.select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"])
-    if rows.empty or rows.quality.nunique() < 2:
-        return DEFAULT
-    return train(rows.text.tolist(), rows.quality.astype(int).tolist())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [s.ravel() for s in first_lines(batch["text"].tolist())]})
+
+    found = rows.mapInPandas(run, "doc_id long, quality int, x array<double>").toPandas()
+    samples = sorted((int(i), int(q), [float(v) for v in x]) for i, q, x in zip(found["doc_id"], found["quality"], found["x"], strict=True))
+    return train([np.array(x).reshape(-1, len(FEATURES)) for _, _, x in samples], [q for _, q, _ in samples])
 
 
 OUT = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("content_share", T.DoubleType()), ("kept", T.BooleanType())]
