@@ -226,6 +226,16 @@ def test_packing(odd, none):
     assert packing.pack(packing.pieces(none)).count() == 0
 
 
+def test_sequences_hold_the_tokens(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, "word " * 5000), (3, None)], "doc_id long, text string")
+    packed = packing.pack(packing.pieces(docs))
+    found = packing.sequences(docs, packed).collect()
+    assert sum(len(r.ids) for r in found) == packed.agg(F.sum("length")).first()[0]
+    ids = packing.Encoder(packing.default_vocabulary()).ids("one two three").tolist() + [0]
+    seen = [r.ids[s : s + len(ids)] for r in found for d, s in zip(r.doc_ids, r.starts, strict=True) if d == 1]
+    assert seen == [ids, ids]
+
+
 def test_packer_is_best_fit_and_closes_the_fullest():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 100, 3000).tolist()
@@ -299,6 +309,13 @@ def test_sharding_follows_weights(spark):
     assert set(n) == {0, 1, 3} and abs(n[0] - 5000) < 300 and abs(n[1] - 10_000) < 400
 
 
+def test_shards_as_files(odd, tmp_path, spark):
+    path = f"file://{tmp_path}/shards"
+    sharding.write(odd.select("doc_id", "text"), path, [1.0] * 4, files=2)
+    back = spark.read.parquet(path)
+    assert pairs(back, "doc_id", "shard") == pairs(sharding.shard(odd, [1.0] * 4), "doc_id", "shard")
+
+
 # 8
 def test_pii(odd, none):
     found = pii.scan(odd)
@@ -318,6 +335,14 @@ def test_pii(odd, none):
     assert pii.scan(none).count() == 0
 
 
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.org, call (415) 555-1234"), (2, None)], "doc_id long, text string")
+    every = {(k, pii.pattern_of(t, a, k, b)) for t in ["mail a@b.org, call (415) 555-1234"] for a, k, b in pii.more_spans(t, pii.base_spans(t))}
+    got = {r.doc_id: r.text for r in pii.redact(docs, every).collect()}
+    assert got == {1: "mail <email>, call <local_phone>", 2: None}
+    assert pii.redact(docs, set()).where("doc_id = 1").first().text == "mail <email>, call (415) 555-1234"
+
+
 def test_em_finds_the_bad_labeler():
     rng = np.random.default_rng(4)
     truth = rng.uniform(size=20_000) < 0.6

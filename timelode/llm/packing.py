@@ -71,15 +71,15 @@ class Encoder:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
-    """A row for each piece. A document of more than ``length`` tokens is cut into
-    pieces of that length; the first one takes what remains."""
+def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+    """A row for each piece, with its token ids if wanted. A document of more than
+    ``length`` tokens is cut into pieces of that length; the first one takes what remains."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path)
         for batch in batches:
-            doc, piece, start, size, crc = [], [], [], [], []
+            doc, piece, start, size, crc, own = [], [], [], [], [], []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 ids = np.append(encoder.ids(text or ""), END_TOKEN).astype("<u4")
                 edges = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
@@ -89,9 +89,13 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH)
                     start.append(a)
                     size.append(b - a)
                     crc.append(zlib.crc32(ids[a:b].tobytes()))
-            yield pd.DataFrame({"doc_id": pd.array(doc, "Int64") if None in doc or any(x != x for x in doc) else doc, "piece": piece, "start": start, "length": size, "ids_crc32": crc})
+                    if with_ids:
+                        own.append(ids[a:b].astype(np.int32))
+            known = [None if x is None or x != x else int(x) for x in doc]
+            out = pd.DataFrame({"doc_id": pd.array(known, "Int64"), "piece": piece, "start": start, "length": size, "ids_crc32": crc})
+            yield out.assign(ids=own) if with_ids else out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
 
 
 class Packer:
@@ -144,3 +148,14 @@ def pack(parts: DataFrame, length: int = LENGTH, most_open: int = OPEN, group: i
         return rows.drop(columns="packer")
 
     return dealt.groupBy("packer").applyInPandas(run, schema)
+
+
+def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
+    """The sequences themselves: sequence_id, ids, doc_ids and starts of their pieces.
+    Equal pieces (of repeated rows) share their ids, so each place finds them."""
+    key = ["doc_id", "piece", "length", "ids_crc32"]
+    tokens = pieces(docs, vocabulary, length, with_ids=True).dropDuplicates(key).select(*[F.col(k).alias(f"{k}_") for k in key], "ids")
+    on = [packed[k].eqNullSafe(tokens[f"{k}_"]) for k in key]
+    placed = packed.join(tokens, on[0] & on[1] & on[2] & on[3])
+    whole = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
+    return whole.select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.offset").alias("starts"))

@@ -145,6 +145,12 @@ def votes_of(text: str, start: int, order: int, end: int) -> tuple[int, int, int
     return shape, gazetteer, 1 if _CONTEXT[kind].search(before) else 0
 
 
+def pattern_of(text: str, start: int, order: int, end: int) -> str:
+    """Votes, then features: the digits' share in fifths, the length in classes."""
+    share, size = 5 * len(_digits(text[start:end])) // (end - start), min(4, (end - start) // 8)
+    return ",".join(map(str, (*votes_of(text, start, order, end), share, size)))
+
+
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<start:long,kind:int,end:long,pattern:string>>"
 
 
@@ -153,8 +159,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs, with all candidate spans and their patterns
-    (votes, then features: digits' share in fifths, length in classes)."""
+    """One row for each row of docs, with all candidate spans and their patterns."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,9 +171,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 hashes.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 row = []
                 for a, k, b in base + more_spans(text, base):
-                    votes = votes_of(text, a, k, b)
-                    share, size = 5 * len(_digits(text[a:b])) // (b - a), min(4, (b - a) // 8)
-                    row.append({"start": a, "kind": k, "end": b, "pattern": ",".join(map(str, (*votes, share, size)))})
+                    row.append({"start": a, "kind": k, "end": b, "pattern": pattern_of(text, a, k, b)})
                 found.append(row)
             counts = np.array(counts, np.int64).reshape(-1, 4)
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "n_email": counts[:, 0], "n_ip": counts[:, 1], "n_card": counts[:, 2], "n_phone": counts[:, 3], "base_sha256": hashes, "spans": found})
@@ -235,21 +238,46 @@ def train(patterns: pd.DataFrame, rounds: int = 30, ridge: float = 1.0) -> np.nd
     return w
 
 
+def accepted(found: DataFrame, accept: float = 0.5) -> set[tuple[int, str]]:
+    """(kind, pattern) of further kinds that the trained classifier takes for true."""
+    flat = found.select(F.explode("spans").alias("s")).select("s.kind", "s.pattern")
+    patterns = flat.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    weights = train(patterns)
+    if weights is None:
+        return set()
+    odds = {(k, p): 1 / (1 + np.exp(-np.clip(_vector(k, p) @ weights, -30, 30))) for k, p in zip(patterns["kind"], patterns["pattern"], strict=True)}
+    return {kp for kp, v in odds.items() if kp[0] >= len(BASE_KINDS) and v >= accept}
+
+
 def scan(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256,
     spans, n_added: one row for each row of docs."""
     found = stored(candidates(docs), "pii-spans")
-    flat = found.select(F.explode("spans").alias("s")).select("s.kind", "s.pattern")
-    patterns = flat.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    weights = train(patterns)
-    good = set()
-    if weights is not None:
-        good = {(k, p) for k, p in zip(patterns["kind"], patterns["pattern"], strict=True) if 1 / (1 + np.exp(-np.clip(_vector(k, p) @ weights, -30, 30))) >= accept}
-    few = sorted(f"{k}|{p}" for k, p in good if k >= len(BASE_KINDS))
-    accepted = F.array(*[F.lit(v) for v in few]).cast("array<string>")
-    stays = F.filter("spans", lambda s: (s["kind"] < len(BASE_KINDS)) | F.array_contains(accepted, F.concat_ws("|", s["kind"].cast("string"), s["pattern"])))
+    few = F.array(*[F.lit(f"{k}|{p}") for k, p in sorted(accepted(found, accept))]).cast("array<string>")
+    stays = F.filter("spans", lambda s: (s["kind"] < len(BASE_KINDS)) | F.array_contains(few, F.concat_ws("|", s["kind"].cast("string"), s["pattern"])))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     ordered = F.array_sort(F.transform(stays, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     text = F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     n_base = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone")
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans"), (F.size(stays) - n_base).cast("long").alias("n_added"))
+
+
+def redact(docs: DataFrame, taken: set[tuple[int, str]]) -> DataFrame:
+    """docs with every span, base or of a pattern in ``taken``, replaced by <kind>."""
+
+    def clean(text: str) -> str:
+        base = base_spans(text)
+        more = [(a, k, b) for a, k, b in more_spans(text, base) if (k, pattern_of(text, a, k, b)) in taken]
+        out, at = [], 0
+        for a, k, b in sorted(base + more):
+            if a >= at:
+                out += [text[at:a], f"<{KINDS[k]}>"]
+            at = max(at, b)
+        return "".join([*out, text[at:]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["text"] = [None if t is None else clean(t) for t in batch["text"]]
+            yield batch
+
+    return docs.mapInPandas(run, docs.schema)

@@ -59,3 +59,11 @@ def shard(docs: DataFrame, weights: Sequence[float], grown_weight: float = 1.0,
     rows = rows.withColumn("place", F.row_number().over(place) - 1)
     rows = rows.join(F.broadcast(offsets), ["shard", "bucket"])
     return rows.select(key, "size", "text_crc32", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), "grown_shard")
+
+
+def write(docs: DataFrame, path: str, weights: Sequence[float], files: int = 1, key: str = "doc_id") -> None:
+    """docs as Parquet, a folder for each shard. A shard's rows go to ``files`` tasks
+    by a hash of the key, so that no task holds a whole shard of a large table."""
+    placed = docs.withColumn("shard", best_shard(F.col(key), weights)["shard"])
+    part = F.pmod(F.xxhash64(key, F.lit("file")), F.lit(files))
+    placed.repartition(max(1, len(weights) * files), "shard", part).write.partitionBy("shard").parquet(path)
