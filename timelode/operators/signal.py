@@ -47,19 +47,21 @@ def bins(scored: DataFrame, keys: Sequence[str], hz: int = HZ) -> DataFrame:
     return scored.select(*keys, n.alias("n"), idx.alias("idx"), F.greatest(F.lit(0.0), "score").alias("score")).groupBy(*keys, "n", "idx").agg(F.max("score").alias("score"))
 
 
-def smooth(binned: DataFrame, keys: Sequence[str], kernel: dict[int, float], groups: DataFrame | None = None) -> DataFrame:
+def smooth(binned: DataFrame, keys: Sequence[str], kernel: dict[int, float], by: Sequence[str] | None = None) -> DataFrame:
     """binned (keys, n, idx, score) -> keys, n, idx, smoothed for every bin. The edge
-    bins stand for all positions beyond them. groups (keys, n): all groups, if
-    some have no bin."""
+    bins stand for all positions beyond them. by: those keys that tell groups apart,
+    if others only go along."""
     radius = max(kernel)
+    # sparse bins go to their group's partition once; the kernel's many parts, their
+    # sums and all windows over a group then need no further shuffle
+    binned = binned.repartition(*(by or keys))
     first = F.when(F.col("idx") == 0, -radius).otherwise(F.col("idx"))
     last = F.when(F.col("idx") == F.col("n") - 1, F.col("n") - 1 + radius).otherwise(F.col("idx"))
     taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in kernel.items()])
     spread = binned.where("score > 0").select(*keys, "n", "score", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("at"))
     spread = spread.select(*keys, "n", "score", "at", F.explode(taps).alias("tap"))
     spread = spread.select(*keys, "n", (F.col("at") + F.col("tap.k")).alias("idx"), (F.col("score") * F.col("tap.w")).alias("part"))
-    groups = binned.select(*keys, "n").distinct() if groups is None else groups
-    empty = groups.select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"), F.lit(0.0).alias("part"))
+    empty = binned.select(*keys, "n").distinct().select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"), F.lit(0.0).alias("part"))
     inside = spread.where((F.col("idx") >= 0) & (F.col("idx") < F.col("n")))
     return inside.unionByName(empty).groupBy(*keys, "n", "idx").agg(F.sum("part").alias("smoothed"))
 

@@ -176,17 +176,24 @@ def moment_peaks(spark, sf_dir):
     return _peaks(spark, sf_dir).select("video_id", "cluster", "peak", F.round("score", 6).alias("score"))
 
 
+TIMED = ["video_id", "duration_sec"]
+
+
+def _bounded(spark, sf_dir):
+    rows = moments.with_threshold(search.signal(T.timeline(spark, sf_dir), TIMED), TIMED)
+    return moments.bounded(moments.valleys(rows, TIMED), TIMED)
+
+
 def valley_bounds(spark, sf_dir):
-    found = moments.valleys(moments.with_threshold(_signal(spark, sf_dir), KEYS), KEYS)
-    return moments.bounded(found.withColumn("duration_sec", F.lit(T.TIMELINE_SECONDS)), KEYS)
+    return _bounded(spark, sf_dir).drop("duration_sec")
 
 
 def greedy_nms(spark, sf_dir):
-    return moments.suppress(valley_bounds(spark, sf_dir), KEYS).select("video_id", "rank", "t_start", "t_end", "score")
+    return search.moments(T.timeline(spark, sf_dir), KEYS)
 
 
 def heatmap_1hz(spark, sf_dir):
-    return signal.heatmap(_signal(spark, sf_dir).withColumn("duration_sec", F.lit(T.TIMELINE_SECONDS)), KEYS)
+    return signal.heatmap(search.signal(T.timeline(spark, sf_dir), TIMED), KEYS)
 
 
 def heatmap_bands(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelode.functions.text import clean_caption
@@ -17,33 +17,34 @@ FLOOR, CALIBRATION, LEAST_FACTOR = 0.12, 0.35, 0.40  # fixed values of the calib
 
 
 def signal(scored: DataFrame, keys: Sequence[str], kernel: dict[int, float] | None = None) -> DataFrame:
-    """scored (keys, t, score, duration_sec) -> keys, n, idx, smoothed, value."""
-    return G.normalise(G.smooth(G.bins(scored, keys), keys, kernel or G.multiscale()), keys)
+    """scored (keys, t, score, duration_sec) -> keys, n, idx, smoothed, value. The
+    duration may be one of the keys: it goes along and tells no groups apart."""
+    by = [k for k in keys if k != "duration_sec"]
+    return G.normalise(G.smooth(G.bins(scored, keys), keys, kernel or G.multiscale(), by), keys)
 
 
-def moments(scored: DataFrame, keys: Sequence[str], durations: DataFrame | None = None) -> DataFrame:
-    """The moments of each group after suppression, ranked. durations (keys,
-    duration_sec) where it isn't the same for all groups; else it is taken along."""
-    rows = M.with_threshold(signal(scored, keys), keys)
-    spans = scored.groupBy(*keys).agg(F.max("duration_sec").alias("duration_sec")) if durations is None else durations
-    found = M.valleys(rows, keys).join(spans, list(keys))
-    return M.suppress(M.bounded(found, keys), keys)
+def moments(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The moments of each group after suppression, ranked. The duration goes along as
+    one of the keys, so nothing is joined back."""
+    group = [*keys, "duration_sec"]
+    found = M.valleys(M.with_threshold(signal(scored, group), group), group)
+    return M.suppress(M.bounded(found, group), group).drop("duration_sec")
 
 
 def search(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, wanted: Sequence[S.Request], dim: int, top_k: int = 5) -> DataFrame:
     """request_id, video_id, rank, t_start, t_end, score: the best moments of each
     video for each request, with calibrated scores; none where the signal is flat
     and faint."""
-    keys = ["request_id", "video_id"]
     asked = S.requests(frames.sparkSession, wanted)
     scored = S.fused(frames, transcripts, videos, asked, dim).join(videos, "video_id").withColumnRenamed("ts", "t")
-    rows = signal(scored, keys)
-    peak = rows.groupBy(*keys).agg(F.max("value").alias("peak"))
-    rows = M.with_threshold(rows, keys)
-    found = M.valleys(rows, keys).join(videos, "video_id")
-    kept = M.suppress(M.bounded(found, keys), keys).where(F.col("rank") <= top_k).join(peak.where(F.col("peak") >= FLOOR), keys)
-    factor = F.least(F.lit(1.0), F.greatest(F.lit(LEAST_FACTOR), F.col("peak") / CALIBRATION))
-    return kept.select(*keys, "rank", "t_start", "t_end", F.round(F.col("score") * factor, 3).alias("score"))
+    # what is one value for a group is a key, not a join
+    keys = ["request_id", "video_id", "duration_sec"]
+    rows = signal(scored, keys).withColumn("top", F.max("value").over(Window.partitionBy(*keys))).where(F.col("top") >= FLOOR)
+    keys = [*keys, "top"]
+    found = M.valleys(M.with_threshold(rows, keys), keys)
+    kept = M.suppress(M.bounded(found, keys), keys).where(F.col("rank") <= top_k)
+    factor = F.least(F.lit(1.0), F.greatest(F.lit(LEAST_FACTOR), F.col("top") / CALIBRATION))
+    return kept.select("request_id", "video_id", "rank", "t_start", "t_end", F.round(F.col("score") * factor, 3).alias("score"))
 
 
 def hydrate(found: DataFrame, frames: DataFrame) -> DataFrame:
