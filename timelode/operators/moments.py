@@ -54,6 +54,9 @@ def valleys(signal: DataFrame, keys: Sequence[str], gap: int = GAP) -> DataFrame
     low, deep = F.col("value") <= F.col("theta"), F.col("value") < VALLEY * F.col("theta")
     above = F.col("value") >= F.col("theta")
     rows = signal.withColumn("rise_left", low & (F.lag("value").over(order) > F.col("value"))).withColumn("rise_right", low & (F.lead("value").over(order) > F.col("value"))).withColumn("deep", deep)
+    # of a run of deep bins only the ends can be the nearest one to a peak
+    inner = deep & F.coalesce(F.lag(deep).over(order) & F.lead(deep).over(order), F.lit(False))
+    rows = rows.withColumn("inner", inner).where(~F.col("inner"))
     rows = rows.withColumn("before", F.max(F.when(above, F.col("idx"))).over(past_only))
     rows = rows.withColumn("starts", F.when(above & (F.col("idx") - F.col("before") > gap), 1).otherwise(0))
     rows = rows.withColumn("cluster", F.sum("starts").over(past).cast("long"))

@@ -53,8 +53,10 @@ def smooth(binned: DataFrame, keys: Sequence[str], kernel: dict[int, float], by:
     if others only go along."""
     radius = max(kernel)
     # sparse bins go to their group's partition once; the kernel's many parts, their
-    # sums and all windows over a group then need no further shuffle
-    binned = binned.repartition(*(by or keys))
+    # sums and all windows over a group then need no further shuffle. The number is
+    # given, as sparse bins say little of the rows to come and would be coalesced
+    parts = int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    binned = binned.repartition(parts, *(by or keys))
     first = F.when(F.col("idx") == 0, -radius).otherwise(F.col("idx"))
     last = F.when(F.col("idx") == F.col("n") - 1, F.col("n") - 1 + radius).otherwise(F.col("idx"))
     taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in kernel.items()])
