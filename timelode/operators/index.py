@@ -26,12 +26,11 @@ def postings(docs: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents for the terms. Corpus figures are one row, and one a term."""
+    """The k best documents for the terms. Each document has a row for each term, so
+    one grouping by term, of as many rows, holds all corpus figures."""
     found = postings(docs, terms)
-    n_terms = len(set(terms))
-    corpus = found.agg((F.count(F.lit(1)) / n_terms).alias("docs"), (F.sum("n") / F.count(F.lit(1))).alias("mean"))
-    df = found.where("tf > 0").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = df.join(F.broadcast(corpus)).select("term", "mean", F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    stats = found.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))
+    weights = stats.select("term", "mean", F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     scored = found.where("tf > 0").join(F.broadcast(weights), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     return scored.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(k)
