@@ -83,21 +83,20 @@ def test_step_gives_its_interval(spark):
 
 
 def walked(s, peak, theta):
-    left = peak
-    while left > 0:
-        if s[left - 1] > s[left] and s[left] <= theta:
-            break
-        left -= 1
-        if s[left] < theta * 0.7:
-            break
-    right = peak
-    while right < len(s) - 1:
-        if s[right + 1] > s[right] and s[right] <= theta:
-            break
-        right += 1
-        if s[right] < theta * 0.7:
-            break
-    return left, right
+    """The walk itself, one side at a time."""
+
+    def side(step):
+        at = peak
+        while 0 <= at + step < len(s):
+            here, ahead = s[at], s[at + step]
+            if here <= theta and ahead > here:
+                return at
+            at += step
+            if ahead < 0.7 * theta:
+                return at
+        return at
+
+    return side(-1), side(1)
 
 
 def test_valleys_equal_the_walk(spark):
