@@ -22,7 +22,9 @@ table gives an empty result; only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 
 BLOCK, STRIDE, THRESHOLD = 64, 32, 0.8
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases with their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -52,7 +53,13 @@ TEMPLATES = (
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """What ``WORD`` finds in the text with A-Z in lower case. One pass turns every
+    other ASCII character into a space; cutting at single spaces needs no regex."""
+    ascii_ = [chr(c) for c in range(128)]
+    other = "".join(c for c in ascii_ if not c.isalnum())
+    upper = "".join(c for c in ascii_ if c.isupper())
+    plain = F.translate(F.coalesce(text, F.lit("")), other + upper, " " * len(other) + upper.lower())
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _template_words(text: str) -> list[str]:
@@ -90,10 +97,9 @@ def matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, t
             prefixes.add(w)
     index_rows = spark.createDataFrame(index, "rank int, template int, label string, place int, need int, ranks array<int>")
 
-    # only texts that hold a prefix word are cut into words at all
-    some = F.concat(F.lit("(?i)(?<![^" + GAP[1:-2] + "])(?:"), F.lit("|".join(sorted(prefixes))), F.lit(")(?![^" + GAP[1:-2] + "])"))
-    held = docs.where(F.col("text").isNotNull() & F.regexp_like("text", some))
-    held = held.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
+    # only texts that hold a prefix word go on
+    held = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
+    held = held.where(F.arrays_overlap("words", _strings(sorted(prefixes))))
     ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
     prefix_set = _strings(sorted(prefixes))
     at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(prefix_set, w), i)), lambda i: i.isNotNull())
@@ -117,10 +123,6 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     base_labels, labels, score."""
     found = matches(docs, templates, threshold).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     found = found.select(F.col("doc_id").alias("doc_"), F.col("text_key").alias("key_"), "found", "best")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    loose = "(?i)(" + "|".join(GAP.join(p.split()) for p, _ in phrases) + ")"
-    own = F.when(F.regexp_like(text, F.lit(loose)), words(F.col("text")))
-
     def starts(phrase: str) -> Column:
         """Places in ``own`` from which the phrase's words stand in a row."""
 
@@ -133,7 +135,10 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
         found = F.filter(F.transform("own", place), lambda i: i.isNotNull())
         return F.coalesce(found, F.array().cast("array<int>"))
 
-    rows = docs.select("doc_id", F.regexp_count(F.lower(text), F.lit(WORD)).cast("long").alias("n_words"), F.xxhash64("text").alias("text_key"), own.alias("own"))
+    held = lambda phrase: reduce(and_, [F.array_contains("words", w) for w in phrase.split()])
+    own = F.when(reduce(or_, [held(p) for p, _ in phrases]), F.col("words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), "text_key", own.alias("own"))
     places = [starts(p).alias(f"p{k}") for k, (p, _) in enumerate(phrases)]
     rows = rows.select("doc_id", "n_words", "text_key", *places)
     every = F.concat(*[F.col(f"p{k}") for k in range(len(phrases))])
