@@ -1,0 +1,22 @@
+"""Cases that a shorter version of an operator got wrong."""
+
+import zlib
+
+import numpy as np
+import pytest
+
+from timelode.llm import packing
+
+
+# 5
+@pytest.mark.parametrize("text", ["end <|endoftext|> next", "<|endoftext|><|endoftext|>", "a  <|endoftext|>\n b <|endof text|> <|endoftext", "x <|endoftext|> " + " " * 1_500_000 + "y"])
+def test_added_tokens_in_texts(spark, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 0]
+    assert 50256 in ids
+    assert [*packing.Encoder(packing.default_vocabulary()).ids(text).tolist(), 0] == ids
+    if len(ids) <= 2048:
+        row = packing.pieces(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))

@@ -13,12 +13,15 @@ bins are all that a cut into packers costs.
 Token ids come from one pass over the texts; only lengths and checksums are
 kept, so the pack shuffles no text.
 
-Defined results: a null or empty text is its end token alone; repeated rows are
+Defined results: a null or empty text is its end token alone; an added token of
+the vocabulary that stands in a text is that token; repeated rows are
 packed one by one; an empty table gives an empty result; null ids take part.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -39,9 +42,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers file (none without a file), which its
+    ``encode`` finds inside texts as they stand."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file).get("added_tokens") or []
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"{path}: {token['content']} isn't matched as it stands")
+    return {token["content"]: token["id"] for token in found}
+
+
 class Encoder:
-    """Byte-level BPE from a file of ranks; a text that its matcher gives up on
-    (a very long run of white space, say) goes to the tokenizers library."""
+    """Byte-level BPE from a file of ranks and the added tokens of the json beside
+    it; a text that its matcher gives up on (a very long run of white space, say)
+    goes to the tokenizers library."""
 
     def __init__(self, ranks_path: str) -> None:
         import base64
@@ -51,12 +68,12 @@ class Encoder:
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._main = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._other, self._other_path = None, ranks_path.rsplit(".", 1)[0] + ".json"
+        self._main = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(self._other_path))
 
     def ids(self, text: str) -> np.ndarray:
         try:
-            return self._main.encode_to_numpy(text, disallowed_special=())
+            return self._main.encode_to_numpy(text, allowed_special="all")
         except BaseException as error:  # the matcher's failure is a panic, not an Exception
             if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
@@ -64,7 +81,6 @@ class Encoder:
                 from tokenizers import Tokenizer
 
                 self._other = Tokenizer.from_file(self._other_path)
-                self._other.encode_special_tokens = True
             return np.array(self._other.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
