@@ -4,8 +4,19 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from timelode.llm import packing
+from timelode.llm import mixing, packing
+
+
+# 1
+def test_each_source_lands_with_its_largest(spark):
+    """A source's size decides nothing about its neighbours, and the largest documents land last."""
+    rng = np.random.default_rng(11)
+    rows = [(s, int(n)) for s, many in (("a", 60), ("b", 700), ("c", 100), ("d", 900)) for n in rng.lognormal(5, 1, many)]
+    docs = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(rows)], "doc_id long, source string, words long")
+    got = mixing.mix(docs, block=100, size=F.col("words")).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 4 and all(abs(r.taken - r.target) <= 8 for r in got), got
 
 
 # 5

@@ -7,13 +7,14 @@ The flight phase of the cube method moves these probabilities through the null
 space of two constraints, the source's words and its documents, until at most
 two documents of a block are undecided. Blocks hold at most ``BLOCK`` documents
 of one source; what they leave undecided is dealt to new blocks, round by
-round, until one block a source is left. There the largest documents stay on the
-ground, and the landing phase settles them with the last open ones: of their at
-most 2 ** 16 outcomes it takes the one nearest to the totals. So a source misses
-its target by little, unless one document outweighs the others.
+round, until the source's rest is one block. Each source lands in the round in
+which that is so, whatever the size of the others: its ``LANDING`` largest
+documents, which stayed on the ground till then, and the last two open ones
+settle together, and of their at most 2 ** 16 outcomes the landing phase takes
+the one nearest to the totals. So a source misses its target by little, unless
+one document outweighs the others.
 
-Documents fly by falling size; large ones stay open longest and come to that last
-block. Draws come from hashes of source, document and ``SEED``: reruns agree.
+Documents fly by falling size. Draws come from hashes of source, document and ``SEED``: reruns agree.
 
 Defined results: a null or empty text has size 0 and is drawn like others, at
 rate 0 if the whole source is empty; null sources are one source, the last;
@@ -106,14 +107,20 @@ def _move(chance: np.ndarray, some: list[int], way: Sequence[float], u: float) -
     return [k for k in some if EPS < chance[k] < 1 - EPS]
 
 
-def _round(rows: DataFrame, landing: bool) -> DataFrame:
-    """One flight in every block; rows keep their columns."""
+def _round(rows: DataFrame, most: int) -> DataFrame:
+    """One flight in every block, without the held documents; a source of at most
+    ``most`` others lands, all together. Rows keep their columns."""
     columns = rows.schema
 
     def run(_key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable")
-        settle = land if landing else fly
-        block["chance"] = settle(block["chance"].to_numpy(), block["size"].to_numpy(np.float64), block["draw"].to_numpy())
+        chance, size, draw = block["chance"].to_numpy(np.float64, copy=True), block["size"].to_numpy(np.float64), block["draw"].to_numpy()
+        if block["left"].iloc[0] <= most:
+            chance = land(chance, size, draw)
+        else:
+            flies = ~block["held"].to_numpy(bool)
+            chance[flies] = fly(chance[flies], size[flies], draw[flies])
+        block["chance"] = chance
         return block
 
     return rows.groupBy("source", "block").applyInPandas(run, columns)
@@ -123,31 +130,35 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, s
     """docs (doc_id, text, source) -> doc_id, source, size, source_size, target,
     repeats, taken, a row for each row of docs."""
     size = n_words(F.col("text")) if size is None else size
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "mix-sized")
+    # the row number sets repeated rows apart; it is written, so it stays the same
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    sized = stored(sized, "mix-sized")
     by_source = stored(targets(sized, weights, cap), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     draw = F.pmod(F.xxhash64("source", "doc_id", "size", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     facts = by_source.select(F.col("source").alias("source_"), "source_size", "n_docs", "target")
     rows = sized.join(facts, sized["source"].eqNullSafe(facts["source_"])).drop("source_")
     rows = rows.withColumn("whole", F.floor(rate).cast("long")).withColumn("chance", rate - F.floor(rate)).withColumn("draw", draw)
-    flown = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "chance", "draw", F.col("n_docs").alias("left"))
+    flown = rows.select("row", "doc_id", "source", "size", "source_size", "target", "whole", "chance", "draw", F.col("n_docs").alias("left"))
+    undecided = (F.col("chance") > EPS) & (F.col("chance") < 1 - EPS)
+    # a source that doesn't land at once keeps its largest documents on the ground till it does
+    falling = Window.partitionBy("source").orderBy(F.col("size").desc(), "draw", F.col("doc_id").asc_nulls_last(), "row")
+    ground = flown.where((F.col("left") > block) & undecided).withColumn("turn", F.row_number().over(falling)).where(F.col("turn") <= LANDING)
+    ground = stored(ground.select("row", F.lit(True).alias("held")), "mix-ground")
+    flown = flown.join(ground, "row", "left").withColumn("held", F.coalesce("held", F.lit(False))).drop("row")
     settled: list[DataFrame] = []
-    most = by_source.agg(F.max("n_docs")).first()[0] or 0
     number = 0
     while True:
         number += 1
-        blocks = F.ceil(F.col("left") / block)
+        blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("left") / block))
         dealt = flown.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + number)), blocks))
-        last = most <= block
-        done = stored(_round(dealt, last).drop("block"), "mix-round")
-        if last:
-            settled.append(done)
-            break
-        undecided = (F.col("chance") > 0) & (F.col("chance") < 1)
+        done = stored(_round(dealt, block).drop("block"), "mix-round")
         settled.append(done.where(~undecided))
         open_ = done.where(undecided).drop("left")
-        counts = stored(open_.groupBy("source").agg(F.count(F.lit(1)).alias("left")), "mix-open")
-        most = counts.agg(F.max("left")).first()[0] or 0
+        # the held ones don't count: a source lands when the others fit into a block
+        counts = stored(open_.groupBy("source").agg(F.count_if(~F.col("held")).alias("left")), "mix-open")
+        if counts.isEmpty():
+            break
         counts = counts.withColumnRenamed("source", "source_")
         flown = open_.join(counts, open_["source"].eqNullSafe(counts["source_"])).drop("source_")
     found = settled[0]
