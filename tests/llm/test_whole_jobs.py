@@ -3,10 +3,11 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from timelode.llm import mixing, packing
+from timelode.llm import mixing, packing, pii
 
 
 # 1
@@ -31,3 +32,18 @@ def test_added_tokens_in_texts(spark, text):
     if len(ids) <= 2048:
         row = packing.pieces(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
         assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+# 8
+def test_frequent_patterns_keep_their_weight():
+    """The classifier of a corpus repeated many times is the classifier of the corpus."""
+    rng = np.random.default_rng(3)
+    votes = [f"{a},{b},{c},{share},{size}" for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (0, 1) for share in range(6) for size in range(5)]
+    patterns = pd.DataFrame([(k, v) for k in range(8) for v in votes if rng.uniform() < 0.12], columns=["kind", "pattern"])
+    patterns["n"] = 100 * np.ceil(rng.lognormal(3, 3, len(patterns))).astype(int)
+
+    def taken(times):
+        weights = pii.train(patterns.assign(n=patterns["n"] * times))
+        return {(k, p) for k, p in zip(patterns["kind"], patterns["pattern"], strict=True) if pii._vector(k, p) @ weights >= 0}
+
+    assert taken(1) == taken(100) == taken(1_000_000)

@@ -220,7 +220,9 @@ def _vector(kind: int, pattern: str) -> np.ndarray:
 
 def train(patterns: pd.DataFrame, rounds: int = 30, ridge: float = 1.0) -> np.ndarray | None:
     """patterns (kind, pattern, n) -> weights of the span classifier, by Newton
-    steps on the soft labels; None without any pattern."""
+    steps on the soft labels; None without any pattern. Every pattern counts as
+    often as it occurs; counts and ridge are divided by the total, which keeps the
+    steps well conditioned and leaves the optimum where it is."""
     if patterns.empty:
         return None
     patterns = patterns.sort_values(["kind", "pattern"]).reset_index(drop=True)
@@ -230,7 +232,7 @@ def train(patterns: pd.DataFrame, rounds: int = 30, ridge: float = 1.0) -> np.nd
         soft[own.index] = reliabilities(votes, own["n"].to_numpy(float))[1]
     x = np.stack([_vector(k, p) for k, p in zip(patterns["kind"], patterns["pattern"], strict=True)])
     n, w = patterns["n"].to_numpy(float), np.zeros(x.shape[1])
-    n = np.minimum(n, 1e6)
+    n, ridge = n / n.sum(), ridge / n.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (n * (soft - p)) - ridge * w
