@@ -1,13 +1,15 @@
 """Cases that a shorter version of an operator got wrong."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from test_operators import shingles
 
-from timelode.llm import mixing, packing, pii
+from timelode.llm import mixing, ngram_join, packing, pii
 
 
 # 1
@@ -47,3 +49,26 @@ def test_frequent_patterns_keep_their_weight():
         return {(k, p) for k, p in zip(patterns["kind"], patterns["pattern"], strict=True) if pii._vector(k, p) @ weights >= 0}
 
     assert taken(1) == taken(100) == taken(1_000_000)
+
+
+# pipeline
+def test_one_row_of_each_class_stays(odd, spark):
+    """On repeated and null ids too: kept is one row a class, and nothing else goes."""
+    other = "an unrelated text with an id that a near copy has as well as six others"
+    clash = [(5, other, "en", "s1", 1, 1, True, 1, "x", 1), (None, other + " end", "en", "s1", 1, 1, True, 1, "x", 1)]
+    docs = odd.unionByName(spark.createDataFrame(clash, odd.schema))
+    rows = [(shingles(r.text), r) for r in docs.collect()]
+    group = list(range(len(rows)))
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            if a and b and len(a & b) >= 0.8 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    ids = lambda k: (rows[k][1].doc_id is None, rows[k][1].doc_id or 0)
+    best = {g: min(ids(k) for k in range(len(rows)) if group[k] == g) for g in group}
+    kept = ngram_join.kept_rows(docs).collect()
+    assert len(kept) == len(best)
+    place = {(r.doc_id, r.text): g for (_, r), g in zip(rows, group, strict=True)}
+    full = Counter(place[r.doc_id, r.text] for r in kept if shingles(r.text))
+    assert set(full.values()) == {1}
+    assert all((r.doc_id is None, r.doc_id or 0) == best[place[r.doc_id, r.text]] for r in kept if shingles(r.text))
+    assert not Counter(r for r in kept) - Counter(r for _, r in rows)

@@ -149,11 +149,17 @@ def whole_units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tu
         yield rest, np.concatenate([[0], new, [len(rest)]])
 
 
-SKETCH = "doc_id long, fp binary, n_shingles long, sig binary, bands array<long>"
+SKETCH = "doc_id long, row_ long, fp binary, n_shingles long, sig binary, bands array<long>"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a row number, row_, that sets rows with equal or null ids apart; it
+    is written, so it stays the same."""
+    return stored(docs.withColumn("row_", F.monotonically_increasing_id()), "ngram-rows")
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """A row for each document: the fingerprint of its shingle set (null without
+    """A row for each document: its row number, the fingerprint of its shingle set (null without
     shingles), one byte of each MinHash value and a hash of each band."""
     bands = HASHES // ROWS
     place = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
@@ -174,9 +180,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                     counts.append(len(s))
                     sigs.append(None if k is None else (values[k] & 0xFF).astype(np.uint8).tobytes())
                     keys.append(None if k is None else key[k].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": fps, "n_shingles": counts, "sig": sigs, "bands": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "row_": batch["row_"].array, "fp": fps, "n_shingles": counts, "sig": sigs, "bands": keys})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row_", "text").mapInPandas(run, SKETCH)
 
 
 def _units(rows: DataFrame, key: list[str], size: str, spread: str, block: int) -> DataFrame:
@@ -290,9 +296,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest id among all that
     links connect), copy_id (smallest id with an equal shingle set), n_copies,
     n_links (documents with a similarity of the threshold or more, but itself)."""
+    return linked(docs.select("doc_id", "text").withColumn("row_", F.monotonically_increasing_id()), threshold).drop("row_", "kept")
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """join for docs with row_: the same columns, row_, and whether the row is the one
+    of its class that stays (the smallest id, null ids last, then the first row)."""
     sketches = stored(sketch(docs), "ngram-sketch")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_")
     classes = sketches.where("fp is not null").groupBy("fp").agg(
-        F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("weight"), F.min("sig").alias("sig"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("copy_id"), F.min(first).alias("first"), F.count(F.lit(1)).alias("weight"), F.min("sig").alias("sig"), F.first("bands").alias("bands")
     )
     classes = stored(classes, "ngram-classes")
     held = components(families(classes)).withColumnRenamed("node", "fp").withColumnRenamed("root", "family")
@@ -303,22 +316,25 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = stored(verify(members, threshold), "ngram-links")
     links = found.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "fp")
-    named = classes.select("fp", "copy_id", "weight").join(links, "fp", "left").join(roots, "fp", "left")
+    named = classes.select("fp", "copy_id", "first", "weight").join(links, "fp", "left").join(roots, "fp", "left")
     named = named.withColumn("root", F.coalesce("root", "fp"))
     named = stored(named, "ngram-named")
-    best = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(best, "root").select("fp", "copy_id", "weight", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return sketches.select("doc_id", "fp").join(named, "fp", "left").select(
+    best = named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min("first")["row_"].alias("stays"))
+    named = named.join(best, "root").select("fp", "copy_id", "weight", "class_id", "stays", F.coalesce("links", F.lit(0)).alias("links"))
+    return sketches.select("doc_id", "row_", "fp").join(named, "fp", "left").select(
         "doc_id",
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("weight", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"),
+        "row_",
+        (F.col("fp").isNull() | (F.col("row_") == F.col("stays"))).alias("kept"),
     )
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, as they are: of each class the one whose id is
-    the class id. Rows without shingles all stay."""
-    gone = join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
+    """The rows of docs that stay, as they are: exactly one of each class, whatever
+    ids its rows have. Rows without shingles all stay."""
+    rows = numbered(docs)
+    gone = linked(rows).where("not kept").select("row_")
+    return rows.join(gone, "row_", "left_anti").select(*docs.columns)
