@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import base_figures, shingles
+from test_llm_operators import base_figures, shingles
 
 import corpus_pipeline
 from timelode.llm.common import stored

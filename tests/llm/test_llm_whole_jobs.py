@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from test_operators import shingles
+from test_llm_operators import shingles
 
 from timelode.llm import mixing, ngram_join, packing, pii
 
