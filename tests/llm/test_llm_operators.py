@@ -83,7 +83,7 @@ def shingles(text):
 @pytest.mark.parametrize("block", [2, 384])
 def test_ngram_join(odd, none, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join.families, "__defaults__", (block,))
+    monkeypatch.setattr(ngram_join.families, "__defaults__", (0.8, block))
     monkeypatch.setattr(ngram_join.verify, "__defaults__", (0.8, block))
     found = ngram_join.join(odd)
     same_rows(found, odd)

@@ -13,16 +13,25 @@ so copies never meet pair by pair. Classes get ``HASHES`` MinHash values:
    links of each class and a spanning forest of the verified links.
 
 A bucket or family above ``BLOCK`` members is cut into blocks by a hash; each
-pair of blocks is one unit of work, so none grows with the group.
+pair of blocks is one unit of work, and a member goes to every unit of its block.
+There are at most ``SPREAD`` blocks, so that what moves grows in proportion to the
+group, until a block would hold more than ``HELD`` values (shingles, or bytes of
+signatures): from there on blocks keep that size. That many copies of a member are
+the least that all pairs need where a task holds two blocks at a time.
+
+Texts move only for members of families: a bounded filter of row numbers stands
+before that shuffle.
 
 A pair at exactly the threshold meets in no band with probability
 (1 - 0.8**4)**28, under 4e-7; above it, less.
 
 Defined results: null, empty and white-space texts have no shingle, link to
 nothing and are classes of their own row; texts of fewer than five words have
-one shingle, all their words; rows with null ids take part; repeated rows are
-members of one class like other copies; an empty table gives an empty result;
-only doc_id and text are read.
+one shingle, all their words; a similarity of exactly the threshold is a link; rows
+with null ids take part; repeated rows are members of one class like other copies,
+told apart by a row number; texts of any length are read whole, a family of very
+long ones is cut into more blocks; an empty table gives an empty result; only
+doc_id and text are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -32,17 +41,18 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, stored
+from .common import chunks, key_filter, numbered, own_name, passing, stored, with_found, without
 from .graph import components
 from .shingles import minhash, mix, set_fingerprint, shingle_sets
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP = 112, 4, 16
 TOLERANCE = 1e-5
-BLOCK = 384
+BLOCK, SPREAD, HELD, TILE = 384, 16, 2_000_000, 512
 
 
 def least_matches(hashes: int = HASHES, step: int = STEP, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -75,7 +85,7 @@ def prune(sig: np.ndarray, left: np.ndarray, right: np.ndarray, needs: list[tupl
     return alive
 
 
-def unit_pairs(first: np.ndarray, side: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def unit_pairs(first: np.ndarray, side: np.ndarray, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of row places within units of work, in runs of bounded size. first:
     starts of the units (with the end); side 0/1: the two blocks of a unit, which
     pair with each other only; side 2: a unit of one block, all pairs."""
@@ -94,11 +104,12 @@ def unit_pairs(first: np.ndarray, side: np.ndarray, limit: int = 2_000_000) -> I
     for a, b in zip(first[:-1][~small].tolist(), first[1:][~small].tolist(), strict=True):
         rows = np.arange(a, b)
         one, two = (rows, rows) if side[a] == 2 else (rows[side[rows] == 0], rows[side[rows] == 1])
-        tall = max(1, limit // max(1, len(two)))
-        for i in range(0, len(one), tall):
-            left, right = np.repeat(one[i : i + tall], len(two)), np.tile(two, len(one[i : i + tall]))
-            ok = left < right if side[a] == 2 else slice(None)
-            yield left[ok], right[ok]
+        for i in range(0, len(one), tile):
+            for j in range(0, len(two), tile):
+                x, y = one[i : i + tile], two[j : j + tile]
+                left, right = np.repeat(x, len(y)), np.tile(y, len(x))
+                ok = left < right if side[a] == 2 else slice(None)
+                yield left[ok], right[ok]
 
 
 class Forest:
@@ -149,46 +160,41 @@ def whole_units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tu
         yield rest, np.concatenate([[0], new, [len(rest)]])
 
 
-SKETCH = "doc_id long, row_ long, fp binary, n_shingles long, sig binary, bands array<long>"
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a row number, row_, that sets rows with equal or null ids apart; it
-    is written, so it stays the same."""
-    return stored(docs.withColumn("row_", F.monotonically_increasing_id()), "ngram-rows")
+SKETCH = T.StructType(
+    [T.StructField("fp", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """A row for each document: its row number, the fingerprint of its shingle set (null without
-    shingles), one byte of each MinHash value and a hash of each band."""
+    """docs (doc_id, row_, text) -> doc_id, row_, the fingerprint of the text's shingle set (null
+    without shingles), its size, one byte of each MinHash value and a hash of each band."""
     bands = HASHES // ROWS
     place = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
-            fps, counts, sigs, keys = [], [], [], []
-            for a, b in chunks(texts):
-                sets = shingle_sets(texts[a:b], WORDS)
-                full = [s for s in sets if len(s)]
-                values = minhash(full, HASHES) if full else np.zeros((0, HASHES), np.uint32)
-                key = mix((mix(values.astype(np.uint64)) * (place | np.uint64(1))).reshape(len(full), bands, ROWS).sum(2, dtype=np.uint64) + place[:bands])
-                rows = iter(range(len(full)))
-                for s in sets:
-                    k = next(rows) if len(s) else None
-                    fps.append(None if k is None else set_fingerprint(s))
-                    counts.append(len(s))
-                    sigs.append(None if k is None else (values[k] & 0xFF).astype(np.uint8).tobytes())
-                    keys.append(None if k is None else key[k].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "row_": batch["row_"].array, "fp": fps, "n_shingles": counts, "sig": sigs, "bands": keys})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row_", "text").mapInPandas(run, SKETCH)
-
-
-def _units(rows: DataFrame, key: list[str], size: str, spread: str, block: int) -> DataFrame:
-    """Deals the rows of a group of ``size`` members to units of work: the group
-    itself, or each pair of its blocks (a row goes to every pair with its block)."""
-    n = F.ceil(F.col(size) / block).cast("int")
+    def work(texts: list[str]) -> dict[str, list]:
+        out: dict[str, list] = {"fp": [], "n_shingles": [], "sig": [], "bands": []}
+        for a, b in chunks(texts):
+            sets = shingle_sets(texts[a:b], WORDS)
+            full = [s for s in sets if len(s)]
+            values = minhash(full, HASHES) if full else np.zeros((0, HASHES), np.uint32)
+            key = mix((mix(values.astype(np.uint64)) * (place | np.uint64(1))).reshape(len(full), bands, ROWS).sum(2, dtype=np.uint64) + place[:bands])
+            rows = iter(range(len(full)))
+            for s in sets:
+                k = next(rows) if len(s) else None
+                out["fp"].append(None if k is None else set_fingerprint(s))
+                out["n_shingles"].append(len(s))
+                out["sig"].append(None if k is None else (values[k] & 0xFF).astype(np.uint8).tobytes())
+                out["bands"].append(None if k is None else key[k].view(np.int64))
+        return out
+
+    return with_found(docs, "text", SKETCH, work)
+
+
+def _units(rows: DataFrame, key: list[str], size: str, held: Column, spread: str, block: int) -> DataFrame:
+    """Deals the rows of a group to units of work: the group itself, or each pair of
+    its blocks (a row goes to every pair with its block). size: the group's members;
+    held: what they hold together, in the unit of ``HELD``."""
+    n = F.greatest(F.ceil(held / HELD), F.least(F.ceil(F.col(size) / block), F.lit(SPREAD))).cast("int")
     rows = rows.withColumn("n_", n).withColumn("b_", F.pmod(F.xxhash64(spread), F.col("n_")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_") - 1)).alias("o_")
     rows = rows.select("*", other)
@@ -203,19 +209,19 @@ def _signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), HASHES)
 
 
-def families(classes: DataFrame, block: int = 4 * BLOCK) -> DataFrame:
+def families(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """classes (fp, sig, bands) -> edges (a, b) that hold together what may be linked."""
-    needs = least_matches()
+    needs = least_matches(threshold=threshold)
     dealt = classes.select("fp", F.explode("bands").alias("key"))
     # most buckets have one member: only the others are worth their signatures
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     rows = dealt.join(shared, "key").join(classes.select("fp", "sig"), "fp")
-    units = _units(rows.select("key", "m", "fp", "sig"), ["key"], "m", "fp", block)
+    units = _units(rows.select("key", "m", "fp", "sig"), ["key"], "m", F.col("m") * HASHES, "fp", block)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, first in whole_units(batches, ["key", "lo", "hi"]):
             sig, side, forest = _signatures(frame["sig"]), frame["side"].to_numpy(), Forest(len(frame))
-            for left, right in unit_pairs(first, side, 200_000):
+            for left, right in unit_pairs(first, side):
                 new = forest.apart(left, right)  # others can't change what holds together
                 left, right = left[new], right[new]
                 ok = prune(sig, left, right, needs)
@@ -227,10 +233,11 @@ def families(classes: DataFrame, block: int = 4 * BLOCK) -> DataFrame:
 
 
 def verify(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """members (family, m, fp, weight, sig, text) -> rows (a, null, links) with the
-    documents that class a links to, and rows (a, b, 0): a forest of the links."""
+    """members (family, m, shingles, fp, weight, sig, text) -> rows (a, null, links) with
+    the documents that class a links to, and rows (a, b, 0): a forest of the links.
+    m, shingles: members of the family, and shingles in all of them."""
     needs = least_matches(threshold=threshold)
-    units = _units(members, ["family"], "m", "fp", block)
+    units = _units(members, ["family"], "m", F.col("shingles"), "fp", block)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, first in whole_units(batches, ["family", "lo", "hi"]):
@@ -238,18 +245,12 @@ def verify(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
             for a, b in chunks(texts := frame["text"].tolist()):
                 sets += shingle_sets(texts[a:b], WORDS)
             fp, weight = frame["fp"].tolist(), frame["weight"].to_numpy()
-            # left out: a text that isn't the class's own (several share an id), and repeats
-            real = np.array([len(s) > 0 and set_fingerprint(s) == f for s, f in zip(sets, fp, strict=True)])
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                met = set()
-                for i in range(a, b):
-                    real[i] &= fp[i] not in met
-                    met.update([fp[i]] if real[i] else [])
+            if any(set_fingerprint(s) != f for s, f in zip(sets, fp, strict=True)):
+                raise ValueError("the row numbers of docs changed between two reads; store docs before the join")
             size, sig, side = np.array([len(s) for s in sets]), _signatures(frame["sig"]), frame["side"].to_numpy()
             links, forest = np.zeros(len(frame), np.int64), Forest(len(frame))
             for left, right in unit_pairs(first, side):
                 near = np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]) - 1e-9
-                near = near & real[left] & real[right]
                 left, right = left[near], right[near]
                 ok = prune(sig, left, right, needs)
                 left, right = left[ok], right[ok]
@@ -268,7 +269,7 @@ def verify(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
 
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Exact sizes of the intersections: many pairs of few sets by matrix products
-    over slices of their shingles, else set by set."""
+    over slices of the shingles that several of them have, else set by set."""
     out = np.zeros(len(left), np.int64)
     if not len(left):
         return out
@@ -281,13 +282,19 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
         return out
     one, two = at[: len(left)], at[len(left) :]
     owner = np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])
-    vocabulary, column = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True)
+    _, column, times = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True, return_counts=True)
+    several = times > 1
+    place = np.cumsum(several) - 1
+    several = several[column]
+    owner, column, n = owner[several], place[column[several]], int(place[-1]) + 1
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
     total = np.zeros((len(rows), len(rows)), np.float32)
-    wide = max(1, 8_000_000 // len(rows))
-    for start in range(0, len(vocabulary), wide):
-        inside = (column >= start) & (column < start + wide)
-        grid = np.zeros((len(rows), min(wide, len(vocabulary) - start)), np.float32)
-        grid[owner[inside], column[inside] - start] = 1
+    wide = max(1, 4_000_000 // len(rows))
+    for start in range(0, n, wide):
+        a, b = np.searchsorted(column, [start, start + wide])
+        grid = np.zeros((len(rows), min(wide, n - start)), np.float32)
+        grid[owner[a:b], column[a:b] - start] = 1
         total += grid @ grid.T
     return total[one, two].astype(np.int64)
 
@@ -296,23 +303,28 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest id among all that
     links connect), copy_id (smallest id with an equal shingle set), n_copies,
     n_links (documents with a similarity of the threshold or more, but itself)."""
-    return linked(docs.select("doc_id", "text").withColumn("row_", F.monotonically_increasing_id()), threshold).drop("row_", "kept")
+    return linked(numbered(docs.select("doc_id", "text"), "ngram-rows"), "row_", threshold).drop("row_", "kept")
 
 
-def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """join for docs with row_: the same columns, row_, and whether the row is the one
-    of its class that stays (the smallest id, null ids last, then the first row)."""
+def linked(docs: DataFrame, row: str, threshold: float = THRESHOLD) -> DataFrame:
+    """join for a stored table with the row number ``row``: the same columns, row_, and
+    whether the row is the one of its class that stays (the smallest id, null ids
+    last, then the first row)."""
+    if (1 - threshold**ROWS) ** (HASHES // ROWS) > TOLERANCE:
+        raise ValueError(f"{HASHES // ROWS} bands of {ROWS} values miss too many pairs at a threshold of {threshold}")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row_"), "text")
     sketches = stored(sketch(docs), "ngram-sketch")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_")
     classes = sketches.where("fp is not null").groupBy("fp").agg(
-        F.min("doc_id").alias("copy_id"), F.min(first).alias("first"), F.count(F.lit(1)).alias("weight"), F.min("sig").alias("sig"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("copy_id"), F.min(first).alias("first"), F.count(F.lit(1)).alias("weight"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.first("bands").alias("bands")
     )
     classes = stored(classes, "ngram-classes")
-    held = components(families(classes)).withColumnRenamed("node", "fp").withColumnRenamed("root", "family")
-    sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    members = held.join(sizes, "family").join(classes.drop("bands"), "fp")
-    texts = docs.select(F.col("doc_id").cast("long").alias("copy_id"), "text").where("text is not null")
-    members = members.join(texts, members["copy_id"].eqNullSafe(texts["copy_id"])).select("family", "m", "fp", "weight", "sig", "text")
+    held = components(families(classes, threshold)).withColumnRenamed("node", "fp").withColumnRenamed("root", "family")
+    held = held.join(classes.select("fp", "first.row_", "n_shingles", "weight", "sig"), "fp")
+    held = stored(held, "ngram-held")
+    sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("shingles"))
+    texts = passing(docs.select("row_", "text"), F.col("row_"), stored(key_filter(held, "row_"), "ngram-filter"))
+    members = held.join(sizes, "family").join(texts, "row_").select("family", "m", "shingles", "fp", "weight", "sig", "text")
     found = stored(verify(members, threshold), "ngram-links")
     links = found.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "fp")
@@ -335,6 +347,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, as they are: exactly one of each class, whatever
     ids its rows have. Rows without shingles all stay."""
-    rows = numbered(docs)
-    gone = linked(rows).where("not kept").select("row_")
-    return rows.join(gone, "row_", "left_anti").select(*docs.columns)
+    row = own_name(docs, "row_")
+    rows = numbered(docs, "ngram-rows", row)
+    gone = linked(rows, row).where("not kept").select(F.col("row_").alias(row))
+    return without(rows, gone, row).select(*docs.columns)
