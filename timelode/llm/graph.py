@@ -12,30 +12,30 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of any orderable type -> (node, root), root the component's
     smallest node. Large-star and small-star rounds; each round ends in a table
     of the shared folder. Every key's neighbours are only reduced to a minimum
-    and joined back, never gathered, so a hub is no list in one task."""
+    and joined back, never gathered, so a hub is no list in one task; the minima are
+    dealt anew before the join, which lets Spark split a hub's edges."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = stored(e, "cc-edges")
-    before = None
     while True:
         # large star: every neighbour above u points at the least of u's closed neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         large = stored(large, "cc-large")
         # small star: u and every smaller neighbour point at the least one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            large.join(low.hint("rebalance"), "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
         )
         e = stored(small, "cc-small")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
+        # done when every node has one root, and no root has another
+        size = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("nodes")).first()
+        if size["n"] == size["nodes"] and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
-        before = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return stored(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "cc-roots")
