@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word: a run of anything but ASCII white space (same in Java, RE2 and Python).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,47 +60,6 @@ def n_words(text) -> F.Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def chunks(texts: Sequence[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Cuts a batch into runs of texts of about ``limit`` characters, which bounds the
-    work arrays; a longer text is a run of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def with_found(rows: DataFrame, text: str, found: T.StructType, work: Callable[[list[str]], Mapping[str, Sequence]]) -> DataFrame:
-    """rows without the column ``text``, with the columns ``found`` that ``work``
-    makes of a batch of texts (null: empty). The other columns stay in Arrow, so
-    values of every type, nulls and large ids come out as they went in."""
-    keep = [f for f in rows.schema.fields if f.name != text]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            made = work([t or "" for t in batch.column(at).to_pylist()])
-            arrays = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            names = [batch.schema.field(i).name for i in range(batch.num_columns) if i != at]
-            for field in found.fields:
-                arrays.append(pa.array(made[field.name], _arrow(field.dataType)))
-                names.append(field.name)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return rows.mapInArrow(run, T.StructType(keep + list(found.fields)))
-
-
-def _arrow(kind: T.DataType) -> pa.DataType:
-    if isinstance(kind, T.ArrayType):
-        return pa.list_(_arrow(kind.elementType))
-    if isinstance(kind, T.StructType):
-        return pa.struct([pa.field(f.name, _arrow(f.dataType)) for f in kind.fields])
-    return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}[kind.simpleString()]
-
-
 # A bounded filter of keys: each key sets one bit of WORDS 64-bit words. The table
 # of words never has more than WORDS rows, whatever the number of keys, so it may be
 # broadcast; keys that share a bit pass as well, and an exact join follows.
@@ -121,13 +77,21 @@ def key_filter(keys: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFram
     return place.groupBy(F.expr("p div 64").alias("word_")).agg(F.bit_or(bit).alias("bits_"))
 
 
+def _meeting(rows: DataFrame, key: Column, filter_: DataFrame, words: int) -> tuple[DataFrame, DataFrame, Column, str]:
+    """rows with the place of their key, the filter, and when the two meet; under
+    names that are no column of rows."""
+    spot, word, bits = (own_name(rows, n) for n in ("spot_", "word_", "bits_"))
+    filter_ = filter_.select(F.col("word_").alias(word), F.col("bits_").alias(bits))
+    at = F.expr(f"shiftleft(1L, CAST({spot} % 64 AS INT))")
+    hit = (F.expr(f"{spot} div 64") == F.col(word)) & (F.col(bits).bitwiseAND(at) != 0)
+    return rows.withColumn(spot, _place(key, words)), F.broadcast(filter_), hit, spot
+
+
 def passing(rows: DataFrame, key: Column, filter_: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """The rows whose key may be in the filter (all whose key is, few others); no
     shuffle of rows."""
-    spot = own_name(rows, "spot_")
-    rows = rows.withColumn(spot, _place(key, words))
-    hit = (F.expr(f"{spot} div 64") == F.col("word_")) & (F.expr(f"bits_ & shiftleft(1L, CAST({spot} % 64 AS INT))") != 0)
-    return rows.join(F.broadcast(filter_), hit, "left_semi").drop(spot)
+    placed, filter_, hit, spot = _meeting(rows, key, filter_, words)
+    return placed.join(filter_, hit, "left_semi").drop(spot)
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
@@ -135,8 +99,6 @@ def without(rows: DataFrame, gone: DataFrame, key: str, words: int = FILTER_WORD
     filter clears stay where they are; only the others meet ``gone`` in a join."""
     gone = stored(gone.select(key), "gone")
     filter_ = stored(key_filter(gone, key, words), "gone-filter")
-    spot = own_name(rows, "spot_")
-    placed = rows.withColumn(spot, _place(F.col(key), words))
-    hit = (F.expr(f"{spot} div 64") == F.col("word_")) & (F.expr(f"bits_ & shiftleft(1L, CAST({spot} % 64 AS INT))") != 0)
-    clear = placed.join(F.broadcast(filter_), hit, "left_anti").drop(spot)
+    placed, other, hit, spot = _meeting(rows, F.col(key), filter_, words)
+    clear = placed.join(other, hit, "left_anti").drop(spot)
     return clear.unionByName(passing(rows, F.col(key), filter_, words).join(gone, key, "left_anti").select(*rows.columns))

@@ -1,20 +1,29 @@
 """Exact deduplication as a stateful stream.
 
-Records (digest, stable id, length, the file that holds the content) flow through
+Records (digest, stable id, length, row, the file that holds the content) flow through
 a streaming aggregation keyed by digest. Its state lives on disk (RocksDB, checkpointed to
 the shared folder), never expires, and holds per digest the best record so far
 and a count. Each micro-batch appends what changed; the newest entry of a digest
 is its state. On a hit (a digest with more than one record) the whole
-normalised texts are compared with the kept record's; rows that differ in spite
-of an equal digest are grouped by their full text.
+normalised texts are compared: the least and the greatest of a digest must agree.
+Rows that differ in spite of an equal digest are grouped by their full text.
+
+With ``state_dir`` the state goes on: a later call adds a further batch of documents
+to what earlier calls have seen, and reads the kept records' content again, in the
+files that the state's locators name, to compare it with the batch's hits.
+
+A bounded filter of the digests that were hit stands before the comparison, and each
+task passes on the least and the greatest text of a digest, so texts without a
+copy don't move, and a text with copies everywhere moves once a task.
 
 Only DataFrame operations; the driver's Python merely starts the stream.
 
 Defined results: a null text counts as empty, so all null, empty and
 white-space texts are one group; rows with a null id take part and sort after
-other ids of the same length; of repeated rows one is kept, the others are
-members like any other; an empty table gives an empty result; other columns
-never matter.
+other ids of the same length; repeated rows are members like any other, and of rows
+that tie in length and id the first row stays, so exactly one row of a group is
+kept; texts of any length are compared whole; an empty table gives an empty
+result; other columns never matter.
 """
 
 from __future__ import annotations
@@ -22,10 +31,10 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, shared_path, stored
+from .common import SPACE, key_filter, numbered, own_name, passing, shared_path, stored, without
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -35,7 +44,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 FILES_PER_BATCH = 2000
-SALTS = 16
+#: What tasks pass on of a digest is merged in two steps, in this many parts first.
+PARTS = 64
 
 
 @contextlib.contextmanager
@@ -63,6 +73,12 @@ def _order(chars: Column, doc_id: Column) -> Column:
     return F.struct((-chars).alias("chars"), doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"))
 
 
+def _record() -> Column:
+    """What the state keeps of a row (text, doc_id, row_): its order, then its number."""
+    chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    return F.struct(_order(chars, F.col("doc_id")).alias("order"), F.col("row_").alias("row"), F.input_file_name().alias("locator"))
+
+
 def stream_state(spark: SparkSession, source: str, schema, files_per_batch: int = FILES_PER_BATCH, checkpoint: str | None = None) -> DataFrame:
     """Runs the records under ``source`` that ``checkpoint`` has not seen through
     the keyed state; returns (digest, best, n) of every digest they touched."""
@@ -87,65 +103,88 @@ def stream_state(spark: SparkSession, source: str, schema, files_per_batch: int
     return newest
 
 
-def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """docs (doc_id, text, ...) -> one row for each: doc_id, keep_id, group_size,
-    kept, digest. The kept record has the most code points, then the smallest id."""
-    spark = docs.sparkSession
+def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH, state_dir: str | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) -> one row for each: doc_id, keep_id, group_size, kept, digest,
+    keep_locator (the file of the kept record). The kept record has the most code
+    points, then the smallest id. With ``state_dir``, groups count all batches so far."""
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_"))
+    return grouped(rows, digest, files_per_batch, state_dir).drop("row_")
+
+
+def grouped(rows: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH, state_dir: str | None = None) -> DataFrame:
+    """dedup for rows (doc_id, text, row_); row_ goes along."""
+    spark = rows.sparkSession
     clean = normalised(F.col("text"))
-    records = docs.select("doc_id", digest(clean).alias("digest"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
-    # the row number sets repeated rows apart; it is written, so it stays the same
-    best = F.struct("order", F.monotonically_increasing_id().alias("row"), F.input_file_name().alias("locator"))
-    records = records.withColumn("order", _order(F.col("chars"), F.col("doc_id"))).select("doc_id", "digest", best.alias("best"))
-    source = shared_path(spark, "dedup-records")
-    records.write.parquet(source)
-    records = spark.read.schema(records.schema).parquet(source)
-    state = stored(stream_state(spark, source, records.schema, files_per_batch), "dedup-keys")
+    records = rows.select("doc_id", "row_", digest(clean).alias("digest"), _record().alias("best"))
+    # a batch's records are written once; the stream, and the result, read them from there
+    folder = state_dir or shared_path(spark, "dedup")
+    batch = shared_path(spark, "batch").rsplit("/", 1)[1]
+    records.write.parquet(f"{folder}/records/{batch}")
+    records = spark.read.schema(records.schema).parquet(f"{folder}/records/{batch}")
+    state = stored(stream_state(spark, f"{folder}/records/*", records.schema, files_per_batch, f"{folder}/state"), "dedup-keys")
     hits = state.where("n > 1")
-
-    # Full bytes on hits: of each digest seen more than once, the least and the
-    # greatest text must agree. A digest is dealt to SALTS parts, so that a hot one
-    # is compared in many tasks; each part then passes on one text.
-    texts = docs.select("doc_id", digest(clean).alias("digest"), clean.alias("clean"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
-    parts = state.where("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = texts.select("digest", "clean", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    ends = dealt.join(parts, ["digest", "salt"]).groupBy("digest", "salt").agg(F.min("clean").alias("low"), F.max("clean").alias("high"))
-    ends = ends.withColumn("high", F.when(F.col("low") != F.col("high"), F.col("high")))
-    ends = ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("low").alias("top"), F.count("high").alias("split"))
-    mixed = stored(ends.where("low <> top or split > 0").select("digest"), "dedup-mixed")
+    if state_dir:
+        hits = hits.join(records.select("digest").distinct(), "digest")
+    hits = stored(hits, "dedup-hits")
+
+    # Full bytes on hits. The filter lets through few other texts; these agree with
+    # themselves and change nothing.
+    filter_ = stored(key_filter(hits, "digest"), "dedup-filter")
+    texts = rows.select("doc_id", "row_", "text")
+    compared = texts.select("text")
+    if state_dir:
+        compared = compared.unionByName(_kept_before(hits, records, spark))
+    compared = passing(compared.select(digest(clean).alias("digest"), clean.alias("clean")), F.col("digest"), filter_)
+    part = F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part")
+    ends = compared.select("digest", part, "clean").groupBy("digest", "part").agg(F.min("clean").alias("low"), F.max("clean").alias("high"))
+    ends = ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    mixed = stored(ends.where("low <> high").select("digest"), "dedup-mixed")
     if mixed.isEmpty():
-        return _members(records, state)
-    return _split(records, texts, state, mixed)
+        return _members(records, hits)
+    if state_dir:
+        raise ValueError("texts of several batches differ in spite of an equal digest: deduplicate them in one batch")
+    plain = records.join(mixed, "digest", "left_anti")
+    return _members(plain, hits).unionByName(_split(texts, digest, mixed))
 
 
-def _members(records: DataFrame, state: DataFrame) -> DataFrame:
-    state = state.select("digest", F.col("best").alias("top"), "n")
-    return records.join(state, "digest").select(
-        "doc_id", F.col("top.order.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("best").eqNullSafe(F.col("top")).alias("kept"), "digest"
-    )
+def _kept_before(hits: DataFrame, records: DataFrame, spark: SparkSession) -> DataFrame:
+    """Texts of the files that hold the kept records of hits, but for this batch's.
+    The driver gets names of files only."""
+    places = hits.select(F.col("best.locator").alias("at")).distinct().join(records.select(F.col("best.locator").alias("at")).distinct(), "at", "left_anti")
+    paths = [r["at"] for r in places.collect() if r["at"]]
+    schema = "text string"
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def _split(records: DataFrame, texts: DataFrame, state: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Digests that stand for several texts: their groups go by the full text."""
-    plain = records.join(mixed, "digest", "left_anti")
-    own = texts.join(mixed, "digest").select("doc_id", "digest", "clean", _order(F.col("chars"), F.col("doc_id")).alias("best"))
-    group = Window.partitionBy("digest", "clean")
-    split = own.select(
+def _members(records: DataFrame, hits: DataFrame) -> DataFrame:
+    """A record without a hit is a group of its own."""
+    hits = hits.select("digest", F.col("best").alias("top"), "n")
+    top = F.coalesce("top", "best")
+    return records.join(hits, "digest", "left").select(
         "doc_id",
-        F.min("best").over(group)["doc_id"].alias("keep_id"),
-        F.count(F.lit(1)).over(group).alias("group_size"),
-        (F.row_number().over(group.orderBy("best")) == 1).alias("kept"),
+        "row_",
+        top["order"]["doc_id"].alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("best") == top).alias("kept"),
         "digest",
+        top["locator"].alias("keep_locator"),
     )
-    return _members(plain, state).unionByName(split)
 
 
-def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one for each group of equal texts, all columns as they are."""
+def _split(texts: DataFrame, digest: Callable[[Column], Column], mixed: DataFrame) -> DataFrame:
+    """Digests that stand for several texts: their groups go by the full text."""
+    clean = normalised(F.col("text"))
+    own = stored(texts.select("doc_id", "row_", digest(clean).alias("digest"), clean.alias("clean"), _record().alias("best")).join(mixed, "digest"), "dedup-split")
+    tops = own.groupBy("digest", "clean").agg(F.min("best").alias("top"), F.count(F.lit(1)).alias("n"))
+    return own.join(tops, ["digest", "clean"]).select(
+        "doc_id", "row_", F.col("top.order.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("best") == F.col("top")).alias("kept"), "digest", F.col("top.locator").alias("keep_locator")
+    )
 
-    def key(digest: Column, doc_id: Column) -> Column:
-        return F.sha2(F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("none")).cast("binary")), 256)
 
-    best = dedup(docs).where("kept").select(key(F.col("digest"), F.col("doc_id")).alias("key_"))
-    rows = docs.withColumn("key_", key(sha256(normalised(F.col("text"))), F.col("doc_id")))
-    # repeated rows share a key; they lie together after the join, so this moves nothing again
-    return rows.join(best, "key_", "left_semi").dropDuplicates(["key_"]).select(*docs.columns)
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, one for each group of equal texts, all columns as
+    they are. Rows are told apart by number, whatever their ids."""
+    row = own_name(docs, "row_")
+    rows = numbered(docs, "dedup-rows", row)
+    gone = grouped(rows.select("doc_id", "text", F.col(row).alias("row_"))).where("not kept").select(F.col("row_").alias(row))
+    return without(rows, gone, row).select(*docs.columns)

@@ -45,7 +45,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, key_filter, numbered, own_name, passing, stored, with_found, without
+from .batches import chunks, with_found
+from .common import key_filter, numbered, own_name, passing, stored, without
 from .graph import components
 from .shingles import minhash, mix, set_fingerprint, shingle_sets
 
