@@ -3,35 +3,42 @@ the lines of a text, decoded by Viterbi, calls each line content or boilerplate;
 the share of words on content lines decides whether the document stays.
 
 Weights are trained on a bounded sample of labelled documents
-(``sample_rows``): their lines carry the document's quality as a weak label and
-the field is fitted by exact forward-backward gradients. Without two kinds of
-labels ``DEFAULT`` holds. Everything else covers every row and whole texts.
+(``sample_rows``): all their lines carry the document's quality as a weak label and
+the field is fitted by exact forward-backward gradients. Tasks work out the
+gradients of the sampled rows; the driver gets their sums, a dozen numbers a round.
+Without two kinds of labels ``DEFAULT`` holds. Everything else covers every row
+and whole texts.
 
 Defined results: a null or empty text has no words, no lines and fails the base
-rule; rows are judged one by one, so repeated rows get equal results; an empty
-table gives an empty result; other columns are carried through ``annotate``
-unless their name is one of this operator's own, which then holds its value.
+rule; a share of exactly ``MIN_SHARE`` is kept, and a line that is as good either way
+counts as content; rows are judged one by one, so repeated rows get equal results;
+texts of any length are judged whole, in time linear in their length; an empty
+table gives an empty result. ``annotate`` carries other columns unless their name is
+one of this operator's own, which then holds its value; ``kept_rows`` returns every
+input column as it was.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .batches import chunks, with_found
+from .common import own_name, stored
 from .shingles import _SPACE, windows_of, words_of
 
 MIN_WORDS, WINDOW = 10, 5
 REPEAT_PERCENT = 20
 MIN_SHARE = 0.5
 SAMPLE_ROWS = 600
-TRAIN_LINES = 64
+ROUNDS = 40
 
 _SYMBOL, _UPPER, _LETTER, _DIGIT, _PIPE, _POINT, _LEAD = (np.zeros(256, bool) for _ in range(7))
 _SYMBOL[list(b"#*$%&|<>!~^{}[]\\=_")] = True
@@ -156,75 +163,95 @@ def viterbi(gain: list[float], step) -> list[int]:
     return path[::-1]
 
 
-def first_lines(texts: list[str], most: int = TRAIN_LINES) -> list[np.ndarray]:
-    """Features of at most the first ``most`` lines of each text, for training."""
-    features, _, first, _, _ = line_features(texts)
-    return [features[a : min(b, a + most)] for a, b in zip(first[:-1], first[1:], strict=True)]
+def gradient(x: np.ndarray, good: int, field: Field) -> np.ndarray:
+    """Of one text's log likelihood by all its lines (features x, all labelled
+    ``good``), over the number of lines: for the features, then the four steps. What
+    is passed on from line to line is the log odds of content, in both directions."""
+    n, ((s00, s01), (s10, s11)) = len(x), field.step
+    gain = x @ np.array(field.emit)
+    g = gain.tolist()
+    ahead, after = [g[0]], [0.0]
+    e00, e01, e10, e11 = exp(s00), exp(s01), exp(s10), exp(s11)
+    for v in g[1:]:
+        u = exp(ahead[-1])
+        ahead.append(v + log((e01 + u * e11) / (e00 + u * e10)))
+    for v in g[:0:-1]:
+        u = exp(v + after[-1])
+        after.append(log((e10 + u * e11) / (e00 + u * e01)))
+    ahead, after = np.array(ahead), np.array(after[::-1])
+    content = 1 / (1 + np.exp(-(ahead + after)))
+    joint = np.zeros(4)
+    if n > 1:
+        right = (gain + after)[1:]
+        logs = np.stack([np.full(n - 1, s00), s01 + right, ahead[:-1] + s10, ahead[:-1] + s11 + right])
+        odds = np.exp(logs - logs.max(0))
+        joint = -(odds / odds.sum(0)).sum(1)
+        joint[3 * good] += n - 1
+    return np.concatenate([x.T @ (good - content), joint]) / n
+
+
+def sample_lines(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(quality, x): the features of every line of at most ``sample_rows`` labelled
+    rows, drawn in the order of a hash of id and text; a stored table."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(sample_rows)
+
+    def work(texts: list[str]) -> dict[str, list]:
+        out = []
+        for a, b in chunks(texts):
+            features, _, first, _, _ = line_features(texts[a:b])
+            out += [features[p:q].ravel() for p, q in zip(first[:-1], first[1:], strict=True)]
+        return {"x": out}
+
+    spread = rows.select("quality", "text").repartition(8, F.xxhash64("text"))
+    found = with_found(spread, "text", T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]), work)
+    return stored(found.where(F.size("x") > 0), "field-sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, rate: float = 1.0, shrink: float = 0.02) -> Field:
+    """Maximum a posteriori weights under a Gaussian prior about ``DEFAULT``, by
+    full-batch ascent with momentum over the sampled rows."""
+    sample = sample_lines(docs, labels, sample_rows)
+    seen = {r["quality"]: r["n"] for r in sample.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(seen) < 2:
+        return DEFAULT
+    n, size = sum(seen.values()), len(FEATURES)
 
+    def slope(field: Field) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size + 4)
+            for batch in batches:
+                for x, good in zip(batch.column("x"), batch.column("quality").to_pylist(), strict=True):
+                    total += gradient(x.values.to_numpy().reshape(-1, size), good, field)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["slope"])
+
+        return sum(np.array(r["slope"]) for r in sample.mapInArrow(run, "slope array<double>").collect()) / n
 
-def train(samples: list[np.ndarray], good: list[int], rounds: int = 60, rate: float = 1.0, shrink: float = 0.02) -> Field:
-    """samples: line features of each text. Maximum a posteriori weights under a
-    Gaussian prior about ``DEFAULT``, by full-batch ascent with momentum."""
-    known = [(s, y) for s, y in zip(samples, good, strict=True) if len(s)]
-    if len({y for _, y in known}) < 2:
-        return DEFAULT
-    n, most = len(known), max(len(s) for s, _ in known)
-    x, on = np.zeros((n, most, len(FEATURES))), np.zeros((n, most), bool)
-    y = np.array([y for _, y in known])
-    for i, (s, _) in enumerate(known):
-        x[i, : len(s)], on[i, : len(s)] = s, True
-    heavy = 1 / n / on.sum(1)
     prior_emit, prior_step = np.array(DEFAULT.emit), np.array(DEFAULT.step)
     emit, step = prior_emit.copy(), prior_step.copy()
-    pairs = on[:, 1:]
     speed_e, speed_s = np.zeros_like(emit), np.zeros_like(step)
+    field = DEFAULT
     for _ in range(rounds):
-        score = np.stack([np.zeros((n, most)), x @ emit], -1) * on[..., None]
-        ahead, after = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-        ahead[:, 0] = score[:, 0]
-        for t in range(1, most):
-            new = np.logaddexp.reduce(ahead[:, t - 1, :, None] + step, axis=1) + score[:, t]
-            ahead[:, t] = np.where(on[:, t, None], new, ahead[:, t - 1])
-        for t in range(most - 2, -1, -1):
-            new = np.logaddexp.reduce(step + (score[:, t + 1] + after[:, t + 1])[:, None, :], axis=2)
-            after[:, t] = np.where(on[:, t + 1, None], new, 0)
-        whole = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        content = np.exp((ahead + after)[..., 1] - whole[:, None]) * on
-        grad_e = (heavy[:, None, None] * x * ((y[:, None] - content) * on)[..., None]).sum((0, 1)) - shrink * (emit - prior_emit)
-        joint = np.exp(ahead[:, :-1, :, None] + step + (score + after)[:, 1:, None, :] - whole[:, None, None, None])
-        joint *= (pairs * heavy[:, None])[..., None, None]
-        seen = np.zeros((2, 2))
-        for k in (0, 1):
-            seen[k, k] = (pairs * heavy[:, None])[y == k].sum()
-        grad_s = seen - joint.sum((0, 1)) - shrink * (step - prior_step)
+        found = slope(field)
+        grad_e, grad_s = found[:size] - shrink * (emit - prior_emit), found[size:].reshape(2, 2) - shrink * (step - prior_step)
         speed_e, speed_s = 0.9 * speed_e + rate * grad_e, 0.9 * speed_s + rate * grad_s
-        emit, step = emit + speed_e, np.clip(step + speed_s, -1.0, 1.0)
-    return Field(tuple(map(float, emit)), tuple(tuple(map(float, r)) for r in step))
-
+        emit, step = np.round(emit + speed_e, 9), np.round(np.clip(step + speed_s, -1.0, 1.0), 9)
+        field = Field(tuple(map(float, emit)), tuple(tuple(map(float, r)) for r in step))
+    return field
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
-    """Trains on at most ``sample_rows`` labelled documents, drawn by a hash of their
-    id. The driver gets the features of at most TRAIN_LINES lines of each, no text."""
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").limit(2 * sample_rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [s.ravel() for s in first_lines(batch["text"].tolist())]})
+OUT = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    + [T.StructField("base_failed", T.BooleanType()), T.StructField("content_share", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+)
 
-    found = rows.mapInPandas(run, "doc_id long, quality int, x array<double>").toPandas()
-    samples = sorted((int(i), int(q), [float(v) for v in x]) for i, q, x in zip(found["doc_id"], found["quality"], found["x"], strict=True))
-    return train([np.array(x).reshape(-1, len(FEATURES)) for _, _, x in samples], [q for _, q, _ in samples])
 
-
-OUT = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("content_share", T.DoubleType()), ("kept", T.BooleanType())]
-
-
-def judge(texts: list[str], field: Field) -> pd.DataFrame:
+def judge(texts: list[str], field: Field) -> dict[str, np.ndarray]:
     parts = []
     for a, b in chunks(texts):
-        features, line_words, first, base, words = line_features(texts[a:b])
+        features, line_words, first, out, words = line_features(texts[a:b])
         gain = features @ np.array(field.emit)
         share = np.zeros(b - a)
         for i, (p, q) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
@@ -232,25 +259,26 @@ def judge(texts: list[str], field: Field) -> pd.DataFrame:
                 states = np.array(viterbi(gain[p:q].tolist(), field.step))
                 own = line_words[p:q]
                 share[i] = (own * states).sum() / own.sum()
-        out = pd.DataFrame(base)
         out["n_repeat_words"] = repeat_words(words)
-        out["base_failed"] = (out.n_words < MIN_WORDS) | (100 * out.n_repeat_words > REPEAT_PERCENT * out.n_words)
+        out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * out["n_words"])
         out["content_share"] = share
-        out["kept"] = ~out.base_failed & (out.content_share >= MIN_SHARE)
+        out["kept"] = ~out["base_failed"] & (share >= MIN_SHARE)
         parts.append(out)
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({n: [] for n, _ in OUT})
+    return {n: np.concatenate([p[n] for p in parts]) if parts else np.zeros(0) for n in OUT.names}
 
 
 def annotate(docs: DataFrame, field: Field, keep: list[str] | None = None) -> DataFrame:
     """docs with the figures and the verdict of each row; no shuffle. keep: the
     columns to carry (default: all but those named as this operator's own)."""
-    own = [n for n, _ in OUT]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in OUT])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = judge(["" if t is None else t for t in batch["text_"]], field)
-            yield pd.concat([batch[keep].reset_index(drop=True), found], axis=1)
-
-    return docs.select(*keep, F.col("text").alias("text_")).mapInPandas(run, schema)
+    own = {n.lower() for n in OUT.names}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
+    text = own_name(docs, "text_")
+    return with_found(docs.select(*keep, F.col("text").alias(text)), text, OUT, lambda texts: judge(texts, field))
+
+
+def kept_rows(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows of docs that stay, as they are."""
+    text, kept = own_name(docs, "text_"), own_name(docs, "kept_")
+    found = T.StructType([T.StructField(kept, T.BooleanType())])
+    judged = with_found(docs.withColumn(text, F.col("text")), text, found, lambda texts: {kept: judge(texts, field)["kept"]})
+    return judged.where(kept).drop(kept)
