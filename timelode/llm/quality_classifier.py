@@ -3,18 +3,23 @@
 A logistic classifier, trained on a bounded sample of labelled documents
 (``sample_rows``), gives each document's own evidence. Grouped aggregation
 turns the evidence of all documents into posteriors: a path's mean is shrunk
-toward its host's, a host's toward the corpus mean, each by a prior strength
-found by the method of moments over all groups of that level. A document's
-quality adds its own log odds and those of its path over the corpus's.
+toward its host's posterior, a host's mean toward the corpus mean. How strongly
+follows from variance components by the method of moments, from counts, sums and
+sums of squares over all groups: the spread of documents within their paths, of
+paths about their host, of hosts about the corpus. A level's prior counts as
+many documents as the first spread is larger than its own. A document's quality
+adds to its own log odds those of its path over the corpus's.
 
 Sums are partial before they are shuffled, so a host with a third of all rows is
-one row from each task. Group posteriors return by an equi-join, whose hot keys
-Spark may split; it broadcasts them only under its own size limit.
+one row from each task; they are sums of whole numbers, so their order changes
+nothing. Group posteriors return by an equi-join, whose hot keys Spark may split;
+it broadcasts them only under its own size limit.
 
 Defined results: a null or empty text has the features of an empty text and is
-never kept (``MIN_WORDS``); null hosts and paths are groups like others; repeated
-rows count as rows; an empty table gives an empty result; without labels of both
-kinds the default weights hold.
+never kept (``MIN_WORDS``); a quality of exactly the threshold is kept; null hosts
+and paths are groups like others; repeated rows count as rows; texts of any length
+are read whole; an empty table gives an empty result; without labels of both kinds
+the default weights hold; other columns are not read and never clash.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from .common import SPACE, stored
 
 SAMPLE_ROWS = 5000
 MIN_WORDS = 3
+#: Evidence in whole millionths; the least and most documents that a prior counts as.
+UNIT, LEAST_STRENGTH, MOST_STRENGTH = 1_000_000, 1.0, 1e4
 FEATURES = ("bias", "symbols", "upper", "shouts", "pipes", "word_length", "repeats", "log_words")
 
 
@@ -65,8 +72,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ridg
     prior about ``DEFAULT``."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").limit(2 * sample_rows)
-    sample = rows.select("doc_id", "quality", F.array(*features(F.col("text"))).alias("x")).toPandas().sort_values("doc_id", kind="stable")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", F.array(*features(F.col("text"))).alias("x"), F.xxhash64("text").alias("key"))
+    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "key", "x").limit(sample_rows).toPandas()
     if sample.empty or sample.quality.nunique() < 2:
         return DEFAULT
     x, y = np.stack(sample["x"].to_numpy()).astype(float), sample["quality"].to_numpy(float)
@@ -85,15 +92,37 @@ def _logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def _strength(groups: DataFrame, of: float) -> float:
-    """Prior strength of a level by moments: the pseudo-documents that make the
-    variance between the groups' means what it is beyond chance."""
-    row = groups.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("mean") - F.lit(of), 2)).alias("ss"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    if not row["k"] or row["k"] < 2:
-        return 100.0
-    within = of * (1 - of)
-    between = (row["ss"] - (row["k"] - 1) * within) / max(1e-9, row["n"] - row["nn"] / row["n"])
-    return float(min(1e4, max(2.0, within / between - 1))) if between > 1e-9 else 1e4
+@dataclass(frozen=True)
+class Spread:
+    """The corpus mean and the strengths of the priors of hosts and of paths."""
+
+    mean: float
+    of_host: float
+    of_path: float
+
+
+def spread(paths: DataFrame) -> Spread:
+    """paths (host, path, n, s, ss: count, sum and sum of squares of the evidence in
+    ``UNIT``) -> variance components of the nested groups. One row reaches the driver."""
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.pow("s", F.lit(2)) / F.col("n")).alias("of_paths"))
+    n = F.col("n").cast("double")
+    row = hosts.agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast("double").alias("ss"), F.sum("k").alias("paths"), F.count(F.lit(1)).alias("hosts"),
+        F.sum("of_paths").alias("of_paths"), F.sum(F.pow("s", F.lit(2)) / n).alias("of_hosts"),
+        F.sum("nn").cast("double").alias("path_nn"), F.sum(F.col("nn") / n).alias("nested_nn"), F.sum(n * n).alias("host_nn"),
+    ).first()
+    if not row["n"]:
+        return Spread(0.5, MOST_STRENGTH, MOST_STRENGTH)
+    total, mean = float(row["n"]), row["s"] / UNIT / row["n"]
+    of_all = float(row["s"]) ** 2 / total
+    squares = {k: v / UNIT**2 for k, v in {"within": row["ss"] - row["of_paths"], "paths": row["of_paths"] - row["of_hosts"], "hosts": row["of_hosts"] - of_all}.items()}
+    within = squares["within"] / (total - row["paths"]) if total > row["paths"] else mean * (1 - mean)
+    of_paths = (squares["paths"] - (row["paths"] - row["hosts"]) * within) / max(1e-9, total - row["nested_nn"])
+    of_paths = max(0.0, of_paths)
+    mixed = row["nested_nn"] - row["path_nn"] / total
+    of_hosts = (squares["hosts"] - (row["hosts"] - 1) * within - mixed * of_paths) / max(1e-9, total - row["host_nn"] / total)
+    strength = lambda between: float(min(MOST_STRENGTH, max(LEAST_STRENGTH, within / between))) if between > 1e-9 else MOST_STRENGTH
+    return Spread(float(min(1 - 1e-6, max(1e-6, mean))), strength(of_hosts), strength(of_paths))
 
 
 def classify(docs: DataFrame, model: Model, host: Column, path: Column, weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
@@ -104,20 +133,16 @@ def classify(docs: DataFrame, model: Model, host: Column, path: Column, weight:
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     evidence = (1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), linear))))).alias("evidence")
     rows = stored(docs.select("doc_id", host.alias("host"), path.alias("path"), words.cast("long").alias("n_words"), evidence), "quality-evidence")
-    sums = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("evidence") * 1e9).cast("long")).alias("s"))
+    whole = F.round(F.col("evidence") * UNIT).cast("long")
+    sums = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(whole).alias("s"), F.sum((whole * whole).cast("decimal(38,0)")).alias("ss"))
     paths = stored(sums, "quality-paths")
+    found = spread(paths)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    whole = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    overall = whole["s"] / 1e9 / whole["n"] if whole["n"] else 0.5
-    overall = min(1 - 1e-6, max(1e-6, overall))
-    mean = F.col("s") / 1e9 / F.col("n")
-    of_host = _strength(hosts.withColumn("mean", mean), overall)
-    of_path = _strength(paths.withColumn("mean", mean), overall)
-    hosts = hosts.select(F.col("host").alias("host_"), ((F.col("s") / 1e9 + of_host * overall) / (F.col("n") + of_host)).alias("host_posterior"))
+    hosts = hosts.select(F.col("host").alias("host_"), ((F.col("s") / UNIT + found.of_host * found.mean) / (F.col("n") + found.of_host)).alias("host_posterior"))
     paths = paths.join(hosts, paths["host"].eqNullSafe(hosts["host_"]))
-    paths = paths.select("host_", F.col("path").alias("path_"), "host_posterior", ((F.col("s") / 1e9 + of_path * F.col("host_posterior")) / (F.col("n") + of_path)).alias("path_posterior"))
+    paths = paths.select("host_", F.col("path").alias("path_"), "host_posterior", ((F.col("s") / UNIT + found.of_path * F.col("host_posterior")) / (F.col("n") + found.of_path)).alias("path_posterior"))
     rows = rows.join(paths, rows["host"].eqNullSafe(paths["host_"]) & rows["path"].eqNullSafe(paths["path_"]))
-    odds = _logit(F.col("evidence")) + weight * (_logit(F.col("path_posterior")) - _logit(F.lit(overall)))
+    odds = _logit(F.col("evidence")) + weight * (_logit(F.col("path_posterior")) - _logit(F.lit(found.mean)))
     quality = 1 / (1 + F.exp(-odds))
     rows = rows.withColumn("quality", quality)
     kept = (F.col("quality") >= threshold) & (F.col("n_words") >= MIN_WORDS)
