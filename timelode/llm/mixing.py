@@ -14,11 +14,20 @@ settle together, and of their at most 2 ** 16 outcomes the landing phase takes
 the one nearest to the totals. So a source misses its target by little, unless
 one document outweighs the others.
 
-Documents fly by falling size. Draws come from hashes of source, document and ``SEED``: reruns agree.
+Documents fly by falling size. Draws and blocks come from hashes of source, id, text
+and ``SEED``: reruns agree. Rows that repeat as a whole have their row number hashed
+too, so that their blocks are no larger than others and they don't draw alike.
+
+The totals of sources, a row each, are ranked in one task: meant for up to some
+millions of sources (a million rows of some 60 bytes are sorted in seconds). All
+else is dealt by blocks.
 
 Defined results: a null or empty text has size 0 and is drawn like others, at
 rate 0 if the whole source is empty; null sources are one source, the last;
-repeated rows are documents of their own; an empty table gives an empty result.
+sources and documents that tie go by name and draw; repeated rows are documents of
+their own, drawn one by one; texts of any length count whole; an empty table gives
+an empty result; other columns are not read, and ``mixed_rows`` returns them as they
+were.
 """
 
 from __future__ import annotations
@@ -30,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import n_words, numbered, own_name, stored
 
 WEIGHTS, CAP, SEED, BLOCK, LANDING = (5, 2, 1), 3, 17, 4096, 14
 EPS = 1e-9
@@ -113,7 +122,7 @@ def _round(rows: DataFrame, most: int) -> DataFrame:
     columns = rows.schema
 
     def run(_key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable")
+        block = block.sort_values(["size", "draw", "row_"], ascending=[False, True, True], kind="stable")
         chance, size, draw = block["chance"].to_numpy(np.float64, copy=True), block["size"].to_numpy(np.float64), block["draw"].to_numpy()
         if block["left"].iloc[0] <= most:
             chance = land(chance, size, draw)
@@ -130,28 +139,39 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, s
     """docs (doc_id, text, source) -> doc_id, source, size, source_size, target,
     repeats, taken, a row for each row of docs."""
     size = n_words(F.col("text")) if size is None else size
-    # the row number sets repeated rows apart; it is written, so it stays the same
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.monotonically_increasing_id().alias("row"))
-    sized = stored(sized, "mix-sized")
+    text = F.col("text") if "text" in docs.columns else F.lit(None)
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "source", text, size).alias("key"), F.monotonically_increasing_id().alias("row_")
+    )
+    return mixed(sized, weights, cap, seed, block).drop("row_")
+
+
+def mixed(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """sized (doc_id, source, size, key: a hash of all of the document, row_) -> mix, with row_."""
+    sized = stored(sized, "mix-sized")  # the row numbers stay the same
     by_source = stored(targets(sized, weights, cap), "mix-targets")
+    again = stored(sized.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("again")), "mix-again")
+    own = F.when(F.coalesce("again", F.lit(False)), F.col("row_")).otherwise(F.lit(0).cast("long"))
+    rows = sized.join(again, "key", "left").withColumn("own", F.xxhash64("key", own)).drop("again", "key")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    draw = F.pmod(F.xxhash64("source", "doc_id", "size", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("own", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     facts = by_source.select(F.col("source").alias("source_"), "source_size", "n_docs", "target")
-    rows = sized.join(facts, sized["source"].eqNullSafe(facts["source_"])).drop("source_")
+    rows = rows.join(facts, rows["source"].eqNullSafe(facts["source_"])).drop("source_")
     rows = rows.withColumn("whole", F.floor(rate).cast("long")).withColumn("chance", rate - F.floor(rate)).withColumn("draw", draw)
-    flown = rows.select("row", "doc_id", "source", "size", "source_size", "target", "whole", "chance", "draw", F.col("n_docs").alias("left"))
+    # ids pass through pandas as text: a null beside them would make floats of numbers
+    flown = rows.select("row_", F.col("doc_id").cast("string").alias("doc_id"), "own", "source", "size", "source_size", "target", "whole", "chance", "draw", F.col("n_docs").alias("left"))
     undecided = (F.col("chance") > EPS) & (F.col("chance") < 1 - EPS)
     # a source that doesn't land at once keeps its largest documents on the ground till it does
-    falling = Window.partitionBy("source").orderBy(F.col("size").desc(), "draw", F.col("doc_id").asc_nulls_last(), "row")
+    falling = Window.partitionBy("source").orderBy(F.col("size").desc(), "draw", "row_")
     ground = flown.where((F.col("left") > block) & undecided).withColumn("turn", F.row_number().over(falling)).where(F.col("turn") <= LANDING)
-    ground = stored(ground.select("row", F.lit(True).alias("held")), "mix-ground")
-    flown = flown.join(ground, "row", "left").withColumn("held", F.coalesce("held", F.lit(False))).drop("row")
+    ground = stored(ground.select("row_", F.lit(True).alias("held")), "mix-ground")
+    flown = flown.join(ground, "row_", "left").withColumn("held", F.coalesce("held", F.lit(False)))
     settled: list[DataFrame] = []
     number = 0
     while True:
         number += 1
         blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("left") / block))
-        dealt = flown.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + number)), blocks))
+        dealt = flown.withColumn("block", F.pmod(F.xxhash64("own", F.lit(seed + number)), blocks))
         done = stored(_round(dealt, block).drop("block"), "mix-round")
         settled.append(done.where(~undecided))
         open_ = done.where(undecided).drop("left")
@@ -165,15 +185,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, s
     for more in settled[1:]:
         found = found.unionByName(more)
     repeats = (F.col("whole") + F.round("chance").cast("long")).alias("repeats")
-    return found.select("doc_id", "source", "size", "source_size", "target", repeats).withColumn("taken", F.col("size") * F.col("repeats"))
+    found = found.select("row_", F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "source_size", "target", repeats)
+    return found.withColumn("taken", F.col("size") * F.col("repeats"))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it (a row that repeats with the
-    same id, source and size is dealt with as one, by the mean of its repeats)."""
-    found = mix(docs).groupBy("doc_id", "source", "size").agg(F.round(F.avg("repeats")).cast("int").alias("repeats"))
-    found = found.where("repeats > 0").select(F.col("doc_id").alias("doc_"), F.col("source").alias("source_"), F.col("size").alias("size_"), F.col("repeats").alias("repeats_"))
-    rows = docs.withColumn("n_", n_words(F.col("text")))
-    on = rows["doc_id"].eqNullSafe(found["doc_"]) & rows["source"].eqNullSafe(found["source_"]) & (rows["n_"] == found["size_"])
-    rows = rows.join(found, on).withColumn("turn_", F.explode(F.sequence(F.lit(1), F.col("repeats_"))))
+    """docs with each row as often as the mix takes it. Rows are told apart by
+    number, whatever their ids."""
+    row, times, turn = (own_name(docs, n) for n in ("row_", "times_", "turn_"))
+    rows = numbered(docs, "mix-rows", row)
+    size = n_words(F.col("text"))
+    sized = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "source", "text", size).alias("key"), F.col(row).alias("row_"))
+    found = mixed(sized).where("repeats > 0").select(F.col("row_").alias(row), F.col("repeats").cast("int").alias(times))
+    rows = rows.join(found, row).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times))))
     return rows.select(*[rows[c] for c in docs.columns])

@@ -6,16 +6,19 @@ to the open bin with the least free space that still takes it (the lowest set
 bit from the piece's length on). When too many bins are open, the fullest closes
 (the lowest set bit of all). No bin is capped otherwise: every piece is packed.
 
-Pieces are dealt by a hash of the document id to packers of about ``GROUP``
-pieces, whatever the input's size, and come longest first. A packer's unfilled
-bins are all that a cut into packers costs.
+Pieces are dealt by a hash of their row to packers of about ``GROUP`` pieces,
+whatever the input's size and however many pieces share an id, and come longest
+first. A packer's unfilled bins are all that a cut into packers costs.
 
 Token ids come from one pass over the texts; only lengths and checksums are
 kept, so the pack shuffles no text.
 
 Defined results: a null or empty text is its end token alone; an added token of
-the vocabulary that stands in a text is that token; repeated rows are
-packed one by one; an empty table gives an empty result; null ids take part.
+the vocabulary that stands in a text is that token; texts of any length are
+tokenised whole and only cut into pieces; of open bins with equal free space the
+last one filled is taken; repeated rows are packed one by one; null ids take part, and
+ids of any size come out as they went in; an empty table gives an empty result;
+only doc_id and text are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -74,8 +78,9 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         try:
             return self._main.encode_to_numpy(text, allowed_special="all")
-        except BaseException as error:  # the matcher's failure is a panic, not an Exception
-            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as error:
+            # the matcher's failure is a panic: of a class that is no Exception and can't be imported
+            if type(error).__name__ != "PanicException" and not isinstance(error, ValueError):
                 raise
             if self._other is None:
                 from tokenizers import Tokenizer
@@ -92,26 +97,27 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
     ``length`` tokens is cut into pieces of that length; the first one takes what remains."""
     path = vocabulary or default_vocabulary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            doc, piece, start, size, crc, own = [], [], [], [], [], []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+            row, piece, start, size, crc, own = [], [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(encoder.ids(text or ""), END_TOKEN).astype("<u4")
                 edges = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    doc.append(doc_id)
+                    row.append(i)
                     piece.append(k)
                     start.append(a)
                     size.append(b - a)
                     crc.append(zlib.crc32(ids[a:b].tobytes()))
                     if with_ids:
                         own.append(ids[a:b].astype(np.int32))
-            known = [None if x is None or x != x else int(x) for x in doc]
-            out = pd.DataFrame({"doc_id": pd.array(known, "Int64"), "piece": piece, "start": start, "length": size, "ids_crc32": crc})
-            yield out.assign(ids=own) if with_ids else out
+            # the ids of documents stay in Arrow: none is changed on the way
+            arrays = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))]
+            arrays += [pa.array(own, pa.list_(pa.int32()))] * with_ids
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 class Packer:
@@ -151,19 +157,20 @@ class Packer:
 
 def pack(parts: DataFrame, length: int = LENGTH, most_open: int = OPEN, group: int = GROUP) -> DataFrame:
     """pieces -> the same rows with sequence_id and offset."""
-    parts = stored(parts, "pack-pieces")
+    names = parts.columns
+    parts = stored(parts.withColumn("packed_row_", F.monotonically_increasing_id()), "pack-pieces")
     packers = max(1, -(-parts.count() // group))
-    dealt = parts.withColumn("packer", F.pmod(F.xxhash64("doc_id"), F.lit(packers)).cast("long"))
-    schema = parts.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long"
+    dealt = parts.withColumn("packer_", F.pmod(F.xxhash64("packed_row_"), F.lit(packers)).cast("long"))
+    schema = T.StructType([parts.schema[n] for n in names] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("packed_row_", "ascending")])
         packer = Packer(length, most_open)
-        places = np.array([packer.add(n) for n in rows["length"].tolist()], np.int64).reshape(-1, 2)
-        rows["sequence_id"], rows["offset"] = places[:, 0] + (int(key[0]) << 32), places[:, 1]
-        return rows.drop(columns="packer")
+        places = np.array([packer.add(n) for n in rows["length"].to_pylist()], np.int64).reshape(-1, 2)
+        found = [pa.array(places[:, 0] + (key[0].as_py() << 32)), pa.array(np.ascontiguousarray(places[:, 1]))]
+        return pa.table([*(rows[n] for n in names), *found], names=[*names, "sequence_id", "offset"])
 
-    return dealt.groupBy("packer").applyInPandas(run, schema)
+    return dealt.groupBy("packer_").applyInArrow(run, schema)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
