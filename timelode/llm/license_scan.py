@@ -1,26 +1,32 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
 Blocks are windows of ``BLOCK`` words, every ``STRIDE`` words, so a passage of up
-to BLOCK - STRIDE words lies whole in one. A block matches a template if it
-contains at least ``THRESHOLD`` of the template's distinct words.
+to BLOCK - STRIDE words lies whole in one. Templates of more words (whole license
+texts) are joined with blocks twice, four times, ... as long, whichever takes them
+whole. A block matches a template if it contains at least ``THRESHOLD`` of the
+template's distinct words.
 
 Template words are ordered by their frequency over all documents, rarest first.
 A match must hold one of a template's first |T| - need + 1 words (prefix
 filter), needs that many distinct words (length filter), and what follows the
 first common word on either side must suffice (positional filter). What passes
-is counted exactly. The template side has a fixed number of rows and is
-broadcast; texts never leave their partition unless a block holds a prefix word.
+is counted exactly. The template side has a row for each prefix word of each template
+and is broadcast up to ``BROADCAST_ROWS`` of them; texts never leave their partition unless a block holds a prefix word.
 
 Besides, exact phrases are found with the places where they start.
 
 Only DataFrame operations. Defined results: a null or empty text has no words
-and no labels; score is the best containment, 1 where a phrase stands, 0 without
-either; rows are judged one by one, so repeated rows get equal results; an empty
-table gives an empty result; only doc_id and text are read.
+and no labels; a containment of exactly the threshold matches; words of equal
+frequency are ordered by name; score is the best containment, 1 where a phrase stands,
+0 without either; a template without words matches nothing; texts of any length are
+read whole, block by block; rows are judged one by one, so repeated rows get equal
+results, and rows with null ids like others; an empty table gives an empty result;
+only doc_id and text are read, so other columns never clash.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from math import ceil
@@ -29,8 +35,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 BLOCK, STRIDE, THRESHOLD = 64, 32, 0.8
+BROADCAST_ROWS = 20_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases with their labels (fixed values).
@@ -63,8 +69,6 @@ def words(text: Column) -> Column:
 
 
 def _template_words(text: str) -> list[str]:
-    import re
-
     return sorted(set(re.findall(WORD, text.lower())))
 
 
@@ -83,13 +87,30 @@ def word_ranks(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
 def matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, block: int = BLOCK, stride: int = STRIDE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, text_key, first_word of the block, label,
     containment: each block and template at or above the threshold."""
+    room = block - stride
+    by_size: dict[int, list[tuple[int, str, str]]] = {}
+    for t, (label, text) in enumerate(templates):
+        n, times = len(re.findall(WORD, text.lower())), 1
+        while n > times * room:
+            times *= 2
+        if n:
+            by_size.setdefault(times, []).append((t, label, text))
+    rank = word_ranks(docs, sorted({w for _, text in templates for w in _template_words(text)}))
+    found = [_matches(docs, some, rank, threshold, times * block, times * stride) for times, some in sorted(by_size.items())]
+    if not found:
+        return docs.sparkSession.createDataFrame([], MATCHES)
+    return reduce(DataFrame.unionByName, found)
+
+
+MATCHES = "doc_id long, text_key long, first_word long, template int, label string, containment double"
+
+
+def _matches(docs: DataFrame, templates: Sequence[tuple[int, str, str]], rank: dict[str, int], threshold: float, block: int, stride: int) -> DataFrame:
+    """matches for templates (number, label, text) that a block's overlap takes whole."""
     spark = docs.sparkSession
-    sets = [(label, _template_words(text)) for label, text in templates]
-    assert all(len(text.split()) <= block - stride for _, text in templates), "a template must fit in the overlap of two blocks"
-    vocabulary = sorted({w for _, ws in sets for w in ws})
-    rank = word_ranks(docs, vocabulary)
+    sets = [(t, label, _template_words(text)) for t, label, text in templates]
     index, prefixes = [], set()
-    for t, (label, ws) in enumerate(sets):
+    for t, label, ws in sets:
         ws = sorted(ws, key=rank.__getitem__)
         need = ceil(threshold * len(ws) - 1e-9)
         for place, w in enumerate(ws[: len(ws) - need + 1]):
@@ -109,7 +130,7 @@ def matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, t
     blocks = held.select("doc_id", "text_key", "words", F.explode(cuts).alias("b"))
     own = F.filter(F.transform(F.array_distinct(F.slice("words", F.col("b") * stride + 1, block)), lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())
     blocks = blocks.select("doc_id", "text_key", (F.col("b") * stride).cast("long").alias("first_word"), F.array_sort(own).alias("own"))
-    met = blocks.select("*", F.posexplode("own").alias("at", "rank")).join(F.broadcast(index_rows), "rank")
+    met = blocks.select("*", F.posexplode("own").alias("at", "rank")).join(F.broadcast(index_rows) if len(index) <= BROADCAST_ROWS else index_rows, "rank")
     met = met.where(F.size("own") >= F.col("need"))
     # common words up to here are at most the two places; the rest comes after
     met = met.where(F.least("at", "place") + F.least(F.size("ranks") - F.col("place"), F.size("own") - F.col("at")) >= F.col("need"))

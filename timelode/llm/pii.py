@@ -1,18 +1,23 @@
 """Personal data by weak supervision.
 
 One pass over whole texts finds candidate spans and lets labelers vote on each:
-the shape of the span (regex and checksum), gazetteers (domain endings, card
-issuers, calling codes, titles) and the words before it. Votes are 1, 0
-(abstains) or -1. The distinct (kind, votes, features) patterns are counted over
+the shape of the span (checksums, what numbers can be, what stands beside it),
+gazetteers (domain endings, card issuers, calling and area codes, ranges of issued
+numbers, given names, words that are no names) and the words before it, for or
+against. Votes are 1, 0 (abstains) or -1; every labeler can vote either way on every
+kind, or abstain. The distinct (kind, votes, features) patterns are counted over
 all documents; their number is fixed by the labelers, not by the data, so they
 may be gathered. Expectation-maximisation on the counts estimates how reliable
 each labeler is for each kind and the odds of every pattern; these soft labels
 train a logistic span classifier. Candidates of further kinds that it accepts
 become spans. Base spans always stay.
 
-Defined results: a null or empty text has no spans; rows are judged one by one,
-repeated rows alike; an empty table gives an empty result and trains nothing;
-only doc_id and text are read. Runs of any length cost linear time.
+Defined results: a null or empty text has no spans; of candidates of further kinds
+that overlap the kind listed first stays; odds of exactly ``accept`` are accepted; rows
+are judged one by one, repeated rows alike (each counts); ids of any size come out as
+they went in; an empty table gives an empty result and trains nothing; ``scan`` reads
+doc_id and text only, and ``redact`` returns all other columns as they were. Texts are
+read whole, and runs of any length cost linear time.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .batches import with_found
+from .common import own_name, stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("local_phone", "iban", "id_number", "name")
@@ -45,20 +52,41 @@ _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 # Gazetteers (fixed values).
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Sr", "Sra", "Señor", "Señora")
-ENDINGS = frozenset("com org net edu gov io info biz de fr es uk us eu it nl ch at be ca au jp cn br ru".split())
-CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "91")
-IBAN_LANDS = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
-_NAME = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.?\x20[A-ZÀ-Þ][\w'-]+(?:\x20[A-ZÀ-Þ][\w'-]+)?")
-_CONTEXT = {
-    "email": re.compile(r"mail|contact|kontakt|contacto|courriel|write|@", re.I),
-    "ip": re.compile(r"\bip\b|host|server|address|login|from", re.I),
+ENDINGS = frozenset("com org net edu gov mil int info biz name pro mobi app dev online site shop blog cloud email".split())
+NO_ENDINGS = frozenset("example test invalid localhost local internal lan html htm php jpg png gif pdf zip exe css js".split())
+CALLING = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57",
+    "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "21", "22", "23", "24", "25", "26", "29", "35",
+    "37", "38", "42", "50", "59", "67", "68", "69", "85", "88", "96", "97", "99",
+)
+IBAN_LANDS = frozenset("AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MT MU NL NO PL PT QA RO RS SA SE SI SK SM TN TR UA VA XK".split())
+ADVERTISED = frozenset(("078-05-1120", "219-09-9999", "457-55-5462"))
+GIVEN = frozenset(
+    """Adam Alan Alexander Alice Amy Ana Andrea Andrew Anna Anne Anthony Antonio Barbara Benjamin Brian Carlos Carmen Carol Catherine Charles Charlotte Chloe
+    Christian Christine Claire Daniel David Deborah Diego Donald Dorothy Edward Elena Elizabeth Emily Emma Eric Fernando Francisco Frank Friedrich George Hannah Hans
+    Heinrich Helen Henry Isabel Jack Jacob James Jan Jane Javier Jean Jennifer Jessica Johann John Jonathan Jorge Joseph José Juan Julia Julien Karen Karl Katharina
+    Kevin Klaus Laura Lisa Louis Lucas Lucia Luis Manuel Marco Margaret Maria Marie Mark Martin Mary Matthew Max Michael Michel Miguel Monika Nancy Nicolas Nicole
+    Olivia Pablo Patricia Paul Pedro Peter Philip Pierre Rachel Richard Robert Rosa Ruth Samuel Sandra Sarah Sophie Stefan Stephen Susan Thomas Ursula Victor Walter William Wolfgang""".split()
+)
+NO_NAMES = frozenset(
+    """Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December
+    The This That These Those There Here When Where What Which Who How And But For From With Our Your New North South East West United States Kingdom City County
+    Street Road Avenue Park River Lake Mount University College School Institute Department Company Corporation Limited Bank Group Center Museum Hotel
+    License Licence Public General Creative Commons Software Foundation Source Code Form Version Terms Privacy Policy Contact About Home Page Chapter Section Table Figure""".split()
+)
+_PART = r"[A-ZÀ-Þ][a-zà-ÿ'-]+"
+_NAME = re.compile(r"\b(?:(?:" + "|".join(TITLES) + r")\.?\x20" + _PART + r"(?:\x20" + _PART + r")?|" + _PART + r"(?:\x20" + _PART + r"){1,2})\b")
+_FOR = {
+    "email": re.compile(r"mail|contact|kontakt|contacto|courriel|write", re.I),
+    "ip": re.compile(r"\bip\b|host|server|address|login|visitor", re.I),
     "card": re.compile(r"card|visa|master|amex|credit|payment|karte|carte|tarjeta", re.I),
     "phone": re.compile(r"tel|phone|call|fax|mobil|whatsapp|anruf|appel|llam", re.I),
     "iban": re.compile(r"iban|account|bank|konto|compte|cuenta", re.I),
-    "id_number": re.compile(r"ssn|social|security|\bid\b|number", re.I),
-    "name": re.compile(r"dear|name|by|from|signed|regards|contact", re.I),
+    "id_number": re.compile(r"ssn|social|security|\bid\b|insurance", re.I),
+    "name": re.compile(r"\b(?:dear|name|by|signed|regards|contact|mrs?|ms|dr|prof|patient|customer)\b[\W_]*$", re.I),
 }
-_CONTEXT["local_phone"] = _CONTEXT["phone"]
+_FOR["local_phone"] = _FOR["phone"]
+_AGAINST = re.compile(r"version|release|isbn|issn|serial|order|invoice|article|model|build|\bref|sku|part\b|figure|table|chapter", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -118,31 +146,70 @@ def more_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 def votes_of(text: str, start: int, order: int, end: int) -> tuple[int, int, int]:
     """Votes of shape, gazetteer and context."""
     kind, span = KINDS[order], text[start:end]
-    digits = _digits(span)
-    clean = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
-    shape, gazetteer = (1 if clean else -1), 0
-    if kind == "email":
-        gazetteer = 1 if span.rsplit(".", 1)[1].lower() in ENDINGS else -1
-    elif kind == "ip":
-        gazetteer = -1 if span.split(".")[0] in ("0", "127", "255") else 0
-        shape = shape if end == len(text) or text[end] != "." or not text[end + 1 : end + 2].isdigit() else -1
-    elif kind == "card":
-        gazetteer = 1 if digits[0] in "3456" else -1
-    elif kind == "phone":
-        gazetteer = 1 if digits.startswith(CALLING) else -1
-    elif kind == "local_phone":
-        shape = 1 if clean and digits[0] not in "01" else -1
-    elif kind == "iban":
-        body = span.replace(" ", "")
-        shape = 1 if int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1 else -1
-        gazetteer = 1 if body[:2] in IBAN_LANDS else -1
-    elif kind == "id_number":
-        shape = 1 if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000" else -1
-    elif kind == "name":
-        gazetteer = 1 if span.split()[0].rstrip(".") in TITLES else -1
-        shape = 1 if len(span.split()) > 2 else 0
     before = text[max(0, start - NEAR) : start]
-    return shape, gazetteer, 1 if _CONTEXT[kind].search(before) else 0
+    context = 1 if _FOR[kind].search(before) else -1 if _AGAINST.search(before) else 0
+    clean = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
+    shape, gazetteer = _VOTES[kind](span, text, start, end)
+    return (shape if clean else -1), gazetteer, context
+
+
+def _email(span: str, text: str, start: int, end: int) -> tuple[int, int]:
+    ending = span.rsplit(".", 1)[1].lower()
+    known = 1 if ending in ENDINGS or (len(ending) == 2 and ending.isalpha()) else -1 if ending in NO_ENDINGS or ending.isdigit() else 0
+    return (-1 if ".." in span or span[0] in ".-%+" else 1), known
+
+
+def _ip(span: str, text: str, start: int, end: int) -> tuple[int, int]:
+    a, b, *_ = parts = [int(p) for p in span.split(".")]
+    longer = text[end : end + 1] == "." and text[end + 1 : end + 2].isdigit()
+    padded = any(len(p) > 1 and p[0] == "0" for p in span.split("."))
+    reserved = a in (0, 127) or a >= 240 or (a, b) == (169, 254) or parts[:3] in ([192, 0, 2], [198, 51, 100], [203, 0, 113])
+    private = a == 10 or (a, b) == (192, 168) or (a == 172 and 16 <= b < 32)
+    return (-1 if longer or padded else 1), (-1 if reserved else 0 if private else 1)
+
+
+def _card(span: str, text: str, start: int, end: int) -> tuple[int, int]:
+    digits = _digits(span)
+    groups = re.split(r"[\x20-]", span)
+    even = len(groups) == 1 or all(len(g) == 4 for g in groups[:-1]) or [len(g) for g in groups] == [4, 6, 5]
+    return (1 if even and len(set(digits)) > 2 else -1), (1 if digits[0] in "23456" else -1)
+
+
+def _phone(span: str, text: str, start: int, end: int) -> tuple[int, int]:
+    digits = _digits(span)
+    even = span.count("(") == span.count(")") and len(set(digits[2:])) > 2
+    return (1 if even else -1), (1 if digits.startswith(CALLING) else -1)
+
+
+def _local_phone(span: str, text: str, start: int, end: int) -> tuple[int, int]:
+    area, exchange, line = (d := _digits(span))[:3], d[3:6], d[6:]
+    shape = 1 if area[0] not in "01" and exchange[0] not in "01" else -1
+    fiction = exchange == "555" and line.startswith("01")
+    return shape, -1 if area[1:] == "11" or exchange[1:] == "11" or fiction else 1 if area[1] != "9" and len(set(d)) > 3 else 0
+
+
+def _iban(span: str, text: str, start: int, end: int) -> tuple[int, int]:
+    body = span.replace(" ", "")
+    rest = int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
+    return (1 if rest == 1 and 15 <= len(body) <= 34 else -1), (1 if body[:2] in IBAN_LANDS else -1)
+
+
+def _id_number(span: str, text: str, start: int, end: int) -> tuple[int, int]:
+    area, group, serial = span.split("-")
+    can_be = area not in ("000", "666") and area[0] != "9" and group != "00" and serial != "0000"
+    return (1 if can_be else -1), (-1 if span in ADVERTISED or len(set(area + group + serial)) < 3 else 1 if int(area) <= 772 else 0)
+
+
+def _name(span: str, text: str, start: int, end: int) -> tuple[int, int]:
+    words = span.split()
+    titled = words[0].rstrip(".") in TITLES
+    words = words[1:] if titled else words
+    opens = text[max(0, start - NEAR) : start].rstrip(" ")[-1:] in ("", ".", "!", "?", "\n", ":", "|")
+    shape = -1 if len({w.lower() for w in words}) < len(words) else 1 if titled else -1 if opens else 0
+    return shape, -1 if any(w in NO_NAMES for w in words) else 1 if words[0] in GIVEN else 0
+
+
+_VOTES = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "local_phone": _local_phone, "iban": _iban, "id_number": _id_number, "name": _name}
 
 
 def pattern_of(text: str, start: int, order: int, end: int) -> str:
@@ -151,7 +218,8 @@ def pattern_of(text: str, start: int, order: int, end: int) -> str:
     return ",".join(map(str, (*votes_of(text, start, order, end), share, size)))
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<start:long,kind:int,end:long,pattern:string>>"
+SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType()), T.StructField("pattern", T.StringType())])
+FOUND = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))])
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -161,22 +229,17 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def candidates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, with all candidate spans and their patterns."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts, hashes, found = [], [], []
-            for text in batch["text"]:
-                text = text or ""
-                base = base_spans(text)
-                counts.append(np.bincount([k for _, k, _ in base], minlength=4)[:4])
-                hashes.append(hashlib.sha256(listed(base).encode()).hexdigest())
-                row = []
-                for a, k, b in base + more_spans(text, base):
-                    row.append({"start": a, "kind": k, "end": b, "pattern": pattern_of(text, a, k, b)})
-                found.append(row)
-            counts = np.array(counts, np.int64).reshape(-1, 4)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "n_email": counts[:, 0], "n_ip": counts[:, 1], "n_card": counts[:, 2], "n_phone": counts[:, 3], "base_sha256": hashes, "spans": found})
+    def work(texts: list[str]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in FOUND.names}
+        for text in texts:
+            base = base_spans(text)
+            for i, kind in enumerate(BASE_KINDS):
+                out[f"n_{kind}"].append(sum(k == i for _, k, _ in base))
+            out["base_sha256"].append(hashlib.sha256(listed(base).encode()).hexdigest())
+            out["spans"].append([{"start": a, "kind": k, "end": b, "pattern": pattern_of(text, a, k, b)} for a, k, b in base + more_spans(text, base)])
+        return out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, FOUND)
+    return with_found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", FOUND, work)
 
 
 @dataclass
@@ -277,9 +340,7 @@ def redact(docs: DataFrame, taken: set[tuple[int, str]]) -> DataFrame:
             at = max(at, b)
         return "".join([*out, text[at:]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["text"] = [None if t is None else clean(t) for t in batch["text"]]
-            yield batch
-
-    return docs.mapInPandas(run, docs.schema)
+    text, new = own_name(docs, "text_"), own_name(docs, "redacted_")
+    found = with_found(docs.withColumn(text, F.col("text")), text, T.StructType([T.StructField(new, T.StringType())]), lambda texts: {new: [clean(t) for t in texts]})
+    whole = F.when(F.col("text").isNotNull(), F.col(new)).alias("text")
+    return found.select(*[whole if c.lower() == "text" else F.col(c) for c in docs.columns])
