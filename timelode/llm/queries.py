@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,21 +97,31 @@ FROM d
 """
 
 
-def _op4() -> str:
-    """Every block against every template, and every place against every phrase."""
-    word = license_scan.WORD
-    quoted = lambda x: "'" + x + "'"
-    templates = ", ".join(f"({t}, {quoted(label)}, list_distinct(regexp_extract_all(lower({quoted(text)}), {quoted(word)})))" for t, (label, text) in enumerate(license_scan.TEMPLATES))
-    phrases = ", ".join(f"({quoted(label)}, {phrase.split()})" for phrase, label in license_scan.PHRASES)
-    block, stride, share = license_scan.BLOCK, license_scan.STRIDE, license_scan.THRESHOLD
-    return f"""
-WITH templates(t, label, words) AS (VALUES {templates}), phrases(label, words) AS (VALUES {phrases}),
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
+#: Every block against every template, and every place against every phrase. Written out from the
+#: statement of the task, so that nothing is shared with the operator.
+OP4 = r"""
+WITH texts(t, label, body) AS (VALUES
+  (0, 'apache', 'licensed under the apache license, version 2.0'),
+  (1, 'apache', 'you may not use this file except in compliance with the license. you may obtain a copy of the license at'),
+  (2, 'bsd', 'redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met'),
+  (3, 'cc-by', 'this work is licensed under a creative commons attribution 4.0 international license'),
+  (4, 'gpl', 'this work is licensed under the gnu general public license, version 3'),
+  (5, 'gpl', 'you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation'),
+  (6, 'isc', 'permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted'),
+  (7, 'mit', 'released under the mit license'),
+  (8, 'mit', 'permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files'),
+  (9, 'mpl', 'this source code form is subject to the terms of the mozilla public license, v. 2.0'),
+  (10, 'unlicense', 'this is free and unencumbered software released into the public domain')),
+templates AS (SELECT t, label, list_distinct(regexp_extract_all(body, '[a-z0-9]+')) AS words FROM texts),
+phrases(label, words) AS (VALUES ('mit', ['mit', 'license']), ('apache', ['apache', 'license']), ('gpl', ['general', 'public', 'license'])),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
 blocks AS (
-  SELECT doc_id, w[b:b + {block - 1}] AS own
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {block - stride} + 1), {stride})) AS b FROM d)),
+  SELECT doc_id, w[b:b + 63] AS own
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 31), 32)) AS b FROM d)),
 met AS (SELECT doc_id, label, len(list_intersect(words, own)) / CAST(len(words) AS DOUBLE) AS share FROM blocks, templates),
-best AS (SELECT doc_id, label, max(share) AS share FROM met WHERE share >= CAST({share} AS DOUBLE) - 1e-9 GROUP BY ALL),
+best AS (SELECT doc_id, label, max(share) AS share FROM met WHERE share >= CAST(0.8 AS DOUBLE) - 1e-9 GROUP BY ALL),
 places AS (
   SELECT doc_id, label, i - 1 AS place
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), phrases WHERE w[i:i + len(words) - 1] = words),
@@ -124,42 +133,54 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, CAST(lo AS BIGINT)
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+#: The kinds of secrets as the task states them, then the added ones: name, pattern, group of the
+#: value, its least length, what it must hold.
+SECRETS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, ()),
+    ("access", "AKIA[A-Z0-9]+", 0, 20, ()),
+    ("hex", "[0-9a-f]+", 0, 24, ()),
+    ("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]{20,})", 1, 20, ("[0-9]",)),
+    ("forge", "gh[oprsu]_[A-Za-z0-9]{30,}", 0, 34, ()),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, ()),
+    ("block", "[A-Za-z0-9+/]{32,}={0,2}", 0, 32, ("[0-9]", "[a-z]", "[A-Z]")),
+)
+
 
 def _op10() -> str:
     """Places from the pieces and matches before; kinds one after the other."""
-    kinds = [*secret_scan.BASE, *secret_scan.MORE]
-    n_base = len(secret_scan.BASE)
-    raw, steps, free = [], [], []
-    for i, k in enumerate(kinds):
-        # a lookbehind only says that a match starts where its run does, as the leftmost one does anyway
-        pattern = re.sub(r"\(\?<![^)]*\)", "", k.pattern).replace("'", "''")
-        good = " AND ".join([f"length(v) >= {k.least}", *(f"regexp_matches(v, '{p}')" for p in k.need)])
-        raw.append(f"""SELECT rid, {i} AS ord, '{k.name}' AS kind, p0 AS start, p0 + length(m) AS stop, v FROM (
+    raw, steps = [], []
+    for i, (name, pattern, group, least, needs) in enumerate(SECRETS):
+        pattern = pattern.replace("'", "''")
+        good = " AND ".join([f"length(v) >= {least}", *(f"regexp_matches(v, '{p}')" for p in needs)])
+        raw.append(f"""SELECT rid, {i} AS ord, '{name}' AS kind, p0 AS start, p0 + length(m) AS stop, v FROM (
   SELECT rid, ms[i] AS m, vs[i] AS v, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS p0
   FROM (SELECT rid, ms, vs, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
-    SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {k.group}) AS vs, string_split_regex(t, '{pattern}') AS ps FROM d WHERE regexp_matches(t, '{pattern}')))) WHERE {good}""")
-        if i < n_base:
-            continue
-        before = "base" if i == n_base else f"upto{i - 1}"
-        steps.append(f"""upto{i} AS (SELECT * FROM {before} UNION ALL SELECT * FROM raw r WHERE ord = {i} AND NOT EXISTS (SELECT 1 FROM {before} b WHERE b.rid = r.rid AND b.start < r.stop AND r.start < b.stop))""")
-        free.append(i)
-    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in secret_scan.BASE)
+    SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS vs, string_split_regex(t, '{pattern}') AS ps FROM d WHERE regexp_matches(t, '{pattern}')))
+  WHERE length(ms[i]) >= 6) WHERE {good}""")
+        if i >= 3:
+            before = "base" if i == 3 else f"upto{i - 1}"
+            steps.append(f"""upto{i} AS (SELECT * FROM {before} UNION ALL SELECT * FROM raw r WHERE ord = {i} AND NOT EXISTS (SELECT 1 FROM {before} b WHERE b.rid = r.rid AND b.start < r.stop AND r.start < b.stop))""")
     listed = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord)"
-    names = ", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secret_scan.BASE)
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
 raw AS ({" UNION ALL ".join(raw)}),
-base AS (SELECT * FROM raw WHERE ord < {n_base}),
+base AS (SELECT * FROM raw WHERE ord < 3),
 {", ".join(steps)},
-owned AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners FROM upto{free[-1]} JOIN d USING (rid) GROUP BY v),
-judged AS (SELECT u.*, owners >= {secret_scan.WIDE_OWNERS} AS copied FROM upto{free[-1]} u JOIN owned USING (v)),
+held AS (SELECT DISTINCT v, source, lang FROM upto6 JOIN d USING (rid)),
+owners AS (SELECT v, source, count(*) AS n FROM held GROUP BY v, source),
+owned AS (SELECT v, count(*) AS owners, CAST(sum(n) AS BIGINT) AS repositories FROM owners GROUP BY v),
+judged AS (SELECT u.*, owners, repositories, owners >= 3 OR (owners = 2 AND repositories >= 6) AS copied FROM upto6 u JOIN owned USING (v)),
 per AS (
-  SELECT rid, {counts}, {listed} FILTER (WHERE ord < {n_base}) AS base, {listed} FILTER (WHERE ord < {n_base} OR NOT copied) AS spans,
-         count(*) FILTER (WHERE NOT copied) AS n_live, count(*) FILTER (WHERE copied) AS n_copied FROM judged GROUP BY rid)
-SELECT doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         {listed} FILTER (WHERE ord < 3) AS base, {listed} FILTER (WHERE ord < 3 OR NOT copied) AS spans,
+         count(*) FILTER (WHERE NOT copied) AS n_live, count(*) FILTER (WHERE copied) AS n_copied, max(owners) AS most_owners, max(repositories) AS most_repositories
+  FROM judged GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+       coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN per USING (rid)
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2, "op4_license_scan": _op4(), "op9_exact_dedup": OP9, "op10_secret_scan": _op10()}
+    return {"op2_ngram_join": OP2, "op4_license_scan": OP4, "op9_exact_dedup": OP9, "op10_secret_scan": _op10()}
