@@ -17,7 +17,7 @@ from timelode.llm.common import stored, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line labelling or the base rule rejects go."""
     field = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.annotate(docs, field).where("kept").select(*docs.columns)
+    return quality_rules.kept_rows(docs, field)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
