@@ -216,8 +216,39 @@ def test_search_without_evidence(spark):
     assert {(r.video_id, r.ts, r.score) for r in fused} == {(0, 0.0, 0.1), (1, 0.0, 0.1)}
     # a flat signal under the floor has no match; a longer one peaks where its faint instant is
     assert {r.video_id for r in search.search(frames, said, videos, [request], 2).collect()} == {1}
-    with pytest.raises(ValueError):
-        scoring.requests(spark, [request] * 1001)
+    # however many requests there are, they go in blocks of a bounded size
+    many = [scoring.Request(i, [1.0, 0.0], ("red",), ("red",), 1 if i % 2 else None) for i in range(1500)]
+    asked = scoring.requests(spark, many)
+    assert len(asked.blocks) == 1 and asked.named.count() == 750
+    assert scoring.fused(frames, said, videos, asked, 2).count() == 750 * 2 + 750
+
+
+def test_blocks_of_requests_agree(spark, sf_dir, monkeypatch):
+    wanted = [scoring.Request(i, [float(i == k) for k in range(64)], ("the",), ("of",), None if i < 5 else i % 10) for i in range(9)]
+    run = lambda: sorted(tuple(r) for r in scoring.fused(tables.frames(spark, sf_dir), tables.transcripts(spark, sf_dir), tables.videos(spark, sf_dir), scoring.requests(spark, wanted), 64).selectExpr("request_id", "video_id", "ts", "round(score, 9) AS s").collect())
+    whole = run()
+    monkeypatch.setattr(scoring, "BLOCK_VALUES", 150)
+    assert len(scoring.requests(spark, wanted).blocks) == 3 and run() == whole
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_ranks_in_ranges_are_the_ranks(spark, parts):
+    rng = random.Random(parts)
+    rows = [(m, f"i{k:04d}", float(rng.randint(0, 4) if m == "b" else rng.random())) for m, n in (("a", 400), ("b", 300), ("c", 1)) for k in range(n)]
+    got = {(r.modality, r.item): r["rank"] for r in scoring.ranked(spark.createDataFrame(rows, "modality string, item string, s double"), parts).collect()}
+    for m in "abc":
+        order = sorted((-s, i) for n, i, s in rows if n == m)
+        assert [got[m, i] for _, i in order] == list(range(1, len(order) + 1))
+
+
+def test_fusion_names_weights_and_payload(spark):
+    """An unnamed list weighs one over the lists; items without id go by time, then place."""
+    rows = [("visual", "x", 5.0, 1), ("visual", None, 7.5, 2), ("audio", None, 7.5, 1), ("audio", "", 0.0, 2), ("text", "x", 9.0, 1)]
+    ranked = spark.createDataFrame(rows, "modality string, id string, ts double, rank long").withColumn("item", scoring.item_key(F.col("id"), F.col("ts"), F.col("rank")))
+    got = {r.item: r for r in scoring.reciprocal_ranks(ranked, {"visual": 0.5}, lists=["visual", "audio", "text"], payload="ts").collect()}
+    assert set(got) == {"x", "7.5", "2"}
+    assert got["x"].fused_score == pytest.approx(0.5 / 61 + 1 / 3 / 61) and got["x"].payload == 5.0
+    assert got["7.5"].fused_score == pytest.approx(0.5 / 62 + 1 / 3 / 61) and got["2"].fused_score == pytest.approx(1 / 3 / 62)
 
 
 def test_hydrated_search(spark, sf_dir):
@@ -267,6 +298,45 @@ def test_model_boundary(spark):
     assert len(rows) == 5 and all(r.caption.startswith("Scene") for r in rows)
 
 
+def test_captioner_and_speech_at_the_edge(spark):
+    rows = [(1, " A red car. ", 3), (2, None, 2), (3, "Sorry, as an AI I can't", 1), (4, "", 4), (5, "never shown", 0)]
+    got = {r.i: r.c for r in spark.createDataFrame(rows, "i int, t string, n long").select("i", text.scene_caption(F.col("t"), F.col("n")).alias("c")).collect()}
+    plain = lambda n: f"Scene showing keyframe visuals with {n} frames, subjects and ongoing activity."
+    assert got == {1: "A red car.", 2: plain(2), 3: plain(1), 4: plain(4), 5: ""}
+
+    def failing():
+        def infer(batch):
+            raise RuntimeError("silent video")
+
+        return infer
+
+    assert ingest.apply_model(spark.range(3), failing, "id long", failing="empty").count() == 0
+    with pytest.raises(Exception, match="silent video"):
+        ingest.apply_model(spark.range(3), failing, "id long").count()
+
+
+def test_keyframe_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.0, b"a"), (1, 2.5, b"bc"), (2, 10.126, b"d")], "video_id long, ts double, image binary")
+    for _ in range(2):  # written twice, the files are the same
+        ingest.keyframe_sink(rows, f"file://{tmp_path}/frames")
+    found = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*.jpg")}
+    assert found == {"frames/1/f_0.00s.jpg": b"a", "frames/1/f_2.50s.jpg": b"bc", "frames/2/f_10.13s.jpg": b"d"}
+
+
+def test_requests_are_stripped_of_any_white_space(spark):
+    typed = spark.createDataFrame([(1, "\t car \n"), (2, "\n\t "), (3, "\u00a0\u3000"), (4, "")], "request_id long, query string")
+    assert [r.request_id for r in expand.accepted(typed).collect()] == [1]
+    assert expand.expand(expand.accepted(typed), expand.concepts(spark)).first().query == "car"
+
+
+def test_subtitles_meet_once_across_spans(spark):
+    clips = spark.createDataFrame([(1, 0, 55.0, 200.0), (1, 1, 60.0, 60.0)], "video_id long, clip_id long, c_start double, c_end double")
+    said = [(1, i, 20.0 * i, 20.0 * i + (150 if i == 2 else 5), f"t{i}") for i in range(12)]
+    got = retrieval.subtitles(clips, spark.createDataFrame(said, "video_id long, id long, t_start double, t_end double, spoken string")).collect()
+    expected = sorted((c, i) for c, (a, b) in enumerate([(55.0, 200.0), (60.0, 60.0)]) for _, i, s, e, _ in said if e >= a and s <= b)
+    assert sorted((r.clip_id, int(r.text[1:])) for r in got) == expected
+
+
 def test_bm25_matches_full_index(spark, sf_dir):
     docs = tables.read(spark, sf_dir, "documents")
     few = index.postings(docs, ["the", "of"]).where("tf > 0")

@@ -26,6 +26,15 @@ ALLOWED_EXTENSIONS = (".mp4", ".mkv", ".mov", ".webm", ".avi")
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
+#: White space of every kind at either end, the separators of information included.
+_ENDS = r"^[\s\x1C-\x1F\x{85}\p{Z}]+|[\s\x1C-\x1F\x{85}\p{Z}]+$"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, _ENDS, "")
+
+
 def literals(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -52,6 +61,19 @@ def clean_caption(caption: Column, phrases: Sequence[str] = PREVIEW_REFUSALS) ->
     return F.when(F.coalesce(caption, F.lit("")) == "", F.lit(DEFAULT_CAPTION)).when(refused(caption, phrases), F.lit(DEFAULT_CAPTION)).otherwise(caption)
 
 
+def scene_caption(text: Column, n_frames: Column) -> Column:
+    """What a captioner said of a scene: nothing without frames, and a plain sentence
+    where it failed (null), said nothing or refused."""
+    said = stripped(text)
+    plain_ = F.format_string("Scene showing keyframe visuals with %d frames, subjects and ongoing activity.", n_frames)
+    bad = said.isNull() | (said == "") | any_keyword(F.lower(said), literals(CAPTIONER_REFUSALS))
+    return F.when(n_frames == 0, F.lit("")).when(F.coalesce(bad, F.lit(True)), plain_).otherwise(said)
+
+
+def keyframe_name(ts: Column) -> Column:
+    return F.format_string("f_%.2fs.jpg", ts.cast("double"))
+
+
 def allowed_file(name: Column) -> Column:
     """The last dot's ending is an allowed one, in any case; a leading dot starts no ending."""
     return F.lower(F.regexp_extract(name, r"[^/](\.[^./]*)$", 1)).isin(*ALLOWED_EXTENSIONS)
@@ -64,7 +86,7 @@ def srt_time(seconds: Column) -> Column:
 
 
 def srt_block(number: Column, start: Column, end: Column, text: Column) -> Column:
-    return F.concat(number.cast("string"), F.lit("\n"), srt_time(start), F.lit(" --> "), srt_time(end), F.lit("\n"), F.trim(F.coalesce(text, F.lit(""))), F.lit("\n\n"))
+    return F.concat(number.cast("string"), F.lit("\n"), srt_time(start), F.lit(" --> "), srt_time(end), F.lit("\n"), stripped(F.coalesce(text, F.lit(""))), F.lit("\n\n"))
 
 
 def clip_name(video_id: Column, start: Column, end: Column, subtitles: bool = False) -> Column:

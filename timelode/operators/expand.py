@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelode.functions.concepts import CONCEPTS
-from timelode.functions.text import TOKEN
+from timelode.functions.text import TOKEN, stripped
 
 MAX_TRANSLATIONS = 5
 
@@ -20,7 +20,7 @@ def concepts(spark: SparkSession) -> DataFrame:
 
 def matched(queries: DataFrame, table: DataFrame) -> DataFrame:
     """queries (request_id, query) -> a row for each concept whose key the query holds."""
-    return queries.join(F.broadcast(table), F.contains(F.lower(F.trim("query")), F.col("key")))
+    return queries.join(F.broadcast(table), F.contains(F.lower(stripped(F.col("query"))), F.col("key")))
 
 
 def expand(queries: DataFrame, table: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def expand(queries: DataFrame, table: DataFrame) -> DataFrame:
     )
     found = found.select("request_id", F.col("m.key").alias("concepts"), F.flatten("m.visual").alias("v"), F.flatten("m.audio").alias("a"), F.transform("m.visual", lambda x: F.get(x, F.lit(0))).alias("first"))
     none = F.array().cast("array<string>")
-    rows = queries.withColumn("query", F.trim("query")).join(found, "request_id", "left")
+    rows = queries.withColumn("query", stripped(F.col("query"))).join(found, "request_id", "left")
     tokens = F.regexp_extract_all(F.lower("query"), F.lit(f"({TOKEN})"))
     short = F.slice(F.array_distinct(F.coalesce("first", none)), 1, MAX_TRANSLATIONS)
     return rows.select(
@@ -45,4 +45,4 @@ def expand(queries: DataFrame, table: DataFrame) -> DataFrame:
 
 def accepted(queries: DataFrame) -> DataFrame:
     """Requests with something to search for."""
-    return queries.where(F.trim("query") != "")
+    return queries.where(stripped(F.col("query")) != "")

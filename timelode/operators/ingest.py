@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timelode.functions import vectors as V
+from timelode.functions.text import keyframe_name, stripped
 
-# Fixed values of the ingestion.
+# Fixed values of the ingestion: numbers, stages in their order, and those that are shown.
 MAX_FRAMES, PER_SECOND, MAX_SHOTS, FALLBACK_SECONDS, FALLBACK_CHUNKS, KEYFRAME_TAU = 10, 1.0, 4, 10.0, 10, (1 - 0.65) * 0.15
+REPORT_SECONDS = 1.0
+STAGES = ("decoding", "scene_detect", "asr_whisper", "keyframe_ssim", "siglip2_embedding", "lancedb_commit", "vlm_caption", "complete")
+SHOWN_STAGES = ("decoding", "scene_detect", "asr_whisper", "keyframe_ssim", "siglip2_embedding", "vlm_caption")
 
 
 def sample_times(scenes: DataFrame, fps: float) -> DataFrame:
@@ -110,18 +114,116 @@ def latest(progress: DataFrame) -> DataFrame:
     return newest.select("video_id", "e.*")
 
 
-def apply_model(rows: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
-    """A model at the edge: built once for each Python worker's task, fed Arrow batches."""
+def status(progress: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (video_id) -> the newest state of each, as it is replayed to who connects; a
+    video without events is at the start."""
+    newest = latest(progress)
+    rows = asked.join(newest, "video_id", "left")
+    return rows.select("video_id", F.coalesce("progress", F.lit(0.0)).alias("progress"), F.coalesce("stage", F.lit(STAGES[0])).alias("stage"), F.when(F.col("event_id").isNull(), F.lit("Initializing...")).otherwise(F.lit("")).alias("message"))
+
+
+def completed_stages(progress: DataFrame) -> DataFrame:
+    """progress (video_id, ts, event_id, progress, stage) -> each event with the stages that
+    are done by then: those before its own (an unknown or first stage changes
+    nothing), and all from the event on that is complete or at 100."""
+    order = Window.partitionBy("video_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    names = F.array(*[F.lit(s) for s in STAGES])
+    place = F.array_position(names, F.when(F.col("stage") == "minicpmv_caption", "vlm_caption").otherwise(F.col("stage"))) - 1
+    whole = (F.col("progress") >= 100) | (F.col("stage") == "complete")
+    rows = progress.withColumn("ended", F.max(F.coalesce(whole, F.lit(False))).over(order))
+    rows = rows.withColumn("n_done", F.coalesce(F.last(F.when(place > 0, place), ignorenulls=True).over(order), F.lit(0)))
+    done = F.when(F.col("ended"), F.array(*[F.lit(s) for s in SHOWN_STAGES])).otherwise(F.slice(names, 1, F.col("n_done").cast("int")))
+    return rows.select("video_id", "event_id", done.alias("done"), "ended")
+
+
+def phases(progress: DataFrame) -> DataFrame:
+    """video_id, ingestion_phase: by the newest event, searchable once the first
+    phase committed, complete once the captions are in; null before that."""
+    newest = latest(progress)
+    phase = F.when(F.col("stage") == "complete", "phase2_complete").when(F.col("stage").isin("lancedb_commit", "vlm_caption", "minicpmv_caption") | (F.col("progress") >= 100), "phase1_ready")
+    return newest.select("video_id", phase.alias("ingestion_phase"))
+
+
+def speech(segments: DataFrame) -> DataFrame:
+    """segments (video_id, id, t_start, t_end, spoken) as recognised -> stripped, without
+    blank ones, numbered in their video."""
+    text = stripped(F.col("spoken"))
+    rows = segments.withColumn("spoken", text).where("spoken <> ''")
+    order = Window.partitionBy("video_id").orderBy("t_start", "id")
+    return rows.withColumn("segment", F.row_number().over(order).cast("long"))
+
+
+def throttled(segments: DataFrame, videos: DataFrame, every: float = REPORT_SECONDS) -> DataFrame:
+    """segments (video_id, id, t_end, spoken), videos (video_id, duration_sec) -> the reports of a
+    transcription: at a segment that ends ``every`` seconds or more after the one
+    last reported, or at the end. Which one is reported hangs on the one before, so a
+    video's segments (few; a video is a unit of work) pass in order."""
+    rows = segments.join(videos, "video_id").select(
+        "video_id", "id", F.col("t_end").cast("double").alias("t_end"), F.greatest(F.lit(1.0), "duration_sec").alias("total"), (F.coalesce(stripped(F.col("spoken")), F.lit("")) != "").alias("full")
+    )
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["t_end", "id"], kind="stable")
+        own["segments"] = own["full"].cumsum().astype("int64")
+        last, kept = -1.0, []
+        for end, total in zip(own["t_end"], own["total"], strict=True):
+            report = end - last >= every or end >= total
+            last = end if report else last
+            kept.append(report)
+        return own[kept][["video_id", "id", "t_end", "total", "segments"]]
+
+    found = rows.groupBy("video_id").applyInPandas(run, "video_id long, id long, t_end double, total double, segments long")
+    share = F.col("t_end") / F.col("total")
+    return found.select(
+        "video_id", "id", "segments", F.least(F.lit(100), (share * 100).cast("int")).cast("long").alias("sub_percent"), F.least(F.lit(58), 25 + (share * 33).cast("int")).cast("long").alias("progress"), F.round("t_end", 1).alias("current_sec"), F.round("total", 1).alias("total_sec")
+    )
+
+
+def decoded(samples: DataFrame, frames: DataFrame) -> DataFrame:
+    """samples (video_id, scene_index, i, ts, frame_idx) with what was decoded (video_id,
+    frame_idx, ...): pairs by frame, so a frame that can't be read takes its own time
+    with it and moves no other."""
+    return samples.join(frames, ["video_id", "frame_idx"])
+
+
+def keyframe_sink(keyframes: DataFrame, folder: str) -> None:
+    """keyframes (video_id, ts, image: encoded bytes) as files <folder>/<video_id>/f_<ts>s.jpg,
+    written by the tasks to a file system that all of them reach. Redoing a task
+    writes the same files."""
+    rows = keyframes.select(F.concat_ws("/", F.col("video_id").cast("string"), keyframe_name(F.col("ts"))).alias("name"), "image")
+
+    def put(part: Iterator) -> None:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for row in part:
+            path = f"{root}/{row['name']}"
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path) as out:
+                out.write(bytes(row["image"]))
+
+    rows.foreachPartition(put)
+
+
+def apply_model(rows: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str | T.StructType, failing: str = "raise") -> DataFrame:
+    """A model at the edge: built once for each Python worker's task, fed Arrow batches.
+    failing="empty": a batch on which the model fails has no rows (a silent video)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         infer = model()
         for batch in batches:
-            yield infer(batch)
+            try:
+                found = infer(batch)
+            except Exception:
+                if failing != "empty":
+                    raise
+                continue
+            yield found
 
     return rows.mapInPandas(run, schema)
 
 
 def log_tail(lines: DataFrame, most: int = 40, like: str = "") -> DataFrame:
     """lines (at, value): the last ``most`` that aren't blank and hold ``like``, in any case."""
-    wanted = lines.where((F.trim("value") != "") & F.contains(F.lower("value"), F.lower(F.lit(like))))
+    wanted = lines.where((stripped(F.col("value")) != "") & F.contains(F.lower("value"), F.lower(F.lit(like))))
     return wanted.orderBy(F.desc("at")).limit(most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the extraction.
@@ -17,8 +17,9 @@ def thresholds(signal: DataFrame, keys: Sequence[str], factor: float = THRESHOLD
     return stats.withColumn("theta", F.round(F.col("mu") + factor * F.col("sigma"), 9))
 
 
-def with_threshold(signal: DataFrame, keys: Sequence[str], factor: float = THRESHOLD_FACTOR) -> DataFrame:
-    """The same as a column of every bin: one shuffle with what follows, no join."""
+def with_threshold(signal: DataFrame, keys: Sequence[str], factor: float | Column = THRESHOLD_FACTOR) -> DataFrame:
+    """The same as a column of every bin: one shuffle with what follows, no join. The
+    factor may be one of the keys."""
     whole = Window.partitionBy(*keys)
     return signal.withColumn("theta", F.round(F.avg("value").over(whole) + factor * F.stddev_pop("value").over(whole), 9))
 

@@ -11,6 +11,7 @@ from timelode.functions import intervals as I
 from timelode.functions import text as X
 
 FAR = 999.0  # fixed value: no frame this far from a moment is its preview
+SPAN = 60.0
 
 
 def nearest(points: DataFrame, frames: DataFrame, bucket: float = FAR) -> DataFrame:
@@ -67,11 +68,19 @@ def answers(transcripts: DataFrame, best_frames: DataFrame, question: str) -> Da
     return rows.select("video_id", F.coalesce("talk", F.lit("")).alias("context"), count.cast("long").alias("n_citations"), F.col("cite.s").alias("cite_start"), F.col("cite.e").alias("cite_end"), F.col("cite.text").alias("citation"))
 
 
-def subtitles(clips: DataFrame, transcripts: DataFrame) -> DataFrame:
+def subtitles(clips: DataFrame, transcripts: DataFrame, width: float = SPAN) -> DataFrame:
     """clips (video_id, clip_id, c_start, c_end) x transcripts that touch them, in the
-    clip's own time: video_id, clip_id, number, rel_start, rel_end, text."""
+    clip's own time: video_id, clip_id, number, rel_start, rel_end, text. Both sides
+    are dealt to spans of ``width`` seconds and meet only there, once: in the first
+    span that they share."""
+
+    def dealt(rows: DataFrame, start: str, end: str, first: str) -> DataFrame:
+        low, high = F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width)
+        return rows.withColumn(first, low).withColumn("span_", F.explode(F.sequence(low, high)))
+
     length = F.greatest(F.lit(0.5), F.col("c_end") - F.col("c_start"))
-    met = clips.join(transcripts, "video_id").where(I.overlaps(F.col("c_start"), F.col("c_end"), F.col("t_start"), F.col("t_end")))
+    met = dealt(clips, "c_start", "c_end", "c_span_").join(dealt(transcripts, "t_start", "t_end", "t_span_"), ["video_id", "span_"])
+    met = met.where(I.overlaps(F.col("c_start"), F.col("c_end"), F.col("t_start"), F.col("t_end")) & (F.col("span_") == F.greatest("c_span_", "t_span_")))
     order = Window.partitionBy("video_id", "clip_id").orderBy("t_start", "id")
     return met.select(
         "video_id", "clip_id", F.row_number().over(order).cast("long").alias("number"),

@@ -1,24 +1,27 @@
 """Evidence of three kinds for requests: frames, captions, words spoken.
 
-Requests are literal values of a caller, so their table is as large as the list
-they came from (``MAX_REQUESTS`` at most) and safe to broadcast.
+Requests for one video meet its rows in an equi-join. Those for every video are a
+stated set that meets all rows, in blocks of at most ``BLOCK_VALUES`` numbers and
+words each, so that what is broadcast has a bound however many they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timelode.functions import text as X
 from timelode.functions import vectors as V
 
-MAX_REQUESTS = 1000
+BLOCK_VALUES = 1_000_000
 # Weights of the modalities, and what an empty score map holds.
 WEIGHT_VISUAL, WEIGHT_CAPTION, WEIGHT_AUDIO = 0.45, 0.35, 0.20
 EMPTY_AT, EMPTY_SCORE = 0.0, 0.1
+TOP_K, SIGMA, FACTOR = 5, 1.5, 0.8  # fixed values: defaults of a request
 
 
 @dataclass(frozen=True)
@@ -29,21 +32,51 @@ class Request:
     audio: Sequence[str] = ()
     video_id: int | None = None
     weights: tuple[float, float, float] = field(default=(WEIGHT_VISUAL, WEIGHT_CAPTION, WEIGHT_AUDIO))
+    top_k: int = TOP_K
+    gaussian_sigma: float = SIGMA
+    multiscale: bool = True
+    threshold_factor: float = FACTOR
 
 
-def requests(spark: SparkSession, wanted: Sequence[Request]) -> DataFrame:
-    if len(wanted) > MAX_REQUESTS:
-        raise ValueError(f"at most {MAX_REQUESTS} requests at a time")
-    rows = [(r.request_id, V.unit(r.vector), sorted(set(r.visual)), sorted(set(r.audio)), r.video_id, *map(float, r.weights)) for r in wanted]
-    schema = "request_id long, q array<double>, visual array<string>, audio array<string>, only_video long, w_visual double, w_caption double, w_audio double"
-    return F.broadcast(spark.createDataFrame(rows, schema))
+SCHEMA = "request_id long, q array<double>, visual array<string>, audio array<string>, only_video long, w_visual double, w_caption double, w_audio double"
 
 
-def _for_requests(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    return rows.join(asked, F.col("only_video").isNull() | (F.col("only_video") == F.col("video_id")))
+@dataclass(frozen=True)
+class Asked:
+    """Requests of one video each (or None), and blocks of those for every video."""
+
+    named: DataFrame | None
+    blocks: tuple[DataFrame, ...]
+
+
+def requests(spark: SparkSession, wanted: Sequence[Request]) -> Asked:
+    def table(some: Sequence[Request]) -> DataFrame:
+        rows = [(r.request_id, V.unit(r.vector), sorted(set(r.visual)), sorted(set(r.audio)), r.video_id, *map(float, r.weights)) for r in some]
+        return spark.createDataFrame(rows, SCHEMA)
+
+    blocks, block, held = [], [], 0
+    for r in (r for r in wanted if r.video_id is None):
+        size = len(r.vector) + len(r.visual) + len(r.audio) + 8
+        if block and held + size > BLOCK_VALUES:
+            blocks.append(table(block))
+            block, held = [], 0
+        block.append(r)
+        held += size
+    blocks += [table(block)] * bool(block)
+    named = [r for r in wanted if r.video_id is not None]
+    return Asked(table(named) if named else None, tuple(blocks))
 
 
-def cosines(frames: DataFrame, asked: DataFrame, dim: int) -> DataFrame:
+def _for_requests(rows: DataFrame, asked: Asked) -> DataFrame:
+    parts = [rows.join(F.broadcast(block)) for block in asked.blocks]
+    if asked.named is not None:
+        parts.append(rows.join(asked.named, rows["video_id"] == asked.named["only_video"]))
+    if not parts:
+        return rows.join(rows.sparkSession.createDataFrame([], SCHEMA), F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cosines(frames: DataFrame, asked: Asked, dim: int) -> DataFrame:
     """request_id, video_id, id, ts, score of frames with a vector of ``dim``. Stored
     vectors have length 1."""
     good = frames.where(V.valid(F.col("vector"), dim)).select("video_id", "id", "ts", "vector")
@@ -55,43 +88,98 @@ def top_frames(scored: DataFrame, k: int = 3) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
-def visual_part(frames: DataFrame, asked: DataFrame, dim: int) -> DataFrame:
-    """request_id, video_id, ts, part: of frames at one time the last (highest id) counts."""
-    scored = cosines(frames, asked, dim)
-    one = scored.groupBy("request_id", "video_id", "ts").agg(F.max_by(F.greatest(F.lit(0.0), "score") * F.col("w_visual"), "id").alias("part"))
-    return one
+def _caption_value(own: Column) -> Column:
+    """What a caption adds, null without a keyword."""
+    hits = X.keyword_matches(own, F.col("visual"))
+    return F.when(hits > 0, hits / F.size("visual") * F.col("w_caption"))
 
 
-def caption_part(frames: DataFrame, asked: DataFrame) -> DataFrame:
+def caption_part(frames: DataFrame, asked: Asked) -> DataFrame:
     rows = _for_requests(frames.select("video_id", "ts", F.concat(X.plain(F.col("caption")), F.lit(" ")).alias("own")), asked)
-    hits = rows.withColumn("hits", X.keyword_matches(F.col("own"), F.col("visual"))).where("hits > 0")
-    return hits.select("request_id", "video_id", "ts", (F.col("hits") / F.size("visual") * F.col("w_caption")).alias("part"))
+    return rows.select("request_id", "video_id", "ts", _caption_value(F.col("own")).alias("part")).where("part is not null")
 
 
-def audio_part(transcripts: DataFrame, asked: DataFrame) -> DataFrame:
+def audio_part(transcripts: DataFrame, asked: Asked) -> DataFrame:
     rows = _for_requests(transcripts.select("video_id", ((F.col("t_start") + F.col("t_end")) / 2).alias("ts"), X.plain(F.col("spoken")).alias("own")), asked)
     hits = rows.withColumn("hits", X.keyword_matches(F.col("own"), F.col("audio"))).where("hits > 0")
     return hits.select("request_id", "video_id", "ts", (F.col("hits") / F.size("audio") * F.col("w_audio")).alias("part"))
 
 
-def fused(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, asked: DataFrame, dim: int) -> DataFrame:
-    """request_id, video_id, ts, score: the sum of all evidence for one instant; a
-    video without any has one faint instant."""
-    parts = visual_part(frames, asked, dim).unionByName(caption_part(frames, asked)).unionByName(audio_part(transcripts, asked))
-    scored = parts.groupBy("request_id", "video_id", "ts").agg(F.sum("part").alias("score"))
+def frame_parts(frames: DataFrame, asked: Asked, dim: int) -> DataFrame:
+    """request_id, video_id, ts, id, seen, part: what a frame's vector and its caption add,
+    from one pass over the frames; frames without either are left out."""
+    own = frames.select("video_id", "ts", "id", F.when(V.valid(F.col("vector"), dim), F.col("vector")).alias("vector"), F.concat(X.plain(F.col("caption")), F.lit(" ")).alias("own"))
+    seen = F.when(F.col("vector").isNotNull(), F.greatest(F.lit(0.0), V.dot(F.col("vector"), F.col("q"))) * F.col("w_visual"))
+    rows = _for_requests(own, asked).select("request_id", "video_id", "ts", "id", seen.alias("seen"), _caption_value(F.col("own")).alias("part"))
+    return rows.where("seen is not null or part is not null")
+
+
+def fused(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, asked: Asked, dim: int) -> DataFrame:
+    """request_id, video_id, ts, score: the sum of all evidence for one instant (of the
+    vectors of frames at one time, the last frame's); a video without any has one
+    faint instant."""
+    said = audio_part(transcripts, asked).select("request_id", "video_id", "ts", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("seen"), "part")
+    parts = frame_parts(frames, asked, dim).unionByName(said)
+    last = F.max_by("seen", F.when(F.col("seen").isNotNull(), F.col("id")))
+    scored = parts.groupBy("request_id", "video_id", "ts").agg((F.coalesce(last, F.lit(0.0)) + F.coalesce(F.sum("part"), F.lit(0.0))).alias("score"))
     pairs = _for_requests(videos.select("video_id"), asked).select("request_id", "video_id")
     return pairs.join(scored, ["request_id", "video_id"], "left").select(
         "request_id", "video_id", F.coalesce("ts", F.lit(EMPTY_AT)).alias("ts"), F.coalesce("score", F.lit(EMPTY_SCORE)).alias("score")
     )
 
 
-def reciprocal_ranks(ranked: DataFrame, weights: dict[str, float], k: int = 60, default: float | None = None) -> DataFrame:
+def item_key(id_: Column, timestamp: Column, rank: Column) -> Column:
+    """What names an item of a ranked list: its id, without one (or an empty one) its
+    time, without one (or at 0) its place."""
+    return F.when(id_.isNotNull() & (id_.cast("string") != ""), id_.cast("string")).when(timestamp.isNotNull() & (timestamp != 0), timestamp.cast("string")).otherwise(rank.cast("string"))
+
+
+CUT_SAMPLE = 50
+
+
+def ranked(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows (modality, item, s, ...) with their rank from 1 in their list, best s first,
+    then the smaller item. Lists are cut into ranges at places that a bounded sample
+    suggests; a rank is the place within the range plus the sizes of those before, so
+    no task holds a whole list."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = rows.select("modality", "item", "s").orderBy(F.xxhash64("modality", "item"), "modality", "item", "s").limit(parts * CUT_SAMPLE).collect()
+    found: dict[str, list[tuple]] = {}
+    for r in sample:
+        found.setdefault(r["modality"], []).append((-r["s"], r["item"]))
+    cuts = []
+    for name, places in sorted(found.items()):
+        places.sort()
+        step = max(1, len(places) // parts)
+        cuts += [(name, float(a), b) for a, b in places[step::step]]
+    kind = rows.schema["item"].dataType.simpleString()
+    literal = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(a).alias("a"), F.lit(b).cast(kind).alias("b")) for m, a, b in cuts]).cast(f"array<struct<m:string,a:double,b:{kind}>>")
+    before = lambda c: (c["m"] == F.col("modality")) & ((c["a"] < -F.col("s")) | ((c["a"] == -F.col("s")) & (c["b"] <= F.col("item"))))
+    rows = rows.withColumn("range_", F.size(F.filter(literal, before)))
+    sizes = rows.groupBy("modality", "range_").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("modality").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("modality", "range_", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead_"))
+    order = Window.partitionBy("modality", "range_").orderBy(F.col("s").desc(), "item")
+    rows = rows.withColumn("rank", F.row_number().over(order)).join(sizes, ["modality", "range_"])
+    return rows.withColumn("rank", (F.col("rank") + F.col("ahead_")).cast("long")).drop("range_", "ahead_")
+
+
+def reciprocal_ranks(ranked: DataFrame, weights: dict[str, float], k: int = 60, default: float | None = None, lists: Sequence[str] | None = None, payload: str | None = None) -> DataFrame:
     """ranked (modality, item, rank) -> item, fused_score, modality_scores: weights
-    over k + rank. An unnamed modality weighs ``default`` (1 over the number of lists)."""
-    default = 1.0 / max(1, len(weights)) if default is None else default
+    over k + rank. An unnamed modality weighs ``default`` (1 over the number of lists).
+    lists: their names in order, empty ones too (default: those that have rows, by
+    name). payload: a column of which the first entry is kept, by list and rank."""
+    if lists is None:
+        lists = sorted(r["modality"] for r in ranked.select("modality").distinct().collect())
+    default = 1.0 / max(1, len(lists)) if default is None else default
     pairs = [x for m, w in weights.items() for x in (F.lit(m), F.lit(float(w)))]
     weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("modality")), F.lit(default)) if pairs else F.lit(default)
-    parts = ranked.select("item", "modality", "rank", (weight / (k + F.col("rank"))).alias("part"))
+    place = F.array_position(F.array(*[F.lit(m) for m in lists]).cast("array<string>"), F.col("modality"))
+    kept = F.col(payload) if payload else F.lit(None).cast("string")
+    parts = ranked.select("item", "modality", "rank", (weight / (k + F.col("rank"))).alias("part"), place.alias("place"), kept.alias("payload"))
     # an item that a list repeats adds each time; its map holds the last place
-    one = parts.groupBy("item", "modality").agg(F.sum("part").alias("part"), F.max_by("part", "rank").alias("last"))
-    return one.groupBy("item").agg(F.sum("part").alias("fused_score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("modality", "last")))).alias("modality_scores"))
+    one = parts.groupBy("item", "modality", "place").agg(F.sum("part").alias("part"), F.max_by("part", "rank").alias("last"), F.min("rank").alias("rank"), F.min_by("payload", "rank").alias("payload"))
+    out = one.groupBy("item").agg(
+        F.sum("part").alias("fused_score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("modality", "last")))).alias("modality_scores"), F.min_by("payload", F.struct("place", "rank")).alias("payload")
+    )
+    return out if payload else out.drop("payload")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from timelode.functions import text as X
 from timelode.functions.concepts import CONCEPTS
-from timelode.operators import signal as G
 
 
 def _str(s: str) -> str:
@@ -51,26 +50,34 @@ pairs AS (
   FROM truth t LEFT JOIN pred p USING (query_id))"""
 
 
-def _kernel(kernel: dict[int, float]) -> str:
-    return "kernel(k, w) AS (VALUES " + ", ".join(f"({k}, CAST({w!r} AS DOUBLE))" for k, w in kernel.items()) + ")"
+#: Scales in seconds with their weights, by request, and each request's factor of the threshold.
+MULTI_SCALES = "(0, 0.5, 0.35), (0, 1.5, 0.45), (0, 3.5, 0.2)"
+SINGLE_SCALE = "(0, 1.5, 1.0)"
+ONE_FACTOR = "(0, 0.8)"
 
 
-def _signal(kernel: dict[int, float]) -> str:
-    """tl (request_id, video_id, t, score), dur -> bins, dense, sig, thr."""
-    r = max(kernel)
-    return f"""{_kernel(kernel)},
+def _signal(scales: str, factors: str = ONE_FACTOR) -> str:
+    """tl (request_id, video_id, t, score), dur -> bins, dense, sig, thr. The kernel comes
+    from its definition: at two bins a second, cut at four sigmas, each scale's taps
+    sum to its weight."""
+    return f"""scales(request_id, s, w) AS (SELECT r, CAST(s AS DOUBLE), CAST(w AS DOUBLE) FROM (VALUES {scales}) v(r, s, w)),
+factors(request_id, factor) AS (SELECT r, CAST(f AS DOUBLE) FROM (VALUES {factors}) v(r, f)),
+shapes AS (SELECT request_id, s, w, greatest(CAST(0.5 AS DOUBLE), s * 2) AS sg FROM scales),
+taps AS (SELECT *, unnest(range(-CAST(floor(4 * sg + CAST(0.5 AS DOUBLE)) AS BIGINT), CAST(floor(4 * sg + CAST(0.5 AS DOUBLE)) AS BIGINT) + 1)) AS k FROM shapes),
+bells AS (SELECT *, exp(-(k / sg) * (k / sg) / 2) AS e FROM taps),
+kernel AS (SELECT request_id, k, sum(w * e / whole) AS w FROM (SELECT *, sum(e) OVER (PARTITION BY request_id, s) AS whole FROM bells) GROUP BY request_id, k),
 bins AS (
   SELECT request_id, video_id, n, CAST(least(n - 1, greatest(0, round_even(t * 2, 0))) AS BIGINT) AS idx, max(greatest(score, 0)) AS score
   FROM tl JOIN dur USING (request_id, video_id) GROUP BY ALL),
 virt AS (
   SELECT request_id, video_id, n, score,
-         unnest(range(CASE WHEN idx = 0 THEN -{r} ELSE idx END, CASE WHEN idx = n - 1 THEN n + {r} ELSE idx + 1 END)) AS pos FROM bins),
-parts AS (SELECT request_id, video_id, pos + k AS idx, sum(score * w) AS s FROM virt, kernel WHERE pos + k BETWEEN 0 AND n - 1 GROUP BY ALL),
+         unnest(range(CASE WHEN idx = 0 THEN -28 ELSE idx END, CASE WHEN idx = n - 1 THEN n + 28 ELSE idx + 1 END)) AS pos FROM bins),
+parts AS (SELECT request_id, video_id, pos + k AS idx, sum(score * w) AS s FROM virt JOIN kernel USING (request_id) WHERE pos + k BETWEEN 0 AND n - 1 GROUP BY ALL),
 grid AS (SELECT request_id, video_id, n, duration, unnest(range(0, n)) AS idx FROM dur),
 dense AS (SELECT g.*, coalesce(s, CAST(0 AS DOUBLE)) AS smoothed FROM grid g LEFT JOIN parts p USING (request_id, video_id, idx)),
 ranged AS (SELECT *, min(smoothed) OVER w AS lo, max(smoothed) OVER w AS hi FROM dense WINDOW w AS (PARTITION BY request_id, video_id)),
 sig AS (SELECT request_id, video_id, n, duration, idx, round(CASE WHEN hi > lo THEN (smoothed - lo) / (hi - lo) ELSE smoothed END, 9) AS value FROM ranged),
-thr AS (SELECT *, round(avg(value) OVER w + CAST(0.8 AS DOUBLE) * stddev_pop(value) OVER w, 9) AS theta FROM sig WINDOW w AS (PARTITION BY request_id, video_id))"""
+thr AS (SELECT sig.*, round(avg(value) OVER w + factor * stddev_pop(value) OVER w, 9) AS theta FROM sig JOIN factors USING (request_id) WINDOW w AS (PARTITION BY request_id, video_id))"""
 
 
 CLUSTERS = """above AS (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY request_id, video_id ORDER BY idx) > 3 THEN 1 ELSE 0 END AS starts FROM thr WHERE value >= theta),
@@ -109,16 +116,30 @@ nms AS (
 fin AS (SELECT request_id, video_id, kept FROM nms QUALIFY row_number() OVER (PARTITION BY request_id, video_id ORDER BY rn DESC) = 1),
 won AS (SELECT request_id, video_id, unnest(range(1, len(kept) + 1)) AS rank, unnest(kept, recursive := true) FROM fin)"""
 
-MULTI = f"{TIMELINE}, {_signal(G.multiscale())}"
+MULTI = f"{TIMELINE}, {_signal(MULTI_SCALES)}"
 COS = "list_sum(list_transform(list_zip(vector, q), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 QUERY = "qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
 UNIT = "qv AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS q FROM embeddings WHERE vec_id = 0)"
 HEAT = """heat AS (
-  SELECT h.video_id, sec, round(s.value, 3) AS value
+  SELECT h.request_id, h.video_id, sec, round(s.value, 3) AS value
   FROM (SELECT request_id, video_id, n, unnest(range(0, CAST(ceil(duration) AS BIGINT))) AS sec FROM dur) h
   JOIN sig s ON s.request_id = h.request_id AND s.video_id = h.video_id AND s.idx = least(h.n - 1, h.sec * 2))"""
 
 
+#: request, weights, its only video, whether it has any evidence, most moments.
+REQUESTS = """reqs(request_id, wv, wc, wa, only_video, has, top_k) AS (
+  SELECT CAST(r AS BIGINT), CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE), v, h, CAST(k AS BIGINT)
+  FROM (VALUES (0, 0.45, 0.35, 0.2, NULL, true, 2), (1, 0.45, 0.35, 0.2, NULL, true, 3), (2, 0.45, 0.35, 0.2, NULL, false, 5), (3, 0.1, 0.2, 0.7, 4, true, 5)) x(r, a, b, c, v, h, k))"""
+REQUEST_SCALES = ", ".join(f"({r}, {s}, {w})" for r in (0, 2, 3) for s, w in ((0.5, 0.35), (1.5, 0.45), (3.5, 0.2))) + ", (1, 3.0, 1.0)"
+REQUEST_FACTORS = "(0, 0.8), (1, 0.4), (2, 0.8), (3, 0.8)"
+PREVIEW = ("sorry", "cannot browse", "can't browse", "unable to browse", "large language model", "training data", "cutoff date", "对不起", "抱歉", "语言模型", "无法访问", "没有访问", "作为ai", "你好", "提供帮助", "javascript", "const numbers")
+CAPTIONER = ("sorry", "cannot browse", "can't browse", "unable to browse", "not able to browse", "large language model", "training data", "cutoff date", "as an ai", "i am an ai", "don't have access", "not sure what you are asking", "clarify your question", "how can i help")
+STAGED = f"""{PROGRESS}, staged AS (
+  SELECT video_id, ts, event_id, progress / CAST(4.5 AS DOUBLE) AS progress, detail,
+         CASE stage WHEN 'signup' THEN 'decoding' WHEN 'view' THEN 'scene_detect' WHEN 'click' THEN 'asr_whisper' WHEN 'purchase' THEN 'minicpmv_caption' WHEN 'error' THEN 'lancedb_commit' END AS stage FROM pr),
+newest AS (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY ts DESC, event_id DESC) = 1)"""
+
+
 def _hits(text: str, words) -> str:
     return f"CAST(len(list_filter({_list(words)}, lambda k: contains({text}, k))) AS BIGINT)"
 
@@ -133,16 +154,63 @@ def statements() -> dict[str, str]:
     visual = f"SELECT video_id, ts, greatest(CAST(0 AS DOUBLE), {COS}) * CAST(0.45 AS DOUBLE) AS part FROM frames, qv WHERE len(vector) = {DIM}"
     fused = f"{VIDEOS}, {UNIT}, parts0 AS ({visual} UNION ALL {caption} UNION ALL {audio}), sums AS (SELECT video_id, ts, sum(part) AS score FROM parts0 GROUP BY ALL), fused AS (SELECT v.video_id, v.duration_sec, coalesce(ts, CAST(0 AS DOUBLE)) AS ts, coalesce(score, CAST(0.1 AS DOUBLE)) AS score FROM vids v LEFT JOIN sums USING (video_id))"
     table = "concepts(position, key, visual, audio) AS (VALUES " + ", ".join(f"({p}, {_str(CONCEPTS[i][0])}, {_list(CONCEPTS[i][1])}, {_list(CONCEPTS[i][2])})" for p, i in enumerate(sorted(range(len(CONCEPTS)), key=lambda i: -len(CONCEPTS[i][0])))) + ")"
-    typed = "typed(request_id, query) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), trim({_str(q)}))" for i, q in enumerate(QUERIES)) + ")"
+    typed = "typed(request_id, query) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), regexp_replace({_str(q)}, '^\\s+|\\s+$', '', 'g'))" for i, q in enumerate(QUERIES)) + ")"
     clips = "clips(video_id, clip_id, c_start, c_end) AS (VALUES " + ", ".join(f"(CAST({v} AS BIGINT), CAST({c} AS BIGINT), CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE))" for v, c, a, b in CLIPS) + ")"
     refused = f"coalesce(len(list_filter({_list(PHRASES)}, lambda p: contains(lower(caption), p) OR contains(caption, p))) > 0, false)"
     hit = f"len(list_filter({_list(tokens(QUESTION))}, lambda k: contains(lower(coalesce(spoken, '')), k))) > 0"
     talk = f"""{SAID}, marked AS (SELECT *, {hit} AS hit FROM said),
 ranked AS (SELECT *, max(hit) OVER (PARTITION BY video_id) AS matched, row_number() OVER (PARTITION BY video_id ORDER BY hit DESC, t_start, id) AS rank FROM marked),
 few AS (SELECT * FROM ranked WHERE rank <= 5 AND (hit OR NOT matched))"""
+    only = "(only_video IS NULL OR only_video = video_id)"
+    asked = f"""{VIDEOS}, {UNIT}, {REQUESTS}, parts0 AS (
+SELECT request_id, video_id, ts, CASE WHEN has THEN greatest(CAST(0 AS DOUBLE), {COS}) ELSE CAST(0 AS DOUBLE) END * wv AS part FROM frames, qv, reqs WHERE len(vector) = {DIM} AND {only}
+UNION ALL SELECT request_id, video_id, ts, {frame_hits} / CAST({len(KEYWORDS)} AS DOUBLE) * wc FROM frames, reqs WHERE has AND {frame_hits} > 0 AND {only}
+UNION ALL SELECT request_id, video_id, (t_start + t_end) / 2, {said_hits} / CAST({len(KEYWORDS)} AS DOUBLE) * wa FROM said, reqs WHERE has AND {said_hits} > 0 AND {only}),
+sums AS (SELECT request_id, video_id, ts, sum(part) AS score FROM parts0 GROUP BY ALL),
+tl AS (SELECT r.request_id, v.video_id, coalesce(ts, CAST(0 AS DOUBLE)) AS t, coalesce(score, CAST(0.1 AS DOUBLE)) AS score FROM (SELECT request_id, video_id FROM vids, reqs WHERE {only}) r JOIN vids v USING (video_id) LEFT JOIN sums USING (request_id, video_id)),
+dur AS (SELECT request_id, video_id, duration_sec AS duration, greatest(1, CAST(ceil(duration_sec * 2) AS BIGINT)) AS n FROM vids, reqs WHERE {only}),
+{_signal(REQUEST_SCALES, REQUEST_FACTORS)}, {CLUSTERS}, {VALLEYS}, {NMS}, top AS (SELECT request_id, video_id, max(value) AS peak FROM sig GROUP BY ALL),
+best AS (SELECT request_id, video_id, rank, t_start, t_end, round(score * least(1, greatest(CAST(0.4 AS DOUBLE), peak / CAST(0.35 AS DOUBLE))), 3) AS score
+  FROM won JOIN top USING (request_id, video_id) JOIN reqs USING (request_id) WHERE rank <= top_k AND peak >= CAST(0.12 AS DOUBLE))"""
+    preview = f"CASE WHEN coalesce(caption, '') = '' OR len(list_filter({_list(PREVIEW)}, lambda p: contains(lower(caption), p) OR contains(caption, p))) > 0 THEN 'Visual keyframe capturing scene activity and subjects.' ELSE caption END"
     out = {
+        "search_requests": f"WITH RECURSIVE {asked} SELECT request_id, video_id, rank, t_start, t_end, score FROM best",
+        "search_response": f"""WITH RECURSIVE {asked}, {HEAT},
+near AS (SELECT b.request_id, b.video_id, b.rank, f.id AS frame_id, {preview} AS preview FROM best b JOIN frames f ON f.video_id = b.video_id
+  QUALIFY row_number() OVER (PARTITION BY b.request_id, b.video_id, b.rank ORDER BY abs(f.ts - (b.t_start + b.t_end) / 2), f.ts, f.id) = 1),
+shown AS (SELECT request_id, video_id, count(*) AS n_moments, string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY rank) AS frame_ids, string_agg(preview, '|' ORDER BY rank) AS previews FROM near GROUP BY ALL),
+warm AS (
+  SELECT h.request_id, h.video_id, value FROM heat h JOIN top USING (request_id, video_id) WHERE peak >= CAST(0.12 AS DOUBLE)
+  UNION ALL SELECT s.request_id, s.video_id, round(s.value, 3) FROM sig s JOIN top USING (request_id, video_id) WHERE peak < CAST(0.12 AS DOUBLE) AND idx % 2 = 0),
+sumh AS (SELECT request_id, video_id, count(*) AS n_heat, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS heat_sum, max(value) AS heat_peak FROM warm GROUP BY ALL)
+SELECT request_id, video_id, coalesce(n_moments, 0) AS n_moments, coalesce(frame_ids, '') AS frame_ids, md5(coalesce(previews, '')) AS previews_md5, n_heat, heat_sum, heat_peak, round(duration, 2) AS total_duration, top_k
+FROM dur JOIN reqs USING (request_id) LEFT JOIN sumh USING (request_id, video_id) LEFT JOIN shown USING (request_id, video_id)""",
+        "progress_status": f"""WITH {STAGED}, asked AS (SELECT DISTINCT video_id FROM pr UNION ALL SELECT unnest([CAST(10000001 AS BIGINT), CAST(10000002 AS BIGINT)]))
+SELECT video_id, round(coalesce(progress, 0), 6) AS progress, coalesce(stage, 'decoding') AS stage, CASE WHEN event_id IS NULL THEN 'Initializing...' ELSE '' END AS message FROM asked LEFT JOIN newest USING (video_id)""",
+        "stage_completion": f"""WITH {STAGED}, placed AS (SELECT *, list_position(['scene_detect', 'asr_whisper', 'keyframe_ssim', 'siglip2_embedding', 'lancedb_commit', 'vlm_caption', 'complete'], CASE WHEN stage = 'minicpmv_caption' THEN 'vlm_caption' ELSE stage END) AS place FROM staged),
+run AS (SELECT *, max(progress >= 100 OR stage = 'complete') OVER w AS ended, coalesce(last_value(CASE WHEN place > 0 THEN place END IGNORE NULLS) OVER w, 0) AS n_done FROM placed WINDOW w AS (PARTITION BY video_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT video_id, event_id, CASE WHEN ended THEN 'decoding,scene_detect,asr_whisper,keyframe_ssim,siglip2_embedding,vlm_caption'
+  ELSE array_to_string((['decoding', 'scene_detect', 'asr_whisper', 'keyframe_ssim', 'siglip2_embedding', 'lancedb_commit', 'vlm_caption'])[1:n_done], ',') END AS done, ended FROM run""",
+        "ingest_phase": f"WITH {STAGED} SELECT video_id, CASE WHEN stage = 'complete' THEN 'phase2_complete' WHEN stage IN ('lancedb_commit', 'minicpmv_caption') OR progress >= 100 THEN 'phase1_ready' END AS ingestion_phase FROM newest",
+        "progress_throttled": f"""WITH RECURSIVE {VIDEOS}, o AS (
+  SELECT video_id, id, t_end / 3 AS t, greatest(CAST(1 AS DOUBLE), duration_sec / 3) AS total, row_number() OVER w AS rn,
+         count(*) FILTER (WHERE regexp_replace(coalesce(spoken, ''), '^\\s+|\\s+$', '', 'g') <> '') OVER (w ROWS UNBOUNDED PRECEDING) AS segments
+  FROM said JOIN vids USING (video_id) WINDOW w AS (PARTITION BY video_id ORDER BY t_end / 3, id)),
+k AS (SELECT *, t AS last, true AS kept FROM o WHERE rn = 1
+  UNION ALL SELECT o.*, CASE WHEN o.t - k.last >= 1 OR o.t >= o.total THEN o.t ELSE k.last END, o.t - k.last >= 1 OR o.t >= o.total FROM k JOIN o ON o.video_id = k.video_id AND o.rn = k.rn + 1)
+SELECT video_id, id, segments, least(100, CAST(trunc(t / total * 100) AS BIGINT)) AS sub_percent, least(58, 25 + CAST(trunc(t / total * 33) AS BIGINT)) AS progress, round(t, 1) AS current_sec, round(total, 1) AS total_sec FROM k WHERE kept""",
+        "speech_segments": f"""WITH {SAID}, s AS (SELECT video_id, id, t_start, regexp_replace(spoken, '^\\s+|\\s+$', '', 'g') AS spoken FROM said WHERE id % 3 <> 0)
+SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY t_start, id) AS segment, md5(spoken) AS spoken_md5 FROM s WHERE spoken <> ''""",
+        "scene_captions": f"""WITH {SCENES}, c AS (SELECT s.video_id, s.scene_index, s.keyframe_count, regexp_replace(CASE WHEN f.id % 5 = 0 THEN 'I''m Sorry, ' || f.caption ELSE f.caption END, '^\\s+|\\s+$', '', 'g') AS said FROM scn s JOIN frames f ON f.id = s.ids[1])
+SELECT video_id, scene_index, md5(CASE WHEN said IS NULL OR said = '' OR len(list_filter({_list(CAPTIONER)}, lambda p: contains(lower(said), p))) > 0
+  THEN printf('Scene showing keyframe visuals with %d frames, subjects and ongoing activity.', keyframe_count) ELSE said END) AS caption_md5 FROM c""",
+        "decoded_frames": f"""WITH {SCENES}, c AS (SELECT video_id, scene_index, t_start, t_end - t_start AS span, greatest(1, least(10, CAST(trunc(t_end - t_start) AS BIGINT))) AS n FROM scn),
+x AS (SELECT *, unnest(range(0, n)) AS i FROM c), y AS (SELECT video_id, scene_index, i, t_start + i / CAST(n AS DOUBLE) * span AS ts FROM x),
+z AS (SELECT *, CAST(trunc(ts * CAST(29.97 AS DOUBLE)) AS BIGINT) AS frame_idx FROM y)
+SELECT video_id, scene_index, i, round(ts, 6) AS ts, frame_idx, frame_idx * 2 AS content, printf('f_%.2fs.jpg', round(ts, 6)) AS file FROM z WHERE frame_idx % 7 <> 0""",
         "scan_videos": f"WITH {VIDEOS} SELECT video_id, duration_sec FROM vids",
-        "list_videos": f"WITH {VIDEOS} SELECT CAST(video_id AS VARCHAR) AS id, 'video_' || video_id || '.mp4' AS filename, duration_sec FROM vids",
+        "list_videos": f"""WITH {VIDEOS} SELECT CAST(video_id AS VARCHAR) AS id, 'video_' || video_id || '.mp4' AS filename, '/videos/video_' || video_id || '.mp4' AS filepath, duration_sec,
+CAST(25 AS DOUBLE) AS fps, '1280x720' AS resolution, CAST(floor(duration_sec * 25) AS BIGINT) AS total_frames, 'phase1_ready' AS ingestion_phase, '2024-01-01T00:00:00' AS created_at FROM vids""",
         "filter_frames_limit": f"WITH {FRAMES} SELECT video_id, id, ts FROM frames WHERE video_id = 3 ORDER BY ts, id LIMIT 10",
         "valid_vectors": f"SELECT CAST(label AS BIGINT) AS video_id, count(*) FILTER (WHERE len(embedding) = {DIM}) AS n_valid, count(*) AS n_total FROM embeddings GROUP BY label",
         "table_counts": """WITH c AS (SELECT 'embeddings' AS "table", count(*) AS n FROM embeddings UNION ALL SELECT 'conversations', count(*) FROM conversations
@@ -170,16 +238,18 @@ w AS (SELECT request_id, query, regexp_extract_all(lower(query), '[\\p{{L}}\\p{{
 u AS (SELECT *, list_filter(f, lambda x, i: list_position(f, x) = i)[1:5] AS short FROM w)
 SELECT request_id, array_to_string(list_sort(list_distinct(list_concat(t, v))), '|') AS visual, array_to_string(list_sort(list_distinct(list_concat(t, a))), '|') AS audio,
   CASE WHEN len(short) > 0 THEN query || ' ' || array_to_string(short, ' ') ELSE query END AS expanded FROM u""",
-        "rrf_fuse": f"""WITH {FRAMES}, {UNIT}, lists AS (
-SELECT 'visual' AS modality, id AS item, round({COS}, 6) AS s FROM frames, qv WHERE len(vector) = {DIM}
-UNION ALL SELECT 'caption', id, CAST({_hits('lower(coalesce(caption, $$$$))', KEYWORDS)} AS DOUBLE) FROM frames WHERE {_hits('lower(coalesce(caption, $$$$))', KEYWORDS)} > 0
-UNION ALL SELECT 'audio', id, ts FROM frames WHERE video_id = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY s DESC, item) AS rank FROM lists QUALIFY rank <= 100),
-p AS (SELECT item, modality, CASE modality WHEN 'visual' THEN CAST(0.5 AS DOUBLE) WHEN 'caption' THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END / (60 + rank) AS part FROM r)
-SELECT item AS id, round(sum(part), 8) AS fused_score, round(coalesce(max(CASE WHEN modality = 'audio' THEN part END), 0), 8) AS audio_part FROM p GROUP BY item""",
+        "rrf_fuse": f"""WITH {FRAMES}, {SAID}, {UNIT}, lists AS (
+SELECT 'visual' AS modality, 1 AS place, CAST(id AS VARCHAR) AS item, round({COS}, 6) AS s, ts FROM frames, qv WHERE len(vector) = {DIM}
+UNION ALL SELECT 'caption', 2, CAST(id AS VARCHAR), CAST({frame_hits} AS DOUBLE), ts FROM frames WHERE {frame_hits} > 0
+UNION ALL SELECT 'audio', 3, 'said ' || id, CAST({said_hits} AS DOUBLE), (t_start + t_end) / 2 FROM said WHERE {said_hits} > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY s DESC, item) AS rank FROM lists),
+named AS (SELECT modality, place, rank, ts, CASE WHEN modality <> 'audio' THEN item WHEN ts <> 0 THEN CAST(ts AS VARCHAR) ELSE CAST(rank AS VARCHAR) END AS item FROM r),
+p AS (SELECT *, CASE modality WHEN 'visual' THEN CAST(0.5 AS DOUBLE) WHEN 'caption' THEN CAST(0.3 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / 3 END / (60 + rank) AS part FROM named)
+SELECT item AS id, round(sum(part), 8) AS fused_score, round(coalesce(arg_max(part, rank) FILTER (WHERE modality = 'visual'), 0), 8) AS visual_part,
+round(coalesce(arg_max(part, rank) FILTER (WHERE modality = 'audio'), 0), 8) AS audio_part, round(arg_min(ts, CAST(place AS BIGINT) * 1000000000 + rank), 3) AS ts FROM p GROUP BY item""",
         "signal_bins": f"WITH {MULTI} SELECT video_id, idx, round(score, 6) AS score FROM bins",
         "gaussian_multiscale": f"WITH {MULTI} SELECT video_id, idx, round(smoothed, 6) AS smoothed FROM dense",
-        "gaussian_single": f"WITH {TIMELINE}, {_signal(G.gaussian(G.DEFAULT_SIGMA))} SELECT video_id, idx, round(smoothed, 6) AS smoothed FROM dense",
+        "gaussian_single": f"WITH {TIMELINE}, {_signal(SINGLE_SCALE)} SELECT video_id, idx, round(smoothed, 6) AS smoothed FROM dense",
         "dynamic_threshold": f"WITH {MULTI} SELECT video_id, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sigma, round(round(avg(value) + CAST(0.8 AS DOUBLE) * stddev_pop(value), 9), 6) AS theta FROM sig GROUP BY video_id",
         "moment_clusters": f"WITH {MULTI}, {CLUSTERS} SELECT video_id, cluster, first, last FROM pk",
         "moment_peaks": f"WITH {MULTI}, {CLUSTERS} SELECT video_id, cluster, peak, round(score, 6) AS score FROM pk",
@@ -189,7 +259,7 @@ SELECT item AS id, round(sum(part), 8) AS fused_score, round(coalesce(max(CASE W
         "heatmap_bands": f"WITH {MULTI}, {HEAT} SELECT video_id, CASE WHEN value >= 0.75 THEN 'high' WHEN value >= 0.5 THEN 'medium' WHEN value >= 0.3 THEN 'low' ELSE 'none' END AS band, count(*) AS n, max(value) AS peak FROM heat GROUP BY ALL",
         "search_moments": f"""WITH RECURSIVE {fused}, tl AS (SELECT CAST(0 AS BIGINT) AS request_id, video_id, ts AS t, score FROM fused),
 dur AS (SELECT DISTINCT CAST(0 AS BIGINT) AS request_id, video_id, duration_sec AS duration, greatest(1, CAST(ceil(duration_sec * 2) AS BIGINT)) AS n FROM fused),
-{_signal(G.multiscale())}, {CLUSTERS}, {VALLEYS}, {NMS}, top AS (SELECT request_id, video_id, max(value) AS peak FROM sig GROUP BY ALL)
+{_signal(MULTI_SCALES)}, {CLUSTERS}, {VALLEYS}, {NMS}, top AS (SELECT request_id, video_id, max(value) AS peak FROM sig GROUP BY ALL)
 SELECT video_id, rank, t_start, t_end, round(score * least(1, greatest(CAST(0.4 AS DOUBLE), peak / CAST(0.35 AS DOUBLE))), 3) AS score FROM won JOIN top USING (request_id, video_id) WHERE rank <= 5 AND peak >= CAST(0.12 AS DOUBLE)""",
         "nearest_frame": f"""WITH {FRAMES}, {SAID}, p AS (SELECT video_id, id, (t_start + t_end) / 2 AS t FROM said),
 c AS (SELECT p.id, f.id AS frame_id, abs(f.ts - p.t) AS d, row_number() OVER (PARTITION BY p.video_id, p.id, p.t ORDER BY abs(f.ts - p.t), f.ts, f.id) AS rn FROM p LEFT JOIN frames f ON f.video_id = p.video_id AND abs(f.ts - p.t) < 999)

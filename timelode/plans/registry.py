@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelode.functions import text as X
@@ -18,8 +19,13 @@ QUESTION = "What is the thing and that"
 DIM = 64
 PHRASES = (*X.STORED_REFUSALS, "idiot", "worthless")
 FILES = ("a.mp4", "B.MKV", "c.mov", "d.webm", "e.avi", "f.txt", "g.mp4.exe", "noending", ".mp4", "dir.mp4/plain", "h.Mp4")
-QUERIES = ("คนใส่เสื้อสีเขียว", "a man in a red shirt", "รถยนต์ turning", "  spaced  words ", "")
+QUERIES = ("คนใส่เสื้อสีเขียว", "a man in a red shirt", "รถยนต์ turning", "\t spaced  words \n", "", "\t\n ")
 TAU = 0.14
+FPS = 25.0
+#: Stand-ins for the stages of ingestion in the events, and what makes their values percents.
+STAGE_OF = {"signup": "decoding", "view": "scene_detect", "click": "asr_whisper", "purchase": "minicpmv_caption", "error": "lancedb_commit"}
+PERCENT = 4.5
+ABSENT = (10_000_001, 10_000_002)
 CLIPS = tuple((v, c, 4.0 + 7 * c + v / 10, 9.3 + 9 * c) for v in range(10) for c in range(3))
 
 
@@ -38,8 +44,14 @@ def scan_videos(spark, sf_dir):
 
 
 def list_videos(spark, sf_dir):
+    """All nine columns, each as its own type."""
     v = F.col("video_id").cast("string")
-    return T.videos(spark, sf_dir).select(v.alias("id"), F.concat(F.lit("video_"), v, F.lit(".mp4")).alias("filename"), F.col("duration_sec").cast("double").alias("duration_sec"))
+    name = F.concat(F.lit("video_"), v, F.lit(".mp4"))
+    total = F.floor(F.col("duration_sec") * FPS)
+    return T.videos(spark, sf_dir).select(
+        v.alias("id"), name.alias("filename"), F.concat(F.lit("/videos/"), name).alias("filepath"), F.col("duration_sec").cast("double").alias("duration_sec"), F.lit(FPS).alias("fps"),
+        F.lit("1280x720").alias("resolution"), total.cast("long").alias("total_frames"), F.lit("phase1_ready").alias("ingestion_phase"), F.lit("2024-01-01T00:00:00").alias("created_at"),
+    )
 
 
 def filter_frames_limit(spark, sf_dir):
@@ -125,16 +137,20 @@ def expand_query(spark, sf_dir):
 
 
 def rrf_fuse(spark, sf_dir):
-    """Three lists of frames: by similarity, by keywords, by time."""
-    scored = scoring.cosines(T.frames(spark, sf_dir), _request(spark, sf_dir), DIM).select(F.col("id").alias("item"), F.round("score", 6).alias("s"))
-    hits = T.frames(spark, sf_dir).select(F.col("id").alias("item"), X.keyword_matches(X.plain(F.col("caption")), X.literals(KEYWORDS)).cast("double").alias("s")).where("s > 0")
-    late = T.frames(spark, sf_dir).where("video_id = 1").select(F.col("id").alias("item"), F.col("ts").alias("s"))
-    lists = [d.select(F.lit(m).alias("modality"), "item", "s") for m, d in (("visual", scored), ("caption", hits), ("audio", late))]
-    rows = lists[0].unionByName(lists[1]).unionByName(lists[2])
-    order = Window.partitionBy("modality").orderBy(F.col("s").desc(), "item")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where("rank <= 100")
-    done = scoring.reciprocal_ranks(ranked, {"visual": 0.5, "caption": 0.3})
-    return done.select(F.col("item").alias("id"), F.round("fused_score", 8).alias("fused_score"), F.round(F.coalesce(F.element_at("modality_scores", F.lit("audio")), F.lit(0.0)), 8).alias("audio_part"))
+    """Three whole lists: frames by similarity, frames by keywords, words spoken by
+    keywords, which have no id and go by their time."""
+    frames = T.frames(spark, sf_dir)
+    seen = scoring.cosines(frames, _request(spark, sf_dir), DIM).select(F.col("id").cast("string").alias("item"), F.round("score", 6).alias("s"), "ts")
+    hits = frames.select(F.col("id").cast("string").alias("item"), X.keyword_matches(X.plain(F.col("caption")), X.literals(KEYWORDS)).cast("double").alias("s"), "ts").where("s > 0")
+    t = (F.col("t_start") + F.col("t_end")) / 2
+    said = T.transcripts(spark, sf_dir).select(F.concat(F.lit("said "), F.col("id").cast("string")).alias("item"), X.keyword_matches(X.plain(F.col("spoken")), X.literals(KEYWORDS)).cast("double").alias("s"), t.alias("ts")).where("s > 0")
+    lists = [d.select(F.lit(m).alias("modality"), "item", "s", "ts") for m, d in (("visual", seen), ("caption", hits), ("audio", said))]
+    ranked = scoring.ranked(lists[0].unionByName(lists[1]).unionByName(lists[2]))
+    nameless = F.when(F.col("modality") != "audio", F.col("item"))
+    ranked = ranked.withColumn("item", scoring.item_key(nameless, F.col("ts"), F.col("rank")))
+    done = scoring.reciprocal_ranks(ranked, {"visual": 0.5, "caption": 0.3}, lists=("visual", "caption", "audio"), payload="ts")
+    part = lambda m: F.round(F.coalesce(F.element_at("modality_scores", F.lit(m)), F.lit(0.0)), 8)
+    return done.select(F.col("item").alias("id"), F.round("fused_score", 8).alias("fused_score"), part("visual").alias("visual_part"), part("audio").alias("audio_part"), F.round("payload", 3).alias("ts"))
 
 
 KEYS = ["video_id"]
@@ -205,6 +221,32 @@ def search_moments(spark, sf_dir):
     return done.select("video_id", "rank", "t_start", "t_end", "score")
 
 
+def _various(spark: SparkSession, sf_dir: str) -> list[scoring.Request]:
+    """Requests with numbers of their own, one without any evidence, one of a single video."""
+    plain = _asked(spark, sf_dir)[0]
+    return [
+        replace(plain, request_id=0, top_k=2),
+        replace(plain, request_id=1, top_k=3, threshold_factor=0.4, multiscale=False, gaussian_sigma=3.0),
+        scoring.Request(2, [0.0] * DIM, ("qqzzqq",), ("qqzzqq",)),
+        replace(plain, request_id=3, video_id=4, weights=(0.1, 0.2, 0.7)),
+    ]
+
+
+def search_requests(spark, sf_dir):
+    done = search.search(T.frames(spark, sf_dir), T.transcripts(spark, sf_dir), T.videos(spark, sf_dir), _various(spark, sf_dir), DIM)
+    return done.select("request_id", "video_id", "rank", "t_start", "t_end", "score")
+
+
+def search_response(spark, sf_dir):
+    """Whole responses, in figures: previews by their frames and the captions' digest."""
+    done = search.respond(T.frames(spark, sf_dir), T.transcripts(spark, sf_dir), T.videos(spark, sf_dir), _various(spark, sf_dir), DIM)
+    joined = lambda c: F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",")
+    return done.select(
+        "request_id", "video_id", F.size("moments").cast("long").alias("n_moments"), joined("moments.frame_id").alias("frame_ids"), F.md5(F.array_join("moments.preview", "|")).alias("previews_md5"),
+        F.size("heatmap").cast("long").alias("n_heat"), F.aggregate("heatmap", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 1000).cast("long")).alias("heat_sum"), F.array_max("heatmap").alias("heat_peak"), "total_duration", F.col("top_k").cast("long").alias("top_k"),
+    )
+
+
 def nearest_frame(spark, sf_dir):
     points = T.transcripts(spark, sf_dir).select("video_id", "id", ((F.col("t_start") + F.col("t_end")) / 2).alias("t"))
     return retrieval.nearest(points, T.frames(spark, sf_dir)).select("id", "frame_id", F.round("distance", 3).alias("distance"))
@@ -285,6 +327,54 @@ def progress_monotone(spark, sf_dir):
     return ingest.progress_monotone(T.progress(spark, sf_dir)).select("video_id", "event_id", "best")
 
 
+def _staged(spark, sf_dir):
+    stage = F.create_map(*[F.lit(x) for pair in STAGE_OF.items() for x in pair])
+    return T.progress(spark, sf_dir).withColumn("stage", F.element_at(stage, F.col("stage"))).withColumn("progress", F.col("progress") / PERCENT)
+
+
+def progress_status(spark, sf_dir):
+    """What each video's watcher is told on connecting, of unknown videos too."""
+    known = T.progress(spark, sf_dir).select("video_id").distinct()
+    asked = known.unionByName(spark.createDataFrame([(v,) for v in ABSENT], "video_id long"))
+    done = ingest.status(_staged(spark, sf_dir), asked)
+    return done.select("video_id", F.round("progress", 6).alias("progress"), "stage", "message")
+
+
+def stage_completion(spark, sf_dir):
+    return ingest.completed_stages(_staged(spark, sf_dir)).select("video_id", "event_id", F.array_join("done", ",").alias("done"), "ended")
+
+
+def ingest_phase(spark, sf_dir):
+    return ingest.phases(_staged(spark, sf_dir))
+
+
+def progress_throttled(spark, sf_dir):
+    """Transcripts closer together than a report, so that some are held back."""
+    said = T.transcripts(spark, sf_dir).withColumn("t_end", F.col("t_end") / 3)
+    return ingest.throttled(said, T.videos(spark, sf_dir).withColumn("duration_sec", F.col("duration_sec") / 3))
+
+
+def speech_segments(spark, sf_dir):
+    """Every third segment blank, the others with white space around them."""
+    blank = F.when(F.col("id") % 3 == 0, F.lit(" \t\n")).otherwise(F.concat(F.lit("\t "), F.col("spoken"), F.lit("\n")))
+    done = ingest.speech(T.transcripts(spark, sf_dir).withColumn("spoken", blank))
+    return done.select("video_id", "id", "segment", F.md5("spoken").alias("spoken_md5"))
+
+
+def scene_captions(spark, sf_dir):
+    """A captioner that says what the scene's first frame says, in part refusals."""
+    first = T.frames(spark, sf_dir).select(F.col("id").alias("first"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("I'm Sorry, "), F.col("caption"))).otherwise(F.col("caption")).alias("said"))
+    rows = T.scenes(spark, sf_dir).withColumn("first", F.get("frame_ids", F.lit(0))).join(first, "first", "left")
+    return rows.select("video_id", "scene_index", F.md5(X.scene_caption(F.col("said"), F.col("keyframe_count"))).alias("caption_md5"))
+
+
+def decoded_frames(spark, sf_dir):
+    """Every seventh frame can't be read; its time goes with it."""
+    samples = ingest.sample_times(T.scenes(spark, sf_dir), 29.97)
+    read = samples.where("frame_idx % 7 <> 0").select("video_id", "frame_idx", (F.col("frame_idx") * 2).alias("content")).distinct()
+    return ingest.decoded(samples, read).select("video_id", "scene_index", "i", F.round("ts", 6).alias("ts"), "frame_idx", "content", X.keyframe_name(F.round("ts", 6)).alias("file"))
+
+
 def bm25_topk(spark, sf_dir):
     return index.bm25(T.read(spark, sf_dir, "documents"), KEYWORDS, 20)
 
@@ -295,7 +385,8 @@ fused_scores expand_concepts expand_query rrf_fuse signal_bins gaussian_multisca
 dynamic_threshold moment_clusters moment_peaks valley_bounds greedy_nms heatmap_1hz heatmap_bands
 search_moments nearest_frame sanitize_captions rag_transcripts rag_answer subtitle_overlap srt_format
 temporal_iou eval_recall eval_miou sample_timestamps scene_groups scene_fallback subsample_frames
-keyframe_filter progress_latest progress_monotone bm25_topk""".split()
+keyframe_filter progress_latest progress_monotone bm25_topk search_requests search_response
+progress_status stage_completion ingest_phase progress_throttled speech_segments scene_captions decoded_frames""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

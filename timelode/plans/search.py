@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,22 +33,63 @@ def moments(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return M.suppress(M.bounded(found, group), group).drop("duration_sec")
 
 
-def search(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, wanted: Sequence[S.Request], dim: int, top_k: int = 5) -> DataFrame:
-    """request_id, video_id, rank, t_start, t_end, score: the best moments of each
-    video for each request, with calibrated scores; none where the signal is flat
-    and faint."""
-    asked = S.requests(frames.sparkSession, wanted)
-    scored = S.fused(frames, transcripts, videos, asked, dim).join(videos, "video_id").withColumnRenamed("ts", "t")
-    # what is one value for a group is a key, not a join
-    keys = ["request_id", "video_id", "duration_sec"]
-    rows = signal(scored, keys).withColumn("top", F.max("value").over(Window.partitionBy(*keys))).where(F.col("top") >= FLOOR)
-    keys = [*keys, "top"]
-    found = M.valleys(M.with_threshold(rows, keys), keys)
-    kept = M.suppress(M.bounded(found, keys), keys).where(F.col("rank") <= top_k)
+def _signals(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, wanted: Sequence[S.Request], dim: int) -> tuple[DataFrame, list[str]]:
+    """The signal of each request and video, and its keys: what is one value for a group
+    (duration, top_k, factor, the highest value) goes along as a key, not by a join.
+    Requests that smooth alike go through one kernel together."""
+    spark = frames.sparkSession
+    keys = ["request_id", "video_id", "duration_sec", "top_k", "factor"]
+    scored = S.fused(frames, transcripts, videos, S.requests(spark, wanted), dim).join(videos, "video_id").withColumnRenamed("ts", "t")
+    by_kernel: dict[float | None, list[S.Request]] = {}
+    for r in wanted:
+        by_kernel.setdefault(None if r.multiscale else float(r.gaussian_sigma), []).append(r)
+    out = []
+    for sigma, some in sorted(by_kernel.items(), key=lambda x: -1.0 if x[0] is None else x[0]):
+        params = spark.createDataFrame([(r.request_id, int(r.top_k), float(r.threshold_factor)) for r in some], "request_id long, top_k int, factor double")
+        out.append(signal(scored.join(params, "request_id"), keys, None if sigma is None else G.gaussian(sigma)))
+    rows = reduce(DataFrame.unionByName, out)
+    return rows.withColumn("top", F.max("value").over(Window.partitionBy(*keys))), [*keys, "top"]
+
+
+def _best(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The best moments of each group, with calibrated scores; none where the signal is
+    flat and faint."""
+    found = M.valleys(M.with_threshold(rows.where(F.col("top") >= FLOOR), keys, F.col("factor")), keys)
+    kept = M.suppress(M.bounded(found, keys), keys).where(F.col("rank") <= F.col("top_k"))
     factor = F.least(F.lit(1.0), F.greatest(F.lit(LEAST_FACTOR), F.col("top") / CALIBRATION))
     return kept.select("request_id", "video_id", "rank", "t_start", "t_end", F.round(F.col("score") * factor, 3).alias("score"))
 
 
+def search(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, wanted: Sequence[S.Request], dim: int, top_k: int | None = None) -> DataFrame:
+    """request_id, video_id, rank, t_start, t_end, score: the best moments of each
+    video for each request, by the request's own numbers. top_k: in place of theirs."""
+    wanted = [replace(r, top_k=top_k) for r in wanted] if top_k else wanted
+    return _best(*_signals(frames, transcripts, videos, wanted, dim))
+
+
+def heatmaps(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The signals of ``_signals`` -> request_id, video_id, at, value: a value a second, or,
+    without a match, every second bin."""
+    match = G.heatmap(rows.where(F.col("top") >= FLOOR), ["request_id", "video_id"]).withColumnRenamed("sec", "at")
+    none = rows.where((F.col("top") < FLOOR) & (F.col("idx") % 2 == 0))
+    return match.unionByName(none.select("request_id", "video_id", F.floor(F.col("idx") / 2).alias("at"), F.round("value", 3).alias("value")))
+
+
+def respond(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, wanted: Sequence[S.Request], dim: int) -> DataFrame:
+    """A whole response for each request and video: request_id, video_id, moments (structs
+    with their preview's frame and caption), heatmap, total_duration, top_k. A
+    timeline bounds both arrays."""
+    rows, keys = _signals(frames, transcripts, videos, wanted, dim)
+    found = hydrate(_best(rows, keys), frames)
+    one = F.struct("rank", "t_start", "t_end", "score", "frame_id", "preview")
+    moments_ = found.groupBy("request_id", "video_id").agg(F.array_sort(F.collect_list(one)).alias("moments"))
+    heat = heatmaps(rows, keys).groupBy("request_id", "video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("heatmap"))
+    groups = rows.where("idx = 0").select("request_id", "video_id", F.round("duration_sec", 2).alias("total_duration"), "top_k")
+    whole = groups.join(heat, ["request_id", "video_id"], "left").join(moments_, ["request_id", "video_id"], "left")
+    nothing = F.array().cast(found.select(F.array(one).alias("m")).schema["m"].dataType)
+    return whole.select("request_id", "video_id", F.coalesce("moments", nothing).alias("moments"), "heatmap", "total_duration", "top_k")
+
+
 def hydrate(found: DataFrame, frames: DataFrame) -> DataFrame:
     """Moments with their nearest frame and a presentable caption."""
     numbered = found.withColumn("id", F.xxhash64("request_id", "video_id", "rank"))
