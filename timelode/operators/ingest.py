@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,9 +139,12 @@ def completed_stages(progress: DataFrame) -> DataFrame:
 def phases(progress: DataFrame) -> DataFrame:
     """video_id, ingestion_phase: by the newest event, searchable once the first
     phase committed, complete once the captions are in; null before that."""
-    newest = latest(progress)
-    phase = F.when(F.col("stage") == "complete", "phase2_complete").when(F.col("stage").isin("lancedb_commit", "vlm_caption", "minicpmv_caption") | (F.col("progress") >= 100), "phase1_ready")
-    return newest.select("video_id", phase.alias("ingestion_phase"))
+    return latest(progress).select("video_id", phase_of(F.col("stage"), F.col("progress")).alias("ingestion_phase"))
+
+
+def phase_of(stage: Column, progress: Column) -> Column:
+    captioned, searchable = stage == "complete", stage.isin("lancedb_commit", "vlm_caption", "minicpmv_caption") | (progress >= 100)
+    return F.when(captioned, "phase2_complete").when(searchable, "phase1_ready")
 
 
 def speech(segments: DataFrame) -> DataFrame:

@@ -140,6 +140,11 @@ STAGED = f"""{PROGRESS}, staged AS (
 newest AS (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY ts DESC, event_id DESC) = 1)"""
 
 
+def _clock(s: str) -> str:
+    whole = f"CAST(floor({s}) AS BIGINT)"
+    return f"printf('%02d:%02d:%02d,%03d', CAST(floor({s} / 3600) AS BIGINT), {whole} % 3600 // 60, {whole} % 60, CAST(floor(({s} - floor({s})) * 1000) AS BIGINT))"
+
+
 def _hits(text: str, words) -> str:
     return f"CAST(len(list_filter({_list(words)}, lambda k: contains({text}, k))) AS BIGINT)"
 
@@ -208,6 +213,14 @@ SELECT video_id, scene_index, md5(CASE WHEN said IS NULL OR said = '' OR len(lis
 x AS (SELECT *, unnest(range(0, n)) AS i FROM c), y AS (SELECT video_id, scene_index, i, t_start + i / CAST(n AS DOUBLE) * span AS ts FROM x),
 z AS (SELECT *, CAST(trunc(ts * CAST(29.97 AS DOUBLE)) AS BIGINT) AS frame_idx FROM y)
 SELECT video_id, scene_index, i, round(ts, 6) AS ts, frame_idx, frame_idx * 2 AS content, printf('f_%.2fs.jpg', round(ts, 6)) AS file FROM z WHERE frame_idx % 7 <> 0""",
+        "index_topk": f"WITH {FRAMES}, {UNIT}, c AS (SELECT id, {COS} AS s FROM frames, qv WHERE len(vector) = {DIM}) SELECT CAST(0 AS BIGINT) AS request_id, id, row_number() OVER (ORDER BY s DESC, id) AS rank, round(s, 4) AS score FROM c QUALIFY rank <= 10",
+        "log_tail": """WITH l AS (SELECT conv_id * 100 + turn AS line, CASE WHEN (conv_id * 100 + turn) % 4 = 0 THEN ' ' ELSE text END AS value FROM conversations)
+SELECT line, md5(value) AS value_md5 FROM l WHERE trim(value) <> '' AND contains(lower(value), 'the') ORDER BY line DESC LIMIT 40""",
+        "srt_blocks": f"""WITH {SAID}, s AS (SELECT video_id, id, t_start, t_start * CAST(61.25 AS DOUBLE) AS a, t_end * CAST(61.25 AS DOUBLE) AS b, regexp_replace(spoken, '^\\s+|\\s+$', '', 'g') AS spoken FROM said),
+n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t_start, id) AS segment FROM s WHERE spoken <> '')
+SELECT id, md5(segment || chr(10) || {_clock('a')} || ' --> ' || {_clock('b')} || chr(10) || spoken || chr(10) || chr(10)) AS block_md5 FROM n""",
+        "frame_lookup": """WITH o AS (SELECT o_orderkey, o_custkey AS total, (o_orderkey % 3) * CAST(12.5 AS DOUBLE) AS fps, (o_orderkey % 41) * CAST(0.75 AS DOUBLE) AS t FROM orders)
+SELECT o_orderkey, round(CASE WHEN fps > 0 THEN total / fps ELSE 0 END, 6) AS duration_sec, greatest(0, least(CAST(trunc(t * fps) AS BIGINT), greatest(0, total - 1))) AS frame_idx FROM o""",
         "scan_videos": f"WITH {VIDEOS} SELECT video_id, duration_sec FROM vids",
         "list_videos": f"""WITH {VIDEOS} SELECT CAST(video_id AS VARCHAR) AS id, 'video_' || video_id || '.mp4' AS filename, '/videos/video_' || video_id || '.mp4' AS filepath, duration_sec,
 CAST(25 AS DOUBLE) AS fps, '1280x720' AS resolution, CAST(floor(duration_sec * 25) AS BIGINT) AS total_frames, 'phase1_ready' AS ingestion_phase, '2024-01-01T00:00:00' AS created_at FROM vids""",

@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timelode.functions import intervals
 from timelode.functions import text as X
 from timelode.functions import vectors as V
 from timelode.operators import evaluate, expand, index, ingest, moments, retrieval, scoring, signal
@@ -153,6 +154,36 @@ def rrf_fuse(spark, sf_dir):
     return done.select(F.col("item").alias("id"), F.round("fused_score", 8).alias("fused_score"), part("visual").alias("visual_part"), part("audio").alias("audio_part"), F.round("payload", 3).alias("ts"))
 
 
+def index_topk(spark, sf_dir):
+    """The coarse index with every cell probed: the exact ten best frames."""
+    frames = T.frames(spark, sf_dir)
+    cells = index.fit_cells(frames, DIM)
+    asked = _asked(spark, sf_dir)
+    q = spark.createDataFrame([(r.request_id, V.unit(r.vector)) for r in asked], "request_id long, q array<double>")
+    found = index.probe(index.assign(frames, cells, DIM), q, cells, len(cells.centres), 10)
+    return found.select("request_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+def log_tail(spark, sf_dir):
+    """Turns of conversations as log lines, every fourth one blank."""
+    at = F.col("conv_id") * 100 + F.col("turn")
+    lines = T.read(spark, sf_dir, "conversations").select(at.alias("at"), F.when(at % 4 == 0, F.lit(" \t ")).otherwise(F.col("text")).alias("value"))
+    return ingest.log_tail(lines, 40, "THE").select(F.col("at").alias("line"), F.md5("value").alias("value_md5"))
+
+
+def srt_blocks(spark, sf_dir):
+    rows = ingest.speech(T.transcripts(spark, sf_dir))
+    block = X.srt_block(F.col("segment"), F.col("t_start") * 61.25, F.col("t_end") * 61.25, F.concat(F.lit("\t"), F.col("spoken"), F.lit(" ")))
+    return rows.select("id", F.md5(block).alias("block_md5"))
+
+
+def frame_lookup(spark, sf_dir):
+    """Orders as videos: their length in seconds, and the frame at a time, within the video."""
+    total, fps, t = F.col("o_custkey"), (F.col("o_orderkey") % 3) * 12.5, (F.col("o_orderkey") % 41) * 0.75
+    orders = T.read(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", F.round(intervals.duration(total, fps), 6).alias("duration_sec"), intervals.frame_at(t, fps, total).cast("long").alias("frame_idx"))
+
+
 KEYS = ["video_id"]
 
 
@@ -386,7 +417,8 @@ dynamic_threshold moment_clusters moment_peaks valley_bounds greedy_nms heatmap_
 search_moments nearest_frame sanitize_captions rag_transcripts rag_answer subtitle_overlap srt_format
 temporal_iou eval_recall eval_miou sample_timestamps scene_groups scene_fallback subsample_frames
 keyframe_filter progress_latest progress_monotone bm25_topk search_requests search_response
-progress_status stage_completion ingest_phase progress_throttled speech_segments scene_captions decoded_frames""".split()
+progress_status stage_completion ingest_phase progress_throttled speech_segments scene_captions decoded_frames
+index_topk log_tail srt_blocks frame_lookup""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

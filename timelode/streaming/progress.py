@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from timelode.operators.ingest import overwrite_partitions, upsert
+from timelode.operators.ingest import overwrite_partitions, phase_of, upsert
 
 
 def events(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -23,6 +23,11 @@ def latest(stream: DataFrame) -> DataFrame:
     return state.select("video_id", "e.event_id", "e.progress", "e.stage", "best")
 
 
+def phases(stream: DataFrame) -> DataFrame:
+    """The phase of ingestion of each video by its newest event (for update mode)."""
+    return latest(stream).select("video_id", phase_of(F.col("stage"), F.col("progress")).alias("ingestion_phase"))
+
+
 def push(stream: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hands each batch of changed states to ``deliver``, then ends with the data."""
     return latest(stream).writeStream.outputMode("update").foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
