@@ -1,7 +1,16 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage gets what its predecessor kept, as a table read back from Parquet.
-All but the last return the columns of documents.
+All but the last return the columns of documents, each value as it came, whatever
+the columns are named besides.
+
+Odd input has a defined result in every stage. Rows are told apart by a row number,
+never by id alone, so null, shared and repeated ids lose nothing. quality_rules
+rejects null and empty texts (no words); exact_dedup would keep one of them, and
+of rows that tie in length and id the first; ngram_join keeps every text without
+words, and of a class the smallest id, then the first row; mixing draws repeated rows
+one by one; packing gives a null text its end token. Texts are read whole. An empty
+table passes through every stage as an empty table.
 """
 
 from __future__ import annotations

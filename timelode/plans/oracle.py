@@ -150,7 +150,7 @@ def _hits(text: str, words) -> str:
 
 
 def statements() -> dict[str, str]:
-    from timelode.plans.registry import CLIPS, DIM, FILES, KEYWORDS, PHRASES, QUERIES, QUESTION, TAU
+    from timelode.plans.registry import DIM, FILES, KEYWORDS, PHRASES, QUERIES, QUESTION, TAU
     from timelode.operators.retrieval import tokens
 
     frame_hits, said_hits = _hits("lower(coalesce(caption, '')) || ' '", KEYWORDS), _hits("lower(coalesce(spoken, ''))", KEYWORDS)
@@ -159,8 +159,11 @@ def statements() -> dict[str, str]:
     visual = f"SELECT video_id, ts, greatest(CAST(0 AS DOUBLE), {COS}) * CAST(0.45 AS DOUBLE) AS part FROM frames, qv WHERE len(vector) = {DIM}"
     fused = f"{VIDEOS}, {UNIT}, parts0 AS ({visual} UNION ALL {caption} UNION ALL {audio}), sums AS (SELECT video_id, ts, sum(part) AS score FROM parts0 GROUP BY ALL), fused AS (SELECT v.video_id, v.duration_sec, coalesce(ts, CAST(0 AS DOUBLE)) AS ts, coalesce(score, CAST(0.1 AS DOUBLE)) AS score FROM vids v LEFT JOIN sums USING (video_id))"
     table = "concepts(position, key, visual, audio) AS (VALUES " + ", ".join(f"({p}, {_str(CONCEPTS[i][0])}, {_list(CONCEPTS[i][1])}, {_list(CONCEPTS[i][2])})" for p, i in enumerate(sorted(range(len(CONCEPTS)), key=lambda i: -len(CONCEPTS[i][0])))) + ")"
-    typed = "typed(request_id, query) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), regexp_replace({_str(q)}, '^\\s+|\\s+$', '', 'g'))" for i, q in enumerate(QUERIES)) + ")"
-    clips = "clips(video_id, clip_id, c_start, c_end) AS (VALUES " + ", ".join(f"(CAST({v} AS BIGINT), CAST({c} AS BIGINT), CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE))" for v, c, a, b in CLIPS) + ")"
+    typed = f"""typed AS (
+  SELECT request_id, regexp_replace(CASE WHEN request_id // {len(QUERIES)} % 2 = 0 THEN start ELSE start || ' ' || text END, '^\\s+|\\s+$', '', 'g') AS query
+  FROM (SELECT conv_id * 100 + turn AS request_id, ({_list(QUERIES)})[(conv_id * 100 + turn) % {len(QUERIES)} + 1] AS start, coalesce(text, '') AS text FROM conversations))"""
+    clips = """clips AS (SELECT video_id, clip_id, 4 + 7 * clip_id + video_id / CAST(10 AS DOUBLE) AS c_start, CAST(9.25 AS DOUBLE) + 9 * clip_id AS c_end
+  FROM (SELECT video_id, unnest(range(0, CAST(floor(duration_sec / 7) AS BIGINT) + 1)) AS clip_id FROM vids))"""
     refused = f"coalesce(len(list_filter({_list(PHRASES)}, lambda p: contains(lower(caption), p) OR contains(caption, p))) > 0, false)"
     hit = f"len(list_filter({_list(tokens(QUESTION))}, lambda k: contains(lower(coalesce(spoken, '')), k))) > 0"
     talk = f"""{SAID}, marked AS (SELECT *, {hit} AS hit FROM said),
@@ -235,7 +238,8 @@ SELECT video_id, id, length(caption) AS n_chars, md5(caption) AS caption_md5 FRO
         "cascade_delete": f"""WITH {VIDEOS}, gone AS (SELECT video_id FROM vids WHERE video_id % 3 = 0)
 SELECT 'frames' AS "table", video_id, id FROM frames WHERE video_id NOT IN (SELECT video_id FROM gone)
 UNION ALL SELECT 'transcripts', video_id, id FROM said WHERE video_id NOT IN (SELECT video_id FROM gone)""",
-        "filter_allowed_ext": f"SELECT f AS filename, lower(regexp_extract(f, '[^/](\\.[^./]*)$', 1)) IN ({', '.join(map(_str, X.ALLOWED_EXTENSIONS))}) AS allowed FROM (SELECT unnest({_list(FILES)}) AS f)",
+        "filter_allowed_ext": f"""WITH f AS (SELECT page_id, url || '/' || ({_list(FILES)})[page_id % {len(FILES)} + 1] AS filename FROM pages)
+SELECT page_id, filename, lower(regexp_extract(filename, '[^/](\\.[^./]*)$', 1)) IN ('.mp4', '.mkv', '.mov', '.webm', '.avi') AS allowed FROM f""",
         "video_frames_join": f"WITH {VIDEOS} SELECT video_id, count(*) AS n_frames, duration_sec FROM vids JOIN frames USING (video_id) GROUP BY ALL",
         "cosine_scores": f"WITH {FRAMES}, {UNIT} SELECT video_id, id, round({COS}, 4) AS score FROM frames, qv WHERE len(vector) = {DIM}",
         "topk_frames": f"""WITH {FRAMES}, {UNIT}, c AS (SELECT video_id, id, {COS} AS s FROM frames, qv WHERE len(vector) = {DIM})
@@ -249,8 +253,8 @@ SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY s DESC, i
 w AS (SELECT request_id, query, regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+') AS t, flatten(list_transform(coalesce(m, []), lambda x: x.visual)) AS v, flatten(list_transform(coalesce(m, []), lambda x: x.audio)) AS a,
   list_transform(coalesce(m, []), lambda x: x.visual[1]) AS f FROM m),
 u AS (SELECT *, list_filter(f, lambda x, i: list_position(f, x) = i)[1:5] AS short FROM w)
-SELECT request_id, array_to_string(list_sort(list_distinct(list_concat(t, v))), '|') AS visual, array_to_string(list_sort(list_distinct(list_concat(t, a))), '|') AS audio,
-  CASE WHEN len(short) > 0 THEN query || ' ' || array_to_string(short, ' ') ELSE query END AS expanded FROM u""",
+SELECT request_id, md5(array_to_string(list_sort(list_distinct(list_concat(t, v))), '|')) AS visual_md5, md5(array_to_string(list_sort(list_distinct(list_concat(t, a))), '|')) AS audio_md5,
+  md5(CASE WHEN len(short) > 0 THEN query || ' ' || array_to_string(short, ' ') ELSE query END) AS expanded_md5 FROM u""",
         "rrf_fuse": f"""WITH {FRAMES}, {SAID}, {UNIT}, lists AS (
 SELECT 'visual' AS modality, 1 AS place, CAST(id AS VARCHAR) AS item, round({COS}, 6) AS s, ts FROM frames, qv WHERE len(vector) = {DIM}
 UNION ALL SELECT 'caption', 2, CAST(id AS VARCHAR), CAST({frame_hits} AS DOUBLE), ts FROM frames WHERE {frame_hits} > 0
@@ -285,7 +289,7 @@ t AS (SELECT video_id, string_agg(printf('[%.1fs - %.1fs]: %s', t_start, t_end,
 SELECT video_id, md5(coalesce(talk, '')) AS context, CASE WHEN matched THEN n WHEN shot.video_id IS NOT NULL THEN 1 ELSE 0 END AS n_citations,
   CASE WHEN matched THEN first.s ELSE round(greatest(0, ts - 2), 1) END AS cite_start, CASE WHEN matched THEN first.e ELSE round(ts + 5, 1) END AS cite_end,
   CASE WHEN matched THEN first.text ELSE coalesce(caption, '') END AS citation FROM t FULL JOIN shot USING (video_id)""",
-        "subtitle_overlap": f"""WITH {SAID}, {clips} SELECT video_id, clip_id, row_number() OVER (PARTITION BY video_id, clip_id ORDER BY t_start, id) AS number,
+        "subtitle_overlap": f"""WITH {VIDEOS}, {clips} SELECT video_id, clip_id, row_number() OVER (PARTITION BY video_id, clip_id ORDER BY t_start, id) AS number,
 round(greatest(0, t_start - c_start), 3) AS rel_start, round(least(greatest(CAST(0.5 AS DOUBLE), c_end - c_start), t_end - c_start), 3) AS rel_end, md5(spoken) AS text_md5
 FROM clips JOIN said USING (video_id) WHERE t_end >= c_start AND t_start <= c_end""",
         "srt_format": f"""WITH {SAID}, s AS (SELECT *, t_start * CAST(61.25 AS DOUBLE) AS s FROM said)

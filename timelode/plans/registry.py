@@ -27,7 +27,6 @@ FPS = 25.0
 STAGE_OF = {"signup": "decoding", "view": "scene_detect", "click": "asr_whisper", "purchase": "minicpmv_caption", "error": "lancedb_commit"}
 PERCENT = 4.5
 ABSENT = (10_000_001, 10_000_002)
-CLIPS = tuple((v, c, 4.0 + 7 * c + v / 10, 9.3 + 9 * c) for v in range(10) for c in range(3))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> list[scoring.Request]:
@@ -83,8 +82,10 @@ def cascade_delete(spark, sf_dir):
 
 
 def filter_allowed_ext(spark, sf_dir):
-    rows = spark.createDataFrame([(f,) for f in FILES], "filename string")
-    return rows.select("filename", X.allowed_file(F.col("filename")).alias("allowed"))
+    """Every page's address with an ending that goes by its number."""
+    ending = F.element_at(X.literals(FILES), (F.col("page_id") % len(FILES) + 1).cast("int"))
+    rows = T.read(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("/"), ending).alias("filename"))
+    return rows.select("page_id", "filename", X.allowed_file(F.col("filename")).alias("allowed"))
 
 
 def video_frames_join(spark, sf_dir):
@@ -124,17 +125,22 @@ def fused_scores(spark, sf_dir):
     return done.select("video_id", F.round("ts", 3).alias("ts"), F.round("score", 6).alias("score"))
 
 
-def _typed(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUERIES)), "request_id long, query string")
+def _typed(spark, sf_dir) -> DataFrame:
+    """A query for each turn of every conversation: one of QUERIES, in turn, and, but for
+    every other one of them, what was said."""
+    key = F.col("conv_id") * 100 + F.col("turn")
+    start = F.element_at(X.literals(QUERIES), (key % len(QUERIES) + 1).cast("int"))
+    whole = F.when(F.floor(key / len(QUERIES)) % 2 == 0, start).otherwise(F.concat(start, F.lit(" "), F.coalesce("text", F.lit(""))))
+    return T.read(spark, sf_dir, "conversations").select(key.alias("request_id"), whole.alias("query"))
 
 
 def expand_concepts(spark, sf_dir):
-    return expand.matched(_typed(spark), expand.concepts(spark)).select("request_id", "key", F.get("visual", F.lit(0)).alias("translation"))
+    return expand.matched(_typed(spark, sf_dir), expand.concepts(spark)).select("request_id", "key", F.get("visual", F.lit(0)).alias("translation"))
 
 
 def expand_query(spark, sf_dir):
-    done = expand.expand(expand.accepted(_typed(spark)), expand.concepts(spark))
-    return done.select("request_id", F.array_join("visual", "|").alias("visual"), F.array_join("audio", "|").alias("audio"), "expanded")
+    done = expand.expand(expand.accepted(_typed(spark, sf_dir)), expand.concepts(spark))
+    return done.select("request_id", F.md5(F.array_join("visual", "|")).alias("visual_md5"), F.md5(F.array_join("audio", "|")).alias("audio_md5"), F.md5("expanded").alias("expanded_md5"))
 
 
 def rrf_fuse(spark, sf_dir):
@@ -299,12 +305,15 @@ def rag_answer(spark, sf_dir):
     return retrieval.answers(T.transcripts(spark, sf_dir), best, QUESTION).withColumn("context", F.md5("context"))
 
 
-def _clips(spark) -> DataFrame:
-    return spark.createDataFrame(CLIPS, "video_id long, clip_id long, c_start double, c_end double")
+def _clips(spark, sf_dir) -> DataFrame:
+    """A clip about every seventh second of each video, some beyond its end."""
+    n = F.floor(F.col("duration_sec") / 7).cast("long")
+    rows = T.videos(spark, sf_dir).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("clip_id"))
+    return rows.select("video_id", "clip_id", (4.0 + 7 * F.col("clip_id") + F.col("video_id") / 10).alias("c_start"), (9.25 + 9 * F.col("clip_id")).alias("c_end"))
 
 
 def subtitle_overlap(spark, sf_dir):
-    met = retrieval.subtitles(_clips(spark), T.transcripts(spark, sf_dir))
+    met = retrieval.subtitles(_clips(spark, sf_dir), T.transcripts(spark, sf_dir))
     return met.select("video_id", "clip_id", "number", F.round("rel_start", 3).alias("rel_start"), F.round("rel_end", 3).alias("rel_end"), F.md5("text").alias("text_md5"))
 
 
