@@ -204,7 +204,6 @@ def test_packing(odd, none):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     found = packing.pack(packing.pieces(odd), group=20)
     expected = Counter()
     for i, text in texts(odd):
