@@ -53,6 +53,9 @@ def test_large_ids_beside_nulls(clash):
     assert pairs(mixing.mix(clash, block=3), "doc_id") == ids
     assert pairs(exact_dedup.dedup(clash), "doc_id") == ids
     assert pairs(sharding.shard(clash, [1.0] * 4), "doc_id") == ids
+    assert pairs(license_scan.scan(clash), "doc_id") == ids
+    assert pairs(secret_scan.scan(clash, F.col("source"), F.col("lang")), "doc_id") == ids
+    assert pairs(quality_classifier.classify(clash, quality_classifier.DEFAULT, F.col("source"), F.col("lang")), "doc_id") == ids
 
 
 def test_stages_return_whole_rows(clash, spark, sf_dir):
@@ -382,3 +385,32 @@ def test_near_copies_of_one_group_in_blocks(spark, monkeypatch):
 def test_thresholds_below_the_bands_are_refused(spark):
     with pytest.raises(ValueError):
         ngram_join.join(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), threshold=0.5)
+
+
+def xx_bytes(data, seed):
+    import xxhash
+
+    return xxhash.xxh64(data, seed=seed).intdigest()
+
+
+def test_mix_by_hand(spark):
+    """Words taken, again from the published hash: chances, draws, order and landing."""
+    rng = random.Random(6)
+    rows = [(1000 + i, prose(rng, rng.randint(1, 60)), f"s{i % 3}") for i in range(36)]
+    found = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    by = defaultdict(list)
+    for i, text, source in rows:
+        size = len(text.split())
+        key = xx_long(size, xx_bytes(text.encode(), xx_bytes(source.encode(), xx_long(i, 42))))
+        own = xx_long(0, xx_long(key, 42))
+        draw = (xx_int(17, xx_long(own, 42)) % (1 << 30)) / (1 << 30)
+        by[source].append((i, size, draw))
+    for source, own in by.items():
+        total = sum(s for _, s, _ in own)
+        target = found[own[0][0]].target
+        whole, chance = divmod(target / total, 1)
+        own.sort(key=lambda x: (-x[1], x[2]))
+        size, draw = (np.array(c, float) for c in list(zip(*own, strict=True))[1:])
+        done = mixing.land(np.full(len(own), chance), size, draw) if 1e-9 < chance < 1 - 1e-9 else np.full(len(own), round(chance))
+        for (i, s, _), one in zip(own, done, strict=True):
+            assert found[i].taken == s * (whole + one), source
