@@ -414,3 +414,26 @@ def test_mix_by_hand(spark):
         done = mixing.land(np.full(len(own), chance), size, draw) if 1e-9 < chance < 1 - 1e-9 else np.full(len(own), round(chance))
         for (i, s, _), one in zip(own, done, strict=True):
             assert found[i].taken == s * (whole + one), source
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_filters_lose_nothing(spark, words):
+    """However many keys share a bit: exactly the rows whose key is gone go, null keys stay."""
+    from timelode.llm.common import key_filter, passing, stored, without
+
+    rows = stored(spark.range(1000).selectExpr("CASE WHEN id < 995 THEN id % 300 END AS id", "id AS spot_", "'x' AS word_"), "rows")
+    gone = spark.range(0, 300, 7)
+    left = without(rows, gone, "id", words)
+    assert left.columns == rows.columns
+    assert Counter(r.id for r in left.collect()) == Counter(r.id for r in rows.collect() if r.id is None or r.id % 7)
+    assert {r.id for r in passing(rows, F.col("id"), key_filter(gone, "id", words), words).collect()} >= set(range(0, 300, 7))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from timelode.llm.common import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
