@@ -36,7 +36,7 @@ SAMPLE_ROWS = 5000
 MIN_WORDS = 3
 #: Evidence in whole millionths; the least and most documents that a prior counts as.
 UNIT, LEAST_STRENGTH, MOST_STRENGTH = 1_000_000, 1.0, 1e4
-FEATURES = ("bias", "symbols", "upper", "shouts", "pipes", "word_length", "repeats", "log_words")
+FEATURES = ("bias", "symbols", "upper", "shouts", "pipes", "word_length", "repeats", "sameness", "log_words")
 
 
 @dataclass(frozen=True)
@@ -45,15 +45,18 @@ class Model:
 
 
 #: Used where labels can't train a model, and the mean of the weights' prior.
-DEFAULT = Model((4.0, -20.0, -5.0, -10.0, -10.0, 0.0, -6.0, 0.0))
+DEFAULT = Model((4.0, -20.0, -5.0, -10.0, -10.0, 0.0, -6.0, -6.0, 0.0))
 
 
 def features(text: Column) -> list[Column]:
-    """Shares of symbols, capitals, exclamation marks, pipes, mean word length,
-    share of words that repeat an earlier word beyond what is usual, words."""
+    """Shares of symbols, capitals, exclamation marks, pipes, mean word length, the
+    share of lines that repeat an earlier line, how far the text is from words that
+    are all different (on a log scale), words."""
     text = F.coalesce(text, F.lit(""))
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("double")
-    words = F.greatest(F.lit(1.0), count(r"[^\x20\x09-\x0D]+"))
+    own = F.array_remove(F.split(text, SPACE + "+"), "")
+    words = F.greatest(F.lit(1.0), F.size(own).cast("double"))
+    different = F.greatest(F.lit(1.0), F.size(F.array_distinct(own)).cast("double"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
     return [
         F.lit(1.0),
@@ -63,6 +66,7 @@ def features(text: Column) -> list[Column]:
         F.least(F.lit(1.0), count(r"\|") / words),
         F.least(F.lit(2.0), (F.length(text) - count(SPACE)) / words / 10),
         1 - F.size(F.array_distinct(lines)) / F.greatest(F.lit(1), F.size(lines)),
+        F.when(words > 1, 1 - F.ln(different) / F.ln(words)).otherwise(0.0),
         F.ln(words) / 8,
     ]
 
