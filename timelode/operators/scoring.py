@@ -114,6 +114,11 @@ def frame_parts(frames: DataFrame, asked: Asked, dim: int) -> DataFrame:
     return rows.where("seen is not null or part is not null")
 
 
+def pairs(videos: DataFrame, asked: Asked) -> DataFrame:
+    """Each request with each video that it is for, and the video's columns."""
+    return _for_requests(videos, asked).select("request_id", *videos.columns)
+
+
 def fused(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, asked: Asked, dim: int) -> DataFrame:
     """request_id, video_id, ts, score: the sum of all evidence for one instant (of the
     vectors of frames at one time, the last frame's); a video without any has one
@@ -122,8 +127,7 @@ def fused(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, asked: A
     parts = frame_parts(frames, asked, dim).unionByName(said)
     last = F.max_by("seen", F.when(F.col("seen").isNotNull(), F.col("id")))
     scored = parts.groupBy("request_id", "video_id", "ts").agg((F.coalesce(last, F.lit(0.0)) + F.coalesce(F.sum("part"), F.lit(0.0))).alias("score"))
-    pairs = _for_requests(videos.select("video_id"), asked).select("request_id", "video_id")
-    return pairs.join(scored, ["request_id", "video_id"], "left").select(
+    return pairs(videos.select("video_id"), asked).join(scored, ["request_id", "video_id"], "left").select(
         "request_id", "video_id", F.coalesce("ts", F.lit(EMPTY_AT)).alias("ts"), F.coalesce("score", F.lit(EMPTY_SCORE)).alias("score")
     )
 

@@ -84,10 +84,13 @@ def respond(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, wanted
     one = F.struct("rank", "t_start", "t_end", "score", "frame_id", "preview")
     moments_ = found.groupBy("request_id", "video_id").agg(F.array_sort(F.collect_list(one)).alias("moments"))
     heat = heatmaps(rows, keys).groupBy("request_id", "video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("heatmap"))
-    groups = rows.where("idx = 0").select("request_id", "video_id", F.round("duration_sec", 2).alias("total_duration"), "top_k")
+    asked = S.requests(frames.sparkSession, wanted)
+    numbers = frames.sparkSession.createDataFrame([(r.request_id, int(r.top_k)) for r in wanted], "request_id long, top_k int")
+    groups = S.pairs(videos, asked).join(numbers, "request_id").select("request_id", "video_id", F.round("duration_sec", 2).alias("total_duration"), "top_k")
     whole = groups.join(heat, ["request_id", "video_id"], "left").join(moments_, ["request_id", "video_id"], "left")
     nothing = F.array().cast(found.select(F.array(one).alias("m")).schema["m"].dataType)
-    return whole.select("request_id", "video_id", F.coalesce("moments", nothing).alias("moments"), "heatmap", "total_duration", "top_k")
+    empty = F.array().cast("array<double>")
+    return whole.select("request_id", "video_id", F.coalesce("moments", nothing).alias("moments"), F.coalesce("heatmap", empty).alias("heatmap"), "total_duration", "top_k")
 
 
 def hydrate(found: DataFrame, frames: DataFrame) -> DataFrame:
