@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +52,15 @@ def own_name(docs: DataFrame, name: str) -> str:
 
 
 def numbered(docs: DataFrame, label: str, row: str = "row_") -> DataFrame:
-    """docs with a row number that sets rows apart whatever their ids. The table is
-    written, so each later read finds the same numbers."""
-    return stored(docs.withColumn(row, F.monotonically_increasing_id()), label)
+    """docs with a key of each row, ``row``, that sets rows apart whatever their ids: a
+    Parquet scan's file and the row's place in it, which every later read finds again
+    however the files are split. Other DataFrames are numbered and written."""
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+        except AnalysisException:
+            pass  # not a scan of Parquet files
+    return stored(docs.withColumn(row, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), label)
 
 
 def n_words(text) -> F.Column:
@@ -95,7 +102,7 @@ def passing(rows: DataFrame, key: Column, filter_: DataFrame, words: int = FILTE
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
-    """rows (a stored table) but those with a key in ``gone`` (key). Rows that the
+    """rows (two reads of which agree) but those with a key in ``gone`` (key). Rows that the
     filter clears stay where they are; only the others meet ``gone`` in a join."""
     gone = stored(gone.select(key), "gone")
     filter_ = stored(key_filter(gone, key, words), "gone-filter")

@@ -183,7 +183,7 @@ def _split(texts: DataFrame, digest: Callable[[Column], Column], mixed: DataFram
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one for each group of equal texts, all columns as
-    they are. Rows are told apart by number, whatever their ids."""
+    they are. Rows are told apart by where they stand, whatever their ids."""
     row = own_name(docs, "row_")
     rows = numbered(docs, "dedup-rows", row)
     gone = grouped(rows.select("doc_id", "text", F.col(row).alias("row_"))).where("not kept").select(F.col("row_").alias(row))

@@ -15,7 +15,7 @@ the one nearest to the totals. So a source misses its target by little, unless
 one document outweighs the others.
 
 Documents fly by falling size. Draws and blocks come from hashes of source, id, text
-and ``SEED``: reruns agree. Rows that repeat as a whole have their row number hashed
+and ``SEED``: reruns agree. Rows that repeat as a whole have their row hashed
 too, so that their blocks are no larger than others and they don't draw alike.
 
 The totals of sources, a row each, are ranked in one task: meant for up to some
@@ -151,7 +151,7 @@ def mixed(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP
     sized = stored(sized, "mix-sized")  # the row numbers stay the same
     by_source = stored(targets(sized, weights, cap), "mix-targets")
     again = stored(sized.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("again")), "mix-again")
-    own = F.when(F.coalesce("again", F.lit(False)), F.col("row_")).otherwise(F.lit(0).cast("long"))
+    own = F.when(F.coalesce("again", F.lit(False)), F.xxhash64("row_")).otherwise(F.lit(0).cast("long"))
     rows = sized.join(again, "key", "left").withColumn("own", F.xxhash64("key", own)).drop("again", "key")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     draw = F.pmod(F.xxhash64("own", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -190,12 +190,14 @@ def mixed(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it. Rows are told apart by
-    number, whatever their ids."""
+    """docs with each row as often as the mix takes it. Rows are told apart by where
+    they stand, whatever their ids. Texts move once, to meet their counts: these have
+    a row for each document, so they are merged and not broadcast, whatever their size."""
     row, times, turn = (own_name(docs, n) for n in ("row_", "times_", "turn_"))
     rows = numbered(docs, "mix-rows", row)
+    rows = rows.withColumn(row, F.concat_ws(":", F.col(row)["file"].cast("string"), F.col(row)["at"].cast("string")))
     size = n_words(F.col("text"))
     sized = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "source", "text", size).alias("key"), F.col(row).alias("row_"))
     found = mixed(sized).where("repeats > 0").select(F.col("row_").alias(row), F.col("repeats").cast("int").alias(times))
-    rows = rows.join(found, row).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times))))
+    rows = rows.join(found.hint("merge"), row).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times))))
     return rows.select(*[rows[c] for c in docs.columns])

@@ -19,7 +19,7 @@ group, until a block would hold more than ``HELD`` values (shingles, or bytes of
 signatures): from there on blocks keep that size. That many copies of a member are
 the least that all pairs need where a task holds two blocks at a time.
 
-Texts move only for members of families: a bounded filter of row numbers stands
+Texts move only for members of families: a bounded filter of row keys stands
 before that shuffle.
 
 A pair at exactly the threshold meets in no band with probability
@@ -29,7 +29,7 @@ Defined results: null, empty and white-space texts have no shingle, link to
 nothing and are classes of their own row; texts of fewer than five words have
 one shingle, all their words; a similarity of exactly the threshold is a link; rows
 with null ids take part; repeated rows are members of one class like other copies,
-told apart by a row number; texts of any length are read whole, a family of very
+told apart by where they stand; texts of any length are read whole, a family of very
 long ones is cut into more blocks; an empty table gives an empty result; only
 doc_id and text are read, so other columns never clash.
 """
@@ -53,7 +53,7 @@ from .shingles import minhash, mix, set_fingerprint, shingle_sets
 WORDS, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP = 112, 4, 16
 TOLERANCE = 1e-5
-BLOCK, SPREAD, HELD, TILE = 384, 16, 2_000_000, 512
+BLOCK, SPREAD, HELD, TILE = 96, 16, 2_000_000, 512
 
 
 def least_matches(hashes: int = HASHES, step: int = STEP, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -247,7 +247,7 @@ def verify(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
                 sets += shingle_sets(texts[a:b], WORDS)
             fp, weight = frame["fp"].tolist(), frame["weight"].to_numpy()
             if any(set_fingerprint(s) != f for s, f in zip(sets, fp, strict=True)):
-                raise ValueError("the row numbers of docs changed between two reads; store docs before the join")
+                raise ValueError("the rows of docs changed between two reads")
             size, sig, side = np.array([len(s) for s in sets]), _signatures(frame["sig"]), frame["side"].to_numpy()
             links, forest = np.zeros(len(frame), np.int64), Forest(len(frame))
             for left, right in unit_pairs(first, side):
@@ -304,11 +304,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest id among all that
     links connect), copy_id (smallest id with an equal shingle set), n_copies,
     n_links (documents with a similarity of the threshold or more, but itself)."""
-    return linked(numbered(docs.select("doc_id", "text"), "ngram-rows"), "row_", threshold).drop("row_", "kept")
+    row = own_name(docs, "row_")
+    return linked(numbered(docs, "ngram-rows", row), row, threshold).drop("row_", "kept")
 
 
 def linked(docs: DataFrame, row: str, threshold: float = THRESHOLD) -> DataFrame:
-    """join for a stored table with the row number ``row``: the same columns, row_, and
+    """join for a table with the row key ``row``: the same columns, row_, and
     whether the row is the one of its class that stays (the smallest id, null ids
     last, then the first row)."""
     if (1 - threshold**ROWS) ** (HASHES // ROWS) > TOLERANCE:
