@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from timelode.functions import vectors as V
 from timelode.functions.text import TOKEN, literals
+from timelode.operators.scoring import Asked
 
 LEAST_VECTORS, MOST_CELLS, SAMPLE_ROWS = 128, 64, 20_000
 
@@ -71,9 +72,9 @@ def assign(frames: DataFrame, cells: Cells, dim: int) -> DataFrame:
     return frames.where(V.valid(F.col("vector"), dim)).withColumn("cell", F.get(_nearest_cells(F.col("vector"), cells, 1), F.lit(0)))
 
 
-def probe(assigned: DataFrame, asked: DataFrame, cells: Cells, probes: int, k: int) -> DataFrame:
-    """asked (request_id, q) -> the k best of the ``probes`` nearest cells of each request."""
-    wanted = asked.select("request_id", "q", F.explode(_nearest_cells(F.col("q"), cells, probes)).alias("cell"))
-    scored = assigned.join(F.broadcast(wanted), "cell").select("request_id", "id", V.dot(F.col("vector"), F.col("q")).alias("score"))
+def probe(assigned: DataFrame, asked: Asked, cells: Cells, probes: int, k: int) -> DataFrame:
+    """The k best of the ``probes`` nearest cells of each request."""
+    wanted = asked.table().select("request_id", "q", F.explode(_nearest_cells(F.col("q"), cells, probes)).alias("cell"))
+    scored = assigned.join(wanted, "cell").select("request_id", "id", V.dot(F.col("vector"), F.col("q")).alias("score"))
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -48,6 +48,10 @@ class Asked:
     named: DataFrame | None
     blocks: tuple[DataFrame, ...]
 
+    def table(self) -> DataFrame:
+        """All requests, of which there is one at least."""
+        return reduce(DataFrame.unionByName, [*self.blocks, *([] if self.named is None else [self.named])])
+
 
 def requests(spark: SparkSession, wanted: Sequence[Request]) -> Asked:
     def table(some: Sequence[Request]) -> DataFrame:

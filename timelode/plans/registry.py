@@ -164,9 +164,7 @@ def index_topk(spark, sf_dir):
     """The coarse index with every cell probed: the exact ten best frames."""
     frames = T.frames(spark, sf_dir)
     cells = index.fit_cells(frames, DIM)
-    asked = _asked(spark, sf_dir)
-    q = spark.createDataFrame([(r.request_id, V.unit(r.vector)) for r in asked], "request_id long, q array<double>")
-    found = index.probe(index.assign(frames, cells, DIM), q, cells, len(cells.centres), 10)
+    found = index.probe(index.assign(frames, cells, DIM), _request(spark, sf_dir), cells, len(cells.centres), 10)
     return found.select("request_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
