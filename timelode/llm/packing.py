@@ -61,10 +61,10 @@ def added_tokens(path: str) -> dict[str, int]:
 
 class Encoder:
     """Byte-level BPE from a file of ranks and the added tokens of the json beside
-    it; a text that its matcher gives up on (a very long run of white space, say)
-    goes to the tokenizers library."""
+    it (without ``added``, their strings are plain text); a text that its matcher
+    gives up on (a very long run of white space, say) goes to the tokenizers library."""
 
-    def __init__(self, ranks_path: str) -> None:
+    def __init__(self, ranks_path: str, added: bool = True) -> None:
         import base64
 
         import public_tokenizers
@@ -72,8 +72,9 @@ class Encoder:
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._other, self._other_path = None, ranks_path.rsplit(".", 1)[0] + ".json"
-        self._main = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(self._other_path))
+        self._other, self._other_path, self._added = None, ranks_path.rsplit(".", 1)[0] + ".json", added
+        self.bytes = {i: token for token, i in ranks.items()}
+        self._main = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(self._other_path) if added else {})
 
     def ids(self, text: str) -> np.ndarray:
         try:
@@ -86,6 +87,7 @@ class Encoder:
                 from tokenizers import Tokenizer
 
                 self._other = Tokenizer.from_file(self._other_path)
+                self._other.encode_special_tokens = not self._added
             return np.array(self._other.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, sharding
+from . import alignment, exact_dedup, license_scan, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, sharding
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), F.col("source"), F.struct("source", "lang"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
