@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, license_scan, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, sharding
+from . import alignment, exact_dedup, license_scan, mixing, ngram_join, packing, pii, prefix_trie, quality_classifier, quality_rules, secret_scan, sharding
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), F.col("source"), F.struct("source", "lang"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = prefix_trie.turn_units(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(units))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
@@ -101,6 +106,34 @@ FROM d
 """
 
 
+#: Every node as a prefix of a path of digests; sums over all ancestors of each node. DuckDB has no
+#: crc32: its bits are worked out one by one.
+OP11 = r"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS unit,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(unit, 32), words) AS p FROM t),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+turns AS (
+  SELECT i.conv_id, 0 AS side, p, unit, words FROM ids i JOIN o ON o.conv_id = i.base WHERE p <= h
+  UNION ALL SELECT i.conv_id, 1, p, unit, words FROM ids i JOIN o ON o.conv_id = i.conv_id WHERE p > h),
+deep AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(unit, '') OVER w AS path, words FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY side, p)),
+m AS (SELECT conv_id, depth, path, words FROM deep UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM m GROUP BY path, depth),
+kids AS (SELECT left(path, (depth - 1) * 64) AS path, count(*) AS kids FROM nodes WHERE depth > 0 GROUP BY 1),
+ends AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS sha FROM (SELECT conv_id, max_by(path, depth) AS path FROM m GROUP BY conv_id) GROUP BY path),
+sums AS (
+  SELECT left(path, above * 64) AS path, count(*) FILTER (WHERE leaf) AS leaves, sum(saved) AS saved
+  FROM (SELECT n.path, (n - 1) * words AS saved, kids IS NULL AS leaf, unnest(range(0, depth + 1)) AS above FROM nodes n LEFT JOIN kids USING (path)) GROUP BY 1)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.path = left(n.path, (n.depth - 1) * 64) LEFT JOIN kids ON kids.path = n.path LEFT JOIN ends ON ends.path = n.path JOIN sums ON sums.path = n.path
+"""
+
 #: Every block against every template, and every place against every phrase. Written out from the
 #: statement of the task, so that nothing is shared with the operator.
 OP4 = r"""
@@ -187,4 +220,4 @@ FROM d LEFT JOIN per USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2, "op4_license_scan": OP4, "op9_exact_dedup": OP9, "op10_secret_scan": _op10()}
+    return {"op2_ngram_join": OP2, "op4_license_scan": OP4, "op9_exact_dedup": OP9, "op10_secret_scan": _op10(), "op11_prefix_trie": OP11}
