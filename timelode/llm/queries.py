@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, license_scan, mixing, ngram_join, packing, pii, prefix_trie, quality_classifier, quality_rules, secret_scan, sharding
+from . import alignment, exact_dedup, license_scan, minmax_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality_classifier, quality_rules, secret_scan, sharding
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -92,6 +96,20 @@ SELECT d.doc_id,
 FROM d
 """
 
+OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, e.b FROM reach r JOIN near e ON e.a = r.b),
+found AS (SELECT d.doc_id, least(d.doc_id, (SELECT min(b) FROM reach WHERE a = d.doc_id)) AS component_id FROM d)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM found LEFT JOIN n USING (doc_id)
+"""
+
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -220,4 +238,4 @@ FROM d LEFT JOIN per USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2, "op4_license_scan": OP4, "op9_exact_dedup": OP9, "op10_secret_scan": _op10(), "op11_prefix_trie": OP11}
+    return {"op2_ngram_join": OP2, "op4_license_scan": OP4, "op9_exact_dedup": OP9, "op10_secret_scan": _op10(), "op11_prefix_trie": OP11, "op13_minmax_dedup": OP13}

@@ -47,8 +47,11 @@ class Words:
         return np.diff(self.first)
 
 
-def words_of(texts: list[str]) -> Words:
+def words_of(texts: list[str], lower: bool = False) -> Words:
+    """lower: A-Z count as a-z."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    if lower:
+        raw = [r.lower() for r in raw]  # of bytes: nothing but A-Z changes
     lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
     byte_first = np.concatenate([[0], np.cumsum(lengths)])
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
@@ -75,10 +78,10 @@ def windows_of(words: Words, n: int = 5) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(texts: list[str], n: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], n: int = 5, lower: bool = False) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text. A text of fewer than n words
     has one shingle, all its words; a text without words has none."""
-    words = words_of(texts)
+    words = words_of(texts, lower)
     wins = windows_of(words, n)
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
@@ -109,3 +112,18 @@ def minhash(sets: list[np.ndarray], k: int, seed: int = 1) -> np.ndarray:
     for j in range(k):
         out[:, j] = (np.minimum.reduceat(flat * factors[j], offsets) >> U(32)).astype(np.uint32)
     return out
+
+
+def min_max_hash(sets: list[np.ndarray], k: int, seed: int = 2) -> np.ndarray:
+    """2 * k values (32 bits) of each non-empty set from k hash functions: the k
+    minima, then the k maxima."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    factors = rng.integers(1, 2**63, k, dtype=np.uint64) * U(2) + U(1)
+    flat = np.concatenate(sets)
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    out = np.empty((len(sets), 2 * k), np.uint32)
+    for j in range(k):
+        hashed = flat * factors[j]
+        out[:, j] = (np.minimum.reduceat(hashed, offsets) >> U(32)).astype(np.uint32)
+        out[:, k + j] = (np.maximum.reduceat(hashed, offsets) >> U(32)).astype(np.uint32)
+    return out
