@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import base_figures, pairs, shingles
 
 import corpus_pipeline
-from timelode.llm import exact_dedup, license_scan, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, sharding
+from timelode.llm import connect, exact_dedup, license_scan, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, sharding
 
 BIG = 9007199254740993  # 2**53 + 1: no float holds it
 NAMES = "n_words long, content_share double, kept boolean, row_ long, times_ int, turn_ string, gone_ string, text_ string, spot_ long, word_ long, bits_ long, redacted_ string"
@@ -375,7 +375,7 @@ def test_near_copies_of_one_group_in_blocks(spark, monkeypatch):
         rows.append((None if i % 10 == 0 else i, " ".join(w)))
     monkeypatch.setattr(ngram_join.families, "__defaults__", (0.8, 16))
     monkeypatch.setattr(ngram_join.verify, "__defaults__", (0.8, 16))
-    monkeypatch.setattr(ngram_join, "SPREAD", 4)
+    monkeypatch.setattr(connect, "SPREAD", 4)
     found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
     sets = [shingles(t) for _, t in rows]
     links = Counter((i, sum(len(a & b) >= 0.8 * len(a | b) for k, b in enumerate(sets) if k != j)) for j, ((i, _), a) in enumerate(zip(rows, sets, strict=True)))

@@ -6,14 +6,16 @@ so copies never meet pair by pair. Classes get ``HASHES`` MinHash values:
 1. Bands of ``ROWS`` values deal classes into buckets. Within a bucket, pairs
    compare one byte of each value in steps of ``STEP``; a pair goes as soon as
    the posterior probability (uniform prior) that its similarity reaches the
-   threshold falls under ``TOLERANCE``. What survives joins families; a bucket
-   passes on a spanning forest only, so no rows are made for each pair.
+   threshold falls under ``TOLERANCE``. What survives joins families; only what
+   holds together is wanted here, so a large bucket goes block by block around a few
+   pivots, and pairs of blocks meet only where that leaves members apart
+   (``connect``). No rows are made for each pair.
 2. A family's members meet again, with their texts: pairs are pruned the same
    way, the rest is verified exactly on the whole shingle sets. Out come the
    links of each class and a spanning forest of the verified links.
 
-A bucket or family above ``BLOCK`` members is cut into blocks by a hash; each
-pair of blocks is one unit of work, and a member goes to every unit of its block.
+A family above ``BLOCK`` members is cut into blocks by a hash, as its links are
+counted; each pair of blocks is one unit of work, and a member goes to every unit of its block.
 There are at most ``SPREAD`` blocks, so that what moves grows in proportion to the
 group, until a block would hold more than ``HELD`` values (shingles, or bytes of
 signatures): from there on blocks keep that size. That many copies of a member are
@@ -36,24 +38,24 @@ doc_id and text are read, so other columns never clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import chunks, with_found
 from .common import key_filter, numbered, own_name, passing, stored, without
+from .connect import BLOCK, Forest, connected, in_units, unit_pairs, whole_units
 from .graph import components
 from .shingles import minhash, mix, set_fingerprint, shingle_sets
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP = 112, 4, 16
 TOLERANCE = 1e-5
-BLOCK, SPREAD, HELD, TILE = 96, 16, 2_000_000, 512
 
 
 def least_matches(hashes: int = HASHES, step: int = STEP, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -86,81 +88,6 @@ def prune(sig: np.ndarray, left: np.ndarray, right: np.ndarray, needs: list[tupl
     return alive
 
 
-def unit_pairs(first: np.ndarray, side: np.ndarray, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of row places within units of work, in runs of bounded size. first:
-    starts of the units (with the end); side 0/1: the two blocks of a unit, which
-    pair with each other only; side 2: a unit of one block, all pairs."""
-    size = np.diff(first)
-    small = size <= 64
-    starts, sizes = first[:-1][small], size[small]
-    for gap in range(1, 64):
-        fits = sizes > gap
-        if not fits.any():
-            break
-        s, n = starts[fits], sizes[fits] - gap
-        left = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        right = left + gap
-        ok = (side[left] == 2) | (side[left] != side[right])
-        yield left[ok], right[ok]
-    for a, b in zip(first[:-1][~small].tolist(), first[1:][~small].tolist(), strict=True):
-        rows = np.arange(a, b)
-        one, two = (rows, rows) if side[a] == 2 else (rows[side[rows] == 0], rows[side[rows] == 1])
-        for i in range(0, len(one), tile):
-            for j in range(0, len(two), tile):
-                x, y = one[i : i + tile], two[j : j + tile]
-                left, right = np.repeat(x, len(y)), np.tile(y, len(x))
-                ok = left < right if side[a] == 2 else slice(None)
-                yield left[ok], right[ok]
-
-
-class Forest:
-    """Union-find that keeps the edges that joined two trees."""
-
-    def __init__(self, n: int) -> None:
-        self.up, self.edges = np.arange(n), []
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether the ends of each pair are in different trees."""
-        while (self.up[self.up] != self.up).any():
-            self.up = self.up[self.up]
-        return self.up[left] != self.up[right]
-
-    def add(self, left: np.ndarray, right: np.ndarray, run: int = 2000) -> None:
-        while len(left):
-            for a, b in zip(left[:run].tolist(), right[:run].tolist(), strict=True):
-                x, y = self.find(a), self.find(b)
-                if x != y:
-                    self.up[y] = x
-                    self.edges.append((a, b))
-            left, right = left[run:], right[run:]
-            if len(left):
-                still = self.apart(left, right)
-                left, right = left[still], right[still]
-
-
-def whole_units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Sorted batches -> frames of whole units of work and where these start. A
-    unit has at most two blocks, so what is held back is bounded."""
-    rest = None
-    for batch in batches:
-        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        new = np.flatnonzero((batch[keys].values[1:] != batch[keys].values[:-1]).any(1)) + 1
-        cut = new[-1] if len(new) else 0
-        if cut:
-            yield batch.iloc[:cut].reset_index(drop=True), np.concatenate([[0], new[:-1], [cut]])
-        rest = batch.iloc[cut:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        new = np.flatnonzero((rest[keys].values[1:] != rest[keys].values[:-1]).any(1)) + 1
-        yield rest, np.concatenate([[0], new, [len(rest)]])
-
-
 SKETCH = T.StructType(
     [T.StructField("fp", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 )
@@ -191,46 +118,21 @@ def sketch(docs: DataFrame) -> DataFrame:
     return with_found(docs, "text", SKETCH, work)
 
 
-def _units(rows: DataFrame, key: list[str], size: str, held: Column, spread: str, block: int) -> DataFrame:
-    """Deals the rows of a group to units of work: the group itself, or each pair of
-    its blocks (a row goes to every pair with its block). size: the group's members;
-    held: what they hold together, in the unit of ``HELD``."""
-    n = F.greatest(F.ceil(held / HELD), F.least(F.ceil(F.col(size) / block), F.lit(SPREAD))).cast("int")
-    rows = rows.withColumn("n_", n).withColumn("b_", F.pmod(F.xxhash64(spread), F.col("n_")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_") - 1)).alias("o_")
-    rows = rows.select("*", other)
-    rows = rows.withColumn("lo", F.least("b_", "o_")).withColumn("hi", F.greatest("b_", "o_"))
-    side = F.when(F.col("lo") == F.col("hi"), 2).when(F.col("b_") == F.col("lo"), 0).otherwise(1)
-    rows = rows.withColumn("side", side.cast("int")).drop("n_", "b_", "o_")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *key, "lo", "hi").sortWithinPartitions(*key, "lo", "hi", spread)
-
-
 def _signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), HASHES)
 
 
 def families(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """classes (fp, sig, bands) -> edges (a, b) that hold together what may be linked."""
+    """classes (fp, sig, bands) -> (node, root) of all that may be linked with another:
+    what pruning leaves together in some bucket."""
     needs = least_matches(threshold=threshold)
-    dealt = classes.select("fp", F.explode("bands").alias("key"))
-    # most buckets have one member: only the others are worth their signatures
-    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = dealt.join(shared, "key").join(classes.select("fp", "sig"), "fp")
-    units = _units(rows.select("key", "m", "fp", "sig"), ["key"], "m", F.col("m") * HASHES, "fp", block)
+    dealt = classes.select(F.explode("bands").alias("key"), "fp", F.lit(HASHES).cast("long").alias("held"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, first in whole_units(batches, ["key", "lo", "hi"]):
-            sig, side, forest = _signatures(frame["sig"]), frame["side"].to_numpy(), Forest(len(frame))
-            for left, right in unit_pairs(first, side):
-                new = forest.apart(left, right)  # others can't change what holds together
-                left, right = left[new], right[new]
-                ok = prune(sig, left, right, needs)
-                forest.add(left[ok], right[ok])
-            fp = frame["fp"].tolist()
-            yield pd.DataFrame({"a": [fp[x] for x, _ in forest.edges], "b": [fp[y] for _, y in forest.edges]})
+    def near(frame: pd.DataFrame) -> Callable:
+        sig = _signatures(frame["sig"])
+        return lambda left, right: prune(sig, left, right, needs)
 
-    return units.select("key", "lo", "hi", "side", "fp", "sig").mapInPandas(run, "a binary, b binary")
+    return connected(dealt, lambda rows: rows.join(classes.select("fp", "sig"), "fp"), near, block)
 
 
 def verify(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -238,7 +140,7 @@ def verify(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
     the documents that class a links to, and rows (a, b, 0): a forest of the links.
     m, shingles: members of the family, and shingles in all of them."""
     needs = least_matches(threshold=threshold)
-    units = _units(members, ["family"], "m", F.col("shingles"), "fp", block)
+    units = in_units(members, ["family"], "m", F.col("shingles"), "fp", block)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, first in whole_units(batches, ["family", "lo", "hi"]):
@@ -321,7 +223,7 @@ def linked(docs: DataFrame, row: str, threshold: float = THRESHOLD) -> DataFrame
         F.min("doc_id").alias("copy_id"), F.min(first).alias("first"), F.count(F.lit(1)).alias("weight"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.first("bands").alias("bands")
     )
     classes = stored(classes, "ngram-classes")
-    held = components(families(classes, threshold)).withColumnRenamed("node", "fp").withColumnRenamed("root", "family")
+    held = families(classes, threshold).withColumnRenamed("node", "fp").withColumnRenamed("root", "family")
     held = held.join(classes.select("fp", "first.row_", "n_shingles", "weight", "sig"), "fp")
     held = stored(held, "ngram-held")
     sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("shingles"))
