@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import base_figures, pairs, shingles
 
 import corpus_pipeline
-from timelode.llm import connect, exact_dedup, license_scan, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, sharding
+from timelode.llm import common, connect, exact_dedup, license_scan, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, sharding
 
 BIG = 9007199254740993  # 2**53 + 1: no float holds it
 NAMES = "n_words long, content_share double, kept boolean, row_ long, times_ int, turn_ string, gone_ string, text_ string, spot_ long, word_ long, bits_ long, redacted_ string"
@@ -327,6 +327,75 @@ def test_state_goes_from_batch_to_batch(spark, tmp_path):
     assert found[1] == {4: (1, 3, False), 5: (5, 2, True), 6: (6, 1, True), 7: (1, 3, False)}
 
 
+def test_equal_digests_of_different_texts_across_batches(spark, tmp_path):
+    """No text passes for another because of its digest, whether its batch came from files or not."""
+    rows = lambda *r: spark.createDataFrame(r, "doc_id long, text string")
+    short = lambda text: F.unhex(F.substring(F.hex(F.length(text)), 1, 2))  # noqa: E731  texts of one length collide
+    for files in (False, True):
+        state = f"file://{tmp_path}/state{files}"
+        for n, batch in enumerate([rows((1, "aaaa"), (3, "c c c")), rows((2, "bbbb"))]):
+            if files:
+                batch.write.parquet(f"file://{tmp_path}/batch{n}")
+                batch = spark.read.parquet(f"file://{tmp_path}/batch{n}")
+            if n == 0:
+                assert all(r.kept for r in exact_dedup.dedup(batch, short, state_dir=state).collect())
+            else:
+                with pytest.raises(ValueError, match="differ in spite"):
+                    exact_dedup.dedup(batch, short, state_dir=state)
+
+
+def test_a_hit_without_content_stops(spark, tmp_path):
+    rows, state = lambda *r: spark.createDataFrame(r, "doc_id long, text string"), f"file://{tmp_path}/state"
+    exact_dedup.dedup(rows((1, "aaaa")), state_dir=state).collect()
+    spark.createDataFrame([], "digest binary, clean string, bucket int").write.mode("overwrite").parquet(f"{state}/contents")
+    with pytest.raises(ValueError, match="lacks the content"):
+        exact_dedup.dedup(rows((2, "a a a a")), state_dir=state)
+
+
+def test_a_repeated_row_of_a_later_batch_goes(spark, tmp_path):
+    for n in range(3):
+        found = exact_dedup.dedup(spark.createDataFrame([(1, "same"), (2 + n, "other")], "doc_id long, text string"), state_dir=f"file://{tmp_path}/state").collect()
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found} == {1: (1, n + 1, n == 0), 2 + n: (2, n + 1, n == 0)}
+
+
+# rows of derived tables
+def derived(spark, tmp_path):
+    """(name, table, rows): tables whose rows share a place in a file."""
+    words = ["one two three four five six seven", "eight nine ten eleven twelve thirteen"]
+    spark.createDataFrame([(i, t, "s", i) for i, t in enumerate(words)], "doc_id long, text string, source string, k long").coalesce(1).write.parquet(f"file://{tmp_path}/docs")
+    scan = spark.read.parquet(f"file://{tmp_path}/docs")
+    yield "scan", scan, 2
+    yield "filtered", scan.where("doc_id >= 0").select("doc_id", "text", "source"), 2
+    yield "exploded", scan.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))), 4
+    yield "joined", scan.join(spark.createDataFrame([(0,), (1,), (1,)], "k long"), "k"), 3
+    yield "united", scan.unionByName(scan), 4
+    yield "twice", spark.read.parquet(f"file://{tmp_path}/docs", f"file://{tmp_path}/docs"), 4
+
+
+def test_rows_of_derived_tables_stay_apart(spark, tmp_path):
+    for name, docs, n in derived(spark, tmp_path):
+        assert docs.count() == n, name
+        assert common.numbered(docs, "t").select("row_").distinct().count() == n, name
+        if name in ("scan", "filtered", "twice"):
+            continue
+        assert sorted(r.text for r in exact_dedup.kept_rows(docs).collect()) == sorted({r.text for r in docs.collect()}), name
+        assert sorted(r.text for r in ngram_join.kept_rows(docs).collect()) == sorted({r.text for r in docs.collect()}), name
+        mixed = mixing.mixed_rows(docs)
+        assert mixed.columns == docs.columns and mixed.count() == n, name  # one source: each row once
+
+
+def test_the_same_row_stays_wherever_it_is_stored(spark, tmp_path):
+    """Of rows that tie in length and id, or in a class of near copies, one of the same content in each run."""
+    rows = [(1, "a b c d e f g", f"lang{k}") for k in range(40)]
+    stays = set()
+    for n in range(3):
+        random.Random(n).shuffle(rows)
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5).write.parquet(f"file://{tmp_path}/run{n}")
+        docs = spark.read.parquet(f"file://{tmp_path}/run{n}")
+        stays.add((exact_dedup.kept_rows(docs).first().lang, ngram_join.kept_rows(docs).first().lang))
+    assert len(stays) == 1
+
+
 # 10
 def test_very_many_matches_in_one_text(spark):
     """100,000 matches, one text: in seconds, every place right."""

@@ -51,16 +51,40 @@ def own_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs are rows of files, each at most once: projections and filters that
+    always give the same, over one relation of distinct paths."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = plan.relation().location().rootPaths()
+    paths = {roots.apply(i).toString() for i in range(roots.size())}
+    return len(paths) == roots.size()
+
+
+def content_of(docs: DataFrame) -> Column:
+    """A hash of all of a row. Maps can't be hashed; they count as text."""
+    text = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*[text(f) for f in docs.schema.fields])
+
+
 def numbered(docs: DataFrame, label: str, row: str = "row_") -> DataFrame:
-    """docs with a key of each row, ``row``, that sets rows apart whatever their ids: a
-    Parquet scan's file and the row's place in it, which every later read finds again
-    however the files are split. Other DataFrames are numbered and written."""
-    if "_metadata" not in docs.columns:
+    """docs with a key of each row, ``row``, that sets rows apart whatever their ids: the
+    hash of all of the row, then, for a Parquet scan, its file and its place in it, which
+    every later read finds again however the files are split. Other DataFrames (joined,
+    exploded, united) are numbered and written. Of rows in order of this key, the first
+    has the same content in each run, wherever the rows are stored."""
+    content = content_of(docs).alias("content")
+    if "_metadata" not in docs.columns and _is_scan(docs):
         try:
-            return docs.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+            return docs.withColumn(row, F.struct(content, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
         except AnalysisException:
-            pass  # not a scan of Parquet files
-    return stored(docs.withColumn(row, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), label)
+            pass  # files of another format
+    return stored(docs.withColumn(row, F.struct(content, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), label)
 
 
 def n_words(text) -> F.Column:

@@ -9,8 +9,10 @@ normalised texts are compared: the least and the greatest of a digest must agree
 Rows that differ in spite of an equal digest are grouped by their full text.
 
 With ``state_dir`` the state goes on: a later call adds a further batch of documents
-to what earlier calls have seen, and reads the kept records' content again, in the
-files that the state's locators name, to compare it with the batch's hits.
+to what earlier calls have seen. The normalised text of each new digest is written
+once, below ``state_dir``, in ``BUCKETS`` folders by digest; the state's locator names the
+folder. A batch's hits are compared with the texts in the folders that they fall into,
+and a hit whose text isn't there stops the job: none passes without its full bytes.
 
 A bounded filter of the digests that were hit stands before the comparison, and each
 task passes on the least and the greatest text of a digest, so texts without a
@@ -29,6 +31,8 @@ result; other columns never matter.
 from __future__ import annotations
 
 import contextlib
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +48,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 FILES_PER_BATCH = 2000
+BUCKETS = 256
 #: What tasks pass on of a digest is merged in two steps, in this many parts first.
 PARTS = 64
 
@@ -73,10 +78,15 @@ def _order(chars: Column, doc_id: Column) -> Column:
     return F.struct((-chars).alias("chars"), doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"))
 
 
-def _record() -> Column:
-    """What the state keeps of a row (text, doc_id, row_): its order, then its number."""
+def _record(locator: Column, batch: str) -> Column:
+    """What the state keeps of a row (text, doc_id, row_): its order, then its batch (the
+    earlier one stays), then its number, and where its content is."""
     chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    return F.struct(_order(chars, F.col("doc_id")).alias("order"), F.col("row_").alias("row"), F.input_file_name().alias("locator"))
+    return F.struct(_order(chars, F.col("doc_id")).alias("order"), F.lit(batch).alias("batch"), F.col("row_").alias("row"), locator.alias("locator"))
+
+
+def _bucket(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(BUCKETS)).cast("int")
 
 
 def stream_state(spark: SparkSession, source: str, schema, files_per_batch: int = FILES_PER_BATCH, checkpoint: str | None = None) -> DataFrame:
@@ -105,8 +115,9 @@ def stream_state(spark: SparkSession, source: str, schema, files_per_batch: int
 
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH, state_dir: str | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> one row for each: doc_id, keep_id, group_size, kept, digest,
-    keep_locator (the file of the kept record). The kept record has the most code
-    points, then the smallest id. With ``state_dir``, groups count all batches so far."""
+    keep_locator (the file of the kept record; with ``state_dir`` the folder that holds its
+    content). The kept record has the most code points, then the smallest id. With
+    ``state_dir``, groups count all batches so far."""
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_"))
     return grouped(rows, digest, files_per_batch, state_dir).drop("row_")
 
@@ -115,10 +126,12 @@ def grouped(rows: DataFrame, digest: Callable[[Column], Column] = sha256, files_
     """dedup for rows (doc_id, text, row_); row_ goes along."""
     spark = rows.sparkSession
     clean = normalised(F.col("text"))
-    records = rows.select("doc_id", "row_", digest(clean).alias("digest"), _record().alias("best"))
     # a batch's records are written once; the stream, and the result, read them from there
     folder = state_dir or shared_path(spark, "dedup")
-    batch = shared_path(spark, "batch").rsplit("/", 1)[1]
+    bucket = _bucket(digest(clean)).cast("string")
+    locator = F.concat(F.lit(f"{folder}/contents/bucket="), bucket) if state_dir else F.input_file_name()
+    batch = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    records = rows.select("doc_id", "row_", digest(clean).alias("digest"), _record(locator, batch).alias("best"))
     records.write.parquet(f"{folder}/records/{batch}")
     records = spark.read.schema(records.schema).parquet(f"{folder}/records/{batch}")
     state = stored(stream_state(spark, f"{folder}/records/*", records.schema, files_per_batch, f"{folder}/state"), "dedup-keys")
@@ -132,9 +145,11 @@ def grouped(rows: DataFrame, digest: Callable[[Column], Column] = sha256, files_
     filter_ = stored(key_filter(hits, "digest"), "dedup-filter")
     texts = rows.select("doc_id", "row_", "text")
     compared = texts.select("text")
+    compared = compared.select(digest(clean).alias("digest"), clean.alias("clean"))
     if state_dir:
-        compared = compared.unionByName(_kept_before(hits, records, spark))
-    compared = passing(compared.select(digest(clean).alias("digest"), clean.alias("clean")), F.col("digest"), filter_)
+        new = _new_contents(state, records, texts.select(digest(clean).alias("digest"), "row_", clean.alias("clean")))
+        compared = compared.unionByName(_kept_before(hits, new, folder))
+    compared = passing(compared, F.col("digest"), filter_)
     part = F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part")
     ends = compared.select("digest", part, "clean").groupBy("digest", "part").agg(F.min("clean").alias("low"), F.max("clean").alias("high"))
     ends = ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -147,13 +162,24 @@ def grouped(rows: DataFrame, digest: Callable[[Column], Column] = sha256, files_
     return _members(plain, hits).unionByName(_split(texts, digest, mixed))
 
 
-def _kept_before(hits: DataFrame, records: DataFrame, spark: SparkSession) -> DataFrame:
-    """Texts of the files that hold the kept records of hits, but for this batch's.
-    The driver gets names of files only."""
-    places = hits.select(F.col("best.locator").alias("at")).distinct().join(records.select(F.col("best.locator").alias("at")).distinct(), "at", "left_anti")
-    paths = [r["at"] for r in places.collect() if r["at"]]
-    schema = "text string"
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+def _new_contents(state: DataFrame, records: DataFrame, texts: DataFrame) -> DataFrame:
+    """digest, clean of the digests that this batch brought, one text each, with the bucket."""
+    here = records.groupBy("digest").agg(F.count(F.lit(1)).alias("here"))
+    new = state.join(here, "digest").where("n = here").select("digest", F.col("best.row").alias("row_"))
+    return texts.join(new, ["digest", "row_"]).select("digest", "clean", _bucket(F.col("digest")).alias("bucket"))
+
+
+def _kept_before(hits: DataFrame, new: DataFrame, folder: str) -> DataFrame:
+    """Adds the batch's new contents to those below ``folder``; gives digest and text of the
+    hits that earlier batches kept. The driver gets numbers of buckets only."""
+    spark, path = hits.sparkSession, f"{folder}/contents"
+    new.sortWithinPartitions("bucket", "digest").write.mode("append").partitionBy("bucket").parquet(path)
+    buckets = [r["bucket"] for r in hits.select(_bucket(F.col("digest")).alias("bucket")).distinct().collect()]
+    kept = spark.read.schema("digest binary, clean string, bucket int").parquet(path).where(F.col("bucket").isin(buckets)).select("digest", "clean")
+    kept = stored(passing(kept, F.col("digest"), key_filter(hits, "digest")).join(hits.select("digest"), "digest"), "dedup-kept")
+    if not hits.join(kept, "digest", "left_anti").isEmpty():
+        raise ValueError(f"{path} lacks the content of digests that were hit: the state and its contents don't belong together")
+    return kept
 
 
 def _members(records: DataFrame, hits: DataFrame) -> DataFrame:
@@ -174,7 +200,7 @@ def _members(records: DataFrame, hits: DataFrame) -> DataFrame:
 def _split(texts: DataFrame, digest: Callable[[Column], Column], mixed: DataFrame) -> DataFrame:
     """Digests that stand for several texts: their groups go by the full text."""
     clean = normalised(F.col("text"))
-    own = stored(texts.select("doc_id", "row_", digest(clean).alias("digest"), clean.alias("clean"), _record().alias("best")).join(mixed, "digest"), "dedup-split")
+    own = stored(texts.select("doc_id", "row_", digest(clean).alias("digest"), clean.alias("clean"), _record(F.input_file_name(), "").alias("best")).join(mixed, "digest"), "dedup-split")
     tops = own.groupBy("digest", "clean").agg(F.min("best").alias("top"), F.count(F.lit(1)).alias("n"))
     return own.join(tops, ["digest", "clean"]).select(
         "doc_id", "row_", F.col("top.order.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("best") == F.col("top")).alias("kept"), "digest", F.col("top.locator").alias("keep_locator")

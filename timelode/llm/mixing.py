@@ -195,7 +195,7 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     a row for each document, so they are merged and not broadcast, whatever their size."""
     row, times, turn = (own_name(docs, n) for n in ("row_", "times_", "turn_"))
     rows = numbered(docs, "mix-rows", row)
-    rows = rows.withColumn(row, F.concat_ws(":", F.col(row)["file"].cast("string"), F.col(row)["at"].cast("string")))
+    rows = rows.withColumn(row, F.concat_ws(":", *[F.col(row)[f].cast("string") for f in ("content", "file", "at")]))
     size = n_words(F.col("text"))
     sized = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "source", "text", size).alias("key"), F.col(row).alias("row_"))
     found = mixed(sized).where("repeats > 0").select(F.col("row_").alias(row), F.col("repeats").cast("int").alias(times))
