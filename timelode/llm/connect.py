@@ -8,9 +8,10 @@ trees:
    the group's ``PIVOTS`` (members with the least hashes) as well, so blocks whose members
    hold together are joined through them. That is linear in a group's size: one
    copy of a member, and an edge at most to the least of its tree.
-2. A group of several blocks with more than one component left goes pair of blocks by
-   pair of blocks, and only pairs from different components are tested. A group that
-   holds together never comes this far.
+2. In a group of several blocks with more than one component left, the members of its
+   largest one meet all others, and these one another, pair of blocks by pair of blocks;
+   only pairs from different components are tested. A group that holds together never comes
+   this far, and of one with few others each member of the large component is in one unit.
 
 No pair of a group is left out: those in a block are tested in 1, all others in 2,
 unless their ends are together already.
@@ -107,17 +108,21 @@ def whole_units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tu
 
 
 def in_units(rows: DataFrame, key: list[str], size: str, held: Column, spread: str, block: int, parts: int = 1) -> DataFrame:
+    """dealt_units, those of a unit together and in order. parts: least number of partitions."""
+    return sorted_units(dealt_units(rows, size, held, spread, block), key, spread, parts)
+
+
+def dealt_units(rows: DataFrame, size: str, held: Column, spread: str, block: int) -> DataFrame:
     """Deals the rows of a group to units of work: the group itself, or each pair of
     its blocks (a row goes to every pair with its block). size: the group's members;
-    held: what they hold together, in the unit of ``HELD``; parts: least number of partitions."""
+    held: what they hold together, in the unit of ``HELD``."""
     n = F.greatest(F.ceil(held / HELD), F.least(F.ceil(F.col(size) / block), F.lit(SPREAD))).cast("int")
     rows = rows.withColumn("n_", n).withColumn("b_", F.pmod(F.xxhash64(spread), F.col("n_")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_") - 1)).alias("o_")
     rows = rows.select("*", other)
     rows = rows.withColumn("lo", F.least("b_", "o_")).withColumn("hi", F.greatest("b_", "o_"))
     side = F.when(F.col("lo") == F.col("hi"), 2).when(F.col("b_") == F.col("lo"), 0).otherwise(1)
-    rows = rows.withColumn("side", side.cast("int")).drop("n_", "b_", "o_")
-    return sorted_units(rows, key, spread, parts)
+    return rows.withColumn("side", side.cast("int")).drop("n_", "b_", "o_")
 
 
 def sorted_units(rows: DataFrame, key: list[str], spread: str, parts: int) -> DataFrame:
@@ -177,7 +182,7 @@ def connected(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], test: C
     split = stored(named.groupBy("key").agg(F.min("tree").alias("one"), F.max("tree").alias("other")).where("one <> other").select("key"), "connect-split")
     if split.isEmpty():
         return together
-    units = in_units(attach(named.join(split, "key")), ["key"], "m", F.col("total"), "fp", block, parts)
+    units = sorted_units(attach(_across(named.join(split, "key"), block)), ["key"], "fp", parts)
     more = components(units.mapInPandas(_edges(test), "a binary, b binary")).select(F.col("node").alias("root"), F.col("root").alias("top"))
     # a component's root stands for it, a node without one for itself
     whole = together.join(more, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -185,6 +190,24 @@ def connected(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], test: C
     return stored(whole.unionByName(alone), "connect-roots")
 
 
+def _across(named: DataFrame, block: int) -> DataFrame:
+    """named (key, m, total, fp, tree) of groups in several pieces -> units in which every
+    pair of members of different pieces meets."""
+    pieces = named.groupBy("key", "tree").agg(F.count(F.lit(1)).alias("n"))
+    main = pieces.groupBy("key").agg(F.max_by("tree", F.struct("n", "tree")).alias("main"), F.max("n").alias("most"))
+    rows = named.join(main, "key").withColumn("others", F.col("m") - F.col("most"))
+    count = lambda n: F.greatest(F.ceil(F.col("total") / HELD), F.least(F.ceil(F.col(n) / block), F.lit(SPREAD))).cast("int")
+    rows = rows.withColumn("n0", count("most")).withColumn("n1", count("others"))
+    place = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    other = rows.where("tree <> main")
+    columns = ["key", "fp", "tree", "lo", "hi", "side"]
+    first = rows.where("tree = main").withColumn("lo", place("n0")).withColumn("hi", all_of("n1")).withColumn("side", F.lit(0))
+    second = other.withColumn("hi", place("n1")).withColumn("lo", all_of("n0")).withColumn("side", F.lit(1))
+    third = dealt_units(other, "others", F.col("total"), "fp", block).withColumn("lo", -1 - F.col("lo"))
+    return first.select(*columns).unionByName(second.select(*columns)).unionByName(third.select(*columns))
+
+
 def _parts(rows: DataFrame) -> int:
     """Partitions that hold about four units of work of full size each."""
     total = rows.agg(F.sum("held")).first()[0] or 0
