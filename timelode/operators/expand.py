@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timelode.functions.concepts import CONCEPTS
 from timelode.functions.text import TOKEN, stripped
+from timelode.operators.automaton import find
 
-MAX_TRANSLATIONS = 5
+MAX_TRANSLATIONS, MOST_KEYS = 5, 100_000
 
 
 def concepts(spark: SparkSession) -> DataFrame:
@@ -19,8 +21,13 @@ def concepts(spark: SparkSession) -> DataFrame:
 
 
 def matched(queries: DataFrame, table: DataFrame) -> DataFrame:
-    """queries (request_id, query) -> a row for each concept whose key the query holds."""
-    return queries.join(F.broadcast(table), F.contains(F.lower(stripped(F.col("query"))), F.col("key")))
+    """queries (request_id, query) -> a row for each concept whose key the query holds: one
+    pass over a query for all keys, whose table has at most ``MOST_KEYS`` rows."""
+    rows = table.orderBy("position").limit(MOST_KEYS + 1).collect()
+    found = find(queries, F.lower(stripped(F.col("query"))), [r["key"] for r in rows], "found_")
+    numbers = [(i, *r) for i, r in enumerate(rows)]
+    table = table.sparkSession.createDataFrame(numbers, T.StructType([T.StructField("found_", T.IntegerType()), *table.schema.fields]))
+    return found.withColumn("found_", F.explode("found_")).join(F.broadcast(table), "found_").drop("found_")
 
 
 def expand(queries: DataFrame, table: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Requests for one video meet its rows in an equi-join. Those for every video are a
 stated set that meets all rows, in blocks of at most ``BLOCK_VALUES`` numbers and
-words each, so that what is broadcast has a bound however many they are.
+words each, so that what goes to a task has a bound however many they are: a block is a
+matrix and an automaton of words there (``products``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from timelode.functions import text as X
 from timelode.functions import vectors as V
+from timelode.operators import products
 
 BLOCK_VALUES = 1_000_000
 # Weights of the modalities, and what an empty score map holds.
@@ -43,10 +45,12 @@ SCHEMA = "request_id long, q array<double>, visual array<string>, audio array<st
 
 @dataclass(frozen=True)
 class Asked:
-    """Requests of one video each (or None), and blocks of those for every video."""
+    """Requests of one video each (or None), and blocks of those for every video, as
+    tables and as they are."""
 
     named: DataFrame | None
     blocks: tuple[DataFrame, ...]
+    lists: tuple[tuple[Request, ...], ...] = ()
 
     def table(self) -> DataFrame:
         """All requests, of which there is one at least."""
@@ -62,13 +66,13 @@ def requests(spark: SparkSession, wanted: Sequence[Request]) -> Asked:
     for r in (r for r in wanted if r.video_id is None):
         size = len(r.vector) + len(r.visual) + len(r.audio) + 8
         if block and held + size > BLOCK_VALUES:
-            blocks.append(table(block))
+            blocks.append(tuple(block))
             block, held = [], 0
         block.append(r)
         held += size
-    blocks += [table(block)] * bool(block)
+    blocks += [tuple(block)] * bool(block)
     named = [r for r in wanted if r.video_id is not None]
-    return Asked(table(named) if named else None, tuple(blocks))
+    return Asked(table(named) if named else None, tuple(map(table, blocks)), tuple(blocks))
 
 
 def _for_requests(rows: DataFrame, asked: Asked) -> DataFrame:
@@ -80,11 +84,35 @@ def _for_requests(rows: DataFrame, asked: Asked) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _named(rows: DataFrame, asked: Asked) -> list[DataFrame]:
+    return [] if asked.named is None else [rows.join(asked.named, rows["video_id"] == asked.named["only_video"])]
+
+
+def _united(parts: list[DataFrame], spark: SparkSession, like: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], like)
+
+
 def cosines(frames: DataFrame, asked: Asked, dim: int) -> DataFrame:
     """request_id, video_id, id, ts, score of frames with a vector of ``dim``. Stored
     vectors have length 1."""
-    good = frames.where(V.valid(F.col("vector"), dim)).select("video_id", "id", "ts", "vector")
-    return _for_requests(good, asked).select("request_id", "video_id", "id", "ts", V.dot(F.col("vector"), F.col("q")).alias("score"), "w_visual")
+    keep = ["video_id", "id", "ts"]
+    good = frames.where(V.valid(F.col("vector"), dim)).select(*keep, "vector")
+    parts = [products.pairs(good, products.Block(block), keep, dim).select("request_id", *keep, "score") for block in asked.lists]
+    parts += [rows.select("request_id", *keep, V.dot(F.col("vector"), F.col("q")).alias("score")) for rows in _named(good, asked)]
+    return _united(parts, frames.sparkSession, "request_id long, video_id long, id long, ts double, score double")
+
+
+def best_frames(frames: DataFrame, asked: Asked, dim: int, k: int = 3, by: str | None = "video_id") -> DataFrame:
+    """request_id, id, rank, score (and ``by``): the k best frames of each request in each
+    video, or, with by=None, in all of them. No row is made for a pair."""
+    good = frames.where(V.valid(F.col("vector"), dim)).select("video_id", "id", "vector")
+    own = [by] if by else []
+    parts = [products.best(good, products.Block(block), dim, k, by).select("request_id", *own, "id", "rank", "score") for block in asked.lists]
+    order = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "id")
+    for rows in _named(good, asked):  # one video each
+        scored = rows.select("request_id", *own, "id", V.dot(F.col("vector"), F.col("q")).alias("score"))
+        parts.append(scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("request_id", *own, "id", "rank", "score"))
+    return _united(parts, frames.sparkSession, "request_id long, " + ("video_id long, " if by else "") + "id long, rank long, score double")
 
 
 def top_frames(scored: DataFrame, k: int = 3) -> DataFrame:
@@ -99,23 +127,37 @@ def _caption_value(own: Column) -> Column:
 
 
 def caption_part(frames: DataFrame, asked: Asked) -> DataFrame:
-    rows = _for_requests(frames.select("video_id", "ts", F.concat(X.plain(F.col("caption")), F.lit(" ")).alias("own")), asked)
-    return rows.select("request_id", "video_id", "ts", _caption_value(F.col("own")).alias("part")).where("part is not null")
+    own = frames.select("video_id", "ts", F.concat(X.plain(F.col("caption")), F.lit(" ")).alias("own"))
+    parts = [products.pairs(own, products.Block(block, "visual"), ["video_id", "ts"], words_weight=1) for block in asked.lists]
+    parts = [p.select("request_id", "video_id", "ts", "part") for p in parts]
+    parts += [rows.select("request_id", "video_id", "ts", _caption_value(F.col("own")).alias("part")).where("part is not null") for rows in _named(own, asked)]
+    return _united(parts, frames.sparkSession, "request_id long, video_id long, ts double, part double")
 
 
 def audio_part(transcripts: DataFrame, asked: Asked) -> DataFrame:
-    rows = _for_requests(transcripts.select("video_id", ((F.col("t_start") + F.col("t_end")) / 2).alias("ts"), X.plain(F.col("spoken")).alias("own")), asked)
-    hits = rows.withColumn("hits", X.keyword_matches(F.col("own"), F.col("audio"))).where("hits > 0")
-    return hits.select("request_id", "video_id", "ts", (F.col("hits") / F.size("audio") * F.col("w_audio")).alias("part"))
+    own = transcripts.select("video_id", ((F.col("t_start") + F.col("t_end")) / 2).alias("ts"), X.plain(F.col("spoken")).alias("own"))
+    parts = [products.pairs(own, products.Block(block, "audio"), ["video_id", "ts"], words_weight=2).select("request_id", "video_id", "ts", "part") for block in asked.lists]
+    for rows in _named(own, asked):
+        hits = rows.withColumn("hits", X.keyword_matches(F.col("own"), F.col("audio"))).where("hits > 0")
+        parts.append(hits.select("request_id", "video_id", "ts", (F.col("hits") / F.size("audio") * F.col("w_audio")).alias("part")))
+    return _united(parts, transcripts.sparkSession, "request_id long, video_id long, ts double, part double")
 
 
 def frame_parts(frames: DataFrame, asked: Asked, dim: int) -> DataFrame:
     """request_id, video_id, ts, id, seen, part: what a frame's vector and its caption add,
     from one pass over the frames; frames without either are left out."""
-    own = frames.select("video_id", "ts", "id", F.when(V.valid(F.col("vector"), dim), F.col("vector")).alias("vector"), F.concat(X.plain(F.col("caption")), F.lit(" ")).alias("own"))
-    seen = F.when(F.col("vector").isNotNull(), F.greatest(F.lit(0.0), V.dot(F.col("vector"), F.col("q"))) * F.col("w_visual"))
-    rows = _for_requests(own, asked).select("request_id", "video_id", "ts", "id", seen.alias("seen"), _caption_value(F.col("own")).alias("part"))
-    return rows.where("seen is not null or part is not null")
+    keep = ["video_id", "ts", "id"]
+    own = frames.select(*keep, F.when(V.valid(F.col("vector"), dim), F.col("vector")).alias("vector"), F.concat(X.plain(F.col("caption")), F.lit(" ")).alias("own"))
+    value = lambda score, weight: F.greatest(F.lit(0.0), score) * weight
+    parts = []
+    for block in asked.lists:
+        weight = frames.sparkSession.createDataFrame([(r.request_id, float(r.weights[0])) for r in block], "request_id long, w_visual double")
+        met = products.pairs(own, products.Block(block, "visual"), keep, dim, 1).join(F.broadcast(weight), "request_id")
+        parts.append(met.select("request_id", *keep, F.when(F.col("score").isNotNull(), value(F.col("score"), F.col("w_visual"))).alias("seen"), "part"))
+    for rows in _named(own, asked):
+        seen = F.when(F.col("vector").isNotNull(), value(V.dot(F.col("vector"), F.col("q")), F.col("w_visual")))
+        parts.append(rows.select("request_id", *keep, seen.alias("seen"), _caption_value(F.col("own")).alias("part")).where("seen is not null or part is not null"))
+    return _united(parts, frames.sparkSession, "request_id long, video_id long, ts double, id long, seen double, part double")
 
 
 def pairs(videos: DataFrame, asked: Asked) -> DataFrame:

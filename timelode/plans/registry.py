@@ -98,7 +98,7 @@ def cosine_scores(spark, sf_dir):
 
 
 def topk_frames(spark, sf_dir):
-    best = scoring.top_frames(scoring.cosines(T.frames(spark, sf_dir), _request(spark, sf_dir), DIM))
+    best = scoring.best_frames(T.frames(spark, sf_dir), _request(spark, sf_dir), DIM)
     return best.select("video_id", "id", "rank", F.round("score", 4).alias("score"))
 
 
@@ -298,8 +298,8 @@ def rag_transcripts(spark, sf_dir):
 
 def rag_answer(spark, sf_dir):
     frames = T.frames(spark, sf_dir)
-    best = scoring.top_frames(scoring.cosines(frames, _request(spark, sf_dir), DIM), 1).select("video_id", "id", "rank", "ts")
-    best = best.join(frames.select("id", "caption"), "id")
+    best = scoring.best_frames(frames, _request(spark, sf_dir), DIM, 1).select("id", "rank")
+    best = best.join(frames.select("video_id", "id", "ts", "caption"), "id")
     return retrieval.answers(T.transcripts(spark, sf_dir), best, QUESTION).withColumn("context", F.md5("context"))
 
 
