@@ -103,8 +103,7 @@ def test_lines_after_the_64th_teach_the_field(spark):
     docs = [(i, start + "\n" + "\n".join(("plain, words, again, and, again, here,", "plain words again and again here")[1 - i % 2] + f" {j}" for j in range(64))) for i in range(40)]
     known = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
     field = quality_rules.fit(spark.createDataFrame(docs, "doc_id long, text string"), known)
-    lean = np.array(field.emit) - np.array(quality_rules.DEFAULT.emit)
-    assert lean[quality_rules.FEATURES.index("points")] < -0.05
+    assert field.emit[quality_rules.FEATURES.index("points")] < -0.05
 
 
 def test_gradient_is_the_slope():
@@ -147,6 +146,31 @@ def test_templates_of_any_length(spark):
     assert got[1] == ("long", 1.0) and got[2][0] == "long" and got[3] == got[4] == ("", 0.0)
 
 
+def test_license_precision_and_recall(spark):
+    """License texts as people change them against prose with the same words."""
+    rng = random.Random(21)
+    own = [(label, t) for label, t in license_scan.TEMPLATES if len(t.split()) >= 12]
+    true = []
+    for i in range(200):
+        label, t = own[i % len(own)]
+        w = t.split()
+        for _ in range(len(w) // 14):  # a word in 14 is another one
+            w[rng.randrange(len(w))] = rng.choice(["our", "said", "XYZ", "program"])
+        true.append((i, prose(rng, rng.randint(0, 90)) + "\n * " + " ".join(w).upper() + "\n" + prose(rng, 30), label))
+    false = ["Students at MIT released the list of guests under embargo", "The Apache helicopter is licensed; see version 2.0 of the manual", "free software and the general public: a license to copy, distribute and modify is granted to any person"]
+    for label, t in own:
+        w = t.split()
+        rng.shuffle(w)
+        false.append(" ".join(w))
+        false.append(" and ".join(w))
+    docs = true + [(1000 + i, prose(rng, 20) + " " + t + " " + prose(rng, 20), "") for i, t in enumerate(false)]
+    got = {r.doc_id: (r.labels, r.base_labels) for r in license_scan.scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")).collect()}
+    added = {(i, x) for i, (labels, base) in got.items() for x in labels.split(",") if x and x not in base.split(",")}
+    want = {(i, label) for i, _, label in docs if label and label not in got[i][1].split(",")}
+    assert len(added & want) >= 0.9 * len(want) and len(added & want) >= 0.9 * len(added), (len(want), len(added), sorted(added - want)[:5], sorted(want - added)[:5])
+    assert got[1000][0] == ""
+
+
 # 6
 def test_posteriors_by_plain_sums(odd, labels):
     """Every posterior and verdict again, from the evidence alone."""

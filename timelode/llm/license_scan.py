@@ -6,6 +6,10 @@ texts) are joined with blocks twice, four times, ... as long, whichever takes th
 whole. A block matches a template if it contains at least ``THRESHOLD`` of the
 template's distinct words.
 
+A set knows no order, so at least ``ORDER`` of the template's pairs of neighbours must be neighbours
+in the block too; of a template of fewer than ``LEAST_WORDS`` distinct words, all, as such words meet
+by chance.
+
 Template words are ordered by their frequency over all documents, rarest first.
 A match must hold one of a template's first |T| - need + 1 words (prefix
 filter), needs that many distinct words (length filter), and what follows the
@@ -36,25 +40,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, STRIDE, THRESHOLD = 64, 32, 0.8
+ORDER, LEAST_WORDS = 0.5, 10
 BROADCAST_ROWS = 20_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases with their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Opening or characteristic sentences of common licenses (fixed values).
+#: Characteristic sentences of common licenses (fixed values).
 TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary"),
 )
 
 
@@ -72,6 +85,13 @@ def _template_words(text: str) -> list[str]:
     return sorted(set(re.findall(WORD, text.lower())))
 
 
+def _template_pairs(text: str) -> tuple[list[str], int]:
+    """Its pairs of neighbours, and how many of them a block needs."""
+    ws = re.findall(WORD, text.lower())
+    pairs = sorted({f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)})
+    return pairs, len(pairs) if len(set(ws)) < LEAST_WORDS else ceil(ORDER * len(pairs) - 1e-9)
+
+
 def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -108,15 +128,14 @@ MATCHES = "doc_id long, text_key long, first_word long, template int, label stri
 def _matches(docs: DataFrame, templates: Sequence[tuple[int, str, str]], rank: dict[str, int], threshold: float, block: int, stride: int) -> DataFrame:
     """matches for templates (number, label, text) that a block's overlap takes whole."""
     spark = docs.sparkSession
-    sets = [(t, label, _template_words(text)) for t, label, text in templates]
     index, prefixes = [], set()
-    for t, label, ws in sets:
-        ws = sorted(ws, key=rank.__getitem__)
+    for t, label, text in templates:
+        ws, (pairs, need_pairs) = sorted(_template_words(text), key=rank.__getitem__), _template_pairs(text)
         need = ceil(threshold * len(ws) - 1e-9)
         for place, w in enumerate(ws[: len(ws) - need + 1]):
-            index.append((rank[w], t, label, place, need, [rank[x] for x in ws]))
+            index.append((rank[w], t, label, place, need, [rank[x] for x in ws], pairs, need_pairs))
             prefixes.add(w)
-    index_rows = spark.createDataFrame(index, "rank int, template int, label string, place int, need int, ranks array<int>")
+    index_rows = spark.createDataFrame(index, "rank int, template int, label string, place int, need int, ranks array<int>, pairs array<string>, need_pairs int")
 
     # only texts that hold a prefix word go on
     held = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
@@ -128,14 +147,17 @@ def _matches(docs: DataFrame, templates: Sequence[tuple[int, str, str]], rank: d
     cut = F.transform(at, lambda i: F.least(last, F.floor(i / stride).cast("int")))
     cuts = F.array_distinct(F.concat(cut, F.transform(cut, lambda b: F.greatest(F.lit(0), b - 1))))
     blocks = held.select("doc_id", "text_key", "words", F.explode(cuts).alias("b"))
-    own = F.filter(F.transform(F.array_distinct(F.slice("words", F.col("b") * stride + 1, block)), lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())
-    blocks = blocks.select("doc_id", "text_key", (F.col("b") * stride).cast("long").alias("first_word"), F.array_sort(own).alias("own"))
+    here = F.slice("words", F.col("b") * stride + 1, block)
+    own = F.filter(F.transform(F.array_distinct(here), lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())
+    blocks = blocks.select("doc_id", "text_key", (F.col("b") * stride).cast("long").alias("first_word"), F.array_sort(own).alias("own"), here.alias("here"))
     met = blocks.select("*", F.posexplode("own").alias("at", "rank")).join(F.broadcast(index_rows) if len(index) <= BROADCAST_ROWS else index_rows, "rank")
     met = met.where(F.size("own") >= F.col("need"))
     # common words up to here are at most the two places; the rest comes after
     met = met.where(F.least("at", "place") + F.least(F.size("ranks") - F.col("place"), F.size("own") - F.col("at")) >= F.col("need"))
     both = F.size(F.array_intersect("own", "ranks"))
     met = met.withColumn("both", both).where("both >= need")
+    neighbours = F.zip_with("here", F.slice("here", 2, block), lambda a, b: F.concat(a, F.lit(" "), b))
+    met = met.where(F.size(F.array_intersect("pairs", neighbours)) >= F.col("need_pairs"))
     return met.select("doc_id", "text_key", "first_word", "template", "label", (F.col("both") / F.size("ranks")).alias("containment")).distinct()
 
 

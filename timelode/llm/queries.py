@@ -158,16 +158,25 @@ OP4 = r"""
 WITH texts(t, label, body) AS (VALUES
   (0, 'apache', 'licensed under the apache license, version 2.0'),
   (1, 'apache', 'you may not use this file except in compliance with the license. you may obtain a copy of the license at'),
-  (2, 'bsd', 'redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met'),
-  (3, 'cc-by', 'this work is licensed under a creative commons attribution 4.0 international license'),
-  (4, 'gpl', 'this work is licensed under the gnu general public license, version 3'),
-  (5, 'gpl', 'you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation'),
-  (6, 'isc', 'permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted'),
-  (7, 'mit', 'released under the mit license'),
-  (8, 'mit', 'permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files'),
-  (9, 'mpl', 'this source code form is subject to the terms of the mozilla public license, v. 2.0'),
-  (10, 'unlicense', 'this is free and unencumbered software released into the public domain')),
-templates AS (SELECT t, label, list_distinct(regexp_extract_all(body, '[a-z0-9]+')) AS words FROM texts),
+  (2, 'apache', 'unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without warranties or conditions of any kind'),
+  (3, 'bsd', 'redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met'),
+  (4, 'bsd', 'redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer'),
+  (5, 'bsd', 'neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission'),
+  (6, 'cc-by', 'this work is licensed under a creative commons attribution 4.0 international license'),
+  (7, 'gpl', 'this work is licensed under the gnu general public license, version 3'),
+  (8, 'gpl', 'you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation'),
+  (9, 'gpl', 'you should have received a copy of the gnu general public license along with this program'),
+  (10, 'isc', 'permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted'),
+  (11, 'mit', 'released under the mit license'),
+  (12, 'mit', 'permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files'),
+  (13, 'mit', 'to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software'),
+  (14, 'mit', 'the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software'),
+  (15, 'mpl', 'this source code form is subject to the terms of the mozilla public license, v. 2.0'),
+  (16, 'mpl', 'if a copy of the mpl was not distributed with this file, you can obtain one at'),
+  (17, 'unlicense', 'this is free and unencumbered software released into the public domain'),
+  (18, 'unlicense', 'anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary')),
+inorder AS (SELECT t, label, regexp_extract_all(body, '[a-z0-9]+') AS ws FROM texts),
+templates AS (SELECT t, label, list_distinct(ws) AS words, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS pairs FROM inorder),
 phrases(label, words) AS (VALUES ('mit', ['mit', 'license']), ('apache', ['apache', 'license']), ('gpl', ['general', 'public', 'license'])),
 d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -175,8 +184,11 @@ d AS (
 blocks AS (
   SELECT doc_id, w[b:b + 63] AS own
   FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 31), 32)) AS b FROM d)),
-met AS (SELECT doc_id, label, len(list_intersect(words, own)) / CAST(len(words) AS DOUBLE) AS share FROM blocks, templates),
-best AS (SELECT doc_id, label, max(share) AS share FROM met WHERE share >= CAST(0.8 AS DOUBLE) - 1e-9 GROUP BY ALL),
+met AS (SELECT doc_id, label, words, pairs, own, len(list_intersect(words, own)) / CAST(len(words) AS DOUBLE) AS share FROM blocks, templates),
+best AS (
+  SELECT doc_id, label, max(share) AS share FROM met
+  WHERE share >= CAST(0.8 AS DOUBLE) - 1e-9 AND len(list_intersect(pairs, list_transform(range(1, len(own)), lambda i: own[i] || ' ' || own[i + 1]))) >= CASE WHEN len(words) < 10 THEN len(pairs) ELSE ceil(len(pairs) / 2.0) END
+  GROUP BY ALL),
 places AS (
   SELECT doc_id, label, i - 1 AS place
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), phrases WHERE w[i:i + len(words) - 1] = words),
