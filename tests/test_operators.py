@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timelode.functions import intervals, text, vectors
-from timelode.operators import evaluate, expand, index, ingest, moments, retrieval, scoring, signal
+from timelode.operators import automaton, evaluate, expand, index, ingest, moments, retrieval, scoring, signal
 from timelode.plans import search
 from timelode.sources import tables
 from timelode.streaming import progress
@@ -360,13 +360,118 @@ def test_streams_end_like_batches(spark, sf_dir, tmp_path):
         assert spark.read.parquet(out).count() > 0
 
 
-def test_late_captions(spark, tmp_path):
-    frames, captions = f"file://{tmp_path}/frames", f"file://{tmp_path}/captions"
-    ingest.append(spark.createDataFrame([(0, 1, ""), (0, 2, ""), (1, 3, "")], "video_id long, id long, caption string"), frames)
-    new = spark.createDataFrame([(0, 1, "a cat")], "video_id long, id long, caption string")
-    new.write.parquet(captions)
-    progress.enrich(spark.readStream.schema(new.schema).parquet(captions), frames, f"file://{tmp_path}/c").awaitTermination()
-    assert {r.id: r.caption for r in spark.read.parquet(frames).collect()} == {1: "a cat", 2: "", 3: ""}
+@pytest.mark.parametrize("first", ["frames", "captions"])
+def test_captions_and_frames_in_either_order(spark, tmp_path, first):
+    """What comes first waits; of two captions of a frame the later one counts; a caption whose
+    frame never comes changes nothing; a second run goes on where the first one ended."""
+    table, at = f"file://{tmp_path}/table", {k: f"file://{tmp_path}/{k}" for k in ("frames", "captions")}
+    frames = spark.createDataFrame([(0, 1, ""), (0, 2, ""), (1, 3, "")], "video_id long, id long, caption string")
+    captions = spark.createDataFrame([(1, "a cat", 5), (1, "a dog", 9), (3, "late", 7), (20, "none", 8)], "id long, caption string, at long")
+    rows = {"frames": frames, "captions": captions}
+    ingest.append(frames, table)
+    for k, df in rows.items():
+        df.limit(0).write.parquet(at[k])
+    run = lambda: progress.enrich(*[progress.events(spark, at[k], rows[k].schema, 1) for k in rows], table, f"file://{tmp_path}/c").awaitTermination()
+    found = lambda: {r.id: r.caption for r in spark.read.parquet(table).collect()}
+    rows[first].repartition(2).write.mode("append").parquet(at[first])
+    run()
+    assert found() == {1: "", 2: "", 3: ""}
+    other = "captions" if first == "frames" else "frames"
+    rows[other].repartition(2).write.mode("append").parquet(at[other])
+    run()
+    assert found() == {1: "a dog", 2: "", 3: "late"}
+    run()
+    assert found() == {1: "a dog", 2: "", 3: "late"}
+
+
+def test_replay_from_state(spark, sf_dir, tmp_path):
+    """A late watcher is told the newest state, also after the events are gone and new ones came."""
+    rows = [(1, 10, 1, 5.0, "decoding"), (1, 30, 2, 80.0, "vlm_caption"), (2, 10, 3, 1.0, "decoding"), (1, 20, 4, 90.0, "asr_whisper")]
+    source, state = f"file://{tmp_path}/events", f"file://{tmp_path}/state"
+    schema = "video_id long, ts long, event_id long, progress double, stage string"
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "video_id long")
+    told = lambda: {r.video_id: (r.progress, r.stage) for r in progress.replay(spark, state, asked).collect()}
+    for n, part in enumerate((rows[:3], rows[3:], [(3, 40, 5, 2.0, "scene_detect")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        progress.push(progress.events(spark, source, spark.read.parquet(source).schema), lambda b, n: b.write.format("noop").mode("overwrite").save(), state).awaitTermination()
+    assert told() == {1: (80.0, "vlm_caption"), 2: (1.0, "decoding"), 3: (2.0, "scene_detect")}
+
+
+@pytest.mark.parametrize("pieces", [1, 4, 9])
+def test_reports_of_any_micro_batches(spark, tmp_path, pieces):
+    said = [(v, i, (i + 1) * (0.3 + 0.2 * v), "x" if i % 3 else " ") for v in range(3) for i in range(18)]
+    schema = "video_id long, id long, t_end double, spoken string"
+    videos = spark.createDataFrame([(v, 6.0 + v) for v in range(3)], "video_id long, duration_sec double")
+    source, out = f"file://{tmp_path}/said", f"file://{tmp_path}/out"
+    for k in range(pieces):
+        spark.createDataFrame([r for r in said if r[1] * pieces // 18 == k], schema).coalesce(1).write.mode("append").parquet(source)
+    progress.report(progress.events(spark, source, spark.read.parquet(source).schema, 1), videos, out, f"{out}-c").awaitTermination()
+    whole = ingest.throttled(spark.createDataFrame(said, schema), videos)
+    got = spark.read.parquet(out)
+    assert sorted(map(tuple, got.select(*whole.columns).collect())) == sorted(map(tuple, whole.collect())) and got.count() > 3
+
+
+def test_one_failing_file_loses_itself_alone(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def build():
+        def infer(batch):
+            if len(batch) > 4:
+                sizes.add(1)
+            if (batch["file"] == "bad").any():
+                raise RuntimeError("silent video")
+            return batch
+
+        return infer
+
+    rows = spark.createDataFrame([(i, "bad" if i in (3, 7) else f"f{i // 4}") for i in range(20)], "id long, file string").coalesce(1)
+    for by in (None, "file"):
+        got = ingest.apply_model(rows, build, "id long, file string", failing="empty", by=by, size=4)
+        assert sorted(r.id for r in got.collect()) == [i for i in range(20) if i not in (3, 7)]
+    assert sizes.value == 0
+    with pytest.raises(Exception, match="silent video"):
+        ingest.apply_model(rows, build, "id long, file string").count()
+
+
+def test_scene_cuts(spark):
+    """Three shots, a flash that is too soon after a cut, a video that never changes."""
+    value = lambda t: 0.0 if t < 10 else 5.0 if t < 20 else -5.0
+    rows = [(1, t, float(t), [value(t), value(t) + 0.01 * (t % 2)]) for t in range(30)] + [(2, 100 + t, float(t), [1.0, 1.0]) for t in range(5)]
+    videos = spark.createDataFrame([(1, 31.0), (2, 6.0), (3, 4.0)], "video_id long, duration_sec double")
+    frames = spark.createDataFrame(rows, "video_id long, id long, ts double, vector array<double>")
+    cuts = lambda **more: sorted((r.video_id, r.scene_index, r.t_start, r.t_end) for r in ingest.detected_scenes(frames, videos, **more).collect())
+    assert cuts() == [(1, 0, 0.0, 10.0), (1, 1, 10.0, 20.0), (1, 2, 20.0, 31.0), (2, 0, 0.0, 6.0), (3, 0, 0.0, 4.0)]
+    assert cuts(least=15.0) == [(1, 0, 0.0, 20.0), (1, 1, 20.0, 31.0), (2, 0, 0.0, 6.0), (3, 0, 0.0, 4.0)]
+    assert cuts(floor=8.0)[:2] == [(1, 0, 0.0, 20.0), (1, 1, 20.0, 31.0)]
+
+
+def test_keys_found_in_one_pass(spark):
+    keys = ["ab", "b", "", "abc", "ab", "zz", "Ä"]
+    texts = ["xabcx", "", None, "b", "zÄz", "ZZ"]
+    got = automaton.find(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), F.col("t"), keys).orderBy("i").collect()
+    assert [r.found for r in got] == [[] if t is None else [k for k, key in enumerate(keys) if key in t] for t in texts]
+    assert [r.found for r in automaton.find(spark.createDataFrame([("a",)], "t string"), F.col("t"), []).collect()] == [[]]
+
+
+def test_best_frames_of_many_requests(spark):
+    """As by all products, in runs of few rows, with ties, null vectors and requests of one video."""
+    rng = random.Random(4)
+    rows = [(i % 3, i, [rng.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(90)] + [(1, 500, None), (2, 501, [1.0])]
+    frames = spark.createDataFrame(rows, "video_id long, id long, vector array<double>").withColumn("ts", F.lit(0.0)).repartition(5)
+    wanted = [scoring.Request(n, [rng.gauss(0, 1) for _ in range(3)], video_id=None if n % 4 else 1) for n in range(12)] + [scoring.Request(50, [1.0, 0.0])]
+    asked = scoring.requests(spark, wanted)
+    dot = lambda r, v: sum(a * b for a, b in zip(vectors.unit(r.vector), v, strict=True))
+    for by in ("video_id", None):
+        got = {(r.request_id, r[by] if by else None, r["rank"]): r.id for r in scoring.best_frames(frames, asked, 3, 4, by).collect()}
+        want = {}
+        for r in wanted[:-1]:
+            for v in [0, 1, 2] if by else [None]:
+                own = [x for x in rows if x[2] and len(x[2]) == 3 and (v is None or x[0] == v) and r.video_id in (None, x[0])]
+                for place, x in enumerate(sorted(own, key=lambda x: (-round(dot(r, x[2]), 12), x[1]))[:4]):
+                    want[r.request_id, v, place + 1] = x[1]
+        assert {k: round(dot(wanted[k[0]], rows[i][2]), 9) for k, i in got.items()} == {k: round(dot(wanted[k[0]], rows[i][2]), 9) for k, i in want.items()}
+    plan = scoring.best_frames(frames, scoring.requests(spark, wanted[1:4]), 3, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_coarse_index_recall(spark):

@@ -45,6 +45,36 @@ def fallback_scenes(videos: DataFrame, failed: bool = False) -> DataFrame:
     return videos.select("video_id", F.lit(0).cast("long").alias("scene_index"), F.lit(0.0).alias("t_start"), F.col("duration_sec").alias("t_end"))
 
 
+# Fixed values of the scene detection: ratio to the neighbourhood, seconds, frames on each side.
+CUT_RATIO, LEAST_SECONDS, AROUND = 3.0, 1.5, 2
+
+
+def detected_scenes(frames: DataFrame, videos: DataFrame, ratio: float = CUT_RATIO, least: float = LEAST_SECONDS, floor: float = 0.0) -> DataFrame:
+    """frames (video_id, id, ts, vector), videos (video_id, duration_sec) -> video_id, scene_index,
+    t_start, t_end. A frame is a cut if its difference from the one before is ``floor`` or more and
+    ``ratio`` times the mean difference of the AROUND frames on each side or more, all of
+    which must be there, and it comes ``least`` seconds or more after the last cut (or
+    the start). A video without cuts is one scene.
+
+    The last condition hangs on the cut before, so a video's candidates (few; a timeline
+    bounds them) fold in order."""
+    order = Window.partitionBy("video_id").orderBy("ts", "id")
+    rows = frames.select("video_id", "id", "ts", F.round(V.mean_abs_difference(F.lag("vector").over(order), F.col("vector")), 9).alias("gap"))
+    sides = [F.lag("gap", k).over(order) for k in range(1, AROUND + 1)] + [F.lead("gap", k).over(order) for k in range(1, AROUND + 1)]
+    around = sides[0]
+    for side in sides[1:]:
+        around = around + side
+    rows = rows.withColumn("around", F.round(around / len(sides), 9))  # null unless all are there
+    high = (F.col("gap") >= floor) & F.when(F.col("around") > 0, F.round(F.col("gap") / F.col("around"), 9) >= ratio).otherwise(F.col("gap") > 0)
+    lists = rows.where(high & F.col("around").isNotNull()).groupBy("video_id").agg(F.array_sort(F.collect_list("ts")).alias("all"))
+    step = lambda kept, t: F.when(t - F.element_at(kept, -1) >= least, F.concat(kept, F.array(t))).otherwise(kept)
+    cuts = F.aggregate(F.coalesce("all", F.array().cast("array<double>")), F.array(F.lit(0.0)), step)
+    scenes = videos.join(lists, "video_id", "left").select("video_id", "duration_sec", cuts.alias("cuts"))
+    scenes = scenes.select("video_id", "duration_sec", "cuts", F.posexplode("cuts").alias("at", "t_start"))
+    t_end = F.coalesce(F.get("cuts", F.col("at") + 1), F.col("duration_sec"))
+    return scenes.select("video_id", F.col("at").cast("long").alias("scene_index"), "t_start", t_end.alias("t_end"))
+
+
 def keyframes(frames: DataFrame, tau: float = KEYFRAME_TAU, group: str = "scene_index") -> DataFrame:
     """frames (video_id, group, id, ts, vector) -> those that differ by tau or more
     from the last one kept. The choice hangs on the choice before, so a scene's
@@ -117,7 +147,11 @@ def latest(progress: DataFrame) -> DataFrame:
 def status(progress: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (video_id) -> the newest state of each, as it is replayed to who connects; a
     video without events is at the start."""
-    newest = latest(progress)
+    return told(latest(progress), asked)
+
+
+def told(newest: DataFrame, asked: DataFrame) -> DataFrame:
+    """status from the newest states (video_id, event_id, progress, stage) themselves."""
     rows = asked.join(newest, "video_id", "left")
     return rows.select("video_id", F.coalesce("progress", F.lit(0.0)).alias("progress"), F.coalesce("stage", F.lit(STAGES[0])).alias("stage"), F.when(F.col("event_id").isNull(), F.lit("Initializing...")).otherwise(F.lit("")).alias("message"))
 
@@ -175,7 +209,11 @@ def throttled(segments: DataFrame, videos: DataFrame, every: float = REPORT_SECO
             kept.append(report)
         return own[kept][["video_id", "id", "t_end", "total", "segments"]]
 
-    found = rows.groupBy("video_id").applyInPandas(run, "video_id long, id long, t_end double, total double, segments long")
+    return reported(rows.groupBy("video_id").applyInPandas(run, "video_id long, id long, t_end double, total double, segments long"))
+
+
+def reported(found: DataFrame) -> DataFrame:
+    """found (video_id, id, t_end, total, segments) -> the figures of each report."""
     share = F.col("t_end") / F.col("total")
     return found.select(
         "video_id", "id", "segments", F.least(F.lit(100), (share * 100).cast("int")).cast("long").alias("sub_percent"), F.least(F.lit(58), 25 + (share * 33).cast("int")).cast("long").alias("progress"), F.round("t_end", 1).alias("current_sec"), F.round("total", 1).alias("total_sec")
@@ -208,20 +246,29 @@ def keyframe_sink(keyframes: DataFrame, folder: str) -> None:
     rows.foreachPartition(put)
 
 
-def apply_model(rows: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str | T.StructType, failing: str = "raise") -> DataFrame:
-    """A model at the edge: built once for each Python worker's task, fed Arrow batches.
-    failing="empty": a batch on which the model fails has no rows (a silent video)."""
+def apply_model(rows: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str | T.StructType, failing: str = "raise", by: str | None = None, size: int | None = None) -> DataFrame:
+    """A model at the edge: built once for each Python worker's task, fed Arrow batches, of at
+    most ``size`` rows if given.
+    failing="empty": what the model fails on has no rows (a silent video). A batch that
+    fails is tried again in parts, those of each value of ``by`` (a file, say), or without
+    ``by`` row by row, so that others in it lose nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         infer = model()
-        for batch in batches:
-            try:
-                found = infer(batch)
-            except Exception:
-                if failing != "empty":
-                    raise
-                continue
-            yield found
+        for whole in batches:
+            for at in range(0, len(whole), size or max(1, len(whole))):
+                batch = whole.iloc[at : at + (size or len(whole))].reset_index(drop=True)
+                try:
+                    yield infer(batch)
+                    continue
+                except Exception:
+                    if failing != "empty":
+                        raise
+                for _, part in batch.groupby(batch[by] if by else batch.index, sort=False, dropna=False):
+                    try:
+                        yield infer(part.reset_index(drop=True))
+                    except Exception:
+                        continue
 
     return rows.mapInPandas(run, schema)
 

@@ -149,8 +149,16 @@ def _hits(text: str, words) -> str:
     return f"CAST(len(list_filter({_list(words)}, lambda k: contains({text}, k))) AS BIGINT)"
 
 
+def _bm25(source: str, key: str, text: str, terms) -> str:
+    return f"""WITH d AS (SELECT {key} AS doc_id, regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM {source}),
+p AS (SELECT doc_id, len(t) AS n, k, len(list_filter(t, lambda x: x = k)) AS tf FROM d, (SELECT unnest({_list(terms)}) AS k)),
+c AS (SELECT count(*) / CAST({len(terms)} AS DOUBLE) AS docs, sum(n) / CAST(count(*) AS DOUBLE) AS mean FROM p),
+i AS (SELECT k, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf, mean FROM p, c WHERE tf > 0 GROUP BY k, docs, mean)
+SELECT doc_id, round(sum(idf * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * n / mean))), 6) AS score FROM p JOIN i USING (k) WHERE tf > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
+
+
 def statements() -> dict[str, str]:
-    from timelode.plans.registry import DIM, FILES, KEYWORDS, PHRASES, QUERIES, QUESTION, TAU
+    from timelode.plans.registry import DIM, FILES, KEYWORDS, PHRASES, QUERIES, QUESTION, SCENE_RATIO, TAU
     from timelode.operators.retrieval import tokens
 
     frame_hits, said_hits = _hits("lower(coalesce(caption, '')) || ' '", KEYWORDS), _hits("lower(coalesce(spoken, ''))", KEYWORDS)
@@ -315,10 +323,21 @@ UNION ALL SELECT video_id, sc, rn, id, CASE WHEN far THEN vector ELSE last END,
 SELECT video_id, id FROM k WHERE kept""",
         "progress_latest": f"WITH {PROGRESS} SELECT video_id, event_id, progress, stage, detail FROM pr QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY ts DESC, event_id DESC) = 1",
         "progress_monotone": f"WITH {PROGRESS} SELECT video_id, event_id, max(progress) OVER (PARTITION BY video_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM pr",
-        "bm25_topk": f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
-p AS (SELECT doc_id, len(t) AS n, k, len(list_filter(t, lambda x: x = k)) AS tf FROM d, (SELECT unnest({_list(KEYWORDS)}) AS k)),
-c AS (SELECT count(*) / CAST({len(KEYWORDS)} AS DOUBLE) AS docs, sum(n) / CAST(count(*) AS DOUBLE) AS mean FROM p),
-i AS (SELECT k, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf, mean FROM p, c WHERE tf > 0 GROUP BY k, docs, mean)
-SELECT doc_id, round(sum(idf * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * n / mean))), 6) AS score FROM p JOIN i USING (k) WHERE tf > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""",
+        "bm25_topk": _bm25("documents", "doc_id", "text", KEYWORDS),
+        "text_index_topk": f"SELECT 'caption' AS field, * FROM ({_bm25('documents', 'doc_id', 'text', KEYWORDS)}) UNION ALL SELECT 'spoken', * FROM (WITH {SAID} SELECT * FROM ({_bm25('said', 'id', 'spoken', KEYWORDS)}))",
+        "best_frames_topk": f"""WITH {FRAMES}, {UNIT}, r(request_id, only_video, factor) AS (VALUES (0, NULL, 1), (1, NULL, 1), (2, NULL, 0), (3, 4, 1)),
+c AS (SELECT CAST(request_id AS BIGINT) AS request_id, id, {COS} * factor AS s FROM frames, qv, r WHERE len(vector) = {DIM} AND (only_video IS NULL OR only_video = video_id))
+SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, id) AS rank, round(s, 4) AS score FROM c QUALIFY rank <= 10""",
+        "scene_cuts": f"""WITH RECURSIVE {VIDEOS}, g AS (
+  SELECT video_id, id, ts, round(list_sum(list_transform(list_zip(vector, lag(vector) OVER w), lambda p: abs(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) / len(vector), 9) AS gap,
+         row_number() OVER w AS rn FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY ts, id)),
+a AS (SELECT video_id, ts, CASE WHEN rn > 1 THEN gap END AS gap, round((lag(CASE WHEN rn > 1 THEN gap END, 1) OVER w + lag(CASE WHEN rn > 1 THEN gap END, 2) OVER w + lead(gap, 1) OVER w + lead(gap, 2) OVER w) / 4, 9) AS around
+  FROM g WINDOW w AS (PARTITION BY video_id ORDER BY rn)),
+hi AS (SELECT video_id, ts, row_number() OVER (PARTITION BY video_id ORDER BY ts) AS rn FROM a WHERE around IS NOT NULL AND CASE WHEN around > 0 THEN round(gap / around, 9) >= CAST({SCENE_RATIO} AS DOUBLE) ELSE gap > 0 END),
+k AS (SELECT video_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS last, true AS cut FROM vids
+  UNION ALL SELECT k.video_id, hi.rn, CASE WHEN hi.ts - k.last >= 1.5 THEN hi.ts ELSE k.last END, hi.ts - k.last >= 1.5 FROM k JOIN hi ON hi.video_id = k.video_id AND hi.rn = k.rn + 1)
+SELECT video_id, row_number() OVER w - 1 AS scene_index, last AS t_start, coalesce(lead(last) OVER w, duration_sec) AS t_end FROM k JOIN vids USING (video_id) WHERE cut WINDOW w AS (PARTITION BY video_id ORDER BY rn)""",
     }
+    # the same results by streams
+    out |= {"progress_replay": out["progress_status"], "streamed_captions": out["upsert_captions"], "throttled_stream": out["progress_throttled"]}
     return {k: v.replace("$$$$", "''") for k, v in out.items()}

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from timelode.functions import intervals
 from timelode.functions import text as X
 from timelode.functions import vectors as V
-from timelode.operators import evaluate, expand, index, ingest, moments, retrieval, scoring, signal
+from timelode.operators import evaluate, expand, index, ingest, ivfpq, moments, retrieval, scoring, signal, text_index
 from timelode.plans import oracle, search
+from timelode.sources import storage
 from timelode.sources import tables as T
+from timelode.streaming import progress
 
 KEYWORDS = ("the", "of", "and", "in")
 QUESTION = "What is the thing and that"
@@ -22,6 +24,7 @@ PHRASES = (*X.STORED_REFUSALS, "idiot", "worthless")
 FILES = ("a.mp4", "B.MKV", "c.mov", "d.webm", "e.avi", "f.txt", "g.mp4.exe", "noending", ".mp4", "dir.mp4/plain", "h.Mp4")
 QUERIES = ("คนใส่เสื้อสีเขียว", "a man in a red shirt", "รถยนต์ turning", "\t spaced  words \n", "", "\t\n ")
 TAU = 0.14
+SCENE_RATIO = 1.2
 FPS = 25.0
 #: Stand-ins for the stages of ingestion in the events, and what makes their values percents.
 STAGE_OF = {"signup": "decoding", "view": "scene_detect", "click": "asr_whisper", "purchase": "minicpmv_caption", "error": "lancedb_commit"}
@@ -417,6 +420,85 @@ def bm25_topk(spark, sf_dir):
     return index.bm25(T.read(spark, sf_dir, "documents"), KEYWORDS, 20)
 
 
+def ivfpq_topk(spark, sf_dir):
+    """The quantised index over all frames; every hundredth frame asks. Approximate: tests hold
+    its recall against all products."""
+    frames, path = T.frames(spark, sf_dir).select("id", "vector"), storage.shared_path(spark, "ivfpq")
+    ivfpq.build(frames, ivfpq.fit(frames, DIM), DIM, path)
+    asked = frames.where("id % 100 = 0").select(F.col("id").alias("request_id"), F.col("vector").alias("q"))
+    return ivfpq.search(path, asked, DIM, 10).select("request_id", "id", "rank", F.round("score", 4).alias("score"))
+
+
+def best_frames_topk(spark, sf_dir):
+    """Several requests against the frames of all videos, or of their own."""
+    best = scoring.best_frames(T.frames(spark, sf_dir), scoring.requests(spark, _various(spark, sf_dir)), DIM, 10, by=None)
+    return best.select("request_id", "id", "rank", F.round("score", 4).alias("score"))
+
+
+def text_index_topk(spark, sf_dir):
+    """Both text columns from a stored index, which is filled in two steps, the second with
+    the captions again, and merged."""
+    path = storage.shared_path(spark, "text-index")
+    docs = T.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("caption"))
+    said = T.transcripts(spark, sf_dir).select(F.col("id").alias("doc_id"), "spoken")
+    text_index.add(docs.withColumn("caption", F.lit("to be replaced")), ["caption"], f"{path}/captions")
+    text_index.add(docs, ["caption"], f"{path}/captions")
+    text_index.add(said, ["spoken"], f"{path}/spoken")
+    text_index.merge(spark, f"{path}/captions")
+    found = [text_index.search(spark, f"{path}/{p}", f, KEYWORDS, 20).select(F.lit(f).alias("field"), "doc_id", "score") for p, f in (("captions", "caption"), ("spoken", "spoken"))]
+    return found[0].unionByName(found[1])
+
+
+def scene_cuts(spark, sf_dir):
+    """Stored vectors are less alike than neighbouring frames of a film: a lower ratio."""
+    return ingest.detected_scenes(T.frames(spark, sf_dir), T.videos(spark, sf_dir), ratio=SCENE_RATIO)
+
+
+def _landed(rows: DataFrame, label: str) -> str:
+    """rows as files for a stream to pick up; their folder."""
+    path = storage.shared_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return path
+
+
+def progress_replay(spark, sf_dir):
+    """progress_status from the state that a stream keeps."""
+    staged = _staged(spark, sf_dir)
+    state = storage.shared_path(spark, "progress-state")
+    stream = progress.events(spark, _landed(staged.repartition(6), "progress"), staged.schema, 2)
+    progress.push(stream, lambda batch, n: batch.write.format("noop").mode("overwrite").save(), state).awaitTermination()
+    asked = T.progress(spark, sf_dir).select("video_id").distinct().unionByName(spark.createDataFrame([(v,) for v in ABSENT], "video_id long"))
+    done = progress.replay(spark, state, asked)
+    return done.select("video_id", F.round("progress", 6).alias("progress"), "stage", "message")
+
+
+def streamed_captions(spark, sf_dir):
+    """upsert_captions by two streams; captions come before their frames, after them, or
+    for frames that never come."""
+    frames = T.frames(spark, sf_dir).select("video_id", "id", "caption")
+    said = F.concat(F.lit("caption of "), F.col("doc_id").cast("string"))
+    captions = T.read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), said.alias("caption"), F.col("doc_id").alias("at"))
+    path = storage.shared_path(spark, "captioned")
+    ingest.append(frames, path)
+    one = progress.events(spark, _landed(frames.repartitionByRange(4, "id"), "frames"), frames.schema, 1)
+    two = progress.events(spark, _landed(captions.repartitionByRange(4, F.desc("id")), "captions"), captions.schema, 1)
+    progress.enrich(one, two, path, storage.shared_path(spark, "enrich")).awaitTermination()
+    return spark.read.schema(frames.schema).parquet(path).select("video_id", "id", F.length("caption").cast("long").alias("n_chars"), F.md5("caption").alias("caption_md5"))
+
+
+def throttled_stream(spark, sf_dir):
+    """progress_throttled by a stream that gets its segments in time, in three pieces."""
+    said = T.transcripts(spark, sf_dir).select("video_id", "id", (F.col("t_end") / 3).alias("t_end"), "spoken")
+    videos = T.videos(spark, sf_dir).withColumn("duration_sec", F.col("duration_sec") / 3)
+    end, landed = said.agg(F.max("t_end")).first()[0] or 0.0, storage.shared_path(spark, "segments")
+    third = F.least(F.lit(2), F.floor(F.col("t_end") * 3 / max(end, 1e-9)).cast("int"))
+    for piece in range(3):  # a stream takes files in the order of their times
+        said.where(third == piece).repartition("video_id").write.mode("append").parquet(landed)
+    out = storage.shared_path(spark, "reports")
+    progress.report(progress.events(spark, landed, said.schema, 3), videos, out, f"{out}-state").awaitTermination()
+    return spark.read.parquet(out)
+
+
 NAMES = """scan_videos list_videos filter_frames_limit valid_vectors table_counts upsert_captions cascade_delete
 filter_allowed_ext video_frames_join cosine_scores topk_frames keyword_match_count caption_boost audio_boost
 fused_scores expand_concepts expand_query rrf_fuse signal_bins gaussian_multiscale gaussian_single
@@ -425,7 +507,10 @@ search_moments nearest_frame sanitize_captions rag_transcripts rag_answer subtit
 temporal_iou eval_recall eval_miou sample_timestamps scene_groups scene_fallback subsample_frames
 keyframe_filter progress_latest progress_monotone bm25_topk search_requests search_response
 progress_status stage_completion ingest_phase progress_throttled speech_segments scene_captions decoded_frames
-index_topk log_tail srt_blocks frame_lookup""".split()
+index_topk log_tail srt_blocks frame_lookup ivfpq_topk best_frames_topk text_index_topk scene_cuts
+progress_replay streamed_captions throttled_stream""".split()
+#: An approximate result has no twin; tests measure it.
+WITHOUT_TWIN = ("ivfpq_topk",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
