@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timelode.functions import intervals, text, vectors
-from timelode.operators import automaton, evaluate, expand, index, ingest, moments, retrieval, scoring, signal
+from timelode.operators import automaton, evaluate, expand, index, ingest, moments, retrieval, scoring, signal, timelines
 from timelode.plans import search
 from timelode.sources import tables
 from timelode.streaming import progress
@@ -445,6 +445,24 @@ def test_scene_cuts(spark):
     assert cuts(floor=8.0)[:2] == [(1, 0, 0.0, 20.0), (1, 1, 20.0, 31.0)]
 
 
+@pytest.mark.parametrize("chunk", [7, 64, 1024])
+def test_timelines_in_chunks(spark, chunk):
+    """Smoothed bins, islands, peaks and valleys as on whole groups: islands across chunks, flat
+    and empty stretches, a timeline of one bin."""
+    rng = random.Random(6)
+    rows = [(1, rng.uniform(0, 700), rng.random()) for _ in range(60)] + [(1, 300 + i / 2, 0.9) for i in range(90)] + [(2, 3.0, 0.5), (3, 0.0, 1.0), (4, 50.0, 0.0), (5, 0.0, 0.7), (5, 99.9, 0.7)]
+    timeline = spark.createDataFrame([(v, t, s, {1: 700.0, 3: 0.2}.get(v, 100.0)) for v, t, s in rows], "video_id long, t double, score double, duration_sec double")
+    binned = signal.bins(timeline, KEYS)
+    whole = signal.normalise(signal.smooth(binned, KEYS, signal.multiscale()), KEYS)
+    cut = timelines.normalise(timelines.smooth(binned, KEYS, signal.multiscale(), chunk), KEYS)
+    plain = lambda df: sorted((r.video_id, r.n, r.idx, round(r.value, 8)) for r in df.collect())
+    assert plain(cut) == plain(whole)
+    one = moments.valleys(moments.with_threshold(whole, KEYS, 0.1), KEYS)
+    two = timelines.valleys(timelines.with_threshold(cut, KEYS, 0.1), KEYS, chunk)
+    figures = lambda df: sorted((r.video_id, r.n, r.cluster, r.peak, round(r.score, 8), r.left, r.right) for r in df.collect())
+    assert figures(two) == figures(one) and two.count() > 10
+
+
 def test_keys_found_in_one_pass(spark):
     keys = ["ab", "b", "", "abc", "ab", "zz", "Ä"]
     texts = ["xabcx", "", None, "b", "zÄz", "ZZ"]

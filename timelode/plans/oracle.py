@@ -338,6 +338,7 @@ k AS (SELECT video_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS last, true
   UNION ALL SELECT k.video_id, hi.rn, CASE WHEN hi.ts - k.last >= 1.5 THEN hi.ts ELSE k.last END, hi.ts - k.last >= 1.5 FROM k JOIN hi ON hi.video_id = k.video_id AND hi.rn = k.rn + 1)
 SELECT video_id, row_number() OVER w - 1 AS scene_index, last AS t_start, coalesce(lead(last) OVER w, duration_sec) AS t_end FROM k JOIN vids USING (video_id) WHERE cut WINDOW w AS (PARTITION BY video_id ORDER BY rn)""",
     }
-    # the same results by streams
+    # the same results by streams, and in chunks
+    out |= {"gaussian_chunks": out["gaussian_multiscale"], "valley_chunks": out["valley_bounds"]}
     out |= {"progress_replay": out["progress_status"], "streamed_captions": out["upsert_captions"], "throttled_stream": out["progress_throttled"]}
     return {k: v.replace("$$$$", "''") for k, v in out.items()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from timelode.functions import intervals
 from timelode.functions import text as X
 from timelode.functions import vectors as V
-from timelode.operators import evaluate, expand, index, ingest, ivfpq, moments, retrieval, scoring, signal, text_index
+from timelode.operators import evaluate, expand, index, ingest, ivfpq, moments, retrieval, scoring, signal, text_index, timelines
 from timelode.plans import oracle, search
 from timelode.sources import storage
 from timelode.sources import tables as T
@@ -25,6 +25,7 @@ FILES = ("a.mp4", "B.MKV", "c.mov", "d.webm", "e.avi", "f.txt", "g.mp4.exe", "no
 QUERIES = ("คนใส่เสื้อสีเขียว", "a man in a red shirt", "รถยนต์ turning", "\t spaced  words \n", "", "\t\n ")
 TAU = 0.14
 SCENE_RATIO = 1.2
+LONG = 256
 FPS = 25.0
 #: Stand-ins for the stages of ingestion in the events, and what makes their values percents.
 STAGE_OF = {"signup": "decoding", "view": "scene_detect", "click": "asr_whisper", "purchase": "minicpmv_caption", "error": "lancedb_commit"}
@@ -242,6 +243,19 @@ def valley_bounds(spark, sf_dir):
     return _bounded(spark, sf_dir).drop("duration_sec")
 
 
+def gaussian_chunks(spark, sf_dir):
+    """gaussian_multiscale with every timeline cut into chunks."""
+    done = timelines.smooth(signal.bins(T.timeline(spark, sf_dir), KEYS), KEYS, signal.multiscale(), LONG)
+    return done.select("video_id", "idx", F.round("smoothed", 6).alias("smoothed"))
+
+
+def valley_chunks(spark, sf_dir):
+    """valley_bounds with every timeline cut into chunks."""
+    smoothed = timelines.smooth(signal.bins(T.timeline(spark, sf_dir), TIMED), TIMED, signal.multiscale(), LONG)
+    rows = timelines.with_threshold(timelines.normalise(smoothed, TIMED), TIMED)
+    return moments.bounded(timelines.valleys(rows, TIMED, LONG), TIMED).drop("duration_sec")
+
+
 def greedy_nms(spark, sf_dir):
     return search.moments(T.timeline(spark, sf_dir), KEYS)
 
@@ -508,7 +522,7 @@ temporal_iou eval_recall eval_miou sample_timestamps scene_groups scene_fallback
 keyframe_filter progress_latest progress_monotone bm25_topk search_requests search_response
 progress_status stage_completion ingest_phase progress_throttled speech_segments scene_captions decoded_frames
 index_topk log_tail srt_blocks frame_lookup ivfpq_topk best_frames_topk text_index_topk scene_cuts
-progress_replay streamed_captions throttled_stream""".split()
+progress_replay streamed_captions throttled_stream gaussian_chunks valley_chunks""".split()
 #: An approximate result has no twin; tests measure it.
 WITHOUT_TWIN = ("ivfpq_topk",)
 
