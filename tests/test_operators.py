@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timelode.functions import intervals, text, vectors
 from timelode.operators import automaton, evaluate, expand, index, ingest, moments, retrieval, scoring, signal, timelines
 from timelode.plans import search
-from timelode.sources import tables
+from timelode.sources import image_files, tables
 from timelode.streaming import progress
 
 KEYS = ["video_id"]
@@ -323,6 +323,30 @@ def test_keyframe_files(spark, tmp_path):
     assert found == {"frames/1/f_0.00s.jpg": b"a", "frames/1/f_2.50s.jpg": b"bc", "frames/2/f_10.13s.jpg": b"d"}
 
 
+def test_a_failed_write_leaves_no_files(spark, tmp_path):
+    """A task that fails takes all files of the job with it; names above the folder are refused; files of
+    several partitions come back as they were."""
+    spark.dataSource.register(image_files.ImageFiles)
+    folder = f"file://{tmp_path}/frames"
+    rows = spark.createDataFrame([(f"{i % 3}/f_{i}.jpg", bytes([i])) for i in range(20)], "name string, content binary").repartition(4)
+    save = lambda df: df.write.format("image_files").mode("append").save(folder)
+    left = lambda: sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file())
+    for bad in (F.when(F.col("name") != "1/f_7.jpg", F.col("content")), F.col("content")):
+        with pytest.raises(Exception):  # noqa: B017
+            save(rows.withColumn("content", bad) if bad is not None and "CASE" in str(bad) else rows.withColumn("name", F.concat(F.lit("../"), "name")))
+        assert left() == []
+    save(rows)
+    assert len(left()) == 20 and not any("_staged" in p for p in left())
+    assert sorted(map(tuple, spark.read.format("image_files").load(folder).collect())) == sorted((r.name, r.content) for r in rows.collect())
+    assert spark.read.format("image_files").load(f"{folder}/none").count() == 0
+
+
+def test_numbers_as_text(spark):
+    values = [0.5, 12.25, 1e7, 12345678.5, -1.5e7, 123456789012.125, 1e15, 0.0005, 0.00012, 98765432.1, 3.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", scoring.written(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in got} == {v: repr(v) for v in values}
+
+
 def test_requests_are_stripped_of_any_white_space(spark):
     typed = spark.createDataFrame([(1, "\t car \n"), (2, "\n\t "), (3, "\u00a0\u3000"), (4, "")], "request_id long, query string")
     assert [r.request_id for r in expand.accepted(typed).collect()] == [1]

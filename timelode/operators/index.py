@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from timelode.functions import vectors as V
 from timelode.functions.text import TOKEN, literals
 from timelode.operators.scoring import Asked
+from timelode.sources.storage import stored
 
 LEAST_VECTORS, MOST_CELLS, SAMPLE_ROWS = 128, 64, 20_000
 
@@ -29,7 +30,7 @@ def postings(docs: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
 def bm25(docs: DataFrame, terms: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best documents for the terms. Each document has a row for each term, so
     one grouping by term, of as many rows, holds all corpus figures."""
-    found = postings(docs, terms)
+    found = stored(postings(docs, terms), "bm25-postings")  # read for the figures and for the scores
     stats = found.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))
     weights = stats.select("term", "mean", F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     scored = found.where("tf > 0").join(F.broadcast(weights), "term")

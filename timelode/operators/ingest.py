@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,27 +229,19 @@ def decoded(samples: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def keyframe_sink(keyframes: DataFrame, folder: str) -> None:
-    """keyframes (video_id, ts, image: encoded bytes) as files <folder>/<video_id>/f_<ts>s.jpg,
-    written by the tasks to a file system that all of them reach. Redoing a task
-    writes the same files."""
-    rows = keyframes.select(F.concat_ws("/", F.col("video_id").cast("string"), keyframe_name(F.col("ts"))).alias("name"), "image")
+    """keyframes (video_id, ts, image: encoded bytes) as files <folder>/<video_id>/f_<ts>s.jpg on
+    a file system that all machines reach. All of them appear, or, where the job fails, none;
+    redoing it writes the same files."""
+    from timelode.sources.image_files import ImageFiles
 
-    def put(part: Iterator) -> None:
-        from pyarrow import fs
+    keyframes.sparkSession.dataSource.register(ImageFiles)
+    name = F.concat_ws("/", F.col("video_id").cast("string"), keyframe_name(F.col("ts")))
+    keyframes.select(name.alias("name"), F.col("image").alias("content")).write.format("image_files").mode("append").save(folder)
 
-        system, root = fs.FileSystem.from_uri(folder)
-        for row in part:
-            path = f"{root}/{row['name']}"
-            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            with system.open_output_stream(path) as out:
-                out.write(bytes(row["image"]))
 
-    rows.foreachPartition(put)
-
-
-def apply_model(rows: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str | T.StructType, failing: str = "raise", by: str | None = None, size: int | None = None) -> DataFrame:
+def apply_model(rows: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str | T.StructType, failing: str = "raise", by: str | None = None, size: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
     """A model at the edge: built once for each Python worker's task, fed Arrow batches, of at
-    most ``size`` rows if given.
+    most ``size`` rows if given. profile: what a task of this stage needs (an accelerator, say).
     failing="empty": what the model fails on has no rows (a silent video). A batch that
     fails is tried again in parts, those of each value of ``by`` (a file, say), or without
     ``by`` row by row, so that others in it lose nothing."""
@@ -270,7 +263,7 @@ def apply_model(rows: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd
                     except Exception:
                         continue
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema, profile=profile)
 
 
 def log_tail(lines: DataFrame, most: int = 40, like: str = "") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from timelode.functions import text as X
 from timelode.functions import vectors as V
 from timelode.operators import products
+from timelode.sources.storage import stored
 
 BLOCK_VALUES = 1_000_000
 # Weights of the modalities, and what an empty score map holds.
@@ -178,40 +179,37 @@ def fused(frames: DataFrame, transcripts: DataFrame, videos: DataFrame, asked: A
     )
 
 
+def written(number: Column) -> Column:
+    """A double as text with a point and no exponent from 0.0001 up to 1e16, as in 10000000.0."""
+    text = F.abs(number).cast("string")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(text, r"E.*$", ""), r"\.", "")
+    digits = F.regexp_replace(digits, "(?<=.)0$", "")  # 1.0E7 has one digit
+    large = F.concat(F.rpad(digits, power + 1, "0"), F.lit("."))
+    rest = F.when(F.length(digits) > power + 1, digits.substr(power + 2, F.length(digits))).otherwise(F.lit("0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    plain = F.when(power.isNull(), text).when((power > 0) & (power < 16), F.concat(large, rest)).when((power < 0) & (power >= -4), small).otherwise(text)
+    return F.concat(F.when(number < 0, F.lit("-")).otherwise(F.lit("")), plain)
+
+
 def item_key(id_: Column, timestamp: Column, rank: Column) -> Column:
     """What names an item of a ranked list: its id, without one (or an empty one) its
     time, without one (or at 0) its place."""
-    return F.when(id_.isNotNull() & (id_.cast("string") != ""), id_.cast("string")).when(timestamp.isNotNull() & (timestamp != 0), timestamp.cast("string")).otherwise(rank.cast("string"))
-
-
-CUT_SAMPLE = 50
+    return F.when(id_.isNotNull() & (id_.cast("string") != ""), id_.cast("string")).when(timestamp.isNotNull() & (timestamp != 0), written(timestamp.cast("double"))).otherwise(rank.cast("string"))
 
 
 def ranked(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """rows (modality, item, s, ...) with their rank from 1 in their list, best s first,
-    then the smaller item. Lists are cut into ranges at places that a bounded sample
-    suggests; a rank is the place within the range plus the sizes of those before, so
-    no task holds a whole list."""
-    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = rows.select("modality", "item", "s").orderBy(F.xxhash64("modality", "item"), "modality", "item", "s").limit(parts * CUT_SAMPLE).collect()
-    found: dict[str, list[tuple]] = {}
-    for r in sample:
-        found.setdefault(r["modality"], []).append((-r["s"], r["item"]))
-    cuts = []
-    for name, places in sorted(found.items()):
-        places.sort()
-        step = max(1, len(places) // parts)
-        cuts += [(name, float(a), b) for a, b in places[step::step]]
-    kind = rows.schema["item"].dataType.simpleString()
-    literal = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(a).alias("a"), F.lit(b).cast(kind).alias("b")) for m, a, b in cuts]).cast(f"array<struct<m:string,a:double,b:{kind}>>")
-    before = lambda c: (c["m"] == F.col("modality")) & ((c["a"] < -F.col("s")) | ((c["a"] == -F.col("s")) & (c["b"] <= F.col("item"))))
-    rows = rows.withColumn("range_", F.size(F.filter(literal, before)))
-    sizes = rows.groupBy("modality", "range_").agg(F.count(F.lit(1)).alias("n"))
+    then the smaller item. All lists are dealt by ranges of (modality, s, item); a rank is the place
+    within the range plus the sizes of those before, so no task holds a whole list."""
+    dealt = rows.repartitionByRange(*([parts] if parts else []), "modality", F.desc("s"), "item").withColumn("range_", F.spark_partition_id())
+    dealt = stored(dealt, "ranked")
+    sizes = dealt.groupBy("modality", "range_").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("modality").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("modality", "range_", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead_"))
     order = Window.partitionBy("modality", "range_").orderBy(F.col("s").desc(), "item")
-    rows = rows.withColumn("rank", F.row_number().over(order)).join(sizes, ["modality", "range_"])
-    return rows.withColumn("rank", (F.col("rank") + F.col("ahead_")).cast("long")).drop("range_", "ahead_")
+    done = dealt.withColumn("rank", F.row_number().over(order)).join(sizes, ["modality", "range_"])
+    return done.withColumn("rank", (F.col("rank") + F.col("ahead_")).cast("long")).drop("range_", "ahead_")
 
 
 def reciprocal_ranks(ranked: DataFrame, weights: dict[str, float], k: int = 60, default: float | None = None, lists: Sequence[str] | None = None, payload: str | None = None) -> DataFrame:

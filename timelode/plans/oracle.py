@@ -248,6 +248,8 @@ SELECT 'frames' AS "table", video_id, id FROM frames WHERE video_id NOT IN (SELE
 UNION ALL SELECT 'transcripts', video_id, id FROM said WHERE video_id NOT IN (SELECT video_id FROM gone)""",
         "filter_allowed_ext": f"""WITH f AS (SELECT page_id, url || '/' || ({_list(FILES)})[page_id % {len(FILES)} + 1] AS filename FROM pages)
 SELECT page_id, filename, lower(regexp_extract(filename, '[^/](\\.[^./]*)$', 1)) IN ('.mp4', '.mkv', '.mov', '.webm', '.avi') AS allowed FROM f""",
+        "file_round_trip": f"""WITH f AS (SELECT (page_id % 7) || '/' || page_id || '-' || replace(({_list(FILES)})[page_id % {len(FILES)} + 1], '/', '-') AS name, coalesce(html, '') AS html FROM pages)
+SELECT name, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, md5(html) AS content_md5 FROM f WHERE lower(regexp_extract(name, '[^/](\\.[^./]*)$', 1)) IN ('.mp4', '.mkv', '.mov', '.webm', '.avi')""",
         "video_frames_join": f"WITH {VIDEOS} SELECT video_id, count(*) AS n_frames, duration_sec FROM vids JOIN frames USING (video_id) GROUP BY ALL",
         "cosine_scores": f"WITH {FRAMES}, {UNIT} SELECT video_id, id, round({COS}, 4) AS score FROM frames, qv WHERE len(vector) = {DIM}",
         "topk_frames": f"""WITH {FRAMES}, {UNIT}, c AS (SELECT video_id, id, {COS} AS s FROM frames, qv WHERE len(vector) = {DIM})

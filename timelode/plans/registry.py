@@ -15,6 +15,7 @@ from timelode.operators import evaluate, expand, index, ingest, ivfpq, moments,
 from timelode.plans import oracle, search
 from timelode.sources import storage
 from timelode.sources import tables as T
+from timelode.sources.image_files import ImageFiles
 from timelode.streaming import progress
 
 KEYWORDS = ("the", "of", "and", "in")
@@ -513,6 +514,18 @@ def throttled_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def file_round_trip(spark, sf_dir):
+    """Pages as files, written all or none, and read again by the data source."""
+    spark.dataSource.register(ImageFiles)
+    folder = storage.shared_path(spark, "pages")
+    ending = F.element_at(X.literals(FILES), (F.col("page_id") % len(FILES) + 1).cast("int"))
+    name = F.concat((F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit("-"), F.regexp_replace(ending, "/", "-"))
+    pages = T.read(spark, sf_dir, "pages").select(name.alias("name"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
+    pages.write.format("image_files").mode("append").save(folder)
+    found = spark.read.format("image_files").load(folder).where(X.allowed_file(F.col("name")))
+    return found.select("name", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("content_md5"))
+
+
 NAMES = """scan_videos list_videos filter_frames_limit valid_vectors table_counts upsert_captions cascade_delete
 filter_allowed_ext video_frames_join cosine_scores topk_frames keyword_match_count caption_boost audio_boost
 fused_scores expand_concepts expand_query rrf_fuse signal_bins gaussian_multiscale gaussian_single
@@ -522,7 +535,8 @@ temporal_iou eval_recall eval_miou sample_timestamps scene_groups scene_fallback
 keyframe_filter progress_latest progress_monotone bm25_topk search_requests search_response
 progress_status stage_completion ingest_phase progress_throttled speech_segments scene_captions decoded_frames
 index_topk log_tail srt_blocks frame_lookup ivfpq_topk best_frames_topk text_index_topk scene_cuts
-progress_replay streamed_captions throttled_stream gaussian_chunks valley_chunks""".split()
+progress_replay streamed_captions throttled_stream gaussian_chunks valley_chunks
+file_round_trip""".split()
 #: An approximate result has no twin; tests measure it.
 WITHOUT_TWIN = ("ivfpq_topk",)
 
