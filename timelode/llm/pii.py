@@ -83,7 +83,7 @@ _FOR = {
     "phone": re.compile(r"tel|phone|call|fax|mobil|whatsapp|anruf|appel|llam", re.I),
     "iban": re.compile(r"iban|account|bank|konto|compte|cuenta", re.I),
     "id_number": re.compile(r"ssn|social|security|\bid\b|insurance", re.I),
-    "name": re.compile(r"\b(?:dear|name|by|signed|regards|contact|mrs?|ms|dr|prof|patient|customer)\b[\W_]*$", re.I),
+    "name": re.compile(r"\b(?:dear|named?|name\s+(?:is|ist|was)|called|appelle|llamo|hei(?:ß|ss)e|by|signed|regards|sincerely|contact|mrs?|ms|dr|prof|patient|customer|tenant|employee)\b[\W_]*$", re.I),
 }
 _FOR["local_phone"] = _FOR["phone"]
 _AGAINST = re.compile(r"version|release|isbn|issn|serial|order|invoice|article|model|build|\bref|sku|part\b|figure|table|chapter", re.I)
