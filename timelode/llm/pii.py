@@ -9,8 +9,8 @@ kind, or abstain. The distinct (kind, votes, features) patterns are counted over
 all documents; their number is fixed by the labelers, not by the data, so they
 may be gathered. Expectation-maximisation on the counts estimates how reliable
 each labeler is for each kind and the odds of every pattern; these soft labels
-train a logistic span classifier. Candidates of further kinds that it accepts
-become spans. Base spans always stay.
+train a logistic span classifier. Candidates of further kinds that it accepts, and that one
+labeler at least votes for, become spans. Base spans always stay.
 
 Defined results: a null or empty text has no spans; of candidates of further kinds
 that overlap the kind listed first stays; odds of exactly ``accept`` are accepted; rows
@@ -303,6 +303,11 @@ def train(patterns: pd.DataFrame, rounds: int = 30, ridge: float = 1.0) -> np.nd
     return w
 
 
+def voted_for(pattern: str) -> bool:
+    """Whether any labeler votes for it; where all abstain, only the kind's prior speaks."""
+    return "1" in pattern.split(",")[:3]
+
+
 def accepted(found: DataFrame, accept: float = 0.5) -> set[tuple[int, str]]:
     """(kind, pattern) of further kinds that the trained classifier takes for true."""
     flat = found.select(F.explode("spans").alias("s")).select("s.kind", "s.pattern")
@@ -311,7 +316,7 @@ def accepted(found: DataFrame, accept: float = 0.5) -> set[tuple[int, str]]:
     if weights is None:
         return set()
     odds = {(k, p): 1 / (1 + np.exp(-np.clip(_vector(k, p) @ weights, -30, 30))) for k, p in zip(patterns["kind"], patterns["pattern"], strict=True)}
-    return {kp for kp, v in odds.items() if kp[0] >= len(BASE_KINDS) and v >= accept}
+    return {kp for kp, v in odds.items() if kp[0] >= len(BASE_KINDS) and v >= accept and voted_for(kp[1])}
 
 
 def scan(docs: DataFrame, accept: float = 0.5) -> DataFrame:
