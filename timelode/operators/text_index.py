@@ -115,10 +115,11 @@ def _share(tf: Column, n: Column, mean: Column, idf: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
 
 
-def search(spark: SparkSession, path: str, field: str, terms: Sequence[str], k: int, first: int = FIRST) -> DataFrame:
+def search(spark: SparkSession, path: str, field: str, terms: Sequence[str], k: int, first: int = FIRST, report: dict[str, int] | None = None) -> DataFrame:
     """doc_id, score of the k best documents for the terms in one field, smaller ids
     first among equals. first: blocks, in units of those that could hold k documents, that
-    are scored before others are left out."""
+    are scored before others are left out. report: gets the numbers of blocks with one of
+    the terms, and of those opened."""
     segments, wanted = live_segments(spark, path), sorted(set(terms))
     empty = spark.createDataFrame([], "doc_id long, score double")
     if not segments or not wanted:
@@ -166,7 +167,10 @@ def search(spark: SparkSession, path: str, field: str, terms: Sequence[str], k:
     worst = top.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).first()
     # a score is rounded, so a bound just under it may still hold an equal one
     reach = worst["score"] - 1e-6 if worst["n"] == k else float("-inf")
-    return scored(bounds.where(F.col("bound") >= reach)).orderBy(*best).limit(k)
+    opened_ = bounds.where(F.col("bound") >= reach)
+    if report is not None:
+        report.update(blocks=bounds.count(), opened=opened_.count())
+    return scored(opened_).orderBy(*best).limit(k)
 
 
 def index_path(spark: SparkSession) -> str:
