@@ -22,22 +22,25 @@ def chunks(texts: Sequence[str], limit: int = 1_000_000) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def with_found(rows: DataFrame, text: str, found: T.StructType, work: Callable[[list[str]], Mapping[str, Sequence]]) -> DataFrame:
-    """rows without the column ``text``, with the columns ``found`` that ``work``
-    makes of a batch of texts (null: empty). The other columns stay in Arrow, so
-    values of every type, nulls and large ids come out as they went in."""
-    keep = [f for f in rows.schema.fields if f.name != text]
+def with_found(rows: DataFrame, text: str, found: T.StructType, work: Callable[[list[str]], Mapping[str, Sequence]], keep_text: bool = False) -> DataFrame:
+    """rows without the column ``text`` (or with it, where it is wanted on), with the columns
+    ``found`` that ``work`` makes of a batch of texts (null: empty). The other columns stay in Arrow, so
+    values of every type, nulls and large ids come out as they went in. A worker outlives its
+    task, so memory that it has no more use for is given back at the end."""
+    keep = [f for f in rows.schema.fields if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
             made = work([t or "" for t in batch.column(at).to_pylist()])
-            arrays = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            names = [batch.schema.field(i).name for i in range(batch.num_columns) if i != at]
+            arrays = [batch.column(i) for i in range(batch.num_columns) if keep_text or i != at]
+            names = [batch.schema.field(i).name for i in range(batch.num_columns) if keep_text or i != at]
             for field in found.fields:
                 arrays.append(pa.array(made[field.name], _arrow(field.dataType)))
                 names.append(field.name)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+            del batch, made, arrays
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, T.StructType(keep + list(found.fields)))
 

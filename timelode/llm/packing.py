@@ -118,6 +118,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
             arrays = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))]
             arrays += [pa.array(own, pa.list_(pa.int32()))] * with_ids
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            del batch, arrays
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 

@@ -284,7 +284,7 @@ def annotate(docs: DataFrame, field: Field, keep: list[str] | None = None) -> Da
 
 def kept_rows(docs: DataFrame, field: Field) -> DataFrame:
     """The rows of docs that stay, as they are."""
-    text, kept = own_name(docs, "text_"), own_name(docs, "kept_")
+    kept = own_name(docs, "kept_")
     found = T.StructType([T.StructField(kept, T.BooleanType())])
-    judged = with_found(docs.withColumn(text, F.col("text")), text, found, lambda texts: {kept: judge(texts, field)["kept"]})
-    return judged.where(kept).drop(kept)
+    name = next(c for c in docs.columns if c.lower() == "text")
+    return with_found(docs, name, found, lambda texts: {kept: judge(texts, field)["kept"]}, keep_text=True).where(kept).drop(kept)
