@@ -99,3 +99,22 @@ def test_no_turns_and_no_rows(spark):
     got = prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turn_units(spark.createDataFrame([(only, 0, "user", "x", "", 0)], SCHEMA)))).collect()
     assert [tuple(r[n] for n in NAMES) for r in got] == [(only, 0, None, 1, 0, 1, 0, hashlib.sha256(str(only).encode()).hexdigest())]
     assert prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turn_units(spark.createDataFrame([], SCHEMA)))).collect() == []
+
+
+def test_no_row_is_lost_between_batches(spark):
+    """A range makes more points than a batch of rows holds."""
+    names = [part.split()[0] for part in prefix_trie.POINTS.split(", ")]
+    made = ((False, b"", None, None, i, 1, i, 0, 1, 0, [0], b"") for i in range(25))
+    assert [b.num_rows for b in prefix_trie._tables(made, names, 10)] == [10, 10, 5]
+    turns = [(c, 0, "user", str(c), "", 0) for c in range(12_000)]
+    units = prefix_trie.turn_units(spark.createDataFrame(turns, SCHEMA))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        got = prefix_trie.trie(units).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    none = hashlib.sha256(b"").hexdigest()
+    leaves = [(c, 1, 0, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest()) for c in range(12_000)]
+    assert sorted(tuple(r[n] for n in NAMES) for r in got if r.depth) == leaves
+    assert [tuple(r[n] for n in NAMES) for r in got if not r.depth] == [(0, 0, None, 12_000, 12_000, 12_000, 0, none)]

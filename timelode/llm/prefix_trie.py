@@ -36,6 +36,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -175,7 +176,7 @@ def _tables(rows: Iterator[tuple], names: list[str], size: int = 5000) -> Iterat
     kinds = [pa.bool_(), *[pa.binary()] * 3, *[pa.int64()] * 6, pa.list_(pa.int64()), pa.binary()]
     full = True
     while full:
-        run = [r for r, _ in zip(rows, range(size), strict=False)]
+        run = list(islice(rows, size))
         full = len(run) == size
         if run:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*run, strict=True), kinds, strict=True)], names=names)
