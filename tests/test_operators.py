@@ -540,3 +540,26 @@ def test_search_log_and_tail(spark, tmp_path):
     lines = spark.createDataFrame([(i, t) for i, t in enumerate(["A error", "", "  ", "fine", "ERROR b", "c"])], "at long, value string")
     assert [r.value for r in ingest.log_tail(lines, 2).collect()] == ["c", "ERROR b"]
     assert [r.value for r in ingest.log_tail(lines, 5, "error").collect()] == ["ERROR b", "A error"]
+
+
+def test_chunks_are_rows_until_the_end(spark):
+    """Bins are arrays of a chunk: no aggregate of bins, which would spill, and a plan that doesn't
+    grow with the steps. Null keys are a group; a batch may cut a chunk."""
+    rng = random.Random(8)
+    rows = [(v, rng.uniform(0, 300), rng.random(), 300.0) for v in (1, 2, None) for _ in range(80)]
+    binned = signal.bins(spark.createDataFrame(rows, "video_id long, t double, score double, duration_sec double"), KEYS)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        smoothed = timelines.smooth(binned, KEYS, signal.multiscale(), 64)
+        got = sorted((r.video_id or 0, r.n, r.idx, round(r.smoothed, 9)) for r in smoothed.collect())
+        found = timelines.moments(binned, KEYS, signal.multiscale(), 64)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        figures = lambda df: sorted((r.video_id or 0, r.n, r.cluster, r.peak, round(r.score, 8), r.left, r.right) for r in df.collect())
+        two = figures(found)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == sorted((r.video_id or 0, r.n, r.idx, round(r.smoothed, 9)) for r in signal.smooth(binned, KEYS, signal.multiscale()).collect())
+    whole = signal.normalise(signal.smooth(binned, KEYS, signal.multiscale()), KEYS)
+    assert two == figures(moments.valleys(moments.with_threshold(whole, KEYS), KEYS)) and len(two) > 20
+    assert plan.count("Scan parquet") <= 4 and plan.count("Exchange") <= 8, plan

@@ -252,9 +252,8 @@ def gaussian_chunks(spark, sf_dir):
 
 def valley_chunks(spark, sf_dir):
     """valley_bounds with every timeline cut into chunks."""
-    smoothed = timelines.smooth(signal.bins(T.timeline(spark, sf_dir), TIMED), TIMED, signal.multiscale(), LONG)
-    rows = timelines.with_threshold(timelines.normalise(smoothed, TIMED), TIMED)
-    return moments.bounded(timelines.valleys(rows, TIMED, LONG), TIMED).drop("duration_sec")
+    found = timelines.moments(signal.bins(T.timeline(spark, sf_dir), TIMED), TIMED, signal.multiscale(), LONG)
+    return moments.bounded(found, TIMED).drop("duration_sec")
 
 
 def greedy_nms(spark, sf_dir):
