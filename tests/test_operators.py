@@ -563,3 +563,20 @@ def test_chunks_are_rows_until_the_end(spark):
     whole = signal.normalise(signal.smooth(binned, KEYS, signal.multiscale()), KEYS)
     assert two == figures(moments.valleys(moments.with_threshold(whole, KEYS), KEYS)) and len(two) > 20
     assert plan.count("Scan parquet") <= 4 and plan.count("Exchange") <= 8, plan
+
+
+@pytest.mark.parametrize("piece", [1, 3, 256])
+def test_subtitles_are_numbered_without_sorting_pairs(spark, piece):
+    """Numbers by hand, over spans and pieces of them; pairs are neither shuffled nor sorted."""
+    rng = random.Random(9)
+    clips = [(v, c, s, s + rng.choice([0.0, 5.0, 70.0, 400.0])) for v in (1, 2) for c in range(12) for s in [rng.uniform(0, 500)]]
+    said = [(v, i, s, s + rng.choice([-1.0, 2.0, 130.0]), f"t{i}") for v in (1, 2) for i in range(80) for s in [rng.uniform(0, 600)]]
+    found = retrieval.subtitles(spark.createDataFrame(clips, "video_id long, clip_id long, c_start double, c_end double"), spark.createDataFrame(said, "video_id long, id long, t_start double, t_end double, spoken string"), piece=piece)
+    expected = []
+    for v, c, a, b in clips:
+        own = sorted((s, i, e, t) for w, i, s, e, t in said if w == v and e >= a and s <= b)
+        expected += [(v, c, n + 1, max(0.0, s - a), min(max(0.5, b - a), e - a), t) for n, (s, i, e, t) in enumerate(own)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    above = plan[: plan.index("Generate posexplode")]
+    assert "Exchange" not in above and "Window" not in above and "Sort" not in above

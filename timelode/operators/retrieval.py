@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelode.functions import intervals as I
 from timelode.functions import text as X
+from timelode.sources.storage import stored
 
 FAR = 999.0  # fixed value: no frame this far from a moment is its preview
-SPAN = 60.0
+SPAN, PIECE = 60.0, 256
 
 
 def nearest(points: DataFrame, frames: DataFrame, bucket: float = FAR) -> DataFrame:
@@ -68,23 +69,40 @@ def answers(transcripts: DataFrame, best_frames: DataFrame, question: str) -> Da
     return rows.select("video_id", F.coalesce("talk", F.lit("")).alias("context"), count.cast("long").alias("n_citations"), F.col("cite.s").alias("cite_start"), F.col("cite.e").alias("cite_end"), F.col("cite.text").alias("citation"))
 
 
-def subtitles(clips: DataFrame, transcripts: DataFrame, width: float = SPAN) -> DataFrame:
+def subtitles(clips: DataFrame, transcripts: DataFrame, width: float = SPAN, piece: int = PIECE) -> DataFrame:
     """clips (video_id, clip_id, c_start, c_end) x transcripts that touch them, in the
     clip's own time: video_id, clip_id, number, rel_start, rel_end, text. Both sides
     are dealt to spans of ``width`` seconds and meet only there, once: in the first
-    span that they share."""
+    span that they share. A span's transcripts are arrays in order, of at most ``piece`` each, so a
+    pair is a row only when it comes out and none is shuffled or sorted: a first pass counts
+    a clip's matches in each array, whose running sum is where the numbers of the next one start."""
 
     def dealt(rows: DataFrame, start: str, end: str, first: str) -> DataFrame:
         low, high = F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width)
         return rows.withColumn(first, low).withColumn("span_", F.explode(F.sequence(low, high)))
 
+    place = Window.partitionBy("video_id", "span_").orderBy("t_start", "id")
+    said = dealt(transcripts.select("video_id", "id", "t_start", "t_end", "spoken"), "t_start", "t_end", "t_span_")
+    said = said.withColumn("piece_", F.floor((F.row_number().over(place) - 1) / piece))
+    lists = said.groupBy("video_id", "span_", "piece_").agg(F.array_sort(F.collect_list(F.struct("t_start", "id", "t_end", "t_span_", "spoken"))).alias("said_"))
+    lists = stored(lists, "subtitle-spans")
+    parts = dealt(clips.select("video_id", "clip_id", "c_start", "c_end"), "c_start", "c_end", "c_span_")
+
+    def matches(texts: Column) -> Column:
+        meets = lambda t: I.overlaps(F.col("c_start"), F.col("c_end"), t["t_start"], t["t_end"]) & (F.col("span_") == F.greatest(F.col("c_span_"), t["t_span_"]))
+        return F.filter(texts, meets)
+
+    times = lists.withColumn("said_", F.transform("said_", lambda t: F.struct(t["t_start"].alias("t_start"), t["t_end"].alias("t_end"), t["t_span_"].alias("t_span_"))))
+    counted = parts.join(times, ["video_id", "span_"]).withColumn("n_", F.size(matches(F.col("said_")))).where("n_ > 0").drop("said_")
+    # what starts before a clip's first span meets it there, so spans and pieces go in the order of the starts
+    ahead = Window.partitionBy("video_id", "clip_id").orderBy("span_", "piece_").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("ahead_", F.coalesce(F.sum("n_").over(ahead), F.lit(0))).drop("n_")
     length = F.greatest(F.lit(0.5), F.col("c_end") - F.col("c_start"))
-    met = dealt(clips, "c_start", "c_end", "c_span_").join(dealt(transcripts, "t_start", "t_end", "t_span_"), ["video_id", "span_"])
-    met = met.where(I.overlaps(F.col("c_start"), F.col("c_end"), F.col("t_start"), F.col("t_end")) & (F.col("span_") == F.greatest("c_span_", "t_span_")))
-    order = Window.partitionBy("video_id", "clip_id").orderBy("t_start", "id")
+    met = counted.join(lists, ["video_id", "span_", "piece_"])
+    met = met.select("video_id", "clip_id", "c_start", "c_end", "ahead_", F.posexplode(matches(F.col("said_"))).alias("at_", "t_"))
     return met.select(
-        "video_id", "clip_id", F.row_number().over(order).cast("long").alias("number"),
-        F.greatest(F.lit(0.0), F.col("t_start") - F.col("c_start")).alias("rel_start"), F.least(length, F.col("t_end") - F.col("c_start")).alias("rel_end"), F.col("spoken").alias("text"),
+        "video_id", "clip_id", (F.col("ahead_") + F.col("at_") + 1).cast("long").alias("number"),
+        F.greatest(F.lit(0.0), F.col("t_.t_start") - F.col("c_start")).alias("rel_start"), F.least(length, F.col("t_.t_end") - F.col("c_start")).alias("rel_end"), F.col("t_.spoken").alias("text"),
     )
 
 
