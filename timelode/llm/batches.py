@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from timelode.operators.memory import give_back, slices
+
 
 def chunks(texts: Sequence[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Cuts a batch into runs of texts of about ``limit`` characters, which bounds the
@@ -26,11 +28,11 @@ def with_found(rows: DataFrame, text: str, found: T.StructType, work: Callable[[
     """rows without the column ``text`` (or with it, where it is wanted on), with the columns
     ``found`` that ``work`` makes of a batch of texts (null: empty). The other columns stay in Arrow, so
     values of every type, nulls and large ids come out as they went in. A worker outlives its
-    task, so memory that it has no more use for is given back at the end."""
+    task, so memory that it has no more use for is given back at the end (``give_back``)."""
     keep = [f for f in rows.schema.fields if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text))):
             at = batch.schema.get_field_index(text)
             made = work([t or "" for t in batch.column(at).to_pylist()])
             arrays = [batch.column(i) for i in range(batch.num_columns) if keep_text or i != at]
@@ -40,7 +42,7 @@ def with_found(rows: DataFrame, text: str, found: T.StructType, work: Callable[[
                 names.append(field.name)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
             del batch, made, arrays
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return rows.mapInArrow(run, T.StructType(keep + list(found.fields)))
 

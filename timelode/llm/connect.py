@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timelode.operators.memory import give_back
+
 from .common import stored
 from .graph import components
 
@@ -154,6 +156,7 @@ def _edges(test: Callable[[pd.DataFrame], Callable]) -> Callable[[Iterator[pd.Da
             root = np.array([forest.find(i) for i in range(len(frame))], int)
             least = pd.Series(tree).groupby(root).transform("min").to_numpy()
             yield pd.DataFrame({"a": tree, "b": least})[tree != least].drop_duplicates()
+        give_back()
 
     return run
 

@@ -47,6 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timelode.operators.memory import give_back
+
 from .batches import chunks, with_found
 from .common import key_filter, numbered, own_name, passing, stored, without
 from .connect import BLOCK, Forest, connected, in_units, unit_pairs, whole_units
@@ -166,6 +168,7 @@ def verify(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
             some = np.flatnonzero(links)
             a, b = [fp[i] for i in some.tolist()], [None] * len(some)
             yield pd.DataFrame({"a": a + [fp[x] for x, _ in forest.edges], "b": b + [fp[y] for _, y in forest.edges], "links": links[some].tolist() + [0] * len(forest.edges)})
+        give_back()
 
     return units.select("family", "lo", "hi", "side", "fp", "weight", "sig", "text").mapInPandas(run, "a binary, b binary, links long")
 

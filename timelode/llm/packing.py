@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timelode.operators.memory import give_back, slices
+
 from .common import stored
 
 LENGTH, OPEN, GROUP = 2048, 4096, 50_000
@@ -101,7 +103,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             row, piece, start, size, crc, own = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(encoder.ids(text or ""), END_TOKEN).astype("<u4")
@@ -119,7 +121,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
             arrays += [pa.array(own, pa.list_(pa.int32()))] * with_ids
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
             del batch, arrays
-        pa.default_memory_pool().release_unused()
+        del encoder
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
