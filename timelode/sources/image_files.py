@@ -5,7 +5,8 @@
     rows.write.format("image_files").mode("append").save(folder)
 
 Rows are (name: path below the folder, content: bytes). Reading deals files to partitions of about
-``PART`` bytes. Writing puts a task's files below ``_staged-<job>`` first; they get
+``PART`` bytes and hands them on in batches of about ``BATCH`` bytes, and writing takes one file of a batch
+at a time, so a task holds a few files however many there are. Writing puts a task's files below ``_staged-<job>`` first; they get
 their names when the whole job has ended, so a job that fails leaves no file,
 and a task that runs twice writes the same ones. Folders are on a file system
 that the driver and all executors reach.
@@ -17,9 +18,12 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-PART = 64_000_000
+from timelode.operators.memory import give_back
+
+PART, BATCH = 64_000_000, 4_000_000
 SCHEMA = "name string, content binary"
 
 
@@ -57,11 +61,22 @@ class Reader(DataSourceReader):
             size += f.size
         return parts or [Names([])]
 
-    def read(self, partition: Names) -> Iterator[tuple[str, bytes]]:
+    def read(self, partition: Names) -> Iterator[pa.RecordBatch]:
         system, root = _open(self.folder)
+        batch = lambda names, contents: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+        names, contents, size = [], [], 0
         for name in partition.names:
             with system.open_input_stream(f"{root}/{name}") as file:
-                yield name, file.read()
+                names.append(name)
+                contents.append(file.read())
+            size += len(contents[-1])
+            if size >= BATCH:
+                yield batch(names, contents)
+                names, contents, size = [], [], 0
+        if names:
+            yield batch(names, contents)
+        del names, contents
+        give_back()
 
 
 @dataclass
@@ -70,25 +85,25 @@ class Staged(WriterCommitMessage):
     place: str
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     def __init__(self, folder: str) -> None:
         self.folder, self.staged = folder, f"_staged-{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> Staged:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
         from pyspark import TaskContext
 
         system, root = _open(self.folder)
         context = TaskContext.get()
         place, names = f"{self.staged}/{context.partitionId()}-{context.attemptNumber()}", []
-        for row in rows:
-            name = row["name"]
+        for name, content in ((b.column("name")[i].as_py(), b.column("content")[i]) for b in batches for i in range(b.num_rows)):
             if name.startswith(("/", "_")) or ".." in name.split("/"):
                 raise ValueError(f"not a name below the folder: {name}")
             path = f"{root}/{place}/{name}"
             system.create_dir(path.rsplit("/", 1)[0], recursive=True)
             with system.open_output_stream(path) as out:
-                out.write(bytes(row["content"]))
+                out.write(content.as_buffer())
             names.append(name)
+        give_back()
         return Staged(names, place)
 
     def commit(self, messages: list[Staged | None]) -> None:
