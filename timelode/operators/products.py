@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timelode.operators.automaton import Finder
+from timelode.operators.memory import give_back, slices
 
 CELLS, SALTS = 1_000_000, 32
 
@@ -60,10 +61,12 @@ def _ranks(ids: pa.Array) -> np.ndarray:
     return pc.rank(ids, tiebreaker="dense").to_numpy()
 
 
-def _runs(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+def _runs(batch: pa.RecordBatch, width: int, text: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of at most CELLS products, and, with a text column, of a bounded size of texts."""
     step = max(1, CELLS // max(1, width))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+    for part in slices(batch, batch.schema.get_field_index(text)) if text else [batch]:
+        for at in range(0, part.num_rows, step):
+            yield part.slice(at, step)
 
 
 def pairs(rows: DataFrame, block: Block, keep: Sequence[str], dim: int | None = None, words_weight: int | None = None) -> DataFrame:
@@ -78,7 +81,7 @@ def pairs(rows: DataFrame, block: Block, keep: Sequence[str], dim: int | None =
         users = [np.array(u, np.int64) for u in block.users]
         matrix = block.matrix(dim) if dim else None
         for whole in batches:
-            for batch in _runs(whole, len(block.ids)):
+            for batch in _runs(whole, len(block.ids), None if words_weight is None else "own"):
                 shape = (batch.num_rows, len(block.ids))
                 score, hits = np.full(shape, np.nan), np.zeros(shape, np.int64)
                 if dim:
@@ -94,6 +97,7 @@ def pairs(rows: DataFrame, block: Block, keep: Sequence[str], dim: int | None =
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.ids[request]), *[batch.column(c).take(take) for c in keep], pa.array(score, mask=np.isnan(score)), pa.array(part, mask=hits == 0)], names=["request_id", *keep, "score", "part"]
                 )
+        give_back()
 
     return rows.select(*columns).mapInArrow(run, schema)
 
@@ -130,6 +134,7 @@ def best(rows: DataFrame, block: Block, dim: int, k: int, by: str | None = None)
                 held = both.take(pa.array(best_of(both.column("score").to_numpy(), both.column("request_id").to_numpy(), _ranks(both.column("id")))))
         if held is not None:
             yield held
+        give_back()
 
     found = rows.select(*keep, "vector").mapInArrow(run, schema)
     order = [F.desc("score"), F.col("id")]
