@@ -132,3 +132,19 @@ def test_text_search_leaves_blocks_out(spark, tmp_path, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     filters = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
     assert any("(field#" in f and "buck" in f for f in filters) and "In(term, [common,rare" in plan, filters
+
+
+def test_a_block_is_inverted_in_one_task():
+    """Tokens of a block's documents -> postings, no row for a document's term; a merge drops stale ones."""
+    import pyarrow as pa
+
+    key = (pa.scalar(3, pa.int32()),)
+    rows = pa.table({"doc_id": [7, 2, 7, 9], "field": ["a", "a", "b", "a"], "tokens": pa.array([["x", "y", "x"], ["x"], ["y"], []], pa.list_(pa.string())), "n": [3, 1, 1, 0]})
+    built = text_index._counted(key, rows)
+    got = {(r["field"], r["term"]): (r["block"], r["n_docs"], r["most_tf"], r["least_n"], r["ids"], r["tfs"], r["ns"]) for r in built.to_pylist()}
+    assert got == {("a", "x"): (3, 2, 2, 1, [2, 7], [1, 2], [1, 3]), ("a", "y"): (3, 1, 1, 3, [7], [1], [3]), ("b", "y"): (3, 1, 1, 1, [7], [1], [1])}
+    assert text_index._counted(key, rows.slice(0, 0)).num_rows == 0 and text_index._counted(key, rows.slice(3)).num_rows == 0
+    old = pa.concat_tables([built.append_column("segment", pa.array([s] * 3)) for s in (0, 1)])
+    live = text_index._alive(key, old, pa.table({"doc_id": [9, 7, 2], "segment": [1, 1, 0]}))
+    assert sorted(map(str, live.to_pylist())) == sorted(map(str, built.to_pylist()))
+    assert text_index._alive(key, old.slice(0, 0), pa.table({"doc_id": pa.array([9]), "segment": pa.array([1])})).num_rows == 0

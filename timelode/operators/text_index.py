@@ -3,7 +3,8 @@
 An index is a folder of segments. ``add`` writes one for a batch of documents: documents are
 dealt by a hash to blocks of about ``BLOCK``; for each field, term and block there is one
 row of postings (ids, counts, lengths) with its maxima, in the folder of the term's
-bucket. Newer segments take the place of documents that older ones hold, so a changed
+bucket. A block is counted and inverted in one task, so what is shuffled is texts by block and
+rows of postings, no row for a document's term. Newer segments take the place of documents that older ones hold, so a changed
 text is added again. ``merge`` writes all segments as one.
 
 ``search`` reads the buckets of its terms only, in two steps. The first reads maxima, not
@@ -17,6 +18,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +60,8 @@ def add(docs: DataFrame, fields: Sequence[str], path: str, segment: int | None =
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("tokens")) for f in fields])).alias("f"))
     rows = stored(long.select("doc_id", "f.field", "f.tokens", F.size("f.tokens").cast("long").alias("n")), "text-tokens")
     n_docs = rows.select("doc_id").count() // max(1, len(fields))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n_docs // BLOCK)))).cast("int")
-    counted = rows.select("doc_id", "field", "n", F.explode("tokens").alias("term")).groupBy("field", "term", "doc_id", "n").agg(F.count(F.lit(1)).alias("tf"))
-    _write(spark, counted.withColumn("block", block), path, segment)
+    dealt = rows.withColumn("block", _block(F.col("doc_id"), n_docs))
+    _write(spark, dealt.groupBy("block").applyInArrow(_counted, BUILT), path, segment)
     lengths = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "n"))).alias("n"))
     _put(lengths.select(F.lit(segment).cast("long").alias("segment"), "doc_id", "n"), f"{path}/docs")
     _put(rows.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens")).select(F.lit(segment).cast("long").alias("segment"), "field", "n_docs", "n_tokens"), f"{path}/corpus")
@@ -70,13 +73,65 @@ def _put(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment", *by).parquet(path)
 
 
-def _write(spark: SparkSession, counted: DataFrame, path: str, segment: int) -> None:
-    """counted (field, term, doc_id, n, tf, block) -> postings, sorted by term in their
-    bucket. A row of postings holds a block's documents, at most."""
-    postings = counted.groupBy("field", "term", "block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "n"))).alias("p"), F.max("tf").alias("most_tf"), F.min("n").alias("least_n"))
-    postings = postings.select(
-        F.lit(segment).cast("long").alias("segment"), "field", _bucket(F.col("term")).alias("bucket"), "term", "block", F.size("p").cast("long").alias("n_docs"), "most_tf", "least_n", F.col("p.doc_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.n").alias("ns")
-    )
+def _block(doc_id: Column, n_docs: int) -> Column:
+    """Numbers of blocks are powers of two, so a block of a small segment falls into whole ones of a larger."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << (max(1, -(-n_docs // BLOCK)) - 1).bit_length())).cast("int")
+
+
+BUILT = "field string, term string, block int, n_docs long, most_tf long, least_n long, ids array<long>, tfs array<long>, ns array<long>"
+
+
+def _built(block: int, fields: pa.Array, terms: pa.Array, ids: np.ndarray, tfs: np.ndarray, ns: np.ndarray) -> pa.Table:
+    """A block's (field, term, document) with counts and lengths -> a row of postings for each
+    field and term, documents in order."""
+    field, term = fields.dictionary_encode(), terms.dictionary_encode()
+    own = field.indices.to_numpy().astype(np.int64) * len(term.dictionary) + term.indices.to_numpy()
+    order = np.lexsort((ids, own))
+    own, lists = own[order], [x[order].astype(np.int64) for x in (ids, tfs, ns)]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    edges = pa.array(np.append(first, len(own)), pa.int32())
+    key = own[first]
+    low = lambda f, x: f.reduceat(x, first) if len(first) else x
+    columns = [
+        field.dictionary.take(pa.array(key // max(1, len(term.dictionary)))), term.dictionary.take(pa.array(key % max(1, len(term.dictionary)))), pa.array(np.full(len(first), block), pa.int32()), pa.array(np.diff(np.append(first, len(own)))),
+        pa.array(low(np.maximum, lists[1])), pa.array(low(np.minimum, lists[2])), *(pa.ListArray.from_arrays(edges, pa.array(x)) for x in lists),
+    ]
+    return pa.table(columns, names=[part.split()[0] for part in BUILT.split(", ")])
+
+
+def _flat(rows: pa.Table, column: str) -> pa.Array:
+    return pa.concat_arrays([c.flatten() for c in rows[column].chunks]) if rows.num_rows else pa.array([], rows.schema.field(column).type.value_type)
+
+
+def _repeated(rows: pa.Table, column: str) -> np.ndarray:
+    """The place of the row that each value of a list came from."""
+    return np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows[column]).to_numpy())
+
+
+def _counted(key: tuple, rows: pa.Table) -> pa.Table:
+    """A block's documents (doc_id, field, tokens, n), all of their tokens counted here."""
+    terms, row = _flat(rows, "tokens").dictionary_encode(), _repeated(rows, "tokens")
+    pair, tf = np.unique(row * max(1, len(terms.dictionary)) + terms.indices.to_numpy(), return_counts=True)
+    row, term = pair // max(1, len(terms.dictionary)), pair % max(1, len(terms.dictionary))
+    field = rows["field"].combine_chunks().take(pa.array(row))
+    return _built(key[0].as_py(), field, terms.dictionary.take(pa.array(term)), rows["doc_id"].to_numpy()[row], tf, rows["n"].to_numpy()[row])
+
+
+def _alive(key: tuple, old: pa.Table, docs: pa.Table) -> pa.Table:
+    """A block's postings of all segments, and its documents with their newest segment."""
+    ids, tfs, ns = (_flat(old, c).to_numpy() for c in ("ids", "tfs", "ns"))
+    row = _repeated(old, "ids")
+    order = np.argsort(docs["doc_id"].to_numpy())
+    known, newest = docs["doc_id"].to_numpy()[order], docs["segment"].to_numpy()[order]
+    live = np.flatnonzero(newest[np.searchsorted(known, ids)] == old["segment"].to_numpy()[row]) if len(ids) else np.zeros(0, np.int64)
+    take = pa.array(row[live])
+    return _built(key[0].as_py(), old["field"].combine_chunks().take(take), old["term"].combine_chunks().take(take), ids[live], tfs[live], ns[live])
+
+
+def _write(spark: SparkSession, built: DataFrame, path: str, segment: int) -> None:
+    """Rows of BUILT -> postings, sorted by term in their bucket. A row of postings holds a
+    block's documents, at most."""
+    postings = built.select(F.lit(segment).cast("long").alias("segment"), "field", _bucket(F.col("term")).alias("bucket"), "term", "block", "n_docs", "most_tf", "least_n", "ids", "tfs", "ns")
     dealt = postings.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("field", "bucket", "term", "block")
     _put(dealt, f"{path}/postings", "field", "bucket")
 
@@ -89,10 +144,13 @@ def merge(spark: SparkSession, path: str) -> int:
     new = segments[-1] + 1
     newest = _read(spark, path, "docs", segments).groupBy("doc_id").agg(F.max_by("n", "segment").alias("n"), F.max("segment").alias("segment"))
     docs = stored(newest, "text-docs")
-    postings = _read(spark, path, "postings", segments).select("segment", "field", "term", F.explode(F.arrays_zip("ids", "tfs", "ns")).alias("p"))
-    live = postings.select("segment", "field", "term", F.col("p.ids").alias("doc_id"), F.col("p.tfs").alias("tf"), F.col("p.ns").alias("n")).join(docs.select("doc_id", "segment"), ["doc_id", "segment"])
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-docs.count() // BLOCK)))).cast("int")
-    _write(spark, live.withColumn("block", block), path, new)
+    n_docs = docs.count()
+    # rows of postings move as they are, cut only where a block falls into several
+    in_block = lambda x: _block(x, n_docs)
+    old = _read(spark, path, "postings", segments).select("segment", "field", "term", F.arrays_zip("ids", "tfs", "ns").alias("p"), F.explode(F.array_distinct(F.transform("ids", in_block))).alias("block"))
+    old = old.withColumn("p", F.filter("p", lambda x: in_block(x["ids"]) == F.col("block"))).select("segment", "field", "term", "block", "p.ids", "p.tfs", "p.ns")
+    known = docs.select("doc_id", "segment", in_block(F.col("doc_id")).alias("block"))
+    _write(spark, old.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_alive, BUILT), path, new)
     _put(docs.select(F.lit(new).cast("long").alias("segment"), "doc_id", "n"), f"{path}/docs")
     figures = docs.select(F.explode("n").alias("field", "n")).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
     _put(figures.select(F.lit(new).cast("long").alias("segment"), "field", "n_docs", "n_tokens"), f"{path}/corpus")
