@@ -9,6 +9,7 @@ from timelode.functions import intervals, text, vectors
 from timelode.operators import automaton, evaluate, expand, index, ingest, moments, retrieval, scoring, signal, timelines
 from timelode.plans import search
 from timelode.sources import image_files, tables
+from timelode.sources.storage import stored
 from timelode.streaming import progress
 
 KEYS = ["video_id"]
@@ -580,3 +581,28 @@ def test_subtitles_are_numbered_without_sorting_pairs(spark, piece):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     above = plan[: plan.index("Generate posexplode")]
     assert "Exchange" not in above and "Window" not in above and "Sort" not in above
+
+
+def test_subtitles_broadcast_no_clips(spark, monkeypatch):
+    """Clips by span come from a row a video, so they look small; nothing is built in the driver. Numbers by
+    hand over several spans, with texts that go on into later ones; arrays within a clip are taken whole."""
+    monkeypatch.setattr(retrieval, "PAIRS", 1000, raising=False)
+    videos = spark.range(3).repartition(2).groupBy(F.col("id").alias("video_id")).agg(F.max(F.lit(40)).alias("n"))
+    clips = videos.select("video_id", F.explode(F.sequence(F.lit(0), "n")).alias("clip_id")).select("video_id", "clip_id", (F.col("clip_id") * 7.0 + F.col("video_id")).alias("c_start"), (F.col("clip_id") * 9.0 + 5).alias("c_end"))
+    said = [(v, i, float(i), i + (90.0 if i % 37 == 0 else -1.5 if i % 11 == 0 else 0.8), f"t{i}") for v in range(3) for i in range(400)]
+    found = retrieval.subtitles(clips, spark.createDataFrame(said, "video_id long, id long, t_start double, t_end double, spoken string"), width=50.0, piece=8)
+    expected = []
+    for v in range(3):
+        for c in range(41):
+            a, b = c * 7.0 + v, c * 9.0 + 5
+            own = sorted((s, i, e, t) for w, i, s, e, t in said if w == v and e >= a and s <= b)
+            expected += [(v, c, n + 1, max(0.0, s - a), min(max(0.5, b - a), e - a), t) for n, (s, i, e, t) in enumerate(own)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected) and len(expected) > 5000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "hashpartitioning" in plan
+    made = []
+    monkeypatch.setattr(retrieval, "stored", lambda df, label: made.append(df) or stored(df, label))
+    retrieval.subtitles(clips, spark.createDataFrame(said, "video_id long, id long, t_start double, t_end double, spoken string"))
+    for df in made:
+        df.collect()
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString(), df

@@ -12,7 +12,7 @@ from timelode.functions import text as X
 from timelode.sources.storage import stored
 
 FAR = 999.0  # fixed value: no frame this far from a moment is its preview
-SPAN, PIECE = 60.0, 256
+SPAN, PIECE, PAIRS = 3600.0, 256, 2_000_000
 
 
 def nearest(points: DataFrame, frames: DataFrame, bucket: float = FAR) -> DataFrame:
@@ -75,31 +75,41 @@ def subtitles(clips: DataFrame, transcripts: DataFrame, width: float = SPAN, pie
     are dealt to spans of ``width`` seconds and meet only there, once: in the first
     span that they share. A span's transcripts are arrays in order, of at most ``piece`` each, so a
     pair is a row only when it comes out and none is shuffled or sorted: a first pass counts
-    a clip's matches in each array, whose running sum is where the numbers of the next one start."""
+    a clip's matches in each array, whose running sum is where the numbers of the next one start. An
+    array that lies within a clip is counted by its bounds. Clips by span and by array grow with the
+    square of a video's length but are thought as small as the videos they come from, so
+    nothing is broadcast; the last join is dealt out by the number of pairs."""
 
     def dealt(rows: DataFrame, start: str, end: str, first: str) -> DataFrame:
         low, high = F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width)
         return rows.withColumn(first, low).withColumn("span_", F.explode(F.sequence(low, high)))
 
-    place = Window.partitionBy("video_id", "span_").orderBy("t_start", "id")
-    said = dealt(transcripts.select("video_id", "id", "t_start", "t_end", "spoken"), "t_start", "t_end", "t_span_")
+    # what goes on from an earlier span is apart, for clips whose first span this is
+    array = ["video_id", "span_", "late_", "piece_"]
+    said = dealt(transcripts.select("video_id", "id", "t_start", "t_end", "spoken"), "t_start", "t_end", "t_span_").withColumn("late_", F.col("t_span_") == F.col("span_"))
+    place = Window.partitionBy(*array[:3]).orderBy("t_start", "id", "t_end", "spoken")
     said = said.withColumn("piece_", F.floor((F.row_number().over(place) - 1) / piece))
-    lists = said.groupBy("video_id", "span_", "piece_").agg(F.array_sort(F.collect_list(F.struct("t_start", "id", "t_end", "t_span_", "spoken"))).alias("said_"))
+    bounds = [f("t_" + x).alias(f"{n}_{x}_") for x in ("start", "end") for f, n in ((F.min, "low"), (F.max, "high"))]
+    lists = said.groupBy(*array).agg(*bounds, F.array_sort(F.collect_list(F.struct("t_start", "id", "t_end", "spoken"))).alias("said_"))
+    lists = lists.withColumn("times_", F.transform("said_", lambda t: F.struct(t["t_start"].alias("t_start"), t["t_end"].alias("t_end"))))
     lists = stored(lists, "subtitle-spans")
     parts = dealt(clips.select("video_id", "clip_id", "c_start", "c_end"), "c_start", "c_end", "c_span_")
+    within = (F.col("low_end_") >= F.col("c_start")) & (F.col("high_start_") <= F.col("c_end"))
 
-    def matches(texts: Column) -> Column:
-        meets = lambda t: I.overlaps(F.col("c_start"), F.col("c_end"), t["t_start"], t["t_end"]) & (F.col("span_") == F.greatest(F.col("c_span_"), t["t_span_"]))
-        return F.filter(texts, meets)
+    def matches(texts: str) -> Column:
+        return F.when(within, F.col(texts)).otherwise(F.filter(texts, lambda t: I.overlaps(F.col("c_start"), F.col("c_end"), t["t_start"], t["t_end"])))
 
-    times = lists.withColumn("said_", F.transform("said_", lambda t: F.struct(t["t_start"].alias("t_start"), t["t_end"].alias("t_end"), t["t_span_"].alias("t_span_"))))
-    counted = parts.join(times, ["video_id", "span_"]).withColumn("n_", F.size(matches(F.col("said_")))).where("n_ > 0").drop("said_")
+    counted = parts.join(lists.drop("said_").hint("merge"), ["video_id", "span_"])
+    counted = counted.where(I.overlaps(F.col("c_start"), F.col("c_end"), F.col("low_start_"), F.col("high_end_")) & (F.col("late_") | (F.col("span_") == F.col("c_span_"))))
+    counted = counted.select("clip_id", "c_start", "c_end", *array, F.size(matches("times_")).alias("n_")).where("n_ > 0")
     # what starts before a clip's first span meets it there, so spans and pieces go in the order of the starts
-    ahead = Window.partitionBy("video_id", "clip_id").orderBy("span_", "piece_").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("ahead_", F.coalesce(F.sum("n_").over(ahead), F.lit(0))).drop("n_")
+    ahead = Window.partitionBy("video_id", "clip_id").orderBy("span_", "late_", "piece_").rowsBetween(Window.unboundedPreceding, -1)
+    counted = stored(counted.withColumn("ahead_", F.coalesce(F.sum("n_").over(ahead), F.lit(0))), "subtitle-counts")
+    pairs = counted.agg(F.sum("n_")).first()[0] or 0
+    counted = counted.repartition(-(-pairs // PAIRS), *array) if pairs > PAIRS else counted
+    met = counted.drop("n_").join(lists.drop("times_").hint("merge"), array)
+    met = met.select("video_id", "clip_id", "c_start", "c_end", "ahead_", F.posexplode(matches("said_")).alias("at_", "t_"))
     length = F.greatest(F.lit(0.5), F.col("c_end") - F.col("c_start"))
-    met = counted.join(lists, ["video_id", "span_", "piece_"])
-    met = met.select("video_id", "clip_id", "c_start", "c_end", "ahead_", F.posexplode(matches(F.col("said_"))).alias("at_", "t_"))
     return met.select(
         "video_id", "clip_id", (F.col("ahead_") + F.col("at_") + 1).cast("long").alias("number"),
         F.greatest(F.lit(0.0), F.col("t_.t_start") - F.col("c_start")).alias("rel_start"), F.least(length, F.col("t_.t_end") - F.col("c_start")).alias("rel_end"), F.col("t_.spoken").alias("text"),

@@ -328,8 +328,9 @@ def _clips(spark, sf_dir) -> DataFrame:
 
 
 def subtitle_overlap(spark, sf_dir):
-    met = retrieval.subtitles(_clips(spark, sf_dir), T.transcripts(spark, sf_dir))
-    return met.select("video_id", "clip_id", "number", F.round("rel_start", 3).alias("rel_start"), F.round("rel_end", 3).alias("rel_end"), F.md5("text").alias("text_md5"))
+    """Only the texts' digests come out, so these go in: one a text, not one a pair."""
+    met = retrieval.subtitles(_clips(spark, sf_dir), T.transcripts(spark, sf_dir).withColumn("spoken", F.md5("spoken")))
+    return met.select("video_id", "clip_id", "number", F.round("rel_start", 3).alias("rel_start"), F.round("rel_end", 3).alias("rel_end"), F.col("text").alias("text_md5"))
 
 
 def srt_format(spark, sf_dir):
