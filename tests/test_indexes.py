@@ -148,3 +148,61 @@ def test_a_block_is_inverted_in_one_task():
     live = text_index._alive(key, old, pa.table({"doc_id": [9, 7, 2], "segment": [1, 1, 0]}))
     assert sorted(map(str, live.to_pylist())) == sorted(map(str, built.to_pylist()))
     assert text_index._alive(key, old.slice(0, 0), pa.table({"doc_id": pa.array([9]), "segment": pa.array([1])})).num_rows == 0
+
+
+def test_postings_pass_through_their_parts(monkeypatch):
+    """Rows of postings, packed by a task, unpacked by another: the same rows, each in its term's bucket; rows of one
+    key become one, across batches too."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(text_index, "ROWS", 5)
+    key = lambda block: (pa.scalar(block, pa.int32()),)
+    words = [["x", "y", "x"], ["x", "é"], [], ["y"]]
+    docs = lambda first: pa.table({"doc_id": [first + i for i in range(4)], "tokens_0": words, "tokens_1": words[::-1]}, schema=pa.schema({"doc_id": pa.int64(), "tokens_0": pa.list_(pa.string()), "tokens_1": pa.list_(pa.string())}))
+    built = [text_index._inverted(["a", "b"])(key(block), docs(first)) for block, first in ((3, 10), (4, 20), (3, 0))]
+    packed = [b for b in text_index._packed(2)(x for t in built for x in t.to_batches(max_chunksize=2))]
+    assert len(packed) > 2 and {p for b in packed for p in b["part"].to_pylist()} <= {0, 1}
+    rows = [r for b in text_index._unpacked(7)(iter(packed)) for r in b.to_pylist()]
+    own = lambda r: (r["field"], r["term"], r["block"], r["n_docs"], r["most_tf"], r["least_n"], r["ids"], r["tfs"], r["ns"])
+    assert sorted(map(own, rows)) == sorted(own(r) for t in built for r in t.to_pylist())
+    assert all(r["segment"] == 7 and r["bucket"] == text_index._hash(r["term"]) % text_index.BUCKETS for r in rows)
+    place = lambda r: (r["field"], r["term"], r["block"])
+    joined = [r for size in (1, 3, 50) for b in text_index._joined(iter(pa.Table.from_pylist(sorted(rows, key=place), schema=next(text_index._unpacked(7)(iter(packed))).schema).to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    assert len(joined) == 3 * len({place(r) for r in rows}) and {r["ids"] == sorted(r["ids"]) for r in joined} == {True}
+    x = next(r for r in joined if place(r) == ("a", "x", 3))
+    assert (x["n_docs"], x["most_tf"], x["least_n"], x["ids"], x["tfs"], x["ns"]) == (4, 2, 2, [0, 1, 10, 11], [2, 1, 2, 1], [3, 2, 3, 2])
+
+
+def test_text_index_shuffles_texts_and_compressed_postings(spark, tmp_path, monkeypatch):
+    """Neither tokens nor rows of postings are shuffled or stored on the way, and a merge sends what no one has replaced
+    straight to its bucket, one row for a term and block. Bytes shuffled stay under those of the texts."""
+    from timelode.sources.storage import stored
+
+    monkeypatch.setattr(text_index, "BLOCK", 64)
+    monkeypatch.setattr(text_index, "TOKENS", 20_000, raising=False)
+    labels, rng, path = [], np.random.default_rng(4), f"file://{tmp_path}/index"
+    monkeypatch.setattr(text_index, "stored", lambda df, label: labels.append(label) or stored(df, label))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    vocabulary = [f"w{i}" for i in range(3000)]
+    words = lambda: " ".join(rng.choice(vocabulary, 150))
+    rows = [(i, words()) for i in range(1024)]
+    size, began = sum(len(t) for _, t in rows), shuffled()
+    for some in (rows[:512], rows[512:]):
+        text_index.add(spark.createDataFrame(some, "doc_id long, caption string"), ["caption"], path)
+    added = shuffled()
+    assert added - began < 2 * size and "text-tokens" not in labels, (added - began, size)
+    new = text_index.merge(spark, path)
+    merged = shuffled()
+    assert merged - added < 1.5 * size, (merged - added, size)
+    kept = spark.read.parquet(f"{path}/postings").where(f"segment = {new}")
+    assert kept.count() == kept.select("term", "block").distinct().count()
+    assert kept.selectExpr("sum(n_docs)").first()[0] == sum(len(set(t.split())) for _, t in rows)
+    got = [(r["doc_id"], r["score"]) for r in text_index.search(spark, path, "caption", ["w5", "w9"], 20).collect()]
+    want = bm25_by_hand([(i, t) for i, t in rows], 1, ["w5", "w9"], 20)
+    assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=2e-6)
