@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def _figures(docs: DataFrame, segment: int) -> DataFrame:
 
 def _put(rows: DataFrame, path: str, *by: str) -> None:
     """Writes a segment's folder, and over what a failed job left of it."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment", *by).parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("segment", *by).parquet(path)
 
 
 def _blocks(n_docs: int) -> int:
@@ -162,7 +163,9 @@ def _alive(key: tuple, old: pa.Table, docs: pa.Table) -> pa.Table:
     return _built(key[0].as_py(), old["field"].combine_chunks().take(take), old["term"].combine_chunks().take(take), ids[live], tfs[live], ns[live])
 
 
-PACKED = "part int, size long, packed binary"
+PACKED = "part int, packed binary"
+#: A run's columns: keys by their values, lists by the bytes of one place.
+RUN = {"compression": "zstd", "write_statistics": False, "store_schema": False, "use_dictionary": ["field", "term", "block"], "column_encoding": {f"{c}.list.element": "BYTE_STREAM_SPLIT" for c in ("ids", "tfs", "ns")}}
 
 
 def _packed(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -175,15 +178,12 @@ def _packed(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         code = term.indices.to_numpy()
         order = np.lexsort((rows["block"].to_numpy(), code, part[code]))
         part, rows = part[code][order], rows.take(pa.array(order)).combine_chunks()
-        edges, runs, sizes = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)), [], []
+        edges, runs = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)), []
         for start, end in zip(edges[:-1], edges[1:]):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as stream:
-                stream.write_table(rows.slice(start, end - start))
-            data = sink.getvalue()
-            runs.append(pa.compress(data, "zstd", asbytes=True))
-            sizes.append(data.size)
-        return pa.record_batch([pa.array(part[edges[:-1]], pa.int32()), pa.array(sizes, pa.int64()), pa.array(runs, pa.binary())], names=["part", "size", "packed"])
+            pq.write_table(rows.slice(start, end - start), sink, **RUN)
+            runs.append(sink.getvalue().to_pybytes())
+        return pa.record_batch([pa.array(part[edges[:-1]], pa.int32()), pa.array(runs, pa.binary())], names=["part", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -215,8 +215,8 @@ def _row(fields: pa.Array, terms: pa.Array, blocks: pa.Array, counts: np.ndarray
 def _unpacked(segment: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size, packed in zip(batch["size"].to_pylist(), batch["packed"]):
-                rows = pa.ipc.open_stream(pa.decompress(packed.as_buffer(), size, "zstd")).read_all().combine_chunks()
+            for packed in batch["packed"]:
+                rows = pq.ParquetFile(pa.BufferReader(packed.as_buffer())).read(use_threads=False).combine_chunks()
                 field, term, block = (rows[c].combine_chunks() for c in ("field", "term", "block"))
                 yield _row(field, term, block, pc.list_value_length(rows["ids"]).to_numpy(), [_flat(rows, c).to_numpy() for c in ("ids", "tfs", "ns")], segment)
         give_back()
